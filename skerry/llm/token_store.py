@@ -259,7 +259,8 @@ def documents_of(spark: SparkSession, store: str, wanted: Column | None = None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(r, "<u2").astype(np.int32) for r in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     recipes = spark.read.parquet(f"{store}/recipes")
-    recipes = (recipes if wanted is None else recipes.where(wanted)).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode("chunks").alias("at", "digest"))
+    recipes = (recipes if wanted is None else recipes.where(wanted)).select("doc_id", F.monotonically_increasing_id().alias("row"), "chunks")
+    recipes = recipes.select("doc_id", "row", F.posexplode("chunks").alias("at", "digest"))
     whole = recipes.join(spark.read.parquet(f"{store}/chunks"), "digest").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("at", "ids")).alias("own"))
     return whole.select("doc_id", "own").mapInArrow(joined, "doc_id long, ids array<int>")
 
