@@ -1,7 +1,7 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule votes good (1), votes bad (-1) or abstains (0) on a document.  Expectation-maximisation over the counts of vote patterns estimates how often each rule is
-right and how common good documents are; a document is kept if its posterior probability of being good reaches the threshold, so that one failing rule does
+Each rule votes good, votes bad or abstains on a document.  Expectation-maximisation over the counts of vote patterns estimates how accurate each rule's votes
+are on good and on bad documents, and how common good documents are, over the documents that pass the base rules; a document is kept if it passes them and its posterior probability of being good reaches the threshold, so that one failing rule does
 not reject what the others speak for.  There are at most 3**7 patterns, whatever the number of documents: EM runs as one expression over them, and their
 posteriors are broadcast.
 
@@ -33,8 +33,9 @@ RULES = [
 ]
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 ROUNDS, THRESHOLD = 20, 0.5
-#: A rule is taken to be right in RIGHT of WEIGHT more votes; the prior holds as many documents of each kind as it says.
-RIGHT, WEIGHT, START = 8.0, 10.0, 0.8
+START = 0.9
+#: Votes (bad, abstaining, good) that are counted in advance for good and bad documents; they tell the two kinds apart.
+PRIOR = {"g": (1.0, 4.0, 5.0), "b": (5.0, 4.0, 1.0)}
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -74,56 +75,61 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def pattern() -> Column:
-    """All votes as one number: vote + 1 of rule j times 3**j."""
+    """All votes as one number: 0 bad, 1 abstains, 2 good, of rule j times 3**j."""
     return sum((F.expr(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 2 ELSE 1 END") * 3**j for j, (_, bad, good) in enumerate(RULES)), F.lit(0)).cast("int")
 
 
-def vote(code: Column, j: int) -> Column:
-    return (F.floor(code / 3**j) % 3 - 1).cast("double")
-
-
-def log_odds(p: Column) -> Column:
-    return F.log(p / (1 - p))
+def cast(code: Column, j: int) -> Column:
+    """Rule j's vote in a pattern: 0 bad, 1 abstains, 2 good."""
+    return F.floor(code / 3**j) % 3
 
 
 def estimated(counts: DataFrame) -> DataFrame:
-    """One row: `rules`, the accuracies; `prior`; and `posts`, (code, n, post) of each pattern.  counts: (code, n)."""
+    """One row: `votes`, the estimated P(vote | good) and P(vote | bad) of each rule; `prior`, the share of good documents; and `posts`, (code, n, post) of
+    each pattern.  counts: (code, n)."""
     k = len(RULES)
 
-    def posts(p: Column, state: Column) -> Column:
-        odds = lambda x: sum((vote(x["code"], j) * state[f"w{j}"] for j in range(k)), state["prior"])
-        return F.transform(p, lambda x: F.struct(x["code"].alias("code"), x["n"].alias("n"), (1 / (1 + F.exp(-odds(x)))).alias("post")))
+    def posterior(x: Column, state: Column) -> Column:
+        odds = sum((F.element_at(state[f"w{j}"], (cast(x["code"], j) + 1).cast("int")) for j in range(k)), state["prior"])
+        return F.struct(x["code"].alias("code"), x["n"].alias("n"), (1 / (1 + F.exp(-odds))).alias("post"))
 
-    def step(p: Column, state: Column) -> Column:
-        zero = F.struct(*[F.lit(0.0).alias(f"{a}{j}") for a in "rc" for j in range(k)], F.lit(0.0).alias("good"), F.lit(0.0).alias("all"))
+    def step(posts: Column) -> Column:
+        """The maximisation: from posteriors to log odds of each vote."""
+        names = [(y, j, a) for y in "gb" for j in range(k) for a in range(3)]
+        zero = F.struct(*[F.lit(0.0).alias(f"{y}{j}{a}") for y, j, a in names], F.lit(0.0).alias("good"), F.lit(0.0).alias("bad"))
 
         def add(acc: Column, x: Column) -> Column:
-            right = lambda j: F.when(vote(x["code"], j) > 0, x["n"] * x["post"]).when(vote(x["code"], j) < 0, x["n"] * (1 - x["post"])).otherwise(F.lit(0.0))
-            cast = lambda j: F.when(vote(x["code"], j) != 0, x["n"].cast("double")).otherwise(F.lit(0.0))
-            return F.struct(*[(acc[f"r{j}"] + right(j)).alias(f"r{j}") for j in range(k)], *[(acc[f"c{j}"] + cast(j)).alias(f"c{j}") for j in range(k)], (acc["good"] + x["n"] * x["post"]).alias("good"), (acc["all"] + x["n"]).alias("all"))
+            part = {"g": x["n"] * x["post"], "b": x["n"] * (1 - x["post"])}
+            each = [(acc[f"{y}{j}{a}"] + F.when(cast(x["code"], j) == a, part[y]).otherwise(F.lit(0.0))).alias(f"{y}{j}{a}") for y, j, a in names]
+            return F.struct(*each, (acc["good"] + part["g"]).alias("good"), (acc["bad"] + part["b"]).alias("bad"))
 
         def after(acc: Column) -> Column:
-            accuracy = lambda j: F.least(F.greatest((acc[f"r{j}"] + RIGHT) / (acc[f"c{j}"] + WEIGHT), F.lit(0.51)), F.lit(0.99))
-            prior = F.least(F.greatest((acc["good"] + 1) / (acc["all"] + 2), F.lit(0.01)), F.lit(0.99))
-            return F.struct(log_odds(prior).alias("prior"), *[log_odds(accuracy(j)).alias(f"w{j}") for j in range(k)])
+            chance = lambda y, j, a: (acc[f"{y}{j}{a}"] + PRIOR[y][a]) / (acc["good" if y == "g" else "bad"] + sum(PRIOR[y]))
+            weights = [F.array(*[F.log(chance("g", j, a)) - F.log(chance("b", j, a)) for a in range(3)]).alias(f"w{j}") for j in range(k)]
+            return F.struct(F.log((acc["good"] + 1) / (acc["bad"] + 1)).alias("prior"), *weights)
+
+        return F.aggregate(posts, zero, add, after)
 
-        return F.aggregate(posts(p, state), zero, add, after)
+    def round_of(posts: Column) -> Column:
+        return let(step(posts), lambda state: F.transform(posts, lambda x: posterior(x, state)))
 
-    start = F.struct(F.lit(0.0).alias("prior"), *[log_odds(F.lit(START)).alias(f"w{j}") for j in range(k)])
+    # The start: a document is likely bad if any rule says so.
+    some_bad = lambda x: sum((F.when(cast(x["code"], j) == 0, 1).otherwise(0) for j in range(k)), F.lit(0)) > 0
+    start = lambda p: F.transform(p, lambda x: F.struct(x["code"].alias("code"), x["n"].alias("n"), F.when(some_bad(x), F.lit(1 - START)).otherwise(F.lit(START)).alias("post")))
     table = counts.agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("p"))  # at most 3**k patterns
-    final = let(F.col("p"), lambda p: let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda state, _: step(p, state)), lambda s: F.struct(s.alias("state"), posts(p, s).alias("posts"))))
-    sure = lambda x: 1 / (1 + F.exp(-x))
-    return table.select(final.alias("f")).select(F.struct(*[sure(F.col(f"f.state.w{j}")).alias(name) for j, (name, *_) in enumerate(RULES)]).alias("rules"), sure(F.col("f.state.prior")).alias("prior"), F.col("f.posts").alias("posts"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start(F.col("p")), lambda posts, _: round_of(posts))
+    final = table.select(let(last, lambda posts: F.struct(posts.alias("posts"), step(posts).alias("state"))).alias("f"))
+    return final.select(F.struct(*[F.col(f"f.state.w{j}").alias(name) for j, (name, *_) in enumerate(RULES)]).alias("votes"), (1 / (1 + F.exp(-F.col("f.state.prior")))).alias("prior"), F.col("f.posts").alias("posts"))
 
 
 def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the measures, base_failed, posterior and kept, for each row."""
     base = scratch(docs.sparkSession, "quality")
     own = written(measures(docs).withColumn("code", pattern()), f"{base}/measures")
-    posts = estimated(own.groupBy("code").agg(F.count("*").alias("n"))).select(F.explode("posts").alias("x")).select("x.code", F.col("x.post").alias("posterior"))
-    rows = own.join(F.broadcast(posts), "code")  # at most 3**7 rows
+    posts = estimated(own.where(~F.expr(BASE_FAILED)).groupBy("code").agg(F.count("*").alias("n"))).select(F.explode("posts").alias("x")).select("x.code", F.col("x.post").alias("posterior"))
+    rows = own.join(F.broadcast(posts), "code", "left")  # at most 3**7 rows
     failed = F.expr(BASE_FAILED)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.coalesce("posterior", F.lit(0.0)) >= threshold)).alias("kept"), "posterior")
 
 
 def kept_only(docs: DataFrame, judgements: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -135,7 +141,7 @@ def kept_only(docs: DataFrame, judgements: DataFrame, id_col: str = "doc_id") ->
 def sql() -> str:
     """The query in DuckDB's SQL; EM is unrolled."""
     k = len(RULES)
-    v = lambda j: f"((code // {3**j}) % 3 - 1)"
+    v = lambda j: f"((code // {3**j}) % 3)"
     code = " + ".join(f"(CASE WHEN {bad} THEN 0 WHEN {good} THEN 2 ELSE 1 END) * {3**j}" for j, (_, bad, good) in enumerate(RULES))
     out = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -150,16 +156,16 @@ m AS (
   FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN rep USING (r)
 ),
 c AS (SELECT *, {code} AS code FROM m),
-p AS (SELECT code, CAST(count(*) AS DOUBLE) AS n FROM c GROUP BY code),
-s0 AS (SELECT 0.0::DOUBLE AS prior, {", ".join(f"ln({START} / (1 - {START}))::DOUBLE AS w{j}" for j in range(k))})"""
-    post = f"1 / (1 + exp(-(prior + {' + '.join(f'{v(j)} * w{j}' for j in range(k))})))"
+p AS (SELECT code, CAST(count(*) AS DOUBLE) AS n FROM c WHERE NOT ({BASE_FAILED}) GROUP BY code),
+e0 AS (SELECT code, n, CASE WHEN {" OR ".join(f"{v(j)} = 0" for j in range(k))} THEN {1 - START:.1f}::DOUBLE ELSE {START}::DOUBLE END AS post FROM p)"""
     for i in range(1, ROUNDS + 1):
-        sums = ", ".join(f"(sum(CASE {v(j)} WHEN 1 THEN n * post WHEN -1 THEN n * (1 - post) ELSE 0 END) + {RIGHT}) / (sum(CASE WHEN {v(j)} <> 0 THEN n ELSE 0 END) + {WEIGHT}) AS a{j}" for j in range(k))
+        chance = lambda y, j, a: f"ln((sum(CASE WHEN {v(j)} = {a} THEN n * {'post' if y == 'g' else '(1 - post)'} ELSE 0 END) + {PRIOR[y][a]}) / (sum(n * {'post' if y == 'g' else '(1 - post)'}) + {sum(PRIOR[y])}))"
+        weights = ", ".join(f"{chance('g', j, a)} - {chance('b', j, a)} AS w{j}_{a}" for j in range(k) for a in range(3))
+        odds = " + ".join(f"CASE {v(j)} WHEN 0 THEN w{j}_0 WHEN 1 THEN w{j}_1 ELSE w{j}_2 END" for j in range(k))
         out += f""",
-e{i} AS MATERIALIZED (SELECT code, n, {post} AS post FROM p, s{i - 1}),
-a{i} AS MATERIALIZED (SELECT (sum(n * post) + 1) / (sum(n) + 2) AS g, {sums} FROM e{i}),
-s{i} AS MATERIALIZED (SELECT ln(least(greatest(g, 0.01), 0.99) / (1 - least(greatest(g, 0.01), 0.99))) AS prior, {", ".join(f"ln(least(greatest(a{j}, 0.51), 0.99) / (1 - least(greatest(a{j}, 0.51), 0.99))) AS w{j}" for j in range(k))} FROM a{i})"""
+s{i} AS MATERIALIZED (SELECT ln((sum(n * post) + 1) / (sum(n * (1 - post)) + 1)) AS prior, {weights} FROM e{i - 1}),
+e{i} AS MATERIALIZED (SELECT code, n, 1 / (1 + exp(-(prior + {odds}))) AS post FROM p, s{i})"""
     return out + f"""
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND {post} >= {THRESHOLD} AS kept
-FROM c, s{ROUNDS}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND coalesce(post, 0) >= {THRESHOLD} AS kept
+FROM c LEFT JOIN e{ROUNDS} USING (code)
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, chat, decontaminate, line_crf, quality_rules, simhash, token_counts, token_store
+from . import bpe_automaton, chat, decontaminate, line_crf, pii, quality_rules, simhash, token_counts, token_store
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("posterior")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
