@@ -195,21 +195,21 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row: ids of the whole text, and the text decoded from them."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row: ids of the whole text, and the text decoded from them; with_ids: and the ids."""
 
     def run(batches):
         own = codec(path)
-        for part in slices(batches, "text"):
-            n, ids_hash, text_hash = [], [], []
-            for text in utf8(part.column(1)):
-                raw = own.encode(text)
-                n.append(len(raw) // 4)
-                ids_hash.append(hashlib.sha256(raw).hexdigest())
-                text_hash.append(hashlib.sha256(own.decode(np.frombuffer(raw, "<u4"))).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for part in slices(batches, "text", 4 << 20):
+            raws = [own.encode(text) for text in utf8(part.column(1))]
+            text_hash = [hashlib.sha256(own.decode(np.frombuffer(raw, "<u4"))).hexdigest() for raw in raws]
+            columns = {"doc_id": part.column(0), "n_tokens": pa.array([len(r) // 4 for r in raws], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in raws], pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
+            if with_ids:
+                columns["ids"] = pa.array([np.frombuffer(r, "<i4") for r in raws], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,12 +9,14 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 
+from ..cluster import ship
+
 #: Where the cluster's folder is not set (tests only).
 LOCAL_SHARED = "/tmp/skerry-shared"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,14 +75,19 @@ def per_batch(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.Reco
 
 
 class PieceCache(dict):
-    """Encodings of text pieces, by the piece's bytes; a missing piece is encoded by `encode`.  Emptied when `most` pieces are held."""
+    """Encodings of text pieces, by the piece's bytes; a missing piece is encoded by `encode`.  When `most` pieces are held they become the old ones, of which
+    those that are met again are kept: at most 2 * most pieces are held."""
 
-    def __init__(self, encode: Callable[[bytes], bytes], most: int = 300_000):
+    def __init__(self, encode: Callable[[bytes], bytes], most: int = 400_000):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, piece: bytes) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            out = self.encode(piece)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[piece] = self.encode(piece)
+        self[piece] = out
         return out

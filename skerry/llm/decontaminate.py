@@ -158,10 +158,13 @@ def _joined(own: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, whole: bool = True, size: int = SIZE, most_words: int = MOST_WORDS, text_col: str = "text") -> DataFrame:
     """docs with contaminated rows removed (whole), or with the hit words removed from their texts: runs of hit words and what lies between them go.
-    Columns stay as they are.  Needs an item set within the broadcast bound."""
+    Columns stay as they are.  Beyond the broadcast bound only whole rows can go: those whose doc_id has a hit."""
     known = small_windows(benchmark, size, most_words)
     if known is None:
-        raise ValueError("more item words than most_words: use scan() and join on its result")
+        if not whole:
+            raise ValueError("spans are removed only with at most most_words item words")
+        hit = scan(docs, benchmark, size, most_words, text_col=text_col).where("contaminated").select(F.col("doc_id").alias("__id"))
+        return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(known)
     at = docs.columns.index(text_col)
 

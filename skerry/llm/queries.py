@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, chat, decontaminate, line_crf, pii, quality_rules, simhash, token_counts, token_store
+from . import bpe_automaton, chat, decontaminate, line_crf, lm_score, pii, quality_rules, simhash, token_counts, token_store
 from .common import table
 
 
@@ -20,6 +21,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=2)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if re.match(r"op\d+_", k)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,7 +30,9 @@ from .common import PieceCache, removed, scratch, slices, utf8
 WINDOW, AVERAGE, LEAST, MOST = 16, 256, 64, 1024
 DIGEST = 16
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-LETTERS = re.compile(rb"[a-z]+|[^a-z]+")
+#: Pieces without apostrophes (contractions) and "<" (special tokens), and their pre-tokens in lower case.
+PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PRE_TOKENS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 _encoders: dict[str, PieceCache] = {}
 _powers: list[np.ndarray] = []
@@ -38,7 +40,8 @@ _powers: list[np.ndarray] = []
 
 def encoder(path: str) -> PieceCache:
     """Pieces between ASCII white space -> ids as uint16 bytes.  The tokenizer drops white space, normalises (NFC, lower case) and merges within
-    pre-tokens only, and white space ends a pre-token and composes with nothing, so pieces encode alone as they do in their text."""
+    pre-tokens only, and white space ends a pre-token and composes with nothing, so pieces encode alone as they do in their text.  Pieces of printable ASCII and
+    Latin-1 letters, which NFC leaves alone, are cut into their pre-tokens here and merged by the tokenizer's model; the whole tokenizer gets the others."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
@@ -46,20 +49,26 @@ def encoder(path: str) -> PieceCache:
         if whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         merge = whole.model.tokenize
-        words = PieceCache(lambda w: np.array([t.id for t in merge(w.decode())], "<u2").tobytes())
+        raw = [k.to_bytes(2, "little") for k in range(1 << 16)]
+        letter = byte_letters()
+        words = PieceCache(lambda w: b"".join([raw[t.id] for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(letter))]))
 
         def encode(piece: bytes) -> bytes:
-            low = piece.lower()
-            if low.isalpha():  # ASCII letters are one pre-token, unless the piece holds an apostrophe
-                return words[low]
-            if low.isascii() and b"'" not in low and b"<" not in low:
-                return b"".join([words[p] if p.isalpha() else np.array(whole.encode(p.decode(), add_special_tokens=False).ids, "<u2").tobytes() for p in LETTERS.findall(low)])
-            return np.array(whole.encode(piece.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+            text = piece.decode()
+            if PLAIN.fullmatch(text):
+                return b"".join(map(words.__getitem__, PRE_TOKENS.findall(text.lower())))
+            return b"".join([raw[k] for k in whole.encode(text, add_special_tokens=False).ids])
 
         _encoders[path] = PieceCache(encode)
     return _encoders[path]
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable characters that stand for bytes in byte-level vocabularies: the byte's own in Latin-1 where that is printable, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return dict(zip((b for b in range(256) if b not in plain), map(chr, range(256, 512))))
+
+
 def encode_text(text: bytes, path: str, end: int | None = None) -> np.ndarray:
     """The ids of a whole text, as the tokenizer's encode without special tokens gives them, then the end id."""
     raw = b"".join(map(encoder(path).__getitem__, text.split()))
