@@ -139,7 +139,8 @@ def telling(docs: DataFrame, near: DataFrame, base: str, text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
     n_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n_t = n_t.join(seen.select("term").distinct(), "term", "left_semi")
+    # Counts come first: a semi-join would be pushed below them and handle every occurrence of a common term.
+    n_t = n_t.join(seen.select("term").distinct(), "term")
     n = docs.agg(F.count("*").alias("n")).first()["n"]
     rows = n_et.join(n_e, "entity").join(n_t, "term")
     bits = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
