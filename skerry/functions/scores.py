@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.stream import StreamSpec, number, over, sliding
 from .meters import AVERAGE, MAX, MEDIAN, VARIANCE, running, track
@@ -87,7 +88,7 @@ def gaussian_z(df: DataFrame, spec: StreamSpec, score: str, rows: int | None = 6
     return both.withColumn(out, (F.col(score).cast("double") - F.col("__mean")) / deviation).drop("__mean", "__var")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """Of a standard normal variable; Spark has no error function."""
     return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(-x / math.sqrt(2)))
