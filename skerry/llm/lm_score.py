@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ FOLDS, HELD_OUT = 7, 2
 PAD = 65_535
 BETA, FLOOR, KAPPA = 2.0, 0.05, 4.0
 #: Weight of whole words' shares among training tokens, against the model of their subwords.
-MIX = 0.5
+MIX = 0.25
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -80,10 +81,10 @@ def subword_counts(vocabulary: DataFrame, path: str) -> DataFrame:
     """(kind, key, n): ids that start a word (0), other ids (1), and pairs of ids within a word (2; first * 65536 + second), over all training words."""
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path).encode  # every word comes once
         for batch in batches:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            raw = [encode[w] for w in words]
+            raw = [encode(w) for w in words]
             size = np.array([len(r) // 2 for r in raw])
             ids = np.frombuffer(b"".join(raw), "<u2").astype(np.int64)
             weight = np.repeat(c, size).astype(float)
@@ -197,8 +198,26 @@ class Attention:
         return o, (e, c, q, k, v, a, h)
 
     def log_p(self, x: np.ndarray, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
-        o = self.forward(x, seen)[0]
-        return np.take_along_axis(o, target[:, :, None], 2)[:, :, 0]
+        """Log probabilities of target classes: forward() without what only the gradient needs.  Exponents are kept in range by clipping."""
+        p, n, d = self.p, len(x), WIDTH
+        e = p["ids"][x]
+        e += p["places"]
+        c = np.ascontiguousarray(e[:, STRIDE:]).reshape(-1, d)
+        kv = (e.reshape(-1, d) @ np.concatenate([p["k"] * np.float32(d**-0.5), p["v"]], 1)).reshape(n, 2 * STRIDE, 2 * d)
+        s = (c @ p["q"]).reshape(n, STRIDE, d) @ kv[:, :, :d].transpose(0, 2, 1)
+        s += self.mask
+        s[~seen[:, 0], :, :STRIDE] = -30
+        np.exp(np.minimum(s, 60, out=s), out=s)
+        h = s @ kv[:, :, d:]
+        h /= s.sum(2, keepdims=True)
+        h = h.reshape(-1, d)
+        h += c @ p["r"]
+        h += p["b"]
+        o = np.tanh(h, out=h) @ p["out"]
+        o += p["last"][x[:, STRIDE:].ravel()]
+        np.minimum(o, 80, out=o)
+        own = o[np.arange(len(o)), target.ravel()]
+        return (own - np.log(np.exp(o, out=o).sum(1))).reshape(n, STRIDE)
 
     def gradient(self, x: np.ndarray, seen: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of the real targets."""
@@ -302,7 +321,7 @@ class Model:
         out[other] += self.log_share[a[other], self.cls[ids[other]]]
         return out
 
-    def log_p(self, texts: list[np.ndarray], most: int = 2048) -> np.ndarray:
+    def log_p(self, texts: list[np.ndarray], most: int = 256) -> np.ndarray:
         """Log probabilities of the ids of all texts, one behind the other; each text ends with END.  Blocks of all texts are scored `most` at a time."""
         size = np.array([len(t) for t in texts])
         blocks = -(-size // STRIDE)
@@ -409,7 +428,7 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     model, vocabulary = learned(own, path, base)
     totals = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().asDict()
     frequent, least = head(vocabulary)
-    shared = spark.sparkContext.broadcast((model, {w: float(np.log10(c + 1)) for w, c in frequent.items()}))
+    shared = spark.sparkContext.broadcast((model, {w: float(c) for w, c in frequent.items()}))
 
     def run(batches):
         lm, known = shared.value
@@ -418,23 +437,24 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             keys, texts = part.column(0).to_pylist(), [[*words_of(t), b""] for t in utf8(part.column(1))]
             raw = [[*map(encode.__getitem__, w[:-1]), end] for w in texts]
             log_p = lm.log_p([np.frombuffer(b"".join(r), "<u2") for r in raw])
-            sizes = np.array([len(x) // 2 for r in raw for x in r])
+            sizes = np.array(list(map(len, chain.from_iterable(raw)))) // 2
             # Words without ids (white space beyond ASCII) are certain.
             by_word = np.zeros(len(sizes))
             by_word[sizes > 0] = np.add.reduceat(log_p, (np.cumsum(sizes) - sizes)[sizes > 0])
-            n_known, sums, rest, shares = [], [], [], []
-            for own_words in texts:
-                logs = list(map(known.get, own_words))
-                rare = Counter([w for w, x in zip(own_words, logs) if x is None])
-                n_known.append(len(logs) - rare.total())
-                sums.append(sum(x for x in logs if x is not None))
-                rest.append(list(rare.items()))
-                shares += logs
-            share = (np.power(10.0, np.array(shares, float)) - 1) / max(totals["n"], 1)  # NaN: not frequent
-            mixed = np.log(np.where(np.isnan(share), 0, share) * MIX + np.exp(np.maximum(by_word, -600)) * (1 - MIX)) / np.log(10)
-            mixed = np.where(by_word < -600, by_word / np.log(10), mixed)
             n_words = np.array(list(map(len, texts)))
-            score = np.add.reduceat(mixed, np.cumsum(n_words) - n_words)
+            starts = np.cumsum(n_words) - n_words
+            every = list(chain.from_iterable(texts))
+            counts = np.array(list(map(known.get, every, repeat(0.0))))  # 0: not frequent
+            frequent_word = counts > 0
+            n_known = np.add.reduceat(frequent_word.astype(np.int64), starts)
+            sums = np.add.reduceat(np.log10(counts + 1), starts)
+            rest = [[] for _ in texts]
+            for i, k in zip(np.flatnonzero(~frequent_word).tolist(), np.repeat(np.arange(len(texts)), n_words)[~frequent_word].tolist()):
+                rest[k].append(every[i])
+            rest = [list(Counter(r).items()) for r in rest]
+            mixed = np.log(counts / max(totals["n"], 1) * MIX + np.exp(np.maximum(by_word, -600)) * (1 - MIX)) / np.log(10)
+            mixed = np.where(by_word < -600, by_word / np.log(10), mixed)
+            score = np.add.reduceat(mixed, starts)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(map(held_out, keys), pa.bool_()), pa.array(map(len, texts), pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64()), pa.array([[{"word": w, "n": n} for w, n in r] for r in rest], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "rest"],

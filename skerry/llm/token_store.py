@@ -51,12 +51,16 @@ def encoder(path: str) -> PieceCache:
         merge = whole.model.tokenize
         raw = [k.to_bytes(2, "little") for k in range(1 << 16)]
         letter = byte_letters()
-        words = PieceCache(lambda w: b"".join([raw[t.id] for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(letter))]))
+        one = lambda w: b"".join([raw[t.id] for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(letter))])
+        words = PieceCache(one)
 
         def encode(piece: bytes) -> bytes:
             text = piece.decode()
             if PLAIN.fullmatch(text):
-                return b"".join(map(words.__getitem__, PRE_TOKENS.findall(text.lower())))
+                parts = PRE_TOKENS.findall(text.lower())
+                if len(parts) == 1:  # is held as a piece
+                    return words.get(parts[0]) or one(parts[0])
+                return b"".join(map(words.__getitem__, parts))
             return b"".join([raw[k] for k in whole.encode(text, add_special_tokens=False).ids])
 
         _encoders[path] = PieceCache(encode)
