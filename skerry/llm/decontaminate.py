@@ -193,3 +193,17 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, whole: bool = True, size
                 yield out.rename_columns(batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item, n, w[i:i + n - 1] AS g FROM (SELECT item, w, least({SIZE}, len(w)) AS n, unnest(range(1, len(w) - least({SIZE}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, n, i, w[i:i + n - 1] AS g FROM (SELECT r, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, (SELECT DISTINCT n FROM iw))),
+h AS (SELECT r, n, i, item FROM dw JOIN iw USING (n, g)),
+p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
+"""

@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.sql(), "op10_chat": chat.SQL}
+    return {"op4_quality_rules": quality_rules.sql(), "op9_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}
