@@ -26,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
+    ship(spark)
     return f"{shared_dir(spark).rstrip('/')}/skerry/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -78,7 +79,7 @@ class PieceCache(dict):
     """Encodings of text pieces, by the piece's bytes; a missing piece is encoded by `encode`.  When `most` pieces are held they become the old ones, of which
     those that are met again are kept: at most 2 * most pieces are held."""
 
-    def __init__(self, encode: Callable[[bytes], bytes], most: int = 400_000):
+    def __init__(self, encode: Callable[[bytes], bytes], most: int = 300_000):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
