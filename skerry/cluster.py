@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,13 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(path))
         _shipped.add(sc.applicationId)
     return spark
+
+
+#: Used where the session has no shared folder (tests only).
+LOCAL_SHARED = "/tmp/skerry-shared"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir of the session."""
+    ship(spark)
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED).rstrip('/')}/skerry/{name}-{uuid.uuid4().hex[:12]}"

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import shared_path
 from .functions import meters as M
 from .functions import metrics as X
 from .functions import scores as S
@@ -21,8 +22,10 @@ from .operators import columnar as C
 from .operators import kernels as K
 from .operators import reference_window as R
 from .operators.runtime import fit_then_score, run_batch
+from .operators.seasonal import series_residual
 from .plans.pipeline import Columns, Pipeline, Sequential
 from .plans.stream import StreamSpec, number
+from .streaming.runner import run_stream
 
 EVENTS = StreamSpec(("event_type",), ("ts", "event_id"), "date_trunc('DAY', ts)")
 USERS = StreamSpec(("user_id",), ("ts", "event_id"))
@@ -289,6 +292,22 @@ _on_values("shesd", lambda: K.SeasonalESD(5, 30, 3, hybrid=True, robust=False))
 _on_values("stl_residual", lambda: K.STLResidual(5, 30, robust=False))
 
 
+query("stl_series", lambda s, d: rounded(series_residual(events(s, d).drop("ts").withColumn("ts", F.col("event_id")), StreamSpec(("user_id",), ("ts",)), "value", 5, robust=False), "residual", keep=["event_id", "user_id"]))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The MAD detector on a file stream, written to Parquet in the shared folder: the same scores as in batch."""
+    base, schema = shared_path(spark, "stream"), table(spark, sf_dir, "events").schema
+    # A glob, for the source takes a plain path for a folder.
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").select("event_id", "ts", "user_id", "value")
+    scored = run_stream(source, USERS, K.MedianAbsoluteDeviation(), value="value")
+    scored.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema(scored.schema).parquet(f"{base}/out"), "score", keep=["event_id", "user_id"])
+
+
+query("stream_mad", _streamed, SQL["det_mad"])
+
+
 def _first_rows(df: DataFrame, n: int) -> np.ndarray:
     """The first rows of the stream: what users hand over as initial rows."""
     return np.array([r["features"] for r in df.orderBy("vec_id").limit(n).collect()])

@@ -13,6 +13,7 @@ from skerry.operators import columnar as C
 from skerry.operators import kernels as K
 from skerry.operators import reference_window as R
 from skerry.operators.runtime import fit_then_score, run_batch
+from skerry.operators.seasonal import series_residual
 from skerry.plans.pipeline import Columns, Pipeline, Sequential
 from skerry.plans.stream import StreamSpec
 from skerry.sources import readers
@@ -117,6 +118,14 @@ def test_numerics():
     assert sorted(map(sorted, N.single_linkage(np.array([[0, 1, 9, 9], [1, 0, 9, 9], [9, 9, 0, 2], [9, 9, 2, 0.0]]), 2))) == [[0, 1], [2, 3]]
 
 
+def test_series_residual(spark):
+    v = np.tile([0.0, 1.0, 2.0, 1.0], 8)
+    rows = [("a", i, float(x)) for i, x in enumerate(v)] + [("b", 0, 1.0)]
+    out = {(r["k"], r["seq"]): r["residual"] for r in series_residual(spark.createDataFrame(rows, "k string, seq long, value double"), KEYED, "value", 4).collect()}
+    assert out["b", 0] is None or np.isnan(out["b", 0])
+    assert np.allclose([out["a", i] for i in range(32)], N.stl_residual(v, 4))
+
+
 def test_cut_trees_count_and_forget():
     rng = np.random.default_rng(6)
     tree, points = K.CutTree(rng), rng.integers(0, 4, (60, 2)).astype(float)
