@@ -25,11 +25,10 @@ def recall(df: DataFrame, label: str, predicted: Column, by: list[str] = (), out
     return _counts(df, list(by), label, predicted).select(*by, F.coalesce(F.try_divide("__tp", "__y"), F.lit(0.0)).alias(out))
 
 
-def _by_score(df: DataFrame, label: str, score: str, by: list[str]) -> tuple[DataFrame, object]:
-    """A row for each distinct score, with its positives and negatives, and those at it or above."""
+def _by_score(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    """A row for each distinct score, with its positives and negatives."""
     y = F.col(label).cast("double")
-    points = df.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.sum(y).alias("__tp"), F.sum(1 - y).alias("__fp"))
-    return points, Window.partitionBy(*by).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    return df.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.sum(y).alias("__tp"), F.sum(1 - y).alias("__fp"))
 
 
 def auroc(df: DataFrame, label: str, score: str, by: list[str] = (), out: str = "value") -> DataFrame:
@@ -37,8 +36,7 @@ def auroc(df: DataFrame, label: str, score: str, by: list[str] = (), out: str =
 
     Ranks are summed over distinct scores; a score's rank needs the number of positives above it only, which is gathered in two levels, so no task holds all scores."""
     by = list(by)
-    points, _ = _by_score(df, label, score, by)
-    ranked = _cumulated(points, by)
+    ranked = _cumulated(_by_score(df, label, score, by), by)
     area = F.sum(F.col("__fp") * (F.col("__ctp") - F.col("__tp") / 2))
     return ranked.groupBy(*by).agg(F.try_divide(area, F.sum("__tp") * F.sum("__fp")).alias(out))
 
@@ -46,15 +44,13 @@ def auroc(df: DataFrame, label: str, score: str, by: list[str] = (), out: str =
 def aupr(df: DataFrame, label: str, score: str, by: list[str] = (), out: str = "value") -> DataFrame:
     """Average precision: sum of precision times recall gained, over distinct scores."""
     by = list(by)
-    points, _ = _by_score(df, label, score, by)
-    ranked = _cumulated(points, by)
+    ranked = _cumulated(_by_score(df, label, score, by), by)
     gained = F.sum(F.col("__tp") * F.col("__ctp") / (F.col("__ctp") + F.col("__cfp")))
     return ranked.groupBy(*by).agg(F.coalesce(F.try_divide(gained, F.sum("__tp")), F.lit(0.0)).alias(out))
 
 
-#: Digits of a score's logarithmic bucket; scores fall into some hundreds of buckets at most.
 def _bucket(score: Column) -> Column:
-    """Never falls as the score grows."""
+    """A logarithmic bucket, of which there are some thousands at most; never falls as the score grows."""
     size = F.log2(F.abs(score) + 1) * 16
     return F.floor(F.when(score >= 0, size).otherwise(-size))
 

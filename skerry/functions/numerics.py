@@ -90,7 +90,7 @@ def loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray) -> np.n
     n = len(y)
     x = np.arange(n, dtype=float)
     far = np.abs(at[:, None] - x[None])
-    width = np.sort(far, axis=1)[:, min(span, n) - 1] * (1.0 if span <= n else 1.0) + (max(span - n, 0) // 2)
+    width = np.sort(far, axis=1)[:, min(span, n) - 1] + max(span - n, 0) // 2
     width = np.maximum(width, 1e-12)[:, None]
     w = np.where(far <= 0.999 * width, np.where(far <= 0.001 * width, 1.0, (1 - np.minimum(far / width, 1) ** 3) ** 3), 0.0) * weights
     total = w.sum(1, keepdims=True)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.meters import AVERAGE, MEDIAN, VARIANCE, running, track
+from ..functions.meters import AVERAGE, VARIANCE, running, track
 from ..functions.numerics import chi2_quantile
 from ..functions.vectors import doubles, murmur3
 from ..plans.stream import StreamSpec, number, numbered, over, sliding

@@ -24,7 +24,7 @@ from .operators import reference_window as R
 from .operators.runtime import fit_then_score, run_batch
 from .operators.seasonal import series_residual
 from .plans.pipeline import Columns, Pipeline, Sequential
-from .plans.stream import StreamSpec, number
+from .plans.stream import StreamSpec
 from .streaming.runner import run_stream
 
 EVENTS = StreamSpec(("event_type",), ("ts", "event_id"), "date_trunc('DAY', ts)")
@@ -239,16 +239,7 @@ HASHES = C.HashParameters.drawn([-0.5] * 4, [0.5] * 4, n=5, seed=61)
 
 
 def _forest_sql() -> str:
-    paths = []
-    for t in range(FOREST.n_trees):
-        attributes, values = FOREST.splits(t)
-        node = "1"
-        nodes = ["1"]
-        for k in range(FOREST.depth):
-            a, v = (f"[{', '.join(map(str, x))}]" for x in ([q + 1 for q in attributes], values))
-            node = f"n{t}_{k}"
-            nodes.append(f"n{t}_{k + 1}")
-        paths.append((t, attributes, values))
+    paths = [(t, *FOREST.splits(t)) for t in range(FOREST.n_trees)]
     levels = "WITH l0 AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn, CAST(embedding AS DOUBLE[])[1:4] AS f, " + ", ".join(f"1 AS n{t}_0" for t in range(FOREST.n_trees)) + " FROM embeddings)"
     for k in range(FOREST.depth):
         step = ", ".join(f"2 * n{t}_{k} + (f[([{', '.join(str(q + 1) for q in a)}])[n{t}_{k}]] > ([{', '.join(repr(x) for x in v)}]::DOUBLE[])[n{t}_{k}])::INT AS n{t}_{k + 1}" for t, a, v in paths)
@@ -375,4 +366,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["flagship", "number", "oracle_sql", "queries"]
+__all__ = ["flagship", "oracle_sql", "queries"]
