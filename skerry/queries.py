@@ -187,9 +187,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "n_chars", "toxic", "quality")
 
 
-_P = F.col("value") > 50
-query("metric_precision", lambda s, d: rounded(X.precision(_judged(s, d), "y", _P), "value", keep=[]), "SELECT round(coalesce(sum((event_type = 'error' AND value > 50)::INT) / nullif(sum((value > 50)::INT), 0)::DOUBLE, 0), 6) AS value FROM events")
-query("metric_recall", lambda s, d: rounded(X.recall(_judged(s, d), "y", _P), "value", keep=[]), "SELECT round(coalesce(sum((event_type = 'error' AND value > 50)::INT) / nullif(sum((event_type = 'error')::INT), 0)::DOUBLE, 0), 6) AS value FROM events")
+def _predicted() -> Column:
+    return F.col("value") > 50
+
+
+query("metric_precision", lambda s, d: rounded(X.precision(_judged(s, d), "y", _predicted()), "value", keep=[]), "SELECT round(coalesce(sum((event_type = 'error' AND value > 50)::INT) / nullif(sum((value > 50)::INT), 0)::DOUBLE, 0), 6) AS value FROM events")
+query("metric_recall", lambda s, d: rounded(X.recall(_judged(s, d), "y", _predicted()), "value", keep=[]), "SELECT round(coalesce(sum((event_type = 'error' AND value > 50)::INT) / nullif(sum((event_type = 'error')::INT), 0)::DOUBLE, 0), 6) AS value FROM events")
 _CURVE = "WITH g AS (SELECT {s} AS s, sum({y})::DOUBLE AS tp, sum(1 - {y})::DOUBLE AS fp FROM {t} GROUP BY 1), c AS (SELECT *, sum(tp) OVER w AS ctp, sum(fp) OVER w AS cfp FROM g WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))"
 _ON_EVENTS = _CURVE.format(s="value", y="(event_type = 'error')::INT", t="events")
 _ON_DOCUMENTS = _CURVE.format(s="n_chars", y="quality", t="documents JOIN labels USING (doc_id)")
@@ -206,9 +209,9 @@ def _windowed(metric, ignore: bool, spark: SparkSession, sf_dir: str) -> DataFra
 
 _WINDOWS = "WITH e AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 25 AS w FROM events), m AS (SELECT user_id, w, count(*) AS n, {m} AS v FROM e GROUP BY user_id, w) SELECT user_id, round(avg(v), 6) AS value FROM m {where} GROUP BY user_id"
 _PRECISION = "coalesce(sum((value > 70)::INT) / nullif(sum((value > 50)::INT), 0)::DOUBLE, 0)"
-query("metric_windowed_precision", partial(_windowed, lambda df, by: X.precision(df, "y", _P, by), True), _WINDOWS.format(m=_PRECISION, where="WHERE n = 25 OR w = 0"))
-query("metric_windowed_precision_last", partial(_windowed, lambda df, by: X.precision(df, "y", _P, by), False), _WINDOWS.format(m=_PRECISION, where=""))
-query("metric_windowed_recall", partial(_windowed, lambda df, by: X.recall(df, "y", _P, by), True), _WINDOWS.format(m="coalesce(sum((value > 70)::INT) / nullif(sum((value > 70)::INT), 0)::DOUBLE, 0)", where="WHERE n = 25 OR w = 0"))
+query("metric_windowed_precision", partial(_windowed, lambda df, by: X.precision(df, "y", _predicted(), by), True), _WINDOWS.format(m=_PRECISION, where="WHERE n = 25 OR w = 0"))
+query("metric_windowed_precision_last", partial(_windowed, lambda df, by: X.precision(df, "y", _predicted(), by), False), _WINDOWS.format(m=_PRECISION, where=""))
+query("metric_windowed_recall", partial(_windowed, lambda df, by: X.recall(df, "y", _predicted(), by), True), _WINDOWS.format(m="coalesce(sum((value > 70)::INT) / nullif(sum((value > 70)::INT), 0)::DOUBLE, 0)", where="WHERE n = 25 OR w = 0"))
 
 # --- detectors as column plans ------------------------------------------------------------------------------------------------------------------------------
 

@@ -153,3 +153,12 @@ def test_storm_and_models(spark, stream):
     with pytest.raises(Exception, match="labels"):
         C.perfect_model(stream.withColumn("label", F.lit(None)), "label").collect()
     assert not C.higher_is_anomalous("exact_storm") and C.higher_is_anomalous("loda")
+
+
+def test_the_entry_point_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 80"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
