@@ -156,7 +156,10 @@ class Codec:
         self.pieces = PieceCache(self._piece)
 
     def _piece(self, piece: bytes) -> bytes:
-        return b"".join([self.words[w.encode()] for w in self.pattern.findall(piece.decode())])
+        words = self.pattern.findall(piece.decode())
+        if len(words) == 1:  # is held as a piece
+            return self.words.get(piece) or self.words.encode(piece)
+        return b"".join([self.words[w.encode()] for w in words])
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

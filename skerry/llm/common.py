@@ -62,6 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
                 at, held = i, 0
             held += size
         yield batch.slice(at, n - at)
+        pa.default_memory_pool().release_unused()
 
 
 def per_batch(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, most: int = 8 << 20) -> DataFrame:
@@ -79,7 +80,7 @@ class PieceCache(dict):
     """Encodings of text pieces, by the piece's bytes; a missing piece is encoded by `encode`.  When `most` pieces are held they become the old ones, of which
     those that are met again are kept: at most 2 * most pieces are held."""
 
-    def __init__(self, encode: Callable[[bytes], bytes], most: int = 300_000):
+    def __init__(self, encode: Callable[[bytes], bytes], most: int = 150_000):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 

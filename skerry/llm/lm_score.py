@@ -428,12 +428,13 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     model, vocabulary = learned(own, path, base)
     totals = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().asDict()
     frequent, least = head(vocabulary)
+    model.pairs, model.start, model.inner = {}, None, None  # are in the tables by now
     shared = spark.sparkContext.broadcast((model, {w: float(c) for w, c in frequent.items()}))
 
     def run(batches):
         lm, known = shared.value
         encode, end = encoder(path), END.to_bytes(2, "little")
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             keys, texts = part.column(0).to_pylist(), [[*words_of(t), b""] for t in utf8(part.column(1))]
             raw = [[*map(encode.__getitem__, w[:-1]), end] for w in texts]
             log_p = lm.log_p([np.frombuffer(b"".join(r), "<u2") for r in raw])
