@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from itertools import chain, repeat
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -434,18 +434,25 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         lm, known = shared.value
         encode, end = encoder(path), END.to_bytes(2, "little")
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 2 << 20):
             keys, texts = part.column(0).to_pylist(), [[*words_of(t), b""] for t in utf8(part.column(1))]
-            raw = [[*map(encode.__getitem__, w[:-1]), end] for w in texts]
-            log_p = lm.log_p([np.frombuffer(b"".join(r), "<u2") for r in raw])
-            sizes = np.array(list(map(len, chain.from_iterable(raw)))) // 2
-            # Words without ids (white space beyond ASCII) are certain.
-            by_word = np.zeros(len(sizes))
-            by_word[sizes > 0] = np.add.reduceat(log_p, (np.cumsum(sizes) - sizes)[sizes > 0])
             n_words = np.array(list(map(len, texts)))
             starts = np.cumsum(n_words) - n_words
             every = list(chain.from_iterable(texts))
-            counts = np.array(list(map(known.get, every, repeat(0.0))))  # 0: not frequent
+            # Each distinct word is looked up once; places of words and ids follow by numbers.
+            place = dict(zip(dict.fromkeys(every), count()))
+            word = np.array(list(map(place.__getitem__, every)))
+            raw = [encode[w] if w else end for w in place]
+            own_size = np.array(list(map(len, raw))) // 2
+            sizes = own_size[word]
+            ids = np.frombuffer(b"".join(raw), "<u2")
+            at = np.cumsum(sizes) - sizes
+            ids = ids[np.repeat((np.cumsum(own_size) - own_size)[word] - at, sizes) + np.arange(sizes.sum())]
+            log_p = lm.log_p(np.split(ids, at[starts[1:]]))
+            # Words without ids (white space beyond ASCII) are certain.
+            by_word = np.zeros(len(sizes))
+            by_word[sizes > 0] = np.add.reduceat(log_p, at[sizes > 0])
+            counts = np.array([known.get(w, 0.0) for w in place])[word]  # 0: not frequent
             frequent_word = counts > 0
             n_known = np.add.reduceat(frequent_word.astype(np.int64), starts)
             sums = np.add.reduceat(np.log10(counts + 1), starts)
