@@ -200,7 +200,7 @@ class Attention:
     def log_p(self, x: np.ndarray, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probabilities of target classes: forward() without what only the gradient needs.  Exponents are kept in range by clipping."""
         p, n, d = self.p, len(x), WIDTH
-        e = p["ids"][x]
+        e = np.take(p["ids"], x, axis=0)
         e += p["places"]
         c = np.ascontiguousarray(e[:, STRIDE:]).reshape(-1, d)
         kv = (e.reshape(-1, d) @ np.concatenate([p["k"] * np.float32(d**-0.5), p["v"]], 1)).reshape(n, 2 * STRIDE, 2 * d)
@@ -214,11 +214,16 @@ class Attention:
         h += c @ p["r"]
         h += p["b"]
         o = np.tanh(h, out=h) @ p["out"]
-        o += p["last"][x[:, STRIDE:].ravel()]
-        np.minimum(o, 80, out=o)
+        o += np.take(p["last"], x[:, STRIDE:].ravel(), axis=0)
+        if self.loud():
+            np.minimum(o, 80, out=o)
         own = o[np.arange(len(o)), target.ravel()]
         return (own - np.log(np.exp(o, out=o).sum(1))).reshape(n, STRIDE)
 
+    def loud(self) -> bool:
+        """Whether exponents can leave the range of single precision; entries of the hidden layer are between -1 and 1."""
+        return np.abs(self.p["out"]).sum(0).max() + self.p["last"].max() > 80
+
     def gradient(self, x: np.ndarray, seen: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of the real targets."""
         p, (o, (e, c, q, k, v, a, h)) = self.p, self.forward(x, seen)
