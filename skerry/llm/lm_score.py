@@ -5,8 +5,8 @@ of an id is P(class | the ids before it) by attention, times P(id | class, the i
 before them.  So the attention's output is small, the probabilities of all ids add up to one, and every text has a score.  A frequent word's probability is mixed
 with its share among the training tokens.
 
-Learning covers all training documents: word counts are a distributed aggregate, subword counts follow from them exactly, and every SEGMENT words one block in RATE, picked
-by a hash of document and place, is a training example, so examples grow with the input.  The attention is trained by rounds of local Adam in every partition
+Learning covers all training documents: word counts are a distributed aggregate, subword counts follow from them exactly, and the training examples are the blocks that
+scoring uses, so that each id of each training document is a target once in every round.  The attention is trained by rounds of local Adam in every partition
 and an average of the parameters weighted by examples; a partition streams its examples.  Only the model, whose size is fixed, meets at the driver.
 
 Scoring cuts texts into blocks of STRIDE ids; a block's ids are scored once, and see those before them in their own and in the preceding block.
@@ -34,7 +34,7 @@ from .simhash import UPPER
 from .token_store import encoder
 
 STRIDE, WIDTH, CLASSES, TOP, HEAD = 16, 16, 64, 1024, 200_000
-SEGMENT, RATE, ROUNDS, BATCH, STEP = 24, 8, 4, 64, 0.01
+ROUNDS, BATCH, STEP = 4, 64, 0.01
 IDS, END = 49_408, 49_407
 FOLDS, HELD_OUT = 7, 2
 PAD = 65_535
@@ -100,45 +100,39 @@ def subword_counts(vocabulary: DataFrame, path: str) -> DataFrame:
     return vocabulary.select("word", "c").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def windows(own: DataFrame, path: str, rate: int = RATE) -> DataFrame:
-    """Training examples: 2 * STRIDE + 1 ids, of which the last STRIDE are to be told from those before them; PAD where there is none."""
-    length = 2 * STRIDE + 1
+def windows(own: DataFrame, path: str) -> DataFrame:
+    """(ids): all ids of each training document, and the end; blocks() makes training examples of them."""
 
     def run(batches):
-        encode = encoder(path)
+        encode, end = encoder(path), END.to_bytes(2, "little")
         for part in slices(batches, "text"):
-            out = []
-            for key, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                if held_out(key):
-                    continue
-                words = words_of(text)
-                for at in range(0, len(words) + 1, SEGMENT):
-                    if zlib.crc32(f"{key}:{at}".encode()) % rate:
-                        continue
-                    # The id before the block's first may be the text's start.
-                    before = np.frombuffer(b"".join(map(encode.__getitem__, words[max(0, at - STRIDE - 1) : at])), "<u2")[-STRIDE - 1 :]
-                    behind = np.frombuffer(b"".join(map(encode.__getitem__, words[at : at + STRIDE])), "<u2")
-                    if at + STRIDE >= len(words):
-                        behind = np.append(behind, np.uint16(END))
-                    behind = behind[:STRIDE]
-                    row = np.full(length, PAD, "<u2")
-                    row[STRIDE + 1 : STRIDE + 1 + len(behind)] = behind
-                    if len(before):
-                        row[STRIDE + 1 - len(before) : STRIDE + 1] = before
-                    out.append(row.tobytes())
+            out = [b"".join(map(encode.__getitem__, words_of(text))) + end for key, text in zip(part.column(0).to_pylist(), utf8(part.column(1))) if not held_out(key)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     return own.mapInArrow(run, "ids binary")
 
 
+def blocks(texts: list[bytes]) -> np.ndarray:
+    """Training examples: 2 * STRIDE + 1 ids, of which the last STRIDE are to be told from those before them; PAD where there is none.  The targets of a text's
+    examples are its ids, each once."""
+    size = np.array([len(t) // 2 for t in texts], np.int64)
+    n = -(-size // STRIDE)
+    room = np.where(n > 0, STRIDE + 1 + n * STRIDE, 0)
+    start = np.cumsum(room) - room
+    flat = np.full(int(room.sum()), PAD, "<u2")
+    flat[np.arange(size.sum()) + np.repeat(start + STRIDE + 1 - (np.cumsum(size) - size), size)] = np.frombuffer(b"".join(texts), "<u2")
+    first = np.repeat(start - (np.cumsum(n) - n) * STRIDE, n) + np.arange(n.sum()) * STRIDE
+    return flat[first[:, None] + np.arange(2 * STRIDE + 1)]
+
+
 def neighbours(examples: DataFrame, compact: np.ndarray) -> np.ndarray:
     """For each input number, how often each comes one place (first half of the columns) and two places before it."""
     size = TOP + 2
 
     def run(batches):
         total = np.zeros(2 * size * size, np.int64)
-        for batch in batches:
-            x = compact[np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(-1, 2 * STRIDE + 1)].astype(np.int64)
+        for part in slices(batches, "ids", 2 << 20):
+            x = compact[blocks(part.column(0).to_pylist())].astype(np.int64)
             for k in (1, 2):
                 total += np.bincount((x[:, STRIDE + 1 :] * 2 * size + (k - 1) * size + x[:, STRIDE + 1 - k : -k]).ravel(), minlength=len(total))
         keys = np.flatnonzero(total)
@@ -168,6 +162,12 @@ def clusters(before: np.ndarray, weight: np.ndarray, n: int, seed: int = 1) -> n
 # --- the attention ------------------------------------------------------------------------------------------------------------------------------------
 
 
+def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows at each of n places."""
+    d = rows.shape[1]
+    return np.bincount((at.reshape(-1, 1) * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(rows.dtype)
+
+
 class Attention:
     """One causal head over the ids of a block and of the block before it.  Inputs are frequent ids, one number for all others, and one for the start."""
 
@@ -231,8 +231,7 @@ class Attention:
         np.put_along_axis(d, target[:, :, None], np.take_along_axis(d, target[:, :, None], 2) - 1, 2)
         d *= (real / max(real.sum(), 1)).astype(np.float32)[:, :, None]
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(h).T @ flat(d), "last": np.zeros_like(p["last"])}
-        np.add.at(g["last"], x[:, STRIDE:].ravel(), flat(d))
+        g = {"out": flat(h).T @ flat(d), "last": summed(x[:, STRIDE:], flat(d), len(p["last"]))}
         z = (d @ p["out"].T) * (1 - h * h)
         g["b"], g["r"] = flat(z).sum(0), flat(c).T @ flat(z)
         dc = z @ p["r"].T
@@ -243,8 +242,7 @@ class Attention:
         de = dk @ p["k"].T + dv @ p["v"].T
         de[:, STRIDE:] += dc + dq @ p["q"].T
         g["places"] = de.sum(0)
-        g["ids"] = np.zeros_like(p["ids"])
-        np.add.at(g["ids"], x.ravel(), flat(de))
+        g["ids"] = summed(x, flat(de), len(p["ids"]))
         return g
 
     def raw(self) -> bytes:
@@ -364,8 +362,8 @@ def trained(model: Model, examples: DataFrame, rounds: int = ROUNDS) -> None:
             own = Attention(shared.value.p["last"])
             own.p = {n: x.copy() for n, x in shared.value.p.items()}
             adam, seen = Adam(own, step), 0
-            for batch in batches:
-                rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(-1, 2 * STRIDE + 1)
+            for part in slices(batches, "ids", 2 << 20):
+                rows = blocks(part.column(0).to_pylist())
                 rows = rows[np.random.default_rng(1).permutation(len(rows))]
                 for at in range(0, len(rows), BATCH):
                     x = rows[at : at + BATCH]

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skerry.llm import bpe_automaton, decontaminate, line_crf, lm_score, pii, quality_rules, simhash
+from skerry.llm import bpe_automaton, decontaminate, line_crf, lm_score, pii, quality_rules, simhash, token_store
 from skerry.llm.queries import tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -137,6 +137,25 @@ def test_no_documents(spark):
     assert lm_score.scores(empty, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_every_training_id_is_a_target_once(spark):
+    path = tokenizer("word_bpe_49k.json")
+    rows = [(i, " ".join(f"word{k}" for k in range(n))) for i, n in enumerate((0, 1, 3, 15, 16, 23, 24, 40, 500))] + [(None, None)]
+    texts = [bytes(r["ids"]) for r in lm_score.windows(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()]
+    want = [np.append(token_store.encode_text((t or "").encode(), path), np.uint16(lm_score.END)) for i, t in rows if not lm_score.held_out(i)]
+    examples = lm_score.blocks(texts)
+    targets = examples[:, lm_score.STRIDE + 1 :]
+    assert collections.Counter(targets[targets != lm_score.PAD].tolist()) == collections.Counter(np.concatenate(want).tolist())
+    # What comes before a block's targets is what comes before them in the text.
+    for t in want:
+        for at in range(0, len(t), lm_score.STRIDE):
+            row = np.full(2 * lm_score.STRIDE + 1, lm_score.PAD)
+            part = t[max(0, at - lm_score.STRIDE - 1) : at + lm_score.STRIDE]
+            low = lm_score.STRIDE + 1 - min(at, lm_score.STRIDE + 1)
+            row[low : low + len(part)] = part
+            assert (examples == row).all(1).any()
+    assert lm_score.blocks([]).shape == (0, 2 * lm_score.STRIDE + 1)
+
+
 def model():
     rng = np.random.default_rng(1)
     start, inner = rng.integers(0, 50, lm_score.IDS).astype(float), rng.integers(0, 50, lm_score.IDS).astype(float)
