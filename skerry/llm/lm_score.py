@@ -2,7 +2,7 @@
 
 Tokens of the base score are words `[^\\x20\\x09-\\x0D]+` of texts lower-cased A-Z, and one end per text.  The model reads the words' subword ids.  Its probability
 of an id is P(class | the ids before it) by attention, times P(id | class, the id before it in the same word) by counts.  Classes are clusters of ids by what comes
-before them.  So the attention's output is small, the probabilities of all ids add up to one, and every text has a score.  A frequent word's probability is mixed
+before them.  So the attention's output is small, the probabilities of all ids add up to one, and every text has a score.  A training word's probability is mixed
 with its share among the training tokens.
 
 Learning covers all training documents: word counts are a distributed aggregate, subword counts follow from them exactly, and the training examples are the blocks that
@@ -12,7 +12,7 @@ and an average of the parameters weighted by examples; a partition streams its e
 Scoring cuts texts into blocks of STRIDE ids; a block's ids are scored once, and see those before them in their own and in the preceding block.
 
 Word counts are joined to documents in two ways that together cover every word: the HEAD most frequent words at most are broadcast, and the others meet their
-documents in a shuffled join.
+documents in a shuffled join, with the log probability of each occurrence.
 
 Defined cases: null counts as empty: one end; a null doc_id is never held out; rows and repeats are kept one for one; without training documents all counts are 0 and the
 model is uniform over classes; an empty table gives an empty result; other columns are not read.
@@ -459,22 +459,25 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             frequent_word = counts > 0
             n_known = np.add.reduceat(frequent_word.astype(np.int64), starts)
             sums = np.add.reduceat(np.log10(counts + 1), starts)
-            rest = [[] for _ in texts]
+            rest = [{} for _ in texts]
             for i, k in zip(np.flatnonzero(~frequent_word).tolist(), np.repeat(np.arange(len(texts)), n_words)[~frequent_word].tolist()):
-                rest[k].append(every[i])
-            rest = [list(Counter(r).items()) for r in rest]
-            mixed = np.log(counts / max(totals["n"], 1) * MIX + np.exp(np.maximum(by_word, -600)) * (1 - MIX)) / np.log(10)
-            mixed = np.where(by_word < -600, by_word / np.log(10), mixed)
+                rest[k].setdefault(every[i], []).append(by_word[i])
+            with np.errstate(divide="ignore"):  # a share of 0
+                mixed = np.logaddexp(np.log(counts / max(totals["n"], 1) * MIX), by_word + np.log(1 - MIX)) / np.log(10)
             score = np.add.reduceat(mixed, starts)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(map(held_out, keys), pa.bool_()), pa.array(map(len, texts), pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64()), pa.array([[{"word": w, "n": n} for w, n in r] for r in rest], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                [part.column(0), pa.array(map(held_out, keys), pa.bool_()), pa.array(map(len, texts), pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64()), pa.array([[{"word": w, "p": x} for w, x in r.items()] for r in rest], pa.list_(pa.struct([("word", pa.binary()), ("p", pa.list_(pa.float64()))])))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "rest"],
             )
 
-    rows = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double, rest array<struct<word:binary,n:bigint>>")
+    rows = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double, rest array<struct<word:binary,p:array<double>>>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), f"{base}/scored")
-    rare = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
-    rare = rare.join(vocabulary.where(F.col("c") < least), "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"))
+    rare = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.p")
+    # What the share adds to an unmixed occurrence: log(1 + share / unmixed), for exponents of any size.
+    ahead = lambda p: F.log(F.col("c") / float(max(totals["n"], 1)) * MIX) - p - float(np.log(1 - MIX))
+    gain = F.aggregate("p", F.lit(0.0), lambda acc, p: acc + F.greatest(ahead(p), F.lit(0.0)) + F.log1p(F.exp(-F.abs(ahead(p)))))
+    rare = rare.join(vocabulary.where(F.col("c") < least), "word").select("row", "c", F.size("p").alias("n"), (gain / float(np.log(10))).alias("gain"))
+    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"), F.sum("gain").alias("gain"))
     log_all = float(np.log10(totals["n"] + totals["v"] + 1))
     out = rows.drop("rest").join(rare, "row", "left")
     return out.select(
@@ -484,5 +487,5 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(totals["n"]).cast("long").alias("train_tokens"),
         (F.col("sums") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )

@@ -132,6 +132,18 @@ def test_base_scores_equal_brute_force(spark):
         assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_scores_do_not_depend_on_the_broadcast(spark, monkeypatch):
+    path = tokenizer("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(0, "rare rare q" + "x" * 2000), (1, "q" + "x" * 2000 + " unheard rare")], "doc_id long, text string"))
+    once = lm_score.learned(docs, path, lm_score.scratch(spark, "test"))
+    monkeypatch.setattr(lm_score, "learned", lambda *_: once)
+    found = []
+    for most in (lm_score.HEAD, 50, 0):
+        monkeypatch.setattr(lm_score.head, "__defaults__", (most,))
+        found.append(sorted(((r["doc_id"], r["n_known"], round(r["score"], 5)) for r in lm_score.scores(docs, path).collect()), key=str))
+    assert found[0] == found[1] == found[2]
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.scores(empty, tokenizer("word_bpe_49k.json")).count() == 0
