@@ -166,6 +166,36 @@ def staged(docs: DataFrame, path: str, end: int, id_col: str, text_col: str) ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, leaf binary, chunks array<binary>, payload array<binary>")
 
 
+def segments(recipes: DataFrame) -> DataFrame:
+    """(segment, n_docs, n_tokens, root) of recipes.  A segment's rows come in order to one task; the root takes a constant amount of memory."""
+
+    def roots(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for segment, n, x in zip(*(c.to_pylist() for c in batch.columns)):
+                row = held.setdefault(segment, [0, 0, Peaks()])
+                row[0] += 1
+                row[1] += n
+                row[2].add(x)
+        rows = [(k, a, b, p.root()) for k, (a, b, p) in held.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["segment", "n_docs", "n_tokens", "root"])
+
+    ordered = recipes.select("segment", "doc_id", "leaf", "n_tokens").repartition("segment").sortWithinPartitions("segment", "doc_id", "leaf")
+    return ordered.select("segment", "n_tokens", "leaf").mapInArrow(roots, "segment int, n_docs long, n_tokens long, root binary")
+
+
+def compared(recipes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(segment, start, sound_segment) of each segment of recipes: whether its root, counts and start, computed anew, are those of its one row of the manifest, and no
+    segment of the manifest is without recipes.  Both tables have a row per file of recipes."""
+    listed = manifest.groupBy("segment").agg(F.count("*").alias("entries"), *[F.first(c).alias(f"m_{c}") for c in ("n_docs", "n_tokens", "start", "root")])
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    both = segments(recipes).join(listed, "segment", "full").withColumn("start", before)
+    equal = (F.col("entries") == 1) & F.col("n_docs").eqNullSafe(F.col("m_n_docs")) & F.col("n_tokens").eqNullSafe(F.col("m_n_tokens")) & F.col("start").eqNullSafe(F.col("m_start")) & F.col("root").eqNullSafe(F.col("m_root"))
+    none_lost = F.min(F.col("n_docs").isNotNull()).over(Window.partitionBy())
+    both = both.withColumn("sound_segment", F.coalesce(equal, F.lit(False)) & none_lost)
+    return both.where("n_docs is not null").select("segment", F.coalesce("m_start", "start").alias("start"), "sound_segment")
+
+
 def write_store(docs: DataFrame, store: str, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes the documents into a new store at `store`."""
     spark = docs.sparkSession
@@ -180,20 +210,7 @@ def write_store(docs: DataFrame, store: str, path: str, end: int, id_col: str =
     recipes.select(F.spark_partition_id().alias("segment"), "*").write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/recipes")
     removed(spark, stage)
 
-    # A segment is one file of sorted rows, so its rows come in order to one task; the root takes a constant amount of memory.
-    def roots(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for segment, n, x in zip(*(c.to_pylist() for c in batch.columns)):
-                row = held.setdefault(segment, [0, 0, Peaks()])
-                row[0] += 1
-                row[1] += n
-                row[2].add(x)
-        rows = [(k, a, b, p.root()) for k, (a, b, p) in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["segment", "n_docs", "n_tokens", "root"])
-
-    ordered = spark.read.parquet(f"{store}/recipes").select("segment", "doc_id", "leaf", "n_tokens").repartition("segment").sortWithinPartitions("segment", "doc_id", "leaf")
-    per_segment = ordered.select("segment", "n_tokens", "leaf").mapInArrow(roots, "segment int, n_docs long, n_tokens long, root binary")
+    per_segment = segments(spark.read.parquet(f"{store}/recipes"))
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per segment
     per_segment.select("segment", "n_docs", "n_tokens", before.cast("long").alias("start"), "root").coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest")
 
@@ -222,7 +239,8 @@ def shifted_crc(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 def read_back(spark: SparkSession, store: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, verified) from the store's files alone.  Every stored chunk's digest is computed from its bytes, its CRC-32 is
     taken over its ids as unsigned 32-bit integers, and recipes put the chunks' values together: a chunk crosses no shuffle.  verified: all chunks
-    are there, match their digests and add up to the recipe's length, and leaves and roots match."""
+    are there, match their digests and add up to the recipe's length, leaves match, and the segment's root, numbers of documents and ids, and start are those of the
+    manifest.  Where all recipes of a segment are lost, no document is verified."""
 
     def checked(batches):
         for batch in batches:
@@ -246,7 +264,6 @@ def read_back(spark: SparkSession, store: str) -> DataFrame:
     chunks = spark.read.parquet(f"{store}/chunks").select("digest", "ids").mapInArrow(checked, "digest binary, sound boolean, n long, crc long")
     recipes = spark.read.parquet(f"{store}/recipes").select("segment", "doc_id", "n_tokens", "leaf", "chunks")
     recipes = recipes.mapInArrow(leaves, "segment int, doc_id long, n_tokens long, leaf binary, chunks array<binary>, sound_leaf boolean")
-    manifest = spark.read.parquet(f"{store}/manifest").select("segment", "start")
 
     # Documents with equal leaves have equal ids: each distinct leaf is put together once.
     distinct = recipes.groupBy("leaf").agg(F.first("chunks").alias("chunks"), F.first("n_tokens").alias("n_tokens"), F.min("sound_leaf").alias("sound_leaf"))
@@ -258,9 +275,10 @@ def read_back(spark: SparkSession, store: str) -> DataFrame:
     by_leaf = parts.groupBy("leaf").agg(F.bit_xor("crc").alias("ids_crc32"), (F.min("sound") & F.min("sound_leaf") & (F.sum("n") == F.max("n_tokens"))).alias("verified"))
 
     order = Window.partitionBy("segment").orderBy("doc_id", "leaf").rowsBetween(Window.unboundedPreceding, -1)
-    rows = spark.read.parquet(f"{store}/recipes").select("segment", "doc_id", "n_tokens", "leaf").join(F.broadcast(manifest), "segment")  # the manifest has a row per file of recipes
-    rows = rows.select("doc_id", "leaf", "n_tokens", (F.col("start") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).cast("long").alias("start"))
-    return rows.join(by_leaf, "leaf", "left").select("doc_id", "start", "n_tokens", F.coalesce("ids_crc32", F.lit(0)).cast("long").alias("ids_crc32"), F.coalesce("verified", F.lit(False)).alias("verified"))
+    plain = spark.read.parquet(f"{store}/recipes").select("segment", "doc_id", "n_tokens", "leaf")
+    rows = plain.join(F.broadcast(compared(plain, spark.read.parquet(f"{store}/manifest"))), "segment")
+    rows = rows.select("doc_id", "leaf", "n_tokens", "sound_segment", (F.col("start") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).cast("long").alias("start"))
+    return rows.join(by_leaf, "leaf", "left").select("doc_id", "start", "n_tokens", F.coalesce("ids_crc32", F.lit(0)).cast("long").alias("ids_crc32"), (F.coalesce("verified", F.lit(False)) & F.col("sound_segment")).alias("verified"))
 
 
 def documents_of(spark: SparkSession, store: str, wanted: Column | None = None) -> DataFrame:

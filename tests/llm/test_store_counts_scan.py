@@ -64,6 +64,35 @@ def test_a_changed_chunk_is_noticed(spark, tmp_path):
     assert [r["verified"] for r in token_store.read_back(spark, store).collect()].count(False) >= 1
 
 
+def test_changed_recipes_and_manifests_are_noticed(spark, tmp_path):
+    store, changed = f"file://{tmp_path}/s", f"file://{tmp_path}/c"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several segments
+    try:
+        token_store.write_store(docs(spark).limit(40), store, tokenizer("word_bpe_49k.json"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    recipes, manifest, chunks = (spark.read.parquet(f"{store}/{t}") for t in ("recipes", "manifest", "chunks"))
+    rows, roots = recipes.orderBy("segment", "doc_id").collect(), manifest.orderBy("segment").collect()
+    first, n = rows[0]["segment"], len(rows)
+    assert len(roots) > 1
+    at = next(i for i in range(1, n) if rows[i]["segment"] == first and rows[i]["leaf"] != rows[0]["leaf"])
+
+    def verified(new_rows, new_roots):
+        for t, df in (("recipes", spark.createDataFrame(new_rows, recipes.schema)), ("manifest", spark.createDataFrame(new_roots, manifest.schema)), ("chunks", chunks)):
+            df.write.mode("overwrite").parquet(f"{changed}/{t}")
+        return [(r["doc_id"], r["verified"]) for r in token_store.read_back(spark, changed).collect()]
+
+    whole = verified(rows, roots)
+    assert len(whole) == n and all(ok for _, ok in whole)
+    of_first = {r["doc_id"] for r in rows if r["segment"] == first}
+    replaced = [rows[0].asDict() | {"doc_id": rows[at]["doc_id"]} if i == at else r.asDict() for i, r in enumerate(rows)]
+    wrong_root = [r.asDict() | {"root": bytes(16)} if r["segment"] == first else r.asDict() for r in roots]
+    for new_rows, new_roots in ((rows[1:], roots), (rows[:1] + rows, roots), (replaced, roots), (rows, wrong_root), (rows, roots[1:]), (rows, roots[:1] + roots)):
+        got = verified(new_rows, new_roots)
+        assert len(got) == len(new_rows) and not any(ok for doc_id, ok in got if doc_id in of_first)
+    assert not any(ok for _, ok in verified([r for r in rows if r["segment"] != roots[-1]["segment"]], roots))
+
+
 def test_equal_passages_share_chunks():
     rng = np.random.default_rng(1)
     same = rng.integers(0, 49_000, 20_000).astype("<u2")
