@@ -55,15 +55,16 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, fp), and row where row_col names it: the fingerprint as a signed long."""
 
     def run(batches):
         for part in slices(batches, "text"):
             values = np.array([fingerprint(t) for t in utf8(part.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values), *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = [F.col(row_col).cast("long").alias("row")] if row_col else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *rows).mapInArrow(run, "doc_id long, fp long" + ", row long" * bool(row_col))
 
 
 def _signed(x: int) -> int:
@@ -108,16 +109,17 @@ def hexed(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, root) for each row of docs, and row where row_col names it; root is the component's smallest fingerprint, which no other component has."""
     base = scratch(docs.sparkSession, "simhash")
-    own = written(fingerprints(docs, id_col, text_col), f"{base}/fingerprints")
+    own = written(fingerprints(docs, id_col, text_col, row_col), f"{base}/fingerprints")
     fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{base}/distinct")
     roots = components(links(fps, base), base)
     roots = written(roots.union(roots.select("root", "root")).distinct().join(fps, F.col("node") == F.col("fp")).select("fp", "root", "least"), f"{base}/linked")
-    moved = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    named = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    moved = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    # A linked component's name is null where none of its rows has a doc_id, and then so is least.
+    named = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return own.join(named, "fp").select("doc_id", "fp", "component_id", "root", *["row"] * bool(row_col))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -126,12 +128,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (of rows that repeat it with the same fingerprint, any one; they have the same component).
-    Rows with a null doc_id stay only where their whole component has none."""
-    own = groups(docs, id_col, text_col)
-    kept = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "component_id")
-    # One fingerprint for each component, where rows repeat the smallest doc_id with other texts of the same component.
-    kept = kept.groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp"))
-    kept = kept.select(F.col("doc_id").alias("__id"))
-    whole = docs.join(kept.distinct(), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    return whole.dropDuplicates([id_col])
+    """docs with exactly one row of each component: that of the smallest doc_id, of these that of the smallest fingerprint, and any one of equals.
+    A row with a null doc_id stays only where its whole component has none."""
+    columns = docs.columns
+    base = scratch(docs.sparkSession, "simhash-rows")
+    names = [f"c{i}" for i in range(len(columns))]
+    rows = written(docs.toDF(*names).withColumn("__row", F.monotonically_increasing_id()), f"{base}/rows")
+    own = groups(rows, names[columns.index(id_col)], names[columns.index(text_col)], "__row")
+    kept = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("x")).select(F.col("x.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(names).toDF(*columns)

@@ -182,6 +182,13 @@ def test_one_of_each_keeps_columns_and_one_row(spark, odd):
     assert sorted(str(r["doc_id"]) for r in out) == ["1", "2", "5", "6", "None"]
 
 
+def test_one_row_of_each_component_whatever_its_id(spark):
+    first, second, third, fourth = ("alpha beta gamma delta epsilon", "one two three four five six", "lorem ipsum dolor sit amet", "red green blue black white grey")
+    rows = [(None, first), (None, second), (None, second), (7, third), (7, fourth), (2, third), (None, fourth)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(None, first), (None, second), (2, third), (7, fourth)], key=str)
+
+
 def brute_scan(doc, items):
     words = lambda t: regex.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     own, hit, names = words(doc), set(), set()
