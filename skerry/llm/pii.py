@@ -4,9 +4,11 @@ Entities are e-mail addresses, IPv4 addresses, payment cards and phone numbers:
 are dropped.  The patterns here are the same languages with possessive quantifiers and with guards that let a match start only where a run starts, so that no
 text makes them back-track.
 
-Terms (after Sanchez and Batet's PMI-based sanitisation): a term is a word near an entity.  Over all documents, with N documents, n_e holding entity e, n_t holding term t
-and n_et with t near e, e holds log2(N/n_e) bits and t tells log2(N n_et / (n_e n_t)) of them.  A term that tells at least GENERALISE of e's bits, in at least CONTEXTS
-different contexts, is generalised where it stands near e; from REMOVE on it is removed.  A string of digits that matched a pattern but failed its check is
+Terms (after Sanchez and Batet's PMI-based sanitisation): a term is a word of a document that holds an entity.  Over all documents, with N documents, n_e holding entity e,
+n_t holding term t and n_et holding both, e holds log2(N/n_e) bits and t tells log2(N n_et / (n_e n_t)) of them.  A term that tells at least GENERALISE of e's bits, and meets
+e more often than chance allows, is generalised wherever it stands in documents that hold e; from REMOVE on it is removed.  Chance: were e and t independent,
+n_et or more common documents had a probability of at most exp(-(n_et ln(n_et / m) - n_et + m)) with m = n_e n_t / N (Chernoff); it has to be at most CHANCE.
+Since n_et <= n_e, t can only tell as much if n_t <= N (n_e / N)^GENERALISE: other pairs are never made, and none is lost by that.  A string of digits that matched a pattern but failed its check is
 removed too if it has LONG digits or more: such strings hardly occur twice, so each tells all there is to tell.
 
 Positions are code points, ends are exclusive.  Defined cases: null counts as empty and has no spans; rows, nulls and repeats are kept one for one and count as
@@ -15,6 +17,8 @@ documents; an empty table gives an empty result; other columns are not read, or
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +36,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WORD = "\\p{L}{3,}"
-#: Characters on each side of an entity that are its context.
-REACH = 60
-CONTEXTS, GENERALISE, REMOVE, LONG = 3, 0.8, 0.95, 9
+CHANCE, GENERALISE, REMOVE, LONG = 0.01, 0.8, 0.95, 9
 SPAN = "struct<k:int,s:int,e:int,v:string>"
 TERM = KINDS.index("term")
 BLOCK = 64
@@ -100,54 +102,61 @@ def entities(text: Column) -> Column:
     return let(raw, lambda r: F.struct(*[named(k, r[k]).alias(k) for k in PATTERNS], F.array_distinct(F.concat(*[failing(k, r[k]) for k in ("ip", "card", "phone")])).alias("more")))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """array<struct<v, context, words: array<struct<s, e, v>>>>: for each span, the words around it that touch no span, in lower case.  Words that the
-    context's ends cut are left out."""
-    n = F.char_length(text)
-
-    def side(start: Column, end: Column) -> Column:
-        part = F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
-        whole = lambda w: ((w["s"] > 0) | (start == 0)) & ((w["e"] < end - start) | (end == n))
-        moved = F.transform(F.filter(matches(part, WORD), whole), lambda w: F.struct((w["s"] + start).alias("s"), (w["e"] + start).alias("e"), F.lower(w["v"]).alias("v")))
-        return F.filter(moved, lambda w: ~F.exists(spans, lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
+PLACE = "array<struct<s:int,e:int,v:string>>"
 
-    def around(x: Column) -> Column:
-        words = F.concat(side(F.greatest(x["s"] - REACH, F.lit(0)), x["s"]), side(x["e"], F.least(x["e"] + REACH, n)))
-        return let(words, lambda w: F.struct(x["v"].alias("v"), F.xxhash64(F.transform(w, lambda y: y["v"])).alias("context"), w.alias("words")))
 
-    return F.transform(F.filter(spans, lambda x: x["k"] != TERM), around)
+def terms_of(text: Column, emails: Column) -> Column:
+    """array<struct<s, e, v>>: the words of a text that touch no entity, in lower case.  Of entities only e-mail addresses have letters; they are matched along with the words."""
+    every = F.filter(matches(text, f"{PATTERNS['email']}|{WORD}"), lambda w: ~F.contains(w["v"], F.lit("@")))
+    # Letters beyond ASCII are in no address, but may stand right before one.
+    apart = F.filter(every, lambda w: w["v"].rlike("^[A-Za-z]*$") | ~F.exists(emails, lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
+    return F.transform(apart, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.lower(w["v"]).alias("v")))
 
 
 def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __text (null: empty), __row, __found (entities) and __near (contexts)."""
+    """docs with __text (null: empty), __row, __found (entities) and __terms (of rows with an entity)."""
     own = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("__row", F.monotonically_increasing_id())
     own = own.withColumn("__found", F.when(F.col("__text").rlike("[@0-9]"), entities(F.col("__text"))).otherwise(F.struct(*[F.array().cast(f"array<{SPAN}>").alias(k) for k in [*PATTERNS, "more"]])))
-    every = F.concat(*[F.col(f"__found.{k}") for k in [*PATTERNS, "more"]])
-    none = F.array().cast("array<struct<v:string,context:bigint,words:array<struct<s:int,e:int,v:string>>>>")
-    return own.withColumn("__near", let(every, lambda s: F.when(F.size(s) > 0, contexts(F.col("__text"), s)).otherwise(none)))
-
-
-def telling(docs: DataFrame, near: DataFrame, base: str, text_col: str = "text") -> DataFrame:
-    """(row, s, e, told): the places of terms that tell at least GENERALISE of an entity's information; told is the largest share.
-    near: (__row, __near) of the same documents."""
-    each = near.select("__row", F.explode("__near").alias("x")).select(F.col("__row").alias("row"), F.col("x.v").alias("entity"), "x.context", "x.words")
-    places = written(each.select("row", "entity", "context", F.explode("words").alias("w")).select("row", "entity", "context", F.col("w.v").alias("term"), "w.s", "w.e"), f"{base}/places")
-    n_e = each.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    seen = places.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_contexts")).where(f"n_contexts >= {CONTEXTS}")
-    seen = written(seen, f"{base}/seen")
-    n_et = places.join(seen, ["entity", "term"], "left_semi").select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    return own.withColumn("__terms", F.when(holds(), terms_of(F.col("__text"), F.col("__found.email"))).otherwise(F.array().cast(PLACE)))
+
+
+def holds() -> Column:
+    """Whether a row of found() holds an entity."""
+    return sum((F.size(f"__found.{k}") for k in PATTERNS), F.lit(0)) > 0
+
+
+def telling(docs: DataFrame, rows: DataFrame, base: str, text_col: str = "text") -> DataFrame:
+    """(__row, __told): for each row, the terms that tell at least GENERALISE of the information of an entity it holds, with the largest share told.
+    rows: those of found(docs) that hold an entity."""
+    n = float(max(docs.count(), 1))
+    entity = F.array_distinct(F.flatten(F.array(*[F.transform(f"__found.{k}", lambda x: x["v"]) for k in PATTERNS])))
+    own = rows.select(F.col("__row").alias("row"), F.explode(entity).alias("entity"))
+    n_e = own.groupBy("entity").agg(F.count("*").alias("n_e"))
+    own = written(own.join(n_e, "entity"), f"{base}/entities")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
-    n_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    # Counts come first: a semi-join would be pushed below them and handle every occurrence of a common term.
-    n_t = n_t.join(seen.select("term").distinct(), "term")
-    n = docs.agg(F.count("*").alias("n")).first()["n"]
-    rows = n_et.join(n_e, "entity").join(n_t, "term")
-    bits = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
+    n_t = written(docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), f"{base}/counts")
+    #: The largest n_t with which a term can tell GENERALISE of an entity in n_e documents; the factor is for rounding.
+    most = lambda n_e: F.pow(n_e / n, F.lit(GENERALISE)) * n * (1 + 1e-9)
+    widest = own.agg(F.coalesce(F.max(most(F.col("n_e"))), F.lit(0.0)).alias("x")).first()["x"]
+    # The most common terms are in so many documents that they would crowd the join; there are at most 1,000 times the distinct terms of an average document.
+    common = n_t.where(F.col("n_t") > max(widest, n / 1000)).select("term")
+    terms = rows.select(F.col("__row").alias("row"), F.explode(F.array_distinct(F.transform("__terms", lambda w: w["v"]))).alias("term")).join(F.broadcast(common), "term", "left_anti")
+    terms = terms.join(n_t.where(F.col("n_t") <= widest), "term")
+    pairs = written(terms.join(own, "row").where(F.col("n_t") <= most(F.col("n_e"))), f"{base}/pairs")
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    bits, chance = F.log2(n / F.col("n_e")), F.col("n_e") * F.col("n_t") / n
     # An entity that every document holds has no information to tell.
-    told = F.when(bits > 0, F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / bits).otherwise(F.lit(0.0))
-    risky = rows.select("entity", "term", told.alias("told")).where(F.col("told") >= GENERALISE)
-    return places.join(risky, ["entity", "term"]).groupBy("row", "s", "e").agg(F.max("told").alias("told"))
+    told = F.when(bits > 0, F.log2(F.col("n_et") / chance) / bits).otherwise(F.lit(0.0))
+    significant = F.col("n_et") * F.log(F.col("n_et") / chance) - F.col("n_et") + chance >= -math.log(CHANCE)
+    risky = both.where(significant).select("entity", "term", told.alias("told")).where(F.col("told") >= GENERALISE)
+    each = pairs.select("row", "entity", "term").join(risky, ["entity", "term"]).groupBy("row", "term").agg(F.max("told").alias("told"))
+    return each.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("__told")).withColumnRenamed("row", "__row")
+
+
+def told_places() -> Column:
+    """The places of a row's telling terms."""
+    return F.when(F.col("__told").isNull(), F.array().cast(PLACE)).otherwise(F.filter("__terms", lambda w: F.map_contains_key(F.col("__told"), w["v"])))
 
 
 def _spelled(spans: Column) -> Column:
@@ -163,11 +172,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, numbers of entities, base_sha256 and spans, for each row."""
     base = scratch(docs.sparkSession, "pii")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(found(own).select("doc_id", "__row", "__found", "__near"), f"{base}/found")
-    terms = telling(own, rows.where(F.size("__near") > 0).select("__row", "__near"), base)
-    terms = terms.groupBy("row").agg(F.collect_list(F.struct(F.lit(TERM).alias("k"), "s", "e")).alias("terms")).withColumnRenamed("row", "__row")
+    rows = written(found(own).select("doc_id", "__row", "__found", "__terms"), f"{base}/found")
+    terms = telling(own, rows.where(holds()), base)
     basic = F.concat(*[_plain(F.col(f"__found.{k}")) for k in PATTERNS])
-    more = F.concat(_plain(F.col("__found.more")), F.coalesce("terms", F.array().cast("array<struct<k:int,s:int,e:int>>")))
+    more = F.concat(_plain(F.col("__found.more")), F.transform(told_places(), lambda w: F.struct(F.lit(TERM).alias("k"), w["s"].alias("s"), w["e"].alias("e"))))
     out = rows.join(terms, "__row", "left").withColumn("__basic", F.sort_array(basic))
     counts = [F.size(f"__found.{k}").cast("long").alias(f"n_{k}") for k in PATTERNS]
     return out.select("doc_id", *counts, F.sha2(_spelled(F.col("__basic")).cast("binary"), 256).alias("base_sha256"), _spelled(F.concat("__basic", F.sort_array(F.array_distinct(more)))).alias("spans"))
@@ -197,14 +205,13 @@ def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     text = f"c{columns.index(text_col)}"
     rows = written(found(renamed, text).drop("__text"), f"{base}/found")
-    terms = telling(rows.select(text), rows.where(F.size("__near") > 0).select("__row", "__near"), base, text)
-    name = F.when(F.col("told") >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]"))
-    terms = terms.groupBy("row").agg(F.collect_list(F.struct("s", "e", name.alias("name"))).alias("__terms")).withColumnRenamed("row", "__row")
+    terms = telling(rows.select(text), rows.where(holds()), base, text)
+    name = lambda w: F.when(F.element_at("__told", w["v"]) >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]"))
+    placed = F.transform(told_places(), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), name(w).alias("name")))
     labelled = lambda k, label: F.transform(F.col(f"__found.{k}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(label).alias("name")))
     basic = [*[labelled(k, f"[{k.upper()}]") for k in PATTERNS], labelled("more", "[NUMBER]")]
-    none = F.array().cast("array<struct<s:int,e:int,name:string>>")
-    with_terms = rows.where(F.size("__near") > 0).join(terms, "__row", "left")
-    some = with_terms.withColumn(text, _rewritten(F.col(text), F.concat(*basic, F.coalesce("__terms", none))))
-    rest = rows.where(F.size("__near") == 0).withColumn(text, F.when(F.size("__found.more") > 0, _rewritten(F.col(text), F.concat(*basic))).otherwise(F.col(text)))
+    with_terms = rows.where(holds()).join(terms, "__row", "left")
+    some = with_terms.withColumn(text, _rewritten(F.col(text), F.concat(*basic, placed)))
+    rest = rows.where(~holds()).withColumn(text, F.when(F.size("__found.more") > 0, _rewritten(F.col(text), F.concat(*basic))).otherwise(F.col(text)))
     keep = [f"c{i}" for i in range(len(columns))]
     return some.select(keep).unionAll(rest.select(keep)).toDF(*columns)

@@ -149,6 +149,19 @@ def test_no_documents(spark):
     assert lm_score.scores(empty, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_rare_terms_of_rare_entities_go_wherever_they_stand(spark):
+    far = "plain words follow here " * 10
+    rows = [(0, f"Write to solo@corp.example, says Zephyrine. {far}Zephyrine again"), (1, f"{far}Oddname"), *[(2, f"copied Vandermolen text {far} at twin@corp.example")] * 30]
+    rows += [(100 + i, f"Write to me, says the copied text, again {far}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert "Zephyrine" not in out[0] and "solo" not in out[0] and "says" in out[0] and far.strip() in out[0]
+    assert "Vandermolen" not in out[2] and "copied" in out[2]
+    assert out[1] == rows[1][1] and out[100] == rows[-1][1]
+    spans = {r["doc_id"]: r["spans"] for r in pii.spans(df).collect()}
+    assert spans[0].count("term:") == 2 and spans[2].count("term:") == 1 and spans[1] == ""
+
+
 def test_every_training_id_is_a_target_once(spark):
     path = tokenizer("word_bpe_49k.json")
     rows = [(i, " ".join(f"word{k}" for k in range(n))) for i, n in enumerate((0, 1, 3, 15, 16, 23, 24, 40, 500))] + [(None, None)]
