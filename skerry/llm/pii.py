@@ -8,8 +8,8 @@ Terms (after Sanchez and Batet's PMI-based sanitisation): a term is a word of a
 n_t holding term t and n_et holding both, e holds log2(N/n_e) bits and t tells log2(N n_et / (n_e n_t)) of them.  A term that tells at least GENERALISE of e's bits, and meets
 e more often than chance allows, is generalised wherever it stands in documents that hold e; from REMOVE on it is removed.  Chance: were e and t independent,
 n_et or more common documents had a probability of at most exp(-(n_et ln(n_et / m) - n_et + m)) with m = n_e n_t / N (Chernoff); it has to be at most CHANCE.
-Since n_et <= n_e, t can only tell as much if n_t <= N (n_e / N)^GENERALISE: other pairs are never made, and none is lost by that.  A string of digits that matched a pattern but failed its check is
-removed too if it has LONG digits or more: such strings hardly occur twice, so each tells all there is to tell.
+Since n_et <= n_e, t can only tell as much if n_t <= N (n_e / N)^GENERALISE: other pairs are never made, and none is lost by that. A string of LONG digits or more that matched a pattern but failed its check is a term like any
+word, named by its digits: it stays where no entity is, and where it tells too little.
 
 Positions are code points, ends are exclusive.  Defined cases: null counts as empty and has no spans; rows, nulls and repeats are kept one for one and count as
 documents; an empty table gives an empty result; other columns are not read, or kept by `sanitised`.
@@ -89,14 +89,14 @@ def passes(kind: str, v: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """struct<email, ip, card, phone: array of valid spans, more: array of failing strings of LONG digits or more>; v is the entity's name."""
+    """struct<email, ip, card, phone: array of valid spans, more: array of failing strings of LONG digits or more>; v is the entity's name, or # and digits."""
 
     def named(kind: str, found: Column) -> Column:
         name = {"email": F.lower, "ip": lambda v: v}.get(kind, digits)
         return F.transform(F.filter(found, lambda x: passes(kind, x["v"])), lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit(f"{kind}:"), name(x["v"])).alias("v")))
 
     def failing(kind: str, found: Column) -> Column:
-        return F.transform(F.filter(found, lambda x: ~passes(kind, x["v"]) & (F.char_length(digits(x["v"])) >= LONG)), lambda x: F.struct(F.lit(TERM).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("v")))
+        return F.transform(F.filter(found, lambda x: ~passes(kind, x["v"]) & (F.char_length(digits(x["v"])) >= LONG)), lambda x: F.struct(F.lit(TERM).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("#"), digits(x["v"])).alias("v")))
 
     raw = F.struct(*[matches(text, p, NEEDS.get(kind)).alias(kind) for kind, p in PATTERNS.items()])
     return let(raw, lambda r: F.struct(*[named(k, r[k]).alias(k) for k in PATTERNS], F.array_distinct(F.concat(*[failing(k, r[k]) for k in ("ip", "card", "phone")])).alias("more")))
@@ -105,19 +105,20 @@ def entities(text: Column) -> Column:
 PLACE = "array<struct<s:int,e:int,v:string>>"
 
 
-def terms_of(text: Column, emails: Column) -> Column:
-    """array<struct<s, e, v>>: the words of a text that touch no entity, in lower case.  Of entities only e-mail addresses have letters; they are matched along with the words."""
+def terms_of(text: Column, emails: Column, more: Column) -> Column:
+    """array<struct<s, e, v>>: more, the failing strings of digits, and the words of a text that touch no entity, in lower case.  Of entities only e-mail addresses have letters; they are matched along with the words."""
     every = F.filter(matches(text, f"{PATTERNS['email']}|{WORD}"), lambda w: ~F.contains(w["v"], F.lit("@")))
     # Letters beyond ASCII are in no address, but may stand right before one.
     apart = F.filter(every, lambda w: w["v"].rlike("^[A-Za-z]*$") | ~F.exists(emails, lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
-    return F.transform(apart, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.lower(w["v"]).alias("v")))
+    plain = lambda w, v: F.struct(w["s"].alias("s"), w["e"].alias("e"), v.alias("v"))
+    return F.concat(F.transform(more, lambda w: plain(w, w["v"])), F.transform(apart, lambda w: plain(w, F.lower(w["v"]))))
 
 
 def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __text (null: empty), __row, __found (entities) and __terms (of rows with an entity)."""
     own = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("__row", F.monotonically_increasing_id())
     own = own.withColumn("__found", F.when(F.col("__text").rlike("[@0-9]"), entities(F.col("__text"))).otherwise(F.struct(*[F.array().cast(f"array<{SPAN}>").alias(k) for k in [*PATTERNS, "more"]])))
-    return own.withColumn("__terms", F.when(holds(), terms_of(F.col("__text"), F.col("__found.email"))).otherwise(F.array().cast(PLACE)))
+    return own.withColumn("__terms", F.when(holds(), terms_of(F.col("__text"), F.col("__found.email"), F.col("__found.more"))).otherwise(F.array().cast(PLACE)))
 
 
 def holds() -> Column:
@@ -125,9 +126,10 @@ def holds() -> Column:
     return sum((F.size(f"__found.{k}") for k in PATTERNS), F.lit(0)) > 0
 
 
-def telling(docs: DataFrame, rows: DataFrame, base: str, text_col: str = "text") -> DataFrame:
+def telling(docs: DataFrame, every: DataFrame, base: str, text_col: str = "text") -> DataFrame:
     """(__row, __told): for each row, the terms that tell at least GENERALISE of the information of an entity it holds, with the largest share told.
-    rows: those of found(docs) that hold an entity."""
+    every: the rows of found(docs)."""
+    rows = every.where(holds())
     n = float(max(docs.count(), 1))
     entity = F.array_distinct(F.flatten(F.array(*[F.transform(f"__found.{k}", lambda x: x["v"]) for k in PATTERNS])))
     own = rows.select(F.col("__row").alias("row"), F.explode(entity).alias("entity"))
@@ -135,7 +137,8 @@ def telling(docs: DataFrame, rows: DataFrame, base: str, text_col: str = "text")
     own = written(own.join(n_e, "entity"), f"{base}/entities")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
-    n_t = written(docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), f"{base}/counts")
+    numbers = every.where(F.size("__found.more") > 0).select(F.explode(F.array_distinct(F.transform("__found.more", lambda x: x["v"]))).alias("term"))
+    n_t = written(docs.select(F.explode(words).alias("term")).unionAll(numbers).groupBy("term").agg(F.count("*").alias("n_t")), f"{base}/counts")
     #: The largest n_t with which a term can tell GENERALISE of an entity in n_e documents; the factor is for rounding.
     most = lambda n_e: F.pow(n_e / n, F.lit(GENERALISE)) * n * (1 + 1e-9)
     widest = own.agg(F.coalesce(F.max(most(F.col("n_e"))), F.lit(0.0)).alias("x")).first()["x"]
@@ -173,9 +176,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base = scratch(docs.sparkSession, "pii")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(found(own).select("doc_id", "__row", "__found", "__terms"), f"{base}/found")
-    terms = telling(own, rows.where(holds()), base)
+    terms = telling(own, rows, base)
     basic = F.concat(*[_plain(F.col(f"__found.{k}")) for k in PATTERNS])
-    more = F.concat(_plain(F.col("__found.more")), F.transform(told_places(), lambda w: F.struct(F.lit(TERM).alias("k"), w["s"].alias("s"), w["e"].alias("e"))))
+    more = F.transform(told_places(), lambda w: F.struct(F.lit(TERM).alias("k"), w["s"].alias("s"), w["e"].alias("e")))
     out = rows.join(terms, "__row", "left").withColumn("__basic", F.sort_array(basic))
     counts = [F.size(f"__found.{k}").cast("long").alias(f"n_{k}") for k in PATTERNS]
     return out.select("doc_id", *counts, F.sha2(_spelled(F.col("__basic")).cast("binary"), 256).alias("base_sha256"), _spelled(F.concat("__basic", F.sort_array(F.array_distinct(more)))).alias("spans"))
@@ -198,20 +201,20 @@ def _rewritten(text: Column, every: Column) -> Column:
 
 
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with entities replaced by their kind, telling terms generalised to [TERM] or removed, and columns as they are.  Only rows with an entity
+    """docs with entities replaced by their kind, telling terms generalised to [TERM] or removed (strings of digits: replaced by [NUMBER]), and columns as they are.  Only rows with an entity
     meet the terms in a join."""
     base = scratch(docs.sparkSession, "pii-text")
     columns = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     text = f"c{columns.index(text_col)}"
     rows = written(found(renamed, text).drop("__text"), f"{base}/found")
-    terms = telling(rows.select(text), rows.where(holds()), base, text)
-    name = lambda w: F.when(F.element_at("__told", w["v"]) >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]"))
+    terms = telling(rows.select(text), rows, base, text)
+    name = lambda w: F.when(F.startswith(w["v"], F.lit("#")), F.lit("[NUMBER]")).when(F.element_at("__told", w["v"]) >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]"))
     placed = F.transform(told_places(), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), name(w).alias("name")))
     labelled = lambda k, label: F.transform(F.col(f"__found.{k}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(label).alias("name")))
-    basic = [*[labelled(k, f"[{k.upper()}]") for k in PATTERNS], labelled("more", "[NUMBER]")]
+    basic = [labelled(k, f"[{k.upper()}]") for k in PATTERNS]
     with_terms = rows.where(holds()).join(terms, "__row", "left")
     some = with_terms.withColumn(text, _rewritten(F.col(text), F.concat(*basic, placed)))
-    rest = rows.where(~holds()).withColumn(text, F.when(F.size("__found.more") > 0, _rewritten(F.col(text), F.concat(*basic))).otherwise(F.col(text)))
+    rest = rows.where(~holds())
     keep = [f"c{i}" for i in range(len(columns))]
     return some.select(keep).unionAll(rest.select(keep)).toDF(*columns)

@@ -162,6 +162,18 @@ def test_rare_terms_of_rare_entities_go_wherever_they_stand(spark):
     assert spans[0].count("term:") == 2 and spans[2].count("term:") == 1 and spans[1] == ""
 
 
+def test_long_numbers_are_terms(spark):
+    rows = [(0, "years 2019 2020 2021 of a clean text"), (1, "solo@corp.example has account 123 456 789 and years 2019 2020 2021"), (2, "account 123456788 of nobody")]
+    rows += [(100 + i, "has years of account 2019 2020 2021 and a clean text of nobody") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert out[0] == rows[0][1] and out[2] == rows[2][1] and out[100] == rows[-1][1]
+    assert out[1] == "[EMAIL] has account [NUMBER] and years 2019 2020 2021"
+    spans = {r["doc_id"]: r["spans"] for r in pii.spans(df).collect()}
+    at = rows[1][1].index("123")
+    assert spans[0] == spans[2] == "" and spans[1].endswith(f",term:{at}:{at + 11}")
+
+
 def test_every_training_id_is_a_target_once(spark):
     path = tokenizer("word_bpe_49k.json")
     rows = [(i, " ".join(f"word{k}" for k in range(n))) for i, n in enumerate((0, 1, 3, 15, 16, 23, 24, 40, 500))] + [(None, None)]
