@@ -267,8 +267,8 @@ query("det_rshash_kernel", lambda s, d: rounded(run_batch(embeddings(s, d, 4), V
 # --- kernels ------------------------------------------------------------------------------------------------------------------------------------------------
 
 
-def _on_vectors(name: str, kernel: Callable[[], K.Kernel], dims: int = 8) -> None:
-    query(f"det_{name}", lambda s, d: rounded(run_batch(embeddings(s, d, dims), VECTORS, kernel(), features="features"), "score", keep=["vec_id"]))
+def _on_vectors(name: str, kernel: Callable[[], K.Kernel]) -> None:
+    query(f"det_{name}", lambda s, d: rounded(run_batch(embeddings(s, d), VECTORS, kernel(), features="features"), "score", keep=["vec_id"]))
 
 
 def _on_values(name: str, kernel: Callable[[], K.Kernel]) -> None:
@@ -308,25 +308,25 @@ def _first_rows(df: DataFrame, n: int) -> np.ndarray:
 
 
 def _loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = embeddings(spark, sf_dir, 8)
+    df = embeddings(spark, sf_dir)
     return rounded(R.local_outlier_probability(df, "features", _first_rows(df, 100)), "score", keep=["vec_id"])
 
 
 def _one_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = embeddings(spark, sf_dir, 8)
+    df = embeddings(spark, sf_dir)
     return rounded(R.one_fit(df, "features", K.IsolationForest(50, 64), _first_rows(df, 100)), "score", keep=["vec_id"])
 
 
 def _initial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = embeddings(spark, sf_dir, 8)
+    df = embeddings(spark, sf_dir)
     return rounded(R.monitor(df, VECTORS, "features", K.IsolationForest(20, 64), 120, 30, _first_rows(df, 100)), "score", keep=["vec_id"])
 
 
 query("det_loop", _loop)
 query("int_onefit", _one_fit)
-query("int_refwindow", lambda s, d: rounded(R.monitor(embeddings(s, d, 8), VECTORS, "features", K.IsolationForest(20, 64), 60, 20), "score", keep=["vec_id"]))
+query("int_refwindow", lambda s, d: rounded(R.monitor(embeddings(s, d), VECTORS, "features", K.IsolationForest(20, 64), 60, 20), "score", keep=["vec_id"]))
 query("int_refwindow_initial", _initial)
-query("det_iforestasd", lambda s, d: rounded(R.iforest_asd(embeddings(s, d, 8), VECTORS, "features", 64, K.IsolationForest(20, 64)), "score", keep=["vec_id"]))
+query("det_iforestasd", lambda s, d: rounded(R.iforest_asd(embeddings(s, d), VECTORS, "features", 64, K.IsolationForest(20, 64)), "score", keep=["vec_id"]))
 query("fit_then_score", lambda s, d: rounded(fit_then_score(events(s, d).where("event_id % 2 = 0"), events(s, d).where("event_id % 2 = 1"), USERS, K.MedianAbsoluteDeviation(), value="value"), "score", keep=["event_id", "user_id"]))
 
 
@@ -337,7 +337,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         Sequential(K.XStream(16, 20, 8, 25), features="features"),
         Columns(lambda df: S.running_average(df, VECTORS, "score", 5, "post")),
     ]
-    return rounded(Pipeline(VECTORS, steps).run(embeddings(spark, sf_dir, 8)), "score", "post", keep=["vec_id", "label"])
+    return rounded(Pipeline(VECTORS, steps).run(embeddings(spark, sf_dir)), "score", "post", keep=["vec_id", "label"])
 
 
 query("pipeline_vectors", _pipeline)

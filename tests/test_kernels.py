@@ -286,3 +286,16 @@ def test_arrays(spark):
     with pytest.raises(AssertionError):
         readers.from_arrays(spark, x, [0, 1])
     assert readers.from_arrays(spark, x, None, True, 3).count() == 4
+
+
+@pytest.mark.parametrize("name", ["det_xstream", "det_loda", "det_rrcf", "det_kitnet", "det_inqmad", "det_loop", "int_onefit", "int_refwindow", "int_refwindow_initial", "det_iforestasd", "pipeline_vectors"])
+def test_vector_queries_read_all_dimensions(spark, tmp_path, name):
+    from skerry import queries
+
+    own = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").limit(200)
+    tail = F.transform(F.slice("embedding", 9, 56), lambda x, i: F.when((F.col("vec_id") % 7 + i) % 2 == 0, -x).otherwise(x))
+    found = []
+    for k, df in enumerate((own, own.withColumn("embedding", F.concat(F.slice("embedding", 1, 8), tail).cast(own.schema["embedding"].dataType)))):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{k}/embeddings.parquet")
+        found.append(sorted((r["vec_id"], r["score"]) for r in queries.queries()[name](spark, f"{tmp_path}/{k}").collect()))
+    assert len(found[0]) == own.count() and found[0] != found[1]
