@@ -7,8 +7,8 @@ posteriors are broadcast.
 
 Words are `[^\\x20\\x09-\\x0D]+`.  Repeated 3-word windows are found by sorting 64-bit hashes with their positions within a document.
 
-Defined cases: null and wordless texts have no words and fail the base rules; rows, nulls and repeats are kept one for one and count in the estimates; an empty table
-gives an empty result; other columns are not read.
+Defined cases: null and wordless texts have no words and fail the base rules; rows, nulls and repeats are kept one for one, and those
+that pass the base rules count in the estimates, as in the SQL; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
