@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..cluster import ship
 
@@ -43,6 +44,16 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def joined_apart(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """left.join(right, key, how), "left" or "inner", where right has a row for each key at most and left is a table.  Keys of more than one in 1,000 of left's rows, of
+    which there are 1,000 at most, meet their rows in a broadcast join; so no key crowds a task of the shuffled one."""
+    often = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col(key).isNotNull() & (F.col("__n") > left.count() / 1000)).select(F.col(key).alias("__key"))
+    often = written(often, scratch(left.sparkSession, "often"))
+    hot = right.join(F.broadcast(often), F.col(key) == F.col("__key"), "left_semi")
+    others = left.join(F.broadcast(often), F.col(key) == F.col("__key"), "left_anti")
+    return left.join(F.broadcast(often), F.col(key) == F.col("__key"), "left_semi").join(F.broadcast(hot), key, how).unionByName(others.join(right, key, how))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Whole texts as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -17,7 +17,6 @@ leaf, and identical rows get successive starts; an empty table gives an empty st
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 
 import numpy as np
@@ -25,71 +24,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PieceCache, removed, scratch, slices, utf8
+from .common import joined_apart, removed, scratch, slices, utf8, written
+from .pieces import encoder, powers
 
 WINDOW, AVERAGE, LEAST, MOST = 16, 256, 64, 1024
 DIGEST = 16
-MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-#: Pieces without apostrophes (contractions) and "<" (special tokens), and their pre-tokens in lower case.
-PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-PRE_TOKENS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-
-_encoders: dict[str, PieceCache] = {}
-_powers: list[np.ndarray] = []
-
-
-def encoder(path: str) -> PieceCache:
-    """Pieces between ASCII white space -> ids as uint16 bytes.  The tokenizer drops white space, normalises (NFC, lower case) and merges within
-    pre-tokens only, and white space ends a pre-token and composes with nothing, so pieces encode alone as they do in their text.  Pieces of printable ASCII and
-    Latin-1 letters, which NFC leaves alone, are cut into their pre-tokens here and merged by the tokenizer's model; the whole tokenizer gets the others."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        if whole.get_vocab_size() > 1 << 16:
-            raise ValueError("ids do not fit 16 bits")
-        merge = whole.model.tokenize
-        raw = [k.to_bytes(2, "little") for k in range(1 << 16)]
-        letter = byte_letters()
-        one = lambda w: b"".join([raw[t.id] for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(letter))])
-        words = PieceCache(one)
-
-        def encode(piece: bytes) -> bytes:
-            text = piece.decode()
-            if PLAIN.fullmatch(text):
-                parts = PRE_TOKENS.findall(text.lower())
-                if len(parts) == 1:  # is held as a piece
-                    return words.get(parts[0]) or one(parts[0])
-                return b"".join(map(words.__getitem__, parts))
-            return b"".join([raw[k] for k in whole.encode(text, add_special_tokens=False).ids])
-
-        _encoders[path] = PieceCache(encode)
-    return _encoders[path]
-
-
-def byte_letters() -> dict[int, str]:
-    """The printable characters that stand for bytes in byte-level vocabularies: the byte's own in Latin-1 where that is printable, else the next from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return dict(zip((b for b in range(256) if b not in plain), map(chr, range(256, 512))))
-
 
 def encode_text(text: bytes, path: str, end: int | None = None) -> np.ndarray:
     """The ids of a whole text, as the tokenizer's encode without special tokens gives them, then the end id."""
-    raw = b"".join(map(encoder(path).__getitem__, text.split()))
-    return np.frombuffer(raw if end is None else raw + end.to_bytes(2, "little"), "<u2")
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of MULTIPLIER and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, m, np.uint64)]), dtype=np.uint64) for m in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))]
-    return _powers[0][:n], _powers[1][:n]
+    ids = encoder(path).encode([text])[0]
+    return ids if end is None else np.append(ids, np.uint16(end))
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """At each position the polynomial hash of the last WINDOW ids (fewer at the start), from prefix sums modulo 2**64."""
-    up, down = _grown(len(ids))
+    up, down = powers(len(ids))
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
     sums = np.cumsum(mixed * down, dtype=np.uint64)
@@ -149,10 +98,12 @@ def staged(docs: DataFrame, path: str, end: int, id_col: str, text_col: str) ->
     """(doc_id, n_tokens, leaf, chunks, payload): the documents' ids, cut; equal chunks are not yet met across documents."""
 
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             n_tokens, leaves, names, payload = [], [], [], []
-            for text in utf8(part.column(1)):
-                ids = encode_text(text, path, end)
+            every, sizes = encoder(path).encode(utf8(part.column(1)))
+            ends = np.cumsum(sizes)
+            every = np.insert(every, ends, np.uint16(end))
+            for ids in np.split(every, (ends + np.arange(1, len(ends) + 1))[:-1]):
                 raw, at, own = ids.tobytes(), 0, []
                 for to in cuts(ids):
                     own.append(raw[2 * at : 2 * to])
@@ -266,8 +217,9 @@ def read_back(spark: SparkSession, store: str) -> DataFrame:
     recipes = recipes.mapInArrow(leaves, "segment int, doc_id long, n_tokens long, leaf binary, chunks array<binary>, sound_leaf boolean")
 
     # Documents with equal leaves have equal ids: each distinct leaf is put together once.
-    distinct = recipes.groupBy("leaf").agg(F.first("chunks").alias("chunks"), F.first("n_tokens").alias("n_tokens"), F.min("sound_leaf").alias("sound_leaf"))
-    placed = distinct.select("leaf", "n_tokens", "sound_leaf", F.posexplode("chunks").alias("at", "digest")).join(chunks, "digest", "left")
+    base = scratch(spark, "token-store-read")
+    distinct = written(recipes.groupBy("leaf").agg(F.first("chunks").alias("chunks"), F.first("n_tokens").alias("n_tokens"), F.min("sound_leaf").alias("sound_leaf")).select("leaf", "n_tokens", "sound_leaf", F.posexplode("chunks").alias("at", "digest")), f"{base}/placed")
+    placed = joined_apart(distinct, chunks, "digest")
     # Bytes behind a chunk follow from the lengths before it, by order of position.
     w = Window.partitionBy("leaf").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("leaf", "n_tokens", F.coalesce("sound", F.lit(False)).alias("sound"), "sound_leaf", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"), (4 * F.coalesce(F.sum("n").over(w), F.lit(0))).cast("long").alias("after"))
@@ -277,8 +229,9 @@ def read_back(spark: SparkSession, store: str) -> DataFrame:
     order = Window.partitionBy("segment").orderBy("doc_id", "leaf").rowsBetween(Window.unboundedPreceding, -1)
     plain = spark.read.parquet(f"{store}/recipes").select("segment", "doc_id", "n_tokens", "leaf")
     rows = plain.join(F.broadcast(compared(plain, spark.read.parquet(f"{store}/manifest"))), "segment")
-    rows = rows.select("doc_id", "leaf", "n_tokens", "sound_segment", (F.col("start") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).cast("long").alias("start"))
-    return rows.join(by_leaf, "leaf", "left").select("doc_id", "start", "n_tokens", F.coalesce("ids_crc32", F.lit(0)).cast("long").alias("ids_crc32"), (F.coalesce("verified", F.lit(False)) & F.col("sound_segment")).alias("verified"))
+    rows = written(rows.select("doc_id", "leaf", "n_tokens", "sound_segment", (F.col("start") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).cast("long").alias("start")), f"{base}/rows")
+    rows = joined_apart(rows, written(by_leaf, f"{base}/leaves"), "leaf")
+    return rows.select("doc_id", "start", "n_tokens", F.coalesce("ids_crc32", F.lit(0)).cast("long").alias("ids_crc32"), (F.coalesce("verified", F.lit(False)) & F.col("sound_segment")).alias("verified"))
 
 
 def documents_of(spark: SparkSession, store: str, wanted: Column | None = None) -> DataFrame:
