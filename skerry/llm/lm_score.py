@@ -1,54 +1,80 @@
 """Language-model scores: a causal self-attention model in numpy on the subword ids of a public tokenizer, beside a unigram base score on words.
 
-Tokens of the base score are words `[^\\x20\\x09-\\x0D]+` of texts lower-cased A-Z, and one end per text.  The model reads the words' subword ids.  Its probability
-of an id is P(class | the ids before it) by attention, times P(id | class, the id before it in the same word) by counts.  Classes are clusters of ids by what comes
-before them.  So the attention's output is small, the probabilities of all ids add up to one, and every text has a score.  A training word's probability is mixed
-with its share among the training tokens.
+Tokens are words `[^\\x20\\x09-\\x0D]+` of texts lower-cased A-Z, and one end per text.  The attention reads the first and last subword ids of the words before a token, and the model gives
 
-Learning covers all training documents: word counts are a distributed aggregate, subword counts follow from them exactly, and the training examples are the blocks that
-scoring uses, so that each id of each training document is a target once in every round.  The attention is trained by rounds of local Adam in every partition
-and an average of the parameters weighted by examples; a partition streams its examples.  Only the model, whose size is fixed, meets at the driver.
+    P(token) = P(class | what comes before, by attention) * ((c - D) / N  +  D V / N * P(spelling | class)).
 
-Scoring cuts texts into blocks of STRIDE ids; a block's ids are scored once, and see those before them in their own and in the preceding block.
+The class of a word is that of its first subword id: first ids are clustered by what comes before them; the end and all rare first ids have a class each.  c is the word's
+count among the training tokens, N and V are the class's tokens and distinct words, and D is the discount of Kneser and Ney.  A spelling is a first id, ids that depend on
+the id before them, a stop, and which of the words with these ids it is: the plain one, the one with a capital first letter beyond ASCII, or another, by its bytes.
+So the probabilities of all tokens add up to one at most: what is missing are id sequences that the tokenizer never makes.
+
+Learning covers all training documents.  Word counts are a distributed aggregate, subword counts follow from them exactly, and embeddings of subword ids and classes come
+from counts of which ids follow which.  The attention is trained on every token of every training document: documents are dealt by a hash of id and text into rounds and
+shards, whose number depends on the corpus and not on the cluster; a shard is trained by Adam in the order of the hash, and the shards of a round meet in their
+average, weighted by tokens.  Only the model, whose size is fixed, meets at the driver.
+
+Scoring cuts texts into blocks of STRIDE tokens; a block's tokens are scored once, and see those before them in their own and in the preceding block.
 
 Word counts are joined to documents in two ways that together cover every word: the HEAD most frequent words at most are broadcast, and the others meet their
-documents in a shuffled join, with the log probability of each occurrence.
+documents in a shuffled join, with the log probability of the spelling.
 
 Defined cases: null counts as empty: one end; a null doc_id is never held out; rows and repeats are kept one for one; without training documents all counts are 0 and the
-model is uniform over classes; an empty table gives an empty result; other columns are not read.
+model knows classes and spellings by their floors alone; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+import unicodedata
 import zlib
-from collections import Counter
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, utf8, written
+from .common import removed, scratch, slices, utf8, written
+from .pieces import distinct_words, encoder
 from .simhash import UPPER
-from .token_store import encoder
 
-STRIDE, WIDTH, CLASSES, TOP, HEAD = 16, 16, 64, 1024, 200_000
-ROUNDS, BATCH, STEP = 4, 64, 0.01
-IDS, END = 49_408, 49_407
+STRIDE, WIDTH, CLASSES, TOP, HEAD = 16, 16, 32, 1024, 200_000
+ROUNDS, BATCH, STEP = 2, 128, 0.02
+#: Tokens of a shard, as far as there are at most MOST_SHARDS in a round.
+SHARD, MOST_SHARDS = 1_000_000, 10_000
+END, NONE, IDS = 49_407, 49_408, 49_409  # the end of a text; what stands for the ids of words without any
 FOLDS, HELD_OUT = 7, 2
-PAD = 65_535
-BETA, FLOOR, KAPPA = 2.0, 0.05, 4.0
-#: Weight of whole words' shares among training tokens, against the model of their subwords.
-MIX = 0.25
+BETA, FLOOR = 2.0, 0.05
+PLAIN, CAPITAL, BYTES = range(3)
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(UPPER).split()
+def variant(word: bytes) -> int:
+    """Which of the words with the same ids this is."""
+    s = word.decode()
+    if not unicodedata.is_normalized("NFC", s) or s.split() != [s]:
+        return BYTES
+    if s == s.lower():
+        return PLAIN
+    first = s[0].lower()
+    return CAPITAL if s[1:] == s[1:].lower() and len(first) == 1 and first.upper() == s[0] else BYTES
+
+
+def variants(words: list[bytes]) -> np.ndarray:
+    """PLAIN, CAPITAL, or BYTES and the number of bytes."""
+    kinds = [PLAIN if w.isascii() else variant(w) for w in words]
+    return np.array([k if k < BYTES else k + len(w) for k, w in zip(kinds, words)], np.int32)
+
+
+def ids_of(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, one word behind the other, and their numbers; NONE for a word without ids (white space beyond ASCII)."""
+    ids, sizes = encoder(path).encode(words)
+    if len(sizes) and not sizes.all():
+        ids = np.insert(ids, (np.cumsum(sizes) - sizes)[sizes == 0], np.uint16(NONE))
+    return ids, np.maximum(sizes, 1)
 
 
 # --- counts over all training documents ---------------------------------------------------------------------------------------------------------------
@@ -58,17 +84,18 @@ def word_counts(own: DataFrame) -> DataFrame:
     """(word, c) of the training documents; the end is the empty word."""
 
     def run(batches):
-        held = Counter()
+        held: dict[bytes, int] = {}
 
         def flush():
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
             held.clear()
 
-        for part in slices(batches, "text"):
-            for key, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                if not held_out(key):
-                    held.update(words_of(text))
-                    held[b""] += 1
+        for part in slices(batches, "text", 4 << 20):
+            texts = [t.translate(UPPER) for key, t in zip(part.column(0).to_pylist(), utf8(part.column(1))) if not held_out(key)]
+            words, at, _ = distinct_words(texts)
+            for w, n in zip([*words, b""], [*np.bincount(at, minlength=len(words)).tolist(), len(texts)]):
+                if n:
+                    held[w] = held.get(w, 0) + n
             if len(held) > 400_000:
                 yield from flush()
         if held:
@@ -77,78 +104,183 @@ def word_counts(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+#: What subword_counts() counts: tokens and distinct words by first id, distinct words and tokens by other ids, pairs of neighbours (first * 65536 + second), last ids,
+#: variants, and how many words occur once and twice.
+STARTS, TYPES, INNER, INNER_TOKENS, PAIRS, LAST, VARIANTS, TIMES = range(8)
+
+
 def subword_counts(vocabulary: DataFrame, path: str) -> DataFrame:
-    """(kind, key, n): ids that start a word (0), other ids (1), and pairs of ids within a word (2; first * 65536 + second), over all training words."""
+    """(kind, key, n) over all training words, each of which comes once."""
 
     def run(batches):
-        encode = encoder(path).encode  # every word comes once
         for batch in batches:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            raw = [encode(w) for w in words]
-            size = np.array([len(r) // 2 for r in raw])
-            ids = np.frombuffer(b"".join(raw), "<u2").astype(np.int64)
-            weight = np.repeat(c, size).astype(float)
+            if not words:
+                continue
+            ids, size = ids_of(words, path)
+            ids = ids.astype(np.int64)
             first = np.zeros(len(ids), bool)
-            first[(np.cumsum(size) - size)[size > 0]] = True
-            out = [np.bincount(ids[m], weight[m], IDS) for m in (first, ~first)]
-            pairs, at = np.unique(ids[:-1][~first[1:]] * 65536 + ids[1:][~first[1:]], return_inverse=True)
-            n = np.bincount(at, weight[1:][~first[1:]], len(pairs))
-            keys = [np.flatnonzero(x) for x in out]
-            kind = np.repeat(np.arange(3, dtype=np.int32), [len(keys[0]), len(keys[1]), len(pairs)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([*keys, pairs]).astype(np.int64)), pa.array(np.concatenate([out[0][keys[0]], out[1][keys[1]], n]).astype(np.int64))], ["kind", "key", "n"])
+            first[np.cumsum(size) - size] = True
+            last = np.append(first[1:], True)
+            weight = np.repeat(c, size)
+            inner = ~first
+            pairs = ids[:-1][inner[1:]] * 65536 + ids[1:][inner[1:]]
+            parts = [(STARTS, ids[first], c), (TYPES, ids[first], None), (INNER, ids[inner], None), (INNER_TOKENS, ids[inner], weight[inner]), (PAIRS, pairs, None), (LAST, ids[last], None), (VARIANTS, np.minimum(variants(words), BYTES).astype(np.int64), None), (TIMES, np.minimum(c, 3), None)]
+            out = []
+            for kind, keys, w in parts:
+                keys, at = np.unique(keys, return_inverse=True)
+                out.append((np.full(len(keys), kind, np.int32), keys, np.bincount(at, w, len(keys)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["kind", "key", "n"])
 
     return vocabulary.select("word", "c").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def windows(own: DataFrame, path: str) -> DataFrame:
-    """(ids): all ids of each training document, and the end; blocks() makes training examples of them."""
+# --- documents as ids ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def prepared(own: DataFrame, path: str, known: dict[bytes, int], n_shards: int) -> DataFrame:
+    """For each row: doc_id, held_out, n_tokens; n_known and sums (of log10(c + 1)) over the known words; ids, sizes (ids of each word), counts (0: not known) and variants
+    of all words; rest: the words that are not known, with the place of one of them and how many there are; and the training shard (null: held out)."""
+    shared = own.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        encode, end = encoder(path), END.to_bytes(2, "little")
-        for part in slices(batches, "text"):
-            out = [b"".join(map(encode.__getitem__, words_of(text))) + end for key, text in zip(part.column(0).to_pylist(), utf8(part.column(1))) if not held_out(key)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
+        for part in slices(batches, "text", 2 << 20):
+            keys, texts = part.column(0).to_pylist(), [t.translate(UPPER) for t in utf8(part.column(1))]
+            words, at, n_words = distinct_words(texts)
+            ids, sizes = ids_of(words, path)
+            get = shared.value.get
+            c = np.array([get(w, 0) for w in words], np.int64)[at]
+            kind = variants(words)[at]
+            own_size = sizes[at]
+            ends = np.cumsum(own_size)
+            every = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own_size), own_size) + np.arange(len(at) and int(ends[-1]))]
+            to = np.cumsum(n_words)
+            text = np.repeat(np.arange(len(texts)), n_words)
+            id_to = np.append(0, ends)[to]
+            logs = np.append(0, np.cumsum(np.log10(c + 1.0)))
+            n_known = np.append(0, np.cumsum(c > 0))
+            free = np.flatnonzero(c == 0)
+            pair, place, n = np.unique(text[free] * (len(words) + 1) + at[free], return_index=True, return_counts=True)
+            place = free[place]
+            ahead = to - n_words
+            rest = pa.StructArray.from_arrays([pa.array([words[i] for i in at[place].tolist()], pa.binary()), pa.array(place - ahead[text[place]], pa.int64()), pa.array(n, pa.int64())], ["word", "at", "n"])
+            offsets = np.append(0, np.cumsum(np.bincount(pair // (len(words) + 1), minlength=len(texts))))
+
+            def cut(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+                return pa.array([x[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())], pa.binary())
 
-    return own.mapInArrow(run, "ids binary")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array(map(held_out, keys), pa.bool_()),
+                    pa.array(n_words + 1, pa.int64()),
+                    pa.array(n_known[to] - n_known[ahead], pa.int64()),
+                    pa.array(logs[to] - logs[ahead], pa.float64()),
+                    cut(every.astype("<u2"), id_to),
+                    cut(own_size.astype("<u4"), to),
+                    cut(c.astype("<i8"), to),
+                    cut(kind.astype("<i4"), to),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest),
+                    *part.columns[2:],
+                ],
+                NAMES,
+            )
 
+    h = F.xxhash64("doc_id", "text")
+    rows = own.select("doc_id", "text", h.alias("h"))
+    out = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, ids binary, sizes binary, counts binary, variants binary, rest array<struct<word:binary,at:long,n:long>>, h long")
+    return out.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.when(~F.col("held_out"), F.pmod("h", F.lit(n_shards * ROUNDS)))).withColumn("round", F.coalesce(F.col("shard") % ROUNDS, F.lit(-1)).cast("int"))
+
+
+NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "sums", "ids", "sizes", "counts", "variants", "rest", "h"]
+
+
+class Texts:
+    """Rows of prepared() as flat arrays: the words' ids, and for each token (words and ends) where it stands in blocks of STRIDE."""
+
+    def __init__(self, ids: list[bytes], sizes: list[bytes]):
+        self.ids = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
+        self.sizes = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.n_words = np.array([len(s) // 4 for s in sizes], np.int64)
+        self.first, self.last = self.ids[self.at], self.ids[self.at + self.sizes - 1]
+        n_tokens = self.n_words + 1
+        self.starts = np.cumsum(n_tokens) - n_tokens
+        self.is_end = np.zeros(int(n_tokens.sum()), bool)
+        self.is_end[self.starts + self.n_words] = True
+        blocks = -(-n_tokens // STRIDE)
+        begin = np.cumsum(blocks) - blocks
+        self.n_blocks = int(blocks.sum())
+        self.place = np.arange(len(self.is_end)) + np.repeat(begin * STRIDE - self.starts, n_tokens)
+        self.opens = np.zeros(self.n_blocks, bool)
+        self.opens[begin] = True
+
+    def targets(self, cls: np.ndarray) -> np.ndarray:
+        """Class of each token."""
+        out = np.full(len(self.is_end), cls[END], np.int64)
+        out[~self.is_end] = cls[self.first]
+        return out
 
-def blocks(texts: list[bytes]) -> np.ndarray:
-    """Training examples: 2 * STRIDE + 1 ids, of which the last STRIDE are to be told from those before them; PAD where there is none.  The targets of a text's
-    examples are its ids, each once."""
-    size = np.array([len(t) // 2 for t in texts], np.int64)
-    n = -(-size // STRIDE)
-    room = np.where(n > 0, STRIDE + 1 + n * STRIDE, 0)
-    start = np.cumsum(room) - room
-    flat = np.full(int(room.sum()), PAD, "<u2")
-    flat[np.arange(size.sum()) + np.repeat(start + STRIDE + 1 - (np.cumsum(size) - size), size)] = np.frombuffer(b"".join(texts), "<u2")
-    first = np.repeat(start - (np.cumsum(n) - n) * STRIDE, n) + np.arange(n.sum()) * STRIDE
-    return flat[first[:, None] + np.arange(2 * STRIDE + 1)]
+    def inputs(self) -> np.ndarray:
+        """(blocks, STRIDE): for each place the number of the word before its token, from 0; n words: the text's start; n + 1: no token."""
+        n = len(self.at)
+        before = np.full(len(self.is_end), n, np.int64)
+        inner = np.ones(len(before), bool)
+        inner[self.starts] = False
+        before[inner] = np.arange(n)  # the tokens behind a text's first come behind its words, one by one
+        out = np.full(self.n_blocks * STRIDE, n + 1, np.int64)
+        out[self.place] = before
+        return out.reshape(-1, STRIDE)
+
+    def blocks(self, per_token: np.ndarray, fill) -> np.ndarray:
+        out = np.full(self.n_blocks * STRIDE, fill, per_token.dtype)
+        out[self.place] = per_token
+        return out.reshape(-1, STRIDE)
+
+    def vectors(self, compact: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The mean of the vectors of each word's first and last ids; then the start's, and zero."""
+        out = np.empty((len(self.at) + 2, table.shape[1]), np.float32)
+        out[:-2] = np.take(table, compact[self.first], axis=0)
+        out[:-2] += np.take(table, compact[self.last], axis=0)
+        out[:-2] /= 2
+        out[-2], out[-1] = table[TOP + 1], 0
+        return out
 
 
-def neighbours(examples: DataFrame, compact: np.ndarray) -> np.ndarray:
-    """For each input number, how often each comes one place (first half of the columns) and two places before it."""
+def neighbours(rows: DataFrame, compact: np.ndarray) -> np.ndarray:
+    """How often a token that starts with b comes behind a word whose first or last id is a: (a, b) are compact numbers; a = TOP + 1 is the text's start, b = TOP + 1 its end."""
     size = TOP + 2
 
     def run(batches):
-        total = np.zeros(2 * size * size, np.int64)
+        total = np.zeros(size * size, np.int64)
         for part in slices(batches, "ids", 2 << 20):
-            x = compact[blocks(part.column(0).to_pylist())].astype(np.int64)
-            for k in (1, 2):
-                total += np.bincount((x[:, STRIDE + 1 :] * 2 * size + (k - 1) * size + x[:, STRIDE + 1 - k : -k]).ravel(), minlength=len(total))
+            t = Texts(part.column(0).to_pylist(), part.column(1).to_pylist())
+            token = np.full(len(t.is_end), TOP + 1, np.int64)
+            token[~t.is_end] = compact[t.first]
+            behind = token[np.flatnonzero(~t.is_end) + 1]
+            for a in (t.first, t.last):
+                total += np.bincount(compact[a] * size + behind, minlength=len(total))
+            total += np.bincount((TOP + 1) * size + token[t.starts], minlength=len(total))
         keys = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], ["key", "n"])
 
-    found = examples.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * size**2 rows
-    out = np.zeros(2 * size * size)
+    found = rows.select("ids", "sizes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most size**2 rows
+    out = np.zeros(size * size)
     out[found["key"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(size, 2 * size)
+    return out.reshape(size, size)
 
 
-def clusters(before: np.ndarray, weight: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
-    """k-means of ids by the distribution of what comes before them (its square root, in its main directions)."""
-    x = np.sqrt(before / np.maximum(before.sum(1, keepdims=True), 1))
+def directions(counts: np.ndarray, d: int) -> np.ndarray:
+    """Rows of counts in the main directions of the roots of their shares."""
+    x = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
     u, s, _ = np.linalg.svd(x, full_matrices=False)
-    x = u[:, :24] * s[:24]
+    sign = np.sign(u[np.abs(u).argmax(0), np.arange(u.shape[1])])
+    return (u * np.where(sign == 0, 1, sign))[:, :d] * s[:d]
+
+
+def clusters(before: np.ndarray, weight: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
+    """k-means of ids by the distribution of what comes before them."""
+    x = directions(before, 24)
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), n, replace=False, p=(weight + 1) / (weight + 1).sum())]
     for _ in range(30):
@@ -162,89 +294,92 @@ def clusters(before: np.ndarray, weight: np.ndarray, n: int, seed: int = 1) -> n
 # --- the attention ------------------------------------------------------------------------------------------------------------------------------------
 
 
-def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sums of the rows at each of n places."""
-    d = rows.shape[1]
-    return np.bincount((at.reshape(-1, 1) * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(rows.dtype)
+def added(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which stays; a product with ones is faster than a sum."""
+    return x @ np.ones((x.shape[-1], 1), x.dtype)
 
 
 class Attention:
-    """One causal head over the ids of a block and of the block before it.  Inputs are frequent ids, one number for all others, and one for the start."""
+    """One causal head over the tokens of a block and of the block before it: queries, keys, values and a residual of word vectors, a bias for each distance, and a
+    softmax over classes."""
 
-    NAMES = ("ids", "places", "q", "k", "v", "r", "b", "out", "last")
+    NAMES = ("q", "k", "v", "r", "lag", "b", "out", "share")
 
-    def __init__(self, last: np.ndarray, seed: int = 1):
-        """last: log probabilities of classes behind each input, from counts; where learning starts."""
-        rng = np.random.default_rng(seed)
-        d = WIDTH
+    def __init__(self, share: np.ndarray, seed: int = 1):
+        """share: log shares of the classes, where learning starts."""
+        rng, d = np.random.default_rng(seed), WIDTH
         small = lambda *shape: (rng.normal(size=shape) * d**-0.5).astype(np.float32)
-        self.p = {"ids": small(TOP + 2, d), "places": small(2 * STRIDE, d) * 0.3, "q": small(d, d), "k": small(d, d), "v": small(d, d), "r": small(d, d), "b": np.zeros(d, np.float32), "out": small(d, last.shape[1]) * 0.1, "last": last.astype(np.float32)}
-        causal = np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE
-        self.mask = np.where(causal, 0, -30).astype(np.float32)
-
-    def forward(self, x: np.ndarray, seen: np.ndarray):
-        """x: (n, 2 * STRIDE) input numbers; seen: which of them there are.  Log probabilities of classes for the last STRIDE places, and what the gradient needs."""
-        p = self.p
-        e = p["ids"][x] + p["places"]
-        c = e[:, STRIDE:]
+        self.p = {"q": small(d, d), "k": small(d, d), "v": small(d, d), "r": small(d, d), "lag": np.zeros(2 * STRIDE, np.float32), "b": np.zeros(d, np.float32), "out": small(d, len(share)) * 0.3, "share": share.astype(np.float32)}
+        self.far = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None]  # how far a key lies behind a query; negative: ahead
+
+    def forward(self, e: np.ndarray, opens: np.ndarray):
+        """e: (n, 2 * STRIDE, WIDTH) word vectors; opens: which blocks have none before them.  Log probabilities of classes for the last STRIDE places, and what the
+        gradient needs.  Exponents are kept in range by clipping."""
+        p, c = self.p, e[:, STRIDE:]
         q, k, v = c @ p["q"], e @ p["k"], e @ p["v"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + self.mask + np.where(seen, np.float32(0), np.float32(-30))[:, None, :]
-        a = np.exp(s - s.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
+        a = q @ k.transpose(0, 2, 1)
+        a *= np.float32(WIDTH**-0.5)
+        a += p["lag"][np.maximum(self.far, 0)]
+        np.exp(np.clip(a, -60, 60, out=a), out=a)
+        a *= self.far >= 0
+        a[opens, :, :STRIDE] = 0
+        a /= added(a)
         h = np.tanh(a @ v + c @ p["r"] + p["b"])
-        o = h @ p["out"] + p["last"][x[:, STRIDE:]]
-        o -= o.max(2, keepdims=True)
-        o -= np.log(np.exp(o).sum(2, keepdims=True))
-        return o, (e, c, q, k, v, a, h)
-
-    def log_p(self, x: np.ndarray, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log probabilities of target classes: forward() without what only the gradient needs.  Exponents are kept in range by clipping."""
-        p, n, d = self.p, len(x), WIDTH
-        e = np.take(p["ids"], x, axis=0)
-        e += p["places"]
-        c = np.ascontiguousarray(e[:, STRIDE:]).reshape(-1, d)
-        kv = (e.reshape(-1, d) @ np.concatenate([p["k"] * np.float32(d**-0.5), p["v"]], 1)).reshape(n, 2 * STRIDE, 2 * d)
-        s = (c @ p["q"]).reshape(n, STRIDE, d) @ kv[:, :, :d].transpose(0, 2, 1)
-        s += self.mask
-        s[~seen[:, 0], :, :STRIDE] = -30
-        np.exp(np.minimum(s, 60, out=s), out=s)
-        h = s @ kv[:, :, d:]
-        h /= s.sum(2, keepdims=True)
-        h = h.reshape(-1, d)
-        h += c @ p["r"]
-        h += p["b"]
-        o = np.tanh(h, out=h) @ p["out"]
-        o += np.take(p["last"], x[:, STRIDE:].ravel(), axis=0)
-        if self.loud():
-            np.minimum(o, 80, out=o)
-        own = o[np.arange(len(o)), target.ravel()]
-        return (own - np.log(np.exp(o, out=o).sum(1))).reshape(n, STRIDE)
-
-    def loud(self) -> bool:
-        """Whether exponents can leave the range of single precision; entries of the hidden layer are between -1 and 1."""
-        return np.abs(self.p["out"]).sum(0).max() + self.p["last"].max() > 80
-
-    def gradient(self, x: np.ndarray, seen: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+        o = h @ p["out"] + p["share"]
+        d = np.exp(np.clip(o, -80, 80, out=o))
+        z = added(d)
+        return o - np.log(z), (c, q, k, v, a, h, d / z)
+
+    def gradient(self, e: np.ndarray, opens: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of the real targets."""
-        p, (o, (e, c, q, k, v, a, h)) = self.p, self.forward(x, seen)
-        d = np.exp(o)
-        np.put_along_axis(d, target[:, :, None], np.take_along_axis(d, target[:, :, None], 2) - 1, 2)
-        d *= (real / max(real.sum(), 1)).astype(np.float32)[:, :, None]
+        p, (_, (c, q, k, v, a, h, d)) = self.p, self.forward(e, opens)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(h).T @ flat(d), "last": summed(x[:, STRIDE:], flat(d), len(p["last"]))}
+        rows = flat(d)
+        rows[np.arange(len(rows)), target.ravel()] -= 1
+        rows *= (real / max(real.sum(), 1)).astype(d.dtype).reshape(-1, 1)
+        g = {"out": flat(h).T @ rows, "share": rows.sum(0)}
         z = (d @ p["out"].T) * (1 - h * h)
         g["b"], g["r"] = flat(z).sum(0), flat(c).T @ flat(z)
-        dc = z @ p["r"].T
         da, dv = z @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ z
-        ds = a * (da - (a * da).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
+        ds = a * (da - added(a * da))
+        seen = self.far >= 0
+        g["lag"] = np.bincount(self.far[seen], ds.sum(0)[seen], 2 * STRIDE).astype(d.dtype)
+        ds *= np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         g["q"], g["k"], g["v"] = flat(c).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, STRIDE:] += dc + dq @ p["q"].T
-        g["places"] = de.sum(0)
-        g["ids"] = summed(x, flat(de), len(p["ids"]))
         return g
 
+    def log_p(self, vectors: np.ndarray, inputs: np.ndarray, opens: np.ndarray, target: np.ndarray, most: int = 256) -> np.ndarray:
+        """Log probabilities of target classes, block by block: forward() with what depends on one word alone computed once for each vector."""
+        p, d, n = self.p, WIDTH, len(inputs)
+        whole = vectors @ np.concatenate([p["q"] * np.float32(d**-0.5), p["r"], p["k"], p["v"]], 1)
+        whole[:, d : 2 * d] += p["b"]
+        lag = p["lag"][np.maximum(self.far, 0)]
+        before, now, seen = lag[:, :STRIDE], lag[:, STRIDE:], self.far[:, STRIDE:] >= 0
+        out = np.empty((n, STRIDE), np.float32)
+        for at in range(0, n, most):
+            to, low = min(n, at + most), max(at - 1, 0)
+            x = np.take(whole, inputs[low:to], axis=0)  # with the block before, for its keys and values
+            own = x[at - low :]
+            earlier = x[: to - at] if at else np.concatenate([x[:1], x[:-1]])
+            q = own[:, :, :d]
+            s0, s1 = q @ earlier[:, :, 2 * d : 3 * d].transpose(0, 2, 1), q @ own[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
+            for s, bias in ((s0, before), (s1, now)):
+                s += bias
+                np.exp(np.clip(s, -60, 60, out=s), out=s)
+            s0[opens[at:to]] = 0
+            s1 *= seen
+            h = s0 @ earlier[:, :, 3 * d :]
+            h += s1 @ own[:, :, 3 * d :]
+            h /= added(s0) + added(s1)
+            h += own[:, :, d : 2 * d]
+            o = np.tanh(h.reshape(-1, d)) @ p["out"]
+            o += p["share"]
+            np.clip(o, -80, 80, out=o)
+            mine = o[np.arange(len(o)), target[at:to].ravel()]
+            out[at:to] = (mine - np.log(added(np.exp(o, out=o))[:, 0])).reshape(-1, STRIDE)
+        return out
+
     def raw(self) -> bytes:
         return b"".join(self.p[n].astype("<f4").tobytes() for n in self.NAMES)
 
@@ -271,148 +406,164 @@ class Adam:
 
 
 class Model:
-    """The attention, the classes, and the counts of ids within classes."""
-
-    def __init__(self, start: np.ndarray, inner: np.ndarray, pairs: dict[int, float], final: np.ndarray):
-        total = start + inner
-        order = np.argsort(-total, kind="stable")[:TOP]
-        self.compact = np.full(PAD + 1, TOP, np.int32)  # all other ids
-        self.compact[order] = np.arange(TOP)
-        self.compact[PAD] = TOP + 1  # the text's start
-        self.top, self.start, self.inner, self.pairs, self.final = order, start, inner, pairs, final
-
-    def set_classes(self, own: np.ndarray, before: np.ndarray) -> None:
-        """own: class of each frequent id; before: see neighbours().  The end and all other ids have the last two classes to themselves."""
-        self.n = CLASSES
-        self.cls = np.full(PAD + 1, CLASSES - 1, np.int32)
-        self.cls[self.top] = own
+    """The attention, the classes, words' shares within classes, and spellings."""
+
+    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]], n_ends: int):
+        """counts: for each kind of subword_counts() but pairs, keys and numbers."""
+
+        def dense(kind: int, size: int = IDS) -> np.ndarray:
+            out = np.zeros(size)
+            keys, n = counts.get(kind, ([], []))
+            out[keys] = n
+            return out
+
+        self.starts, self.types, self.inner, self.last = dense(STARTS), dense(TYPES), dense(INNER), dense(LAST)
+        self.starts[END] = n_ends
+        times, kinds = dense(TIMES, 4), dense(VARIANTS, 3)
+        self.discount = float(np.clip(times[1] / (times[1] + 2 * times[2]) if times[1] else 0.5, 0.1, 0.9))
+        self.log_variant = np.log((kinds + 1) / (kinds + 1).sum())
+        tokens = self.starts + dense(INNER_TOKENS)
+        tokens[END] = 0
+        self.top = np.argsort(-tokens, kind="stable")[:TOP]
+        self.compact = np.full(1 << 16, TOP, np.int64)  # all other ids
+        self.compact[self.top] = np.arange(TOP)
+        self.often = np.argsort(-(self.types + self.inner), kind="stable")[:TOP]  # whose pairs are told apart
+
+    def set_pairs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+        """Spellings: P(stop | id), and P(id | id before it, no stop) by pairs of the ids that occur in most words."""
+        total = self.types + self.inner
+        stops = self.last.sum() / max(total.sum(), 1) if total.sum() else 0.5
+        p_stop = (self.last + BETA * stops) / (total + BETA)
+        p_stop = np.clip(p_stop, 1e-6, 1 - 1e-6)
+        self.log_stop, self.log_go = np.log(p_stop), np.log1p(-p_stop)
+        share = self.inner + FLOOR
+        share /= share.sum()
+        self.slot = np.full(1 << 16, TOP, np.int64)
+        self.slot[self.often] = np.arange(TOP)
+        seen = np.zeros((TOP, TOP))
+        seen[self.slot[a], self.slot[b]] = n
+        more = (total - self.last)[self.often]
+        own, others = share[self.often], 1 - share[self.often].sum()
+        table = np.zeros((TOP + 1, TOP + 1))
+        table[:TOP, :TOP] = np.log((seen + BETA * own) / (more + BETA)[:, None])
+        table[:TOP, TOP] = np.log((np.maximum(more - seen.sum(1), 0) + BETA * others) / (more + BETA)) - np.log(others)
+        table[TOP, :TOP] = np.log(own)
+        self.table, self.log_other = table, np.where(self.slot[:IDS] == TOP, np.log(share), 0.0)
+
+    def set_classes(self, follows: np.ndarray) -> None:
+        """Classes of first ids, and vectors of all ids, from neighbours()."""
+        self.cls = np.full(1 << 16, CLASSES - 1, np.int64)
+        self.cls[self.top] = clusters(follows[:, :TOP].T, self.starts[self.top], CLASSES - 2)
         self.cls[END] = CLASSES - 2
-        cls, k = self.cls[:IDS], self.n
-
-        def within(counts: np.ndarray) -> np.ndarray:
-            mass = counts + FLOOR
-            return np.log(mass / np.bincount(cls, mass, k)[cls])
-
-        self.log_start, self.log_inner = within(self.start).astype(np.float32), within(self.inner).astype(np.float32)
-        table = np.zeros((TOP, TOP))
-        for key, n in self.pairs.items():
-            a, b = self.compact[key >> 16], self.compact[key & 65535]
-            if a < TOP and b < TOP:
-                table[a, b] += n
-        of = cls[self.top]
-        sums = np.stack([np.bincount(of, row, k) for row in table])
-        share = BETA / (sums + BETA)
-        inner = np.exp(self.log_inner[self.top].astype(float))
-        self.log_pair = np.log((table + BETA * inner) / (sums[:, of] + BETA)).astype(np.float32)
-        self.log_share = np.log(share).astype(np.float32)
-        total = np.bincount(cls, self.start + self.inner + FLOOR, k)
-        total /= total.sum()
-        behind = np.zeros((TOP + 2, k))
-        np.add.at(behind.T, of, before[:TOP, : TOP + 2])
-        behind[:, k - 2 :] = before[TOP, : TOP + 2, None] * (total[k - 2 :] / total[k - 2 :].sum())
-        self.attention = Attention(np.log((behind + KAPPA * total) / (behind.sum(1, keepdims=True) + KAPPA)))
-
-    def within(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log P(id | class, id before it); before: ids or PAD."""
-        first = self.final[before]
-        a, b = self.compact[before], self.compact[ids]
-        out = np.where(first, self.log_start[ids], self.log_inner[ids])
-        known = ~first & (a < TOP)
-        both = known & (b < TOP)
-        out[both] = self.log_pair[a[both], b[both]]
-        other = known & (b >= TOP)
-        out[other] += self.log_share[a[other], self.cls[ids[other]]]
+        cls = self.cls[:IDS]
+        first = self.types + FLOOR
+        self.log_first = np.log(first / np.bincount(cls, first, CLASSES)[cls])
+        tokens, types = np.bincount(cls, self.starts, CLASSES), np.bincount(cls, self.types, CLASSES)
+        self.log_tokens = np.log(np.maximum(tokens, 1))
+        #: The mass of words by their spelling.
+        self.log_free = np.log(np.where(tokens > 0, np.maximum(self.discount * types / np.maximum(tokens, 1), 1e-300), 1.0))
+        x = directions(follows, WIDTH)
+        weight = follows.sum(1) + 1e-9
+        x = x - np.average(x, axis=0, weights=weight)
+        x /= np.sqrt(np.average(x * x, axis=0, weights=weight)) + 1e-3
+        self.vectors = (np.clip(x, -4, 4) * (follows.sum(1) > 0)[:, None]).astype(np.float32)
+        self.attention = Attention(np.log((tokens + 1) / (tokens + 1).sum()))
+
+    def spelling(self, t: Texts, kinds: np.ndarray) -> np.ndarray:
+        """log P(spelling | class) of each word."""
+        steps = np.zeros(len(t.ids))
+        if len(t.ids) > 1:
+            a, b = t.ids[:-1], t.ids[1:]
+            steps[1:] = self.table[self.slot[a], self.slot[b]] + self.log_go[a] + self.log_other[b]
+        steps[t.at] = self.log_first[t.first]
+        out = np.add.reduceat(steps, t.at) if len(t.at) else np.zeros(0)
+        out += self.log_stop[t.ids[t.at + t.sizes - 1]] + self.log_variant[np.minimum(kinds, BYTES)]
         return out
 
-    def log_p(self, texts: list[np.ndarray], most: int = 256) -> np.ndarray:
-        """Log probabilities of the ids of all texts, one behind the other; each text ends with END.  Blocks of all texts are scored `most` at a time."""
-        size = np.array([len(t) for t in texts])
-        blocks = -(-size // STRIDE)
-        first = np.cumsum(blocks) - blocks
-        n = int(blocks.sum())
-        flat = np.full(n * STRIDE, PAD, np.uint16)
-        place = np.arange(size.sum()) + np.repeat(first * STRIDE - (np.cumsum(size) - size), size)
-        flat[place] = np.concatenate(texts) if texts else []
-        before = np.concatenate([[np.uint16(PAD)], flat[:-1]]) if n else flat
-        before[first * STRIDE] = PAD  # a text's first id has nothing before it
-        out = np.zeros(n * STRIDE)
-        out[place] = self.within(before[place], flat[place])
-        inputs, target = self.compact[before].reshape(n, STRIDE), self.cls[flat].reshape(n, STRIDE)
-        is_first = np.zeros(n, bool)
-        is_first[first] = True
-        shown = np.ones((n, 2 * STRIDE), bool)
-        shown[is_first, :STRIDE] = False
-        for at in range(0, n, most):
-            to = min(n, at + most)
-            earlier = inputs[np.maximum(np.arange(at, to) - 1, 0)]
-            out[at * STRIDE : to * STRIDE] += self.attention.log_p(np.concatenate([earlier, inputs[at:to]], 1), shown[at:to], target[at:to]).ravel()
-        return out[place]
+    def within(self, t: Texts, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """log P(word | class)."""
+        cls = self.cls[t.first]
+        out = self.log_free[cls] + spelled
+        known = counts > 0
+        out[known] = np.logaddexp(out[known], np.log(counts[known] - self.discount) - self.log_tokens[cls[known]])
+        return out
+
+    def log_class(self, t: Texts) -> np.ndarray:
+        """log P(class | what comes before) of each token."""
+        out = self.attention.log_p(t.vectors(self.compact, self.vectors), t.inputs(), t.opens, t.blocks(t.targets(self.cls), 0))
+        return out.ravel()[t.place].astype(float)
 
 
-def trained(model: Model, examples: DataFrame, rounds: int = ROUNDS) -> None:
-    """Rounds of local Adam in every partition; then the parameters' average, weighted by examples."""
-    spark = examples.sparkSession
-    compact, cls = model.compact, model.cls
+def trained(model: Model, rows: DataFrame, n_shards: int) -> None:
+    """Rounds of Adam on shards; then the parameters' average, weighted by tokens.  A token is a target once in all rounds."""
+    spark = rows.sparkSession
+    compact, cls, table = model.compact, model.cls, model.vectors
 
-    for k in range(rounds):
+    for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model.attention)
-        step = STEP * (1 - k / rounds)
+        step = STEP / (k + 1)
 
         def run(batches, shared=shared, step=step):
-            own = Attention(shared.value.p["last"])
-            own.p = {n: x.copy() for n, x in shared.value.p.items()}
-            adam, seen = Adam(own, step), 0
-            for part in slices(batches, "ids", 2 << 20):
-                rows = blocks(part.column(0).to_pylist())
-                rows = rows[np.random.default_rng(1).permutation(len(rows))]
-                for at in range(0, len(rows), BATCH):
-                    x = rows[at : at + BATCH]
-                    adam(own.gradient(compact[x[:, :-1]], np.concatenate([x[:, :STRIDE] != PAD, np.ones((len(x), STRIDE), bool)], 1), cls[x[:, STRIDE + 1 :]], x[:, STRIDE + 1 :] != PAD))
-                seen += len(rows)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.raw()], pa.binary())], ["seen", "raw"])
-
-        shards = max(1, min(examples.sparkSession.sparkContext.defaultParallelism, 256))  # bounds what meets at the driver
-        found = examples.coalesce(shards).mapInArrow(run, "seen long, raw binary").collect()
+            shard = own = adam = None
+            seen = 0
+
+            def done():
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([own.raw()], pa.binary())], ["shard", "seen", "raw"])
+
+            for part in slices(batches, "ids", 1 << 20):
+                shards = part.column(2).to_numpy()
+                edges = np.flatnonzero(np.diff(shards, prepend=-1, append=-1))
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    if shards[a] != shard:
+                        if own is not None:
+                            yield done()
+                        shard, own, seen = int(shards[a]), Attention(shared.value.p["share"]), 0
+                        own.p = {n: x.copy() for n, x in shared.value.p.items()}
+                        adam = Adam(own, step)
+                    t = Texts(part.column(0).slice(a, b - a).to_pylist(), part.column(1).slice(a, b - a).to_pylist())
+                    vectors, inputs = t.vectors(compact, table), t.inputs()
+                    target, real = t.blocks(t.targets(cls), 0), t.blocks(np.ones(len(t.is_end), bool), False)
+                    # Blocks in an order that mixes texts, by a fixed stride.
+                    order = np.random.default_rng(1).permutation(len(inputs))
+                    for at in range(0, len(order), BATCH):
+                        i = order[at : at + BATCH]
+                        both = np.concatenate([inputs[np.maximum(i - 1, 0)], inputs[i]], 1)
+                        adam(own.gradient(np.take(vectors, both, axis=0), t.opens[i], target[i], real[i]))
+                    seen += len(t.is_end)
+            if own is not None:
+                yield done()
+
+        of_round = rows.where(F.col("round") == k).select("ids", "sizes", "shard", "h").repartition(n_shards, "shard").sortWithinPartitions("shard", "h")
+        found = of_round.select("ids", "sizes", "shard").mapInArrow(run, "shard long, seen long, raw binary").collect()  # at most MOST_SHARDS models of a few kilobytes
         if found:
+            found = sorted(found, key=lambda r: r["shard"])
             weight = np.array([r["seen"] for r in found], float)
-            mean = np.average(np.stack([np.frombuffer(bytes(r["raw"]), "<f4").astype(np.float64) for r in found]), axis=0, weights=weight)
-            model.attention.load(mean)
+            model.attention.load(np.average(np.stack([np.frombuffer(bytes(r["raw"]), "<f4").astype(np.float64) for r in found]), axis=0, weights=weight))
         shared.unpersist()
 
 
-def learned(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame]:
-    """The model, and (word, c) of the training words.  own: (doc_id, text)."""
-    from tokenizers import Tokenizer
+def shards(n_tokens: int) -> int:
+    """Shards of a round."""
+    return max(1, min(MOST_SHARDS, -(-n_tokens // (SHARD * ROUNDS))))
+
 
+def counted(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, dict]:
+    """A model without attention, (word, c) of the training words, and the numbers of distinct (v) and all (n) training tokens.  own: (doc_id, text)."""
     vocabulary = written(word_counts(own), f"{base}/words")
     counts = written(subword_counts(vocabulary.where("octet_length(word) > 0"), path), f"{base}/subwords")
-    single = counts.where("kind < 2").toArrow()  # at most 2 * IDS rows
-    start, inner = np.zeros(IDS), np.zeros(IDS)
-    for kind, key, n in zip(single["kind"].to_pylist(), single["key"].to_pylist(), single["n"].to_pylist()):
-        (start, inner)[kind][key] += n
+    single = counts.where(F.col("kind") != PAIRS).toArrow().to_pandas()  # at most 5 * IDS rows and some
     ends = vocabulary.where("octet_length(word) = 0").first()
-    pieces = Tokenizer.from_file(path).get_vocab()
-    final = np.zeros(PAD + 1, bool)
-    final[[k for s, k in pieces.items() if s.endswith("</w>")]] = True
-    final[[END, PAD]] = True
-    start[END] = 0
-    model = Model(start, inner, {}, final)
-    top = [int(k) for k in model.top]
-    frequent = counts.where("kind = 2").select(F.shiftright("key", 16).alias("a"), F.col("key").bitwiseAND(F.lit(65535)).alias("b"), "n").where(F.col("a").isin(top) & F.col("b").isin(top)).toArrow()  # at most TOP**2 rows
-    model.pairs = dict(zip((frequent["a"].to_numpy() * 65536 + frequent["b"].to_numpy()).tolist(), frequent["n"].to_pylist()))
-    model.start[END] = ends["c"] if ends else 0
-    examples = written(windows(own, path), f"{base}/windows")
-    before = neighbours(examples, model.compact)
-    model.set_classes(clusters(before[:TOP], (start + inner)[model.top], CLASSES - 2), before)
-    trained(model, examples)
-    return model, vocabulary
-
-
-def head(vocabulary: DataFrame, most: int = HEAD) -> tuple[dict[bytes, int], int]:
-    """The most frequent words with their counts, at most `most`, and the least count among them: words of that count or more are all there."""
+    model = Model({int(k): (g["key"].to_numpy(), g["n"].to_numpy()) for k, g in single.groupby("kind")}, ends["c"] if ends else 0)
+    often = [int(k) for k in model.often]
+    pairs = counts.where(F.col("kind") == PAIRS).select(F.shiftright("key", 16).alias("a"), F.col("key").bitwiseAND(F.lit(65535)).alias("b"), "n").where(F.col("a").isin(often) & F.col("b").isin(often)).toArrow()  # at most TOP**2 rows
+    model.set_pairs(*(pairs[c].to_numpy() for c in "abn"))
+    return model, vocabulary, vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().asDict()
+
+
+def head(vocabulary: DataFrame, most: int | None = None) -> tuple[dict[bytes, int], int]:
+    """The most frequent words with their counts, at most `most` (HEAD), and the least count among them: words of that count or more are all there."""
     level = F.floor(F.log2("c") * 8).cast("int")
-    left, least = most, None
+    left, least = HEAD if most is None else most, None
     for r in vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect():  # a few hundred levels
         if r["n"] > left:
             break
@@ -423,69 +574,72 @@ def head(vocabulary: DataFrame, most: int = HEAD) -> tuple[dict[bytes, int], int
     return dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist())), least
 
 
+def learned(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, DataFrame, dict, int]:
+    """The model, all rows as ids, (word, c) of the training words, their totals, and the least count of the words that rows hold the counts of."""
+    model, vocabulary, totals = counted(own, path, base)
+    known, least = head(vocabulary)
+    n_shards = shards(totals["n"])
+    prepared(own, path, known, n_shards).write.mode("overwrite").partitionBy("round").option("compression", "zstd").parquet(f"{base}/rows")
+    rows = own.sparkSession.read.schema(SCHEMA).parquet(f"{base}/rows")
+    training = rows.where("round >= 0")
+    model.set_classes(neighbours(training, model.compact))
+    trained(model, training, n_shards)
+    return model, rows, vocabulary, totals, least
+
+
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, ids binary, sizes binary, counts binary, variants binary, rest array<struct<word:binary,at:long,n:long>>, h long, row long, shard long, round int"
+
+
 def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, for each row."""
     spark = docs.sparkSession
     base = scratch(spark, "lm")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model, vocabulary = learned(own, path, base)
-    totals = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().asDict()
-    frequent, least = head(vocabulary)
-    model.pairs, model.start, model.inner = {}, None, None  # are in the tables by now
-    shared = spark.sparkContext.broadcast((model, {w: float(c) for w, c in frequent.items()}))
+    model, rows, vocabulary, totals, least = learned(own, path, base)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        lm, known = shared.value
-        encode, end = encoder(path), END.to_bytes(2, "little")
-        for part in slices(batches, "text", 2 << 20):
-            keys, texts = part.column(0).to_pylist(), [[*words_of(t), b""] for t in utf8(part.column(1))]
-            n_words = np.array(list(map(len, texts)))
-            starts = np.cumsum(n_words) - n_words
-            every = list(chain.from_iterable(texts))
-            # Each distinct word is looked up once; places of words and ids follow by numbers.
-            place = dict(zip(dict.fromkeys(every), count()))
-            word = np.array(list(map(place.__getitem__, every)))
-            raw = [encode[w] if w else end for w in place]
-            own_size = np.array(list(map(len, raw))) // 2
-            sizes = own_size[word]
-            ids = np.frombuffer(b"".join(raw), "<u2")
-            at = np.cumsum(sizes) - sizes
-            ids = ids[np.repeat((np.cumsum(own_size) - own_size)[word] - at, sizes) + np.arange(sizes.sum())]
-            log_p = lm.log_p(np.split(ids, at[starts[1:]]))
-            # Words without ids (white space beyond ASCII) are certain.
-            by_word = np.zeros(len(sizes))
-            by_word[sizes > 0] = np.add.reduceat(log_p, at[sizes > 0])
-            counts = np.array([known.get(w, 0.0) for w in place])[word]  # 0: not frequent
-            frequent_word = counts > 0
-            n_known = np.add.reduceat(frequent_word.astype(np.int64), starts)
-            sums = np.add.reduceat(np.log10(counts + 1), starts)
-            rest = [{} for _ in texts]
-            for i, k in zip(np.flatnonzero(~frequent_word).tolist(), np.repeat(np.arange(len(texts)), n_words)[~frequent_word].tolist()):
-                rest[k].setdefault(every[i], []).append(by_word[i])
-            with np.errstate(divide="ignore"):  # a share of 0
-                mixed = np.logaddexp(np.log(counts / max(totals["n"], 1) * MIX), by_word + np.log(1 - MIX)) / np.log(10)
-            score = np.add.reduceat(mixed, starts)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(map(held_out, keys), pa.bool_()), pa.array(map(len, texts), pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64()), pa.array([[{"word": w, "p": x} for w, x in r.items()] for r in rest], pa.list_(pa.struct([("word", pa.binary()), ("p", pa.list_(pa.float64()))])))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "rest"],
-            )
-
-    rows = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double, rest array<struct<word:binary,p:array<double>>>")
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), f"{base}/scored")
-    rare = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.p")
-    # What the share adds to an unmixed occurrence: log(1 + share / unmixed), for exponents of any size.
-    ahead = lambda p: F.log(F.col("c") / float(max(totals["n"], 1)) * MIX) - p - float(np.log(1 - MIX))
-    gain = F.aggregate("p", F.lit(0.0), lambda acc, p: acc + F.greatest(ahead(p), F.lit(0.0)) + F.log1p(F.exp(-F.abs(ahead(p)))))
-    rare = rare.join(vocabulary.where(F.col("c") < least), "word").select("row", "c", F.size("p").alias("n"), (gain / float(np.log(10))).alias("gain"))
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"), F.sum("gain").alias("gain"))
-    log_all = float(np.log10(totals["n"] + totals["v"] + 1))
-    out = rows.drop("rest").join(rare, "row", "left")
+        lm = shared.value
+        for part in slices(batches, "ids", 1 << 20):
+            ids, sizes, counts, kinds = (part.column(i).to_pylist() for i in range(4))
+            t = Texts(ids, sizes)
+            c = np.frombuffer(b"".join(counts), "<i8").astype(float)
+            kind = np.frombuffer(b"".join(kinds), "<i4").astype(np.int64)
+            spelled = lm.spelling(t, kind)
+            other = np.flatnonzero(kind >= BYTES)
+            rest = part.column(4)
+            spelled[other] -= math.log(257) * (kind[other] - BYTES + 1)  # by their bytes, with an end
+            log_p = lm.log_class(t)
+            log_p[~t.is_end] += lm.within(t, c, spelled)
+            score = np.add.reduceat(log_p, t.starts) / math.log(10) if len(t.starts) else np.zeros(0)
+            words = rest.flatten()
+            at = words.field("at").to_numpy() + np.repeat(np.cumsum(t.n_words) - t.n_words, rest.value_lengths().to_numpy())
+            cls = lm.cls[t.first[at]]
+            p = spelled[at] + lm.log_free[cls] + lm.log_tokens[cls]
+            named = pa.StructArray.from_arrays([words.field("word"), words.field("n"), pa.array(p, pa.float64())], ["word", "n", "p"])
+            offsets = np.append(0, np.cumsum(rest.value_lengths().to_numpy()))
+            yield pa.RecordBatch.from_arrays([*part.columns[5:], pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), named)], ["row", "doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "rest"])
+
+    scored = rows.select("ids", "sizes", "counts", "variants", "rest", "row", "doc_id", "held_out", "n_tokens", "n_known", "sums")
+    scored = written(scored.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double, rest array<struct<word:binary,n:long,p:double>>"), f"{base}/scored")
+    removed(spark, f"{base}/rows")
+    rare = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n", "x.p")
+    # What the share adds to a spelled word: log(1 + share / spelled), for exponents of any size.
+    rare = rare.join(vocabulary.where(F.col("c") < least), "word")
+    ahead = F.log(F.col("c") - model.discount) - F.col("p")
+    gain = (F.greatest(ahead, F.lit(0.0)) + F.log1p(F.exp(-F.abs(ahead)))) / math.log(10)
+    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"), F.sum(F.col("n") * gain).alias("gain"))
+    ends = vocabulary.where("octet_length(word) = 0").first()
+    log_all = math.log10(totals["n"] + totals["v"] + 1)
+    log_end = math.log10((ends["c"] if ends else 0) + 1)
+    out = scored.drop("rest").join(rare, "row", "left")
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(ends is not None))).cast("long").alias("n_known"),
         F.lit(totals["n"]).cast("long").alias("train_tokens"),
-        (F.col("sums") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"),
+        (F.col("sums") + F.coalesce("more", F.lit(0.0)) + F.lit(log_end) - F.col("n_tokens") * log_all).alias("base_score"),
         (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
+

@@ -9,7 +9,7 @@ the library's model merges all distinct pre-tokens of a slice in a few calls; th
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -83,6 +83,16 @@ def counted(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def distinct_words(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words, own, counts): the distinct words between ASCII white space, the number of each word in order, and how many each text has."""
+    place: dict[bytes, int] = {}
+    every, counts = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+    for numbers, part in _blocks(texts):
+        words, own, n = _distinct(part)
+        every.append(np.array([place.setdefault(w, len(place)) for w in words], np.int64)[own])
+        np.add.at(counts, numbers, n)
+    return list(place), np.concatenate(every), counts
+
+
+def _distinct(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     joined = b" ".join(texts)
     data = np.frombuffer(joined, np.uint8)
     starts, ends = runs(KINDS[data] != 0)
@@ -93,7 +103,22 @@ def distinct_words(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.
     return [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], own, counts
 
 
-def parted(text: bytes, most: int = MOST) -> list[bytes]:
+def _blocks(texts: Sequence[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The texts' parts in blocks of about MOST bytes, with the numbers of their texts."""
+    numbers, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        for part in [text] if len(text) <= MOST else parted(text, MOST):
+            if held and size + len(part) > MOST:
+                yield numbers, held
+                numbers, held, size = [], [], 0
+            numbers.append(i)
+            held.append(part)
+            size += len(part)
+    if held:
+        yield numbers, held
+
+
+def parted(text: bytes, most: int) -> list[bytes]:
     """A text in parts of about `most` bytes, cut before white space."""
     out, at = [], 0
     while len(text) - at > most and (m := SPACES.search(text, at + most)):
@@ -195,11 +220,12 @@ class Encoder:
 
     def encode(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each has, as the tokenizer's encode without special tokens gives them."""
-        if all(len(t) <= MOST for t in texts):
-            return self._encode(texts)
-        parts = [parted(t) for t in texts]
-        done = [[self._encode([p]) for p in own] for own in parts]
-        return np.concatenate([ids for own in done for ids, _ in own]), np.array([sum(int(n.sum()) for _, n in own) for own in done], np.int64)
+        out, sizes = [np.zeros(0, "<u2")], np.zeros(len(texts), np.int64)
+        for numbers, part in _blocks(texts):
+            ids, n = self._encode(part)
+            out.append(ids)
+            np.add.at(sizes, numbers, n)
+        return np.concatenate(out), sizes
 
 
 def byte_letters() -> dict[int, str]:
