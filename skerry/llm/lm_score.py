@@ -26,6 +26,7 @@ model knows classes and spellings by their floors alone; an empty table gives an
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 import zlib
 
@@ -46,6 +47,8 @@ END, NONE, IDS = 49_407, 49_408, 49_409  # the end of a text; what stands for th
 FOLDS, HELD_OUT = 7, 2
 BETA, FLOOR = 2.0, 0.05
 PLAIN, CAPITAL, BYTES = range(3)
+#: Words of printable ASCII without A-Z and of small Latin-1 letters.
+LOWER = re.compile(rb"(?:[!-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -65,8 +68,23 @@ def variant(word: bytes) -> int:
 
 def variants(words: list[bytes]) -> np.ndarray:
     """PLAIN, CAPITAL, or BYTES and the number of bytes."""
-    kinds = [PLAIN if w.isascii() else variant(w) for w in words]
-    return np.array([k if k < BYTES else k + len(w) for k, w in zip(kinds, words)], np.int32)
+    out = np.full(len(words), PLAIN, np.int64)
+    for i, w in enumerate(words):
+        if not w.isascii() and not LOWER(w) and (k := variant(w)) != PLAIN:
+            out[i] = k if k < BYTES else k + len(w)
+    return out
+
+
+def packed(x: np.ndarray, wide: str) -> bytes:
+    """Numbers in a byte each where they fit, else in as many as `wide` has."""
+    return x.astype(np.uint8).tobytes() if len(x) and x.max() < 256 else x.astype(wide).tobytes()
+
+
+def unpacked(raw: list[bytes], n: np.ndarray, wide: str) -> np.ndarray:
+    """packed() of arrays of n[0], n[1], ... numbers, one behind the other."""
+    if all(len(r) == k for r, k in zip(raw, n.tolist())):
+        return np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    return np.concatenate([np.frombuffer(r, np.uint8 if len(r) == k else wide).astype(np.int64) for r, k in zip(raw, n.tolist())])
 
 
 def ids_of(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +158,7 @@ def subword_counts(vocabulary: DataFrame, path: str) -> DataFrame:
 
 def prepared(own: DataFrame, path: str, known: dict[bytes, int], n_shards: int) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens; n_known and sums (of log10(c + 1)) over the known words; ids, sizes (ids of each word), counts (0: not known) and variants
-    of all words; rest: the words that are not known, with the place of one of them and how many there are; and the training shard (null: held out)."""
+    of all words, packed; rest: the words that are not known, with the place of one of them and how many there are; and the training shard (null: held out)."""
     shared = own.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
@@ -166,8 +184,8 @@ def prepared(own: DataFrame, path: str, known: dict[bytes, int], n_shards: int)
             rest = pa.StructArray.from_arrays([pa.array([words[i] for i in at[place].tolist()], pa.binary()), pa.array(place - ahead[text[place]], pa.int64()), pa.array(n, pa.int64())], ["word", "at", "n"])
             offsets = np.append(0, np.cumsum(np.bincount(pair // (len(words) + 1), minlength=len(texts))))
 
-            def cut(x: np.ndarray, ends: np.ndarray) -> pa.Array:
-                return pa.array([x[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())], pa.binary())
+            def cut(x: np.ndarray, ends: np.ndarray, pack=np.ndarray.tobytes) -> pa.Array:
+                return pa.array([pack(x[a:b]) for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())], pa.binary())
 
             yield pa.RecordBatch.from_arrays(
                 [
@@ -177,9 +195,9 @@ def prepared(own: DataFrame, path: str, known: dict[bytes, int], n_shards: int)
                     pa.array(n_known[to] - n_known[ahead], pa.int64()),
                     pa.array(logs[to] - logs[ahead], pa.float64()),
                     cut(every.astype("<u2"), id_to),
-                    cut(own_size.astype("<u4"), to),
-                    cut(c.astype("<i8"), to),
-                    cut(kind.astype("<i4"), to),
+                    cut(own_size, to, lambda x: packed(x, "<u4")),
+                    cut(c.astype("<f4"), to),
+                    cut(kind, to, lambda x: packed(x, "<u4")),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest),
                     *part.columns[2:],
                 ],
@@ -198,11 +216,11 @@ NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "sums", "ids", "sizes", "c
 class Texts:
     """Rows of prepared() as flat arrays: the words' ids, and for each token (words and ends) where it stands in blocks of STRIDE."""
 
-    def __init__(self, ids: list[bytes], sizes: list[bytes]):
+    def __init__(self, ids: list[bytes], sizes: list[bytes], n_words: np.ndarray):
         self.ids = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
-        self.sizes = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
+        self.n_words = n_words
+        self.sizes = unpacked(sizes, n_words, "<u4")
         self.at = np.cumsum(self.sizes) - self.sizes
-        self.n_words = np.array([len(s) // 4 for s in sizes], np.int64)
         self.first, self.last = self.ids[self.at], self.ids[self.at + self.sizes - 1]
         n_tokens = self.n_words + 1
         self.starts = np.cumsum(n_tokens) - n_tokens
@@ -254,7 +272,7 @@ def neighbours(rows: DataFrame, compact: np.ndarray) -> np.ndarray:
     def run(batches):
         total = np.zeros(size * size, np.int64)
         for part in slices(batches, "ids", 2 << 20):
-            t = Texts(part.column(0).to_pylist(), part.column(1).to_pylist())
+            t = Texts(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_numpy() - 1)
             token = np.full(len(t.is_end), TOP + 1, np.int64)
             token[~t.is_end] = compact[t.first]
             behind = token[np.flatnonzero(~t.is_end) + 1]
@@ -264,7 +282,7 @@ def neighbours(rows: DataFrame, compact: np.ndarray) -> np.ndarray:
         keys = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], ["key", "n"])
 
-    found = rows.select("ids", "sizes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most size**2 rows
+    found = rows.select("ids", "sizes", "n_tokens").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most size**2 rows
     out = np.zeros(size * size)
     out[found["key"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(size, size)
@@ -315,41 +333,51 @@ class Attention:
     def forward(self, e: np.ndarray, opens: np.ndarray):
         """e: (n, 2 * STRIDE, WIDTH) word vectors; opens: which blocks have none before them.  Log probabilities of classes for the last STRIDE places, and what the
         gradient needs.  Exponents are kept in range by clipping."""
-        p, c = self.p, e[:, STRIDE:]
-        q, k, v = c @ p["q"], e @ p["k"], e @ p["v"]
+        p, n, d = self.p, len(e), WIDTH
+        flat, c = e.reshape(-1, d), np.ascontiguousarray(e[:, STRIDE:]).reshape(-1, d)
+        kv = (flat @ np.concatenate([p["k"], p["v"]], 1)).reshape(n, 2 * STRIDE, 2 * d)
+        qr = c @ np.concatenate([p["q"], p["r"]], 1)
+        q, k, v = qr[:, :d].reshape(n, STRIDE, d), kv[:, :, :d], kv[:, :, d:]
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(WIDTH**-0.5)
+        a *= np.float32(d**-0.5)
         a += p["lag"][np.maximum(self.far, 0)]
         np.exp(np.clip(a, -60, 60, out=a), out=a)
         a *= self.far >= 0
         a[opens, :, :STRIDE] = 0
         a /= added(a)
-        h = np.tanh(a @ v + c @ p["r"] + p["b"])
-        o = h @ p["out"] + p["share"]
-        d = np.exp(np.clip(o, -80, 80, out=o))
-        z = added(d)
-        return o - np.log(z), (c, q, k, v, a, h, d / z)
+        h = (a @ v).reshape(-1, d)
+        h += qr[:, d:]
+        h += p["b"]
+        o = np.tanh(h, out=h) @ p["out"]
+        o += p["share"]
+        share = np.exp(np.clip(o, -80, 80, out=o))
+        total = added(share)
+        o -= np.log(total)
+        share /= total
+        return o.reshape(n, STRIDE, -1), (flat, c, q, k, v, a, h, share)
 
     def gradient(self, e: np.ndarray, opens: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of the real targets."""
-        p, (_, (c, q, k, v, a, h, d)) = self.p, self.forward(e, opens)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        rows = flat(d)
+        p, n, d, (_, (flat, c, q, k, v, a, h, rows)) = self.p, len(e), WIDTH, self.forward(e, opens)
         rows[np.arange(len(rows)), target.ravel()] -= 1
-        rows *= (real / max(real.sum(), 1)).astype(d.dtype).reshape(-1, 1)
-        g = {"out": flat(h).T @ rows, "share": rows.sum(0)}
-        z = (d @ p["out"].T) * (1 - h * h)
-        g["b"], g["r"] = flat(z).sum(0), flat(c).T @ flat(z)
-        da, dv = z @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ z
+        rows *= (real / max(real.sum(), 1)).astype(rows.dtype).reshape(-1, 1)
+        g = {"out": h.T @ rows, "share": rows.sum(0)}
+        z = rows @ p["out"].T
+        z *= 1 - h * h
+        g["b"] = z.sum(0)
+        z3 = z.reshape(n, STRIDE, d)
+        da, dv = z3 @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ z3
         ds = a * (da - added(a * da))
         seen = self.far >= 0
-        g["lag"] = np.bincount(self.far[seen], ds.sum(0)[seen], 2 * STRIDE).astype(d.dtype)
-        ds *= np.float32(WIDTH**-0.5)
+        g["lag"] = np.bincount(self.far[seen], ds.sum(0)[seen], 2 * STRIDE).astype(rows.dtype)
+        ds *= np.float32(d**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = flat(c).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
+        both = c.T @ np.concatenate([dq.reshape(-1, d), z], 1)
+        g["q"], g["r"] = both[:, :d], both[:, d:]
+        g["k"], g["v"] = flat.T @ dk.reshape(-1, d), flat.T @ dv.reshape(-1, d)
         return g
 
-    def log_p(self, vectors: np.ndarray, inputs: np.ndarray, opens: np.ndarray, target: np.ndarray, most: int = 256) -> np.ndarray:
+    def log_p(self, vectors: np.ndarray, inputs: np.ndarray, opens: np.ndarray, target: np.ndarray, most: int = 128) -> np.ndarray:
         """Log probabilities of target classes, block by block: forward() with what depends on one word alone computed once for each vector."""
         p, d, n = self.p, WIDTH, len(inputs)
         whole = vectors @ np.concatenate([p["q"] * np.float32(d**-0.5), p["r"], p["k"], p["v"]], 1)
@@ -392,17 +420,23 @@ class Attention:
 
 
 class Adam:
+    """All parameters are moved as one vector, of which the model's are views."""
+
     def __init__(self, model: Attention, step: float = STEP):
-        self.model, self.step, self.t = model, step, 0
-        self.m = {n: np.zeros_like(x) for n, x in model.p.items()}
-        self.v = {n: np.zeros_like(x) for n, x in model.p.items()}
+        self.step, self.t = step, 0
+        self.flat = np.concatenate([model.p[n].ravel() for n in model.NAMES])
+        self.names, at = model.NAMES, 0
+        for n in self.names:
+            size = model.p[n].size
+            model.p[n], at = self.flat[at : at + size].reshape(model.p[n].shape), at + size
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def __call__(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        for n, x in g.items():
-            self.m[n] = 0.9 * self.m[n] + 0.1 * x
-            self.v[n] = 0.99 * self.v[n] + 0.01 * x * x
-            self.model.p[n] = self.model.p[n] - np.float32(self.step) * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.v[n] / (1 - 0.99**self.t)) + np.float32(1e-8))
+        x = np.concatenate([g[n].ravel() for n in self.names])
+        self.m += np.float32(0.1) * (x - self.m)
+        self.v += np.float32(0.01) * (x * x - self.v)
+        self.flat -= np.float32(self.step / (1 - 0.9**self.t)) * self.m / (np.sqrt(self.v / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
 
 
 class Model:
@@ -520,7 +554,7 @@ def trained(model: Model, rows: DataFrame, n_shards: int) -> None:
                         shard, own, seen = int(shards[a]), Attention(shared.value.p["share"]), 0
                         own.p = {n: x.copy() for n, x in shared.value.p.items()}
                         adam = Adam(own, step)
-                    t = Texts(part.column(0).slice(a, b - a).to_pylist(), part.column(1).slice(a, b - a).to_pylist())
+                    t = Texts(part.column(0).slice(a, b - a).to_pylist(), part.column(1).slice(a, b - a).to_pylist(), part.column(3).slice(a, b - a).to_numpy() - 1)
                     vectors, inputs = t.vectors(compact, table), t.inputs()
                     target, real = t.blocks(t.targets(cls), 0), t.blocks(np.ones(len(t.is_end), bool), False)
                     # Blocks in an order that mixes texts, by a fixed stride.
@@ -533,8 +567,8 @@ def trained(model: Model, rows: DataFrame, n_shards: int) -> None:
             if own is not None:
                 yield done()
 
-        of_round = rows.where(F.col("round") == k).select("ids", "sizes", "shard", "h").repartition(n_shards, "shard").sortWithinPartitions("shard", "h")
-        found = of_round.select("ids", "sizes", "shard").mapInArrow(run, "shard long, seen long, raw binary").collect()  # at most MOST_SHARDS models of a few kilobytes
+        of_round = rows.where(F.col("round") == k).select("ids", "sizes", "shard", "n_tokens", "h").repartition(n_shards, "shard").sortWithinPartitions("shard", "h")
+        found = of_round.select("ids", "sizes", "shard", "n_tokens").mapInArrow(run, "shard long, seen long, raw binary").collect()  # at most MOST_SHARDS models of a few kilobytes
         if found:
             found = sorted(found, key=lambda r: r["shard"])
             weight = np.array([r["seen"] for r in found], float)
@@ -579,7 +613,7 @@ def learned(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, Dat
     model, vocabulary, totals = counted(own, path, base)
     known, least = head(vocabulary)
     n_shards = shards(totals["n"])
-    prepared(own, path, known, n_shards).write.mode("overwrite").partitionBy("round").option("compression", "zstd").parquet(f"{base}/rows")
+    prepared(own, path, known, n_shards).write.mode("overwrite").partitionBy("round").parquet(f"{base}/rows")
     rows = own.sparkSession.read.schema(SCHEMA).parquet(f"{base}/rows")
     training = rows.where("round >= 0")
     model.set_classes(neighbours(training, model.compact))
@@ -602,9 +636,9 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         lm = shared.value
         for part in slices(batches, "ids", 1 << 20):
             ids, sizes, counts, kinds = (part.column(i).to_pylist() for i in range(4))
-            t = Texts(ids, sizes)
-            c = np.frombuffer(b"".join(counts), "<i8").astype(float)
-            kind = np.frombuffer(b"".join(kinds), "<i4").astype(np.int64)
+            t = Texts(ids, sizes, part.column(8).to_numpy() - 1)
+            c = np.frombuffer(b"".join(counts), "<f4").astype(float)
+            kind = unpacked(kinds, t.n_words, "<u4")
             spelled = lm.spelling(t, kind)
             other = np.flatnonzero(kind >= BYTES)
             rest = part.column(4)

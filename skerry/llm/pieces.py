@@ -83,6 +83,8 @@ def counted(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def distinct_words(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words, own, counts): the distinct words between ASCII white space, the number of each word in order, and how many each text has."""
+    if sum(map(len, texts)) <= MOST:
+        return _distinct(texts)
     place: dict[bytes, int] = {}
     every, counts = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
     for numbers, part in _blocks(texts):
@@ -92,7 +94,7 @@ def distinct_words(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.
     return list(place), np.concatenate(every), counts
 
 
-def _distinct(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _distinct(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     joined = b" ".join(texts)
     data = np.frombuffer(joined, np.uint8)
     starts, ends = runs(KINDS[data] != 0)
@@ -220,6 +222,8 @@ class Encoder:
 
     def encode(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each has, as the tokenizer's encode without special tokens gives them."""
+        if sum(map(len, texts)) <= MOST:
+            return self._encode(texts)
         out, sizes = [np.zeros(0, "<u2")], np.zeros(len(texts), np.int64)
         for numbers, part in _blocks(texts):
             ids, n = self._encode(part)

@@ -129,3 +129,37 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     model = line_crf.learned(docs, spark.createDataFrame([(1, None), (2, 1)], "doc_id long, quality int"))
     assert [r["score"] for r in line_crf.score(docs, model).collect()] == [0.5]
+
+
+def test_scores_equal_enumeration(spark):
+    """The whole score of short texts: all label paths, weighted by length, then the calibration."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = line_crf.learned(docs, labels)
+    texts = ["", "One line only.", "First line.\n\n!!! ### 12\nFirst line.", "a | b\nc | d\n" * 3 + "End of it, really."]
+    got = [r["score"] for r in line_crf.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got):
+        own, length, counts = line_crf.line_features([text.encode()])
+        n = len(own)
+        zero = np.zeros((1, own.shape[1]))
+        x = np.hstack([own, np.vstack([zero, own[:-1]]), np.vstack([own[1:], zero]), np.ones((n, 1))])
+        emission = (x - model.scaled[0]) / model.scaled[1] @ model.weights
+        good, total = np.zeros(n), 0.0
+        for path in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(emission[i, k] for i, k in enumerate(path)) + sum(model.pair[a, b] for a, b in itertools.pairwise(path)))
+            good += w * np.array(path)
+            total += w
+        weight = np.maximum(length, 1)
+        mean = np.clip((good / total * weight).sum() / weight.sum(), 1e-6, 1 - 1e-6)
+        a, b = model.calibration
+        assert abs(score - 1 / (1 + np.exp(-(a * np.log(mean / (1 - mean)) + b)))) < 1e-6
+
+
+def test_long_and_repeated_labelled_rows(spark):
+    rows = [(1, "A fine sentence of prose.\n" * 500), (1, "Another fine one."), (1, "Another fine one."), (2, "### | 12 | $$\n" * 300), (3, "Good words follow here."), (4, "$$ ## 99 |")]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    for most in (4000, 6):
+        model = line_crf.learned(docs, labels, most_docs=most)
+        assert line_crf.score(docs, model).count() == 18
+    scores = {r["doc_id"]: r["score"] for r in line_crf.score(docs, line_crf.learned(docs, labels)).collect()}
+    assert scores[3] > scores[4]

@@ -112,7 +112,7 @@ def test_telling_terms_go_and_others_stay(spark):
     assert f"term:{at}:{at + 12}" in spans[0] and spans[100] == ""
 
 
-def test_base_scores_equal_brute_force(spark):
+def test_base_scores_equal_brute_force(spark, monkeypatch):
     odd = [(None, "Null id WORD"), (10**6, None), (10**6 + 1, ""), (10**6 + 1, "é\xa0  \xa0 x"), (7, "the the THE")]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
     rows = [(r["doc_id"], [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in whitespace_words(r["text"])] + [None]) for r in docs.collect()]
@@ -121,27 +121,42 @@ def test_base_scores_equal_brute_force(spark):
     n, v = c.total(), len(c)
     want = [(i, out(i), len(w), sum(x in c for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for i, w in rows]
     for most in (lm_score.HEAD, 50):  # with most words, and with nearly none, among the broadcast ones
-        old, lm_score.HEAD = lm_score.HEAD, most
-        lm_score.head.__defaults__ = (most,)
-        try:
-            got = lm_score.scores(docs.withColumn("score", F.lit(1)), tokenizer("word_bpe_49k.json")).collect()
-        finally:
-            lm_score.HEAD = old
-            lm_score.head.__defaults__ = (old,)
+        monkeypatch.setattr(lm_score, "HEAD", most)
+        got = lm_score.scores(docs.withColumn("score", F.lit(1)), tokenizer("word_bpe_49k.json")).collect()
         assert sorted(((*tuple(r)[:5], round(r["base_score"], 6)) for r in got), key=str) == sorted(want, key=str)
         assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
-def test_scores_do_not_depend_on_the_broadcast(spark, monkeypatch):
+def test_scores_depend_on_neither_the_broadcast_nor_the_layout(spark, monkeypatch):
     path = tokenizer("word_bpe_49k.json")
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(0, "rare rare q" + "x" * 2000), (1, "q" + "x" * 2000 + " unheard rare")], "doc_id long, text string"))
-    once = lm_score.learned(docs, path, lm_score.scratch(spark, "test"))
-    monkeypatch.setattr(lm_score, "learned", lambda *_: once)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(0, "rare rare q" + "x" * 2000), (1, "q" + "x" * 2000 + " unheard rare"), (None, "word " * 40_000)], "doc_id long, text string"))
     found = []
-    for most in (lm_score.HEAD, 50, 0):
-        monkeypatch.setattr(lm_score.head, "__defaults__", (most,))
-        found.append(sorted(((r["doc_id"], r["n_known"], round(r["score"], 5)) for r in lm_score.scores(docs, path).collect()), key=str))
-    assert found[0] == found[1] == found[2]
+    for most, parts in ((lm_score.HEAD, 1), (50, 5), (0, 3)):
+        monkeypatch.setattr(lm_score, "HEAD", most)
+        found.append(sorted(((str(r["doc_id"]), r["n_known"], r["score"]) for r in lm_score.scores(docs.repartition(parts), path).collect()), key=str))
+    for other in found[1:]:
+        assert [x[:2] for x in found[0]] == [x[:2] for x in other] and np.allclose([x[2] for x in found[0]], [x[2] for x in other], rtol=1e-4)
+
+
+def test_held_out_bits_are_below_those_of_words_and_spellings(spark):
+    """The base gives each unheard word, of which there is no end, the share of one word; with that share spread over spellings it is a distribution, as the score is."""
+    path = tokenizer("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model, rows, _, totals, _ = lm_score.learned(docs, path, lm_score.scratch(spark, "test"))
+    bits = np.zeros(2)
+    for r in rows.where("held_out").collect():
+        n = np.array([r["n_tokens"] - 1])
+        t = lm_score.Texts([bytes(r["ids"])], [bytes(r["sizes"])], n)
+        c, kind = np.frombuffer(bytes(r["counts"]), "<f4").astype(float), lm_score.unpacked([bytes(r["variants"])], n, "<u4")
+        spelled = model.spelling(t, kind)
+        spelled[kind >= lm_score.BYTES] -= math.log(257) * (kind[kind >= lm_score.BYTES] - lm_score.BYTES + 1)
+        log_p = model.log_class(t)
+        log_p[~t.is_end] += model.within(t, c, spelled)
+        start = np.log(np.bincount(model.cls[: lm_score.IDS], model.types, lm_score.CLASSES)[model.cls[t.first]] + 1) - math.log(model.types.sum() + lm_score.CLASSES)
+        all_words = totals["n"] + totals["v"] + 1
+        base = np.where(c > 0, np.log(c + 1), spelled + start) - math.log(all_words)
+        bits += [-log_p.sum() / math.log(2), -(base.sum() + math.log(model.starts[lm_score.END] + 1) - math.log(all_words)) / math.log(2)]
+    assert bits[0] < 0.9 * bits[1]
 
 
 def test_no_documents(spark):
@@ -174,72 +189,100 @@ def test_long_numbers_are_terms(spark):
     assert spans[0] == spans[2] == "" and spans[1].endswith(f",term:{at}:{at + 11}")
 
 
-def test_every_training_id_is_a_target_once(spark):
+def test_every_training_token_is_a_target_once(spark):
     path = tokenizer("word_bpe_49k.json")
-    rows = [(i, " ".join(f"word{k}" for k in range(n))) for i, n in enumerate((0, 1, 3, 15, 16, 23, 24, 40, 500))] + [(None, None)]
-    texts = [bytes(r["ids"]) for r in lm_score.windows(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()]
-    want = [np.append(token_store.encode_text((t or "").encode(), path), np.uint16(lm_score.END)) for i, t in rows if not lm_score.held_out(i)]
-    examples = lm_score.blocks(texts)
-    targets = examples[:, lm_score.STRIDE + 1 :]
-    assert collections.Counter(targets[targets != lm_score.PAD].tolist()) == collections.Counter(np.concatenate(want).tolist())
-    # What comes before a block's targets is what comes before them in the text.
-    for t in want:
-        for at in range(0, len(t), lm_score.STRIDE):
-            row = np.full(2 * lm_score.STRIDE + 1, lm_score.PAD)
-            part = t[max(0, at - lm_score.STRIDE - 1) : at + lm_score.STRIDE]
-            low = lm_score.STRIDE + 1 - min(at, lm_score.STRIDE + 1)
-            row[low : low + len(part)] = part
-            assert (examples == row).all(1).any()
-    assert lm_score.blocks([]).shape == (0, 2 * lm_score.STRIDE + 1)
+    texts = [" ".join(f"word{k}" for k in range(n)) for n in (0, 1, 3, 14, 15, 16, 17, 40, 500)]
+    raw = [token_store.encode_text(t.encode(), path) for t in texts]
+    words = [lm_score.ids_of(t.encode().split(), path) for t in texts]
+    assert all(np.array_equal(a, b) for a, (b, _) in zip(raw, words))
+    t = lm_score.Texts([ids.astype("<u2").tobytes() for ids, _ in words], [lm_score.packed(n, "<u4") for _, n in words], np.array([len(n) for _, n in words]))
+    cls = np.arange(1 << 16)
+    target, real = t.blocks(t.targets(cls), -1), t.blocks(np.ones(len(t.is_end), bool), False)
+    want = [x for ids, n in words for x in [*ids[np.cumsum(n) - n].tolist(), lm_score.END]]
+    assert target[real].tolist() == want and (target[~real] == -1).all()
+    # A token's input is the word before it; the first one's is the start.
+    n = len(t.at)
+    inputs, k = t.inputs()[real].tolist(), 0
+    for own in t.n_words.tolist():
+        assert inputs[:1] == [n] and inputs[1 : own + 1] == list(range(k, k + own))
+        inputs, k = inputs[own + 1 :], k + own
+    rows = lm_score.prepared(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), path, {}, 3).collect()
+    assert all((r["shard"] is None) == lm_score.held_out(r["doc_id"]) and r["n_tokens"] == len(texts[r["doc_id"]].split()) + 1 for r in rows)
 
 
 def model():
     rng = np.random.default_rng(1)
-    start, inner = rng.integers(0, 50, lm_score.IDS).astype(float), rng.integers(0, 50, lm_score.IDS).astype(float)
-    final = rng.random(lm_score.PAD + 1) < 0.4
-    final[[lm_score.END, lm_score.PAD]] = True
-    top = np.argsort(-(start + inner), kind="stable")[: lm_score.TOP]
-    m = lm_score.Model(start, inner, {int(a) * 65536 + int(b): 3.0 for a, b in zip(top[:-1], top[1:])}, final)
-    m.set_classes(rng.integers(0, lm_score.CLASSES - 2, lm_score.TOP), rng.random((lm_score.TOP + 2, 2 * lm_score.TOP + 4)))
+    keys = np.arange(lm_score.IDS - 2)
+    n = lambda high: (keys, rng.integers(0, high, len(keys)).astype(float))
+    types, inner, last = n(20), n(20), n(3)
+    last = (keys, np.minimum(last[1], types[1] + inner[1]))
+    m = lm_score.Model({lm_score.STARTS: (keys, types[1] * 3), lm_score.TYPES: types, lm_score.INNER: inner, lm_score.INNER_TOKENS: n(9), lm_score.LAST: last, lm_score.TIMES: (np.arange(1, 4), np.array([50.0, 20, 9]))}, 100)
+    a = np.repeat(m.often, 2)
+    b = m.often[rng.integers(0, lm_score.TOP, len(a))]
+    pairs, k = np.unique(np.stack([a, b]), axis=1, return_counts=True)
+    more = (m.types + m.inner - m.last)[pairs[0]]
+    m.set_pairs(pairs[0], pairs[1], np.minimum(k, more / 2))
+    m.set_classes(rng.integers(0, 20, (lm_score.TOP + 2, lm_score.TOP + 2)).astype(float))
+    m.attention.p["q"] *= 2
+    m.attention.p["lag"] = rng.normal(size=2 * lm_score.STRIDE).astype(np.float32)
     return m
 
 
-def test_the_model_is_a_distribution_and_windows_agree():
+def test_probabilities_add_up_to_one():
+    m = model()
+    # First ids within each class; stops or next ids behind an id, whether its pairs are told apart or not; variants.
+    assert np.allclose(np.bincount(m.cls[: lm_score.IDS], np.exp(m.log_first), lm_score.CLASSES), 1)
+    every = np.arange(lm_score.IDS)
+    for a in (*m.often[:5], *np.flatnonzero(m.slot[: lm_score.IDS] == lm_score.TOP)[:5]):
+        go = np.exp(m.table[m.slot[a], m.slot[every]] + m.log_other[every] + m.log_go[a]).sum()
+        assert abs(go + np.exp(m.log_stop[a]) - 1) < 1e-3
+    assert abs(np.exp(m.log_variant).sum() - 1) < 1e-9
+    # Shares of all words of a class and the mass of spellings: each type has its tokens, less the discount.
+    tokens, types = (np.bincount(m.cls[: lm_score.IDS], x, lm_score.CLASSES) for x in (m.starts, m.types))
+    some = types > 0
+    assert np.allclose((tokens[some] - m.discount * types[some]) / tokens[some] + np.exp(m.log_free[some]), 1)
+    rng = np.random.default_rng(2)
+    e = rng.normal(size=(3, 32, lm_score.WIDTH)).astype(np.float32)
+    assert np.allclose(np.exp(m.attention.forward(e, np.array([True, False, False]))[0]).sum(2), 1, atol=1e-4)
+
+
+def test_windows_agree():
+    """Blocks of many texts at once, one text at a time, and an exact restatement."""
     m, rng = model(), np.random.default_rng(2)
-    before = rng.integers(0, lm_score.IDS, 50).astype(np.uint16)
-    # All ids behind the same text: their probabilities add up to one.
-    every = np.arange(lm_score.IDS).astype(np.uint16)
-    inputs = m.compact[np.concatenate([[lm_score.PAD], before])]
-    log_class = m.attention.forward(inputs[None, -32:], np.ones((1, 32), bool))[0][0, -1]
-    total = np.exp(log_class[m.cls[every]] + m.within(np.full(lm_score.IDS, before[-1]), every)).sum()
-    assert abs(total - 1) < 1e-3
-    # Blocks of many texts at once, one text at a time, and an exact restatement.
-    texts = [np.append(rng.integers(0, lm_score.IDS - 2, n), lm_score.END).astype(np.uint16) for n in (0, 1, 15, 16, 17, 100)]
-    together = m.log_p(texts, most=3)
-    assert np.allclose(together, np.concatenate([m.log_p([t]) for t in texts]), atol=1e-4)
-    at = 0
-    for t in texts:
-        seq = m.compact[np.concatenate([[lm_score.PAD], t])]
-        for i in range(len(t)):
-            first = i // lm_score.STRIDE * lm_score.STRIDE
-            x, seen = np.zeros((1, 32), int), np.zeros((1, 32), bool)
-            low = max(0, first - lm_score.STRIDE)
-            x[0, 16 - (first - low) : 16 + i - first + 1] = seq[low : i + 1]
-            seen[0, 16 - (first - low) :] = True
-            log_class = m.attention.forward(x, seen)[0][0, i - first]
-            want = log_class[m.cls[t[i]]] + m.within(np.array([t[i - 1] if i else lm_score.PAD]), t[i : i + 1])[0]
+    own = [(rng.integers(0, lm_score.IDS - 2, 3 * n).astype("<u2"), np.full(n, 3, "<u4")) for n in (0, 1, 15, 16, 17, 100)]
+    raw = [(a.tobytes(), b.tobytes()) for a, b in own]
+    whole = lm_score.Texts(*zip(*raw), np.array([len(b) for _, b in own]))
+    assert np.array_equal(lm_score.unpacked([lm_score.packed(np.array(x), '<u4') for x in ([1, 2], [], [300, 5])], np.array([2, 0, 2]), '<u4'), [1, 2, 300, 5])
+    together = m.log_class(whole)
+    assert np.allclose(together, np.concatenate([m.log_class(lm_score.Texts([a], [b], np.array([len(b) // 4]))) for a, b in raw]), atol=1e-4)
+    at, s = 0, lm_score.STRIDE
+    for a, b in raw:
+        t = lm_score.Texts([a], [b], np.array([len(b) // 4]))
+        v = t.vectors(m.compact, m.vectors)
+        seq = np.concatenate([v[-2:-1], v[:-2]])  # the start, then the words
+        target = t.targets(m.cls)
+        for i in range(len(seq)):
+            low = max(0, i // s * s - s)
+            e = np.zeros((1, 2 * s, lm_score.WIDTH), np.float32)
+            e[0, s - (i // s * s - low) : s + i % s + 1] = seq[low : i + 1]
+            want = m.attention.forward(e, np.array([i < s]))[0][0, i % s, target[i]]
             assert abs(together[at + i] - want) < 1e-3
-        at += len(t)
+        at += len(seq)
+    # All blocks at once, or a few.
+    t = whole
+    args = (t.vectors(m.compact, m.vectors), t.inputs(), t.opens, t.blocks(t.targets(m.cls), 0))
+    assert np.allclose(m.attention.log_p(*args, most=3), m.attention.log_p(*args), atol=1e-5)
 
 
 def test_gradient():
-    a, rng = lm_score.Attention(np.random.default_rng(3).normal(size=(lm_score.TOP + 2, 8))), np.random.default_rng(4)
+    rng = np.random.default_rng(4)
+    a = lm_score.Attention(rng.normal(size=8))
     a.p = {n: x.astype(np.float64) for n, x in a.p.items()}
-    x, seen, target, real = rng.integers(0, 20, (3, 32)), np.ones((3, 32), bool), rng.integers(0, 8, (3, 16)), np.ones((3, 16), bool)
-    seen[0, :16] = False
-    g = a.gradient(x, seen, target, real)
-    loss = lambda: -np.take_along_axis(a.forward(x, seen)[0], target[:, :, None], 2).mean()
-    for name, at in (("ids", (3, 2)), ("places", (20, 1)), ("q", (1, 2)), ("k", (2, 3)), ("v", (4, 5)), ("r", (0, 1)), ("b", (2,)), ("out", (3, 4)), ("last", (5, 1))):
+    e, opens = rng.normal(size=(3, 32, lm_score.WIDTH)), np.array([True, False, False])
+    target, real = rng.integers(0, 8, (3, 16)), np.ones((3, 16), bool)
+    g = a.gradient(e, opens, target, real)
+    loss = lambda: -np.take_along_axis(a.forward(e, opens)[0], target[:, :, None], 2).mean()
+    for name, at in (("q", (1, 2)), ("k", (2, 3)), ("v", (4, 5)), ("r", (0, 1)), ("lag", (3,)), ("b", (2,)), ("out", (3, 4)), ("share", (5,))):
         a.p[name][at] += 1e-5
         up = loss()
         a.p[name][at] -= 2e-5
@@ -248,6 +291,16 @@ def test_gradient():
         assert abs(slope - g[name][at]) < 1e-5, name
 
 
+def test_variants_tell_words_with_equal_ids_apart():
+    path = tokenizer("word_bpe_49k.json")
+    words = ["élan", "Élan", "ÉLAN", "e\u0301lan", "a", "a\xa0", "straße", "ΑΣ", "don't"]
+    ids = [lm_score.ids_of([w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode()], path)[0].tobytes() for w in words]
+    kinds = lm_score.variants([w.encode() for w in words]).tolist()
+    assert kinds[:3] == [0, 1, 2 + len("ÉLAN".encode())] and kinds[3] > 1 and kinds[4] == 0 and kinds[5] > 1
+    plain = [(i, k) for i, k in zip(ids, kinds) if k < lm_score.BYTES]
+    assert len(plain) == len(set(plain))
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     crf = line_crf.learned(docs, labels)
@@ -285,3 +338,72 @@ def test_stages_keep_columns(spark, n):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumn("fp", F.lit(1))
     out = corpus_pipeline.STAGES[n][1](spark, docs, SF)
     assert out.columns == docs.columns and out.count() <= 40
+
+
+def test_terms_equal_brute_force(spark):
+    """All terms that tell of an entity, on a small corpus with repeats, shared entities, several entities in a text and repeated words."""
+    rnd = np.random.default_rng(5)
+    vocabulary = [f"w{''.join(chr(97 + int(x)) for x in rnd.integers(0, 26, 4))}" for _ in range(60)]
+    mails = ["a@x.org", "b@x.org", "c@y.net", "10.1.2.3"]
+    rows = []
+    for i in range(150):
+        text = " ".join(vocabulary[int(k)] for k in (rnd.integers(0, 60, 8) ** 2 // 60))
+        own = [mails[int(k)] for k in rnd.integers(0, 4, int(rnd.integers(0, 3)) if i % 3 == 0 else 0)]
+        rows.append((i % 140, f"{text} {' '.join(own)} {vocabulary[59] if 'a@x.org' in own else 'plain'}"))
+    rows += [(900, "Éclatab@x.org stands before it"), (901, "straßec@y.net")]
+    holds, words = [], []
+    for _, text in rows:
+        spans = [tuple(x.split(":")) for x in brute_spans(text)]
+        holds.append({text[int(a) : int(b)].lower() for _, a, b in spans})
+        at = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+        words.append([(a, b, w) for a, b, w in at if not any(int(s) < b and a < int(e) for _, s, e in spans)])
+    every = [{m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", text)} for _, text in rows]
+    n = len(rows)
+    want = []
+    for (doc_id, _), own, places in zip(rows, holds, words):
+        gone = set()
+        for e in own:
+            n_e = sum(e in h for h in holds)
+            for w in {w for _, _, w in places}:
+                n_t = sum(w in x for x in every)
+                n_et = sum(e in h and w in {v for _, _, v in p} for h, p in zip(holds, words))
+                m = n_e * n_t / n
+                told = math.log2(n_et / m) / math.log2(n / n_e) if n > n_e else 0
+                if told >= pii.GENERALISE and n_et * math.log(n_et / m) - n_et + m >= -math.log(pii.CHANCE):
+                    gone.add(w)
+        want.append((doc_id, ",".join(f"term:{a}:{b}" for a, b, w in places if w in gone)))
+    got = pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [(r["doc_id"], ",".join(x for x in r["spans"].split(",") if x.startswith("term"))) for r in got]
+    assert sorted(found) == sorted(want) and sum(bool(t) for _, t in want) > 5
+
+
+def test_many_entities_in_one_text(spark):
+    """The work grows about as the number of entities, and the text comes out as by hand."""
+    import time
+
+    text = " ".join(f"user{i} wrote é{i}x from u{i}@mail{i % 50}.example at 10.{i % 250}.3.4 then" for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, "plain text"), (3, None)], "doc_id long, text string")
+    start = time.perf_counter()
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert time.perf_counter() - start < 60
+    assert out[2] == "plain text" and out[3] is None and out[1].count("[EMAIL]") == 3000 and out[1].count("[IP]") == 3000 and "@" not in out[1]
+    spans = pii.spans(df).where("doc_id = 1").first()
+    assert spans["n_email"] == spans["n_ip"] == 3000
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_stages_on_odd_rows(spark, n):
+    """Null and empty texts, repeated and null ids, and empty tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    keep = docs.limit(5).collect()
+    odd = [keep[0].asDict() | {"doc_id": i, "text": t} for i, t in ((None, None), (None, ""), (None, "a text of its own"), (None, "another one here"), (7, "first text of seven"), (7, "second text of seven"), (7, "second text of seven"))]
+    df = spark.createDataFrame([r.asDict() for r in keep] + odd, docs.schema).withColumn("row", F.lit("x"))
+    out = corpus_pipeline.STAGES[n][1](spark, df, SF)
+    assert n == 4 or out.columns == df.columns
+    found = out.collect()
+    assert len(found) <= df.count() and (n in (0, 1, 2) or len(found) == df.count())
+    if n == 1:
+        texts = [r["text"] for r in found]
+        assert {"a text of its own", "another one here", "first text of seven", "second text of seven"} <= set(texts) and texts.count("second text of seven") == 1
+        assert sum(not t for t in texts) == 1
+    assert corpus_pipeline.STAGES[n][1](spark, df.limit(0), SF).count() == 0

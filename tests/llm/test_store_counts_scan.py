@@ -199,7 +199,7 @@ def brute_scan(doc, items):
             for k in range(len(own) - n + 1):
                 if own[k : k + n] == w[i : i + n]:
                     hit |= set(range(k, k + n))
-                    names.add(str(name))
+                    names |= {str(name)} - {"None"}
     return len(own), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
@@ -209,7 +209,7 @@ def test_scan_equals_brute_force(spark, most):
     rows = [(1, "zero one two three four five six seven eight nine ten x"), (2, None), (3, ""), (4, "a short item of ñandú."), (5, "one two three four five six seven eight nine"), (6, "One two three four five six seven eight nine ten eleven twelve One two three four five six seven eight nine ten eleven"), (6, "nobody"), (None, "SHORT item")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.scan(spark.createDataFrame(rows, "doc_id long, text string"), bench, most_words=most).drop("items").collect()
-    want = [(d, *brute_scan(t, [i for i in items if i[0] is not None])) for d, t in rows]
+    want = [(d, *brute_scan(t, items)) for d, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
@@ -219,16 +219,85 @@ def test_scan_of_the_small_tables(spark):
     assert sorted(map(tuple, got)) == sorted((r["doc_id"], *brute_scan(r["text"], items)) for r in docs(spark).collect())
 
 
-def test_spans_or_documents_go(spark):
-    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
-    df = spark.createDataFrame([(1, "Keep, ONE two three four five six seven eight nine ten! this", 7), (2, "clean", 8), (3, None, 9)], "doc_id long, text string, contaminated int")
-    assert sorted(r["doc_id"] for r in decontaminate.without_hits(df, bench).collect()) == [2, 3]
-    out = {r["doc_id"]: (r["text"], r["contaminated"]) for r in decontaminate.without_hits(df, bench, whole=False).collect()}
-    assert out == {1: ("Keep, ! this", 7), 2: ("clean", 8), 3: (None, 9)}
+@pytest.mark.parametrize("most", [decontaminate.MOST_WORDS, 0])
+def test_spans_or_documents_go(spark, most):
+    ten = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, ten), (None, "secret word"), (2, ten)], "item_id long, text string")
+    rows = [(1, "Keep, ONE two three four five six seven eight nine ten! this", 7), (1, "clean twin", 8), (None, "a secret word", 9), (None, "clean too", 10), (3, None, 9), (4, "", 9), (5, "secret word", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, contaminated int")
+    got = decontaminate.without_hits(df, bench, most_words=most)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+    got = decontaminate.without_hits(df, bench, whole=False, most_words=most)
+    want = [(1, "Keep, ! this", 7), rows[1], (None, "a ", 9), rows[3], rows[4], rows[5], (5, "", 1)]
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    for empty in (df.limit(0), df):
+        none = decontaminate.scan(empty, bench.limit(0), most_words=most).collect()
+        assert len(none) == empty.count() and not any(r["contaminated"] for r in none)
+
+
+def test_a_very_long_text_is_scanned(spark):
+    text = "filler words " * 200_000 + "one two three"
+    bench = spark.createDataFrame([(1, "one two three"), (2, "nothing of it")], "item_id long, text string")
+    r = decontaminate.scan(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, n_hit string"), bench).first()
+    assert (r["n_words"], r["n_hit"], r["items"]) == (400_003, 3, ["1"])
 
 
 def test_chat_collapses_snapshots(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 1, "assistant", "b"), (3, 0, "user", "a"), (4, 0, "user", None), (5, 0, "", "usera"), (None, 0, "user", "z"), (6, 0, "user", "a"), (6, 1, "assistant", "c")]
-    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
-    assert {(r["conv_id"], r["n_turns"], r["n_copies"]) for r in out} == {(2, 2, 2), (4, 1, 1), (5, 1, 1), (None, 1, 1), (6, 2, 1)}
+    rows += [(None, 0, "user", "z"), (None, 1, "user", "y"), (None, 0, "user", "a")]
+    out = chat.formatted(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, hash int")).collect()
+    assert sorted(((r["conv_id"], r["n_turns"], r["n_copies"]) for r in out), key=str) == sorted([(2, 2, 2), (4, 1, 1), (5, 1, 1), (None, 1, 2), (None, 1, 1), (6, 2, 1)], key=str)
     assert next(r["text"] for r in out if r["conv_id"] == 6) == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
+
+
+def test_long_conversations_equal_turns_and_empty_tables(spark):
+    long = [(1, k, "user", f"turn {k}") for k in range(300)] + [(2, k, "user", f"turn {k}") for k in range(299)] + [(3, 0, "user", "x" * 100_000)]
+    same = [(4, 0, "user", "b"), (4, 0, "user", "a"), (5, 0, "user", "a"), (5, 0, "user", "a"), (6, 0, "user", "a"), (6, None, "user", "first")]
+    df = spark.createDataFrame(long + same, "conv_id long, turn int, role string, text string")
+    out = {r["conv_id"]: r for r in chat.formatted(df).collect()}
+    assert {k: r["n_turns"] for k, r in out.items()} == {1: 300, 3: 1, 4: 2, 5: 2, 6: 2}
+    assert out[4]["text"].index("a<") < out[4]["text"].index("b<") and out[6]["text"].index("first") < out[6]["text"].index("a<") and len(out[3]["text"]) > 100_000
+    hashes = chat.prefixes(df.where("conv_id <= 2")).orderBy("conv_id").collect()
+    want, h = [], ""
+    for k in range(300):
+        h = hashlib.sha256(f"{h}4:user{len(f'turn {k}')}:turn {k}".encode()).hexdigest()
+        want.append(h)
+    assert hashes[0]["hashes"] == want and hashes[1]["hashes"] == want[:299]
+    assert chat.formatted(df.limit(0)).count() == 0
+
+
+def test_empty_tables_and_pieces(spark):
+    from tokenizers import Tokenizer
+
+    from skerry.llm import bpe_automaton, pieces
+
+    empty = spark.createDataFrame([], DOCS)
+    assert simhash.near_duplicates(empty).count() == token_counts.count_tokens(empty, tokenizer("piece_bpe_32k.model")).count() == bpe_automaton.round_trip(empty, tokenizer("byte_bpe_50k.json")).count() == 0
+    path = tokenizer("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), pieces.Encoder(path, most=50)
+    rnd = random.Random(2)
+    parts = ["don't", "'s", " ", "  ", "the", "A", "É", "\n", "\x1c", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "12", "é", " \u0301", "é", "!!", "½", "日", "\x00", "aaaa", "\t", "\xa0", "---", "😀", "×", "÷", "ÀÉb", "ß", "ÿ", "I\u0307", "İ", "\x7f", "a.b", "Ünï1x", "Ā"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(9))) for _ in range(3000)] + ["", "x" * 30_000, "ab " * 4000]
+    ids, sizes = own.encode([t.encode() for t in texts])
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [k for w in want for k in w]
+    words, at, counts = pieces.distinct_words([t.encode() for t in texts])
+    assert [words[k] for k in at] == [w for t in texts for w in t.encode().split()] and counts.tolist() == [len(t.encode().split()) for t in texts]
+    # Strings that hash alike are told apart.
+    data = np.frombuffer(b"ab cd ab ef", np.uint8)
+    values = pieces.VALUES.copy()
+    try:
+        pieces.VALUES[:] = 1
+        first, same = pieces.grouped(data, np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11]))
+    finally:
+        pieces.VALUES[:] = values
+    assert len(first) == 3 and same[0] == same[2] and len(set(same.tolist())) == 3
+
+
+def test_common_keys_meet_apart(spark):
+    from skerry.llm.common import joined_apart, scratch, written
+
+    left = written(spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).cast("long").alias("k"), F.col("id").alias("x")), scratch(spark, "test"))
+    right = spark.range(6000).select(F.col("id").alias("k"), (2 * F.col("id")).alias("y")).where("k % 5 != 0")
+    for how in ("left", "inner"):
+        assert sorted(map(tuple, joined_apart(left, right, "k", how).collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
