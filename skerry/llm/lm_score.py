@@ -32,11 +32,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, scratch, slices, utf8, written
-from .pieces import distinct_words, encoder
+from .common import scratch, slices, utf8, written
+from .pieces import distinct_words, encoder, forget
 from .simhash import UPPER
 
 STRIDE, WIDTH, CLASSES, TOP, HEAD = 16, 16, 32, 1024, 200_000
@@ -156,10 +157,9 @@ def subword_counts(vocabulary: DataFrame, path: str) -> DataFrame:
 # --- documents as ids ---------------------------------------------------------------------------------------------------------------------------------
 
 
-def prepared(own: DataFrame, path: str, known: dict[bytes, int], n_shards: int) -> DataFrame:
+def prepared(own: DataFrame, path: str, shared: Broadcast, n_shards: int) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens; n_known and sums (of log10(c + 1)) over the known words; ids, sizes (ids of each word), counts (0: not known) and variants
-    of all words, packed; rest: the words that are not known, with the place of one of them and how many there are; and the training shard (null: held out)."""
-    shared = own.sparkSession.sparkContext.broadcast(known)
+    of all words, packed; rest: the words that are not known, and how many there are; and the training shard (null: held out).  shared: the known words' counts."""
 
     def run(batches):
         for part in slices(batches, "text", 2 << 20):
@@ -178,10 +178,9 @@ def prepared(own: DataFrame, path: str, known: dict[bytes, int], n_shards: int)
             logs = np.append(0, np.cumsum(np.log10(c + 1.0)))
             n_known = np.append(0, np.cumsum(c > 0))
             free = np.flatnonzero(c == 0)
-            pair, place, n = np.unique(text[free] * (len(words) + 1) + at[free], return_index=True, return_counts=True)
-            place = free[place]
+            pair, n = np.unique(text[free] * (len(words) + 1) + at[free], return_counts=True)
             ahead = to - n_words
-            rest = pa.StructArray.from_arrays([pa.array([words[i] for i in at[place].tolist()], pa.binary()), pa.array(place - ahead[text[place]], pa.int64()), pa.array(n, pa.int64())], ["word", "at", "n"])
+            rest = pa.StructArray.from_arrays([pa.array(list(map(words.__getitem__, (pair % (len(words) + 1)).tolist())), pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
             offsets = np.append(0, np.cumsum(np.bincount(pair // (len(words) + 1), minlength=len(texts))))
 
             def cut(x: np.ndarray, ends: np.ndarray, pack=np.ndarray.tobytes) -> pa.Array:
@@ -206,7 +205,7 @@ def prepared(own: DataFrame, path: str, known: dict[bytes, int], n_shards: int)
 
     h = F.xxhash64("doc_id", "text")
     rows = own.select("doc_id", "text", h.alias("h"))
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, ids binary, sizes binary, counts binary, variants binary, rest array<struct<word:binary,at:long,n:long>>, h long")
+    out = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, ids binary, sizes binary, counts binary, variants binary, rest array<struct<word:binary,n:long>>, h long")
     return out.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.when(~F.col("held_out"), F.pmod("h", F.lit(n_shards * ROUNDS)))).withColumn("round", F.coalesce(F.col("shard") % ROUNDS, F.lit(-1)).cast("int"))
 
 
@@ -511,8 +510,8 @@ class Model:
             steps[1:] = self.table[self.slot[a], self.slot[b]] + self.log_go[a] + self.log_other[b]
         steps[t.at] = self.log_first[t.first]
         out = np.add.reduceat(steps, t.at) if len(t.at) else np.zeros(0)
-        out += self.log_stop[t.ids[t.at + t.sizes - 1]] + self.log_variant[np.minimum(kinds, BYTES)]
-        return out
+        out += self.log_stop[t.last] + self.log_variant[np.minimum(kinds, BYTES)]
+        return out - math.log(257) * np.maximum(kinds - BYTES + 1, 0)  # by their bytes, with an end
 
     def within(self, t: Texts, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         """log P(word | class)."""
@@ -540,6 +539,7 @@ def trained(model: Model, rows: DataFrame, n_shards: int) -> None:
         def run(batches, shared=shared, step=step):
             shard = own = adam = None
             seen = 0
+            forget()
 
             def done():
                 return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([own.raw()], pa.binary())], ["shard", "seen", "raw"])
@@ -612,8 +612,10 @@ def learned(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, Dat
     """The model, all rows as ids, (word, c) of the training words, their totals, and the least count of the words that rows hold the counts of."""
     model, vocabulary, totals = counted(own, path, base)
     known, least = head(vocabulary)
+    known = own.sparkSession.sparkContext.broadcast(known)
     n_shards = shards(totals["n"])
     prepared(own, path, known, n_shards).write.mode("overwrite").partitionBy("round").parquet(f"{base}/rows")
+    known.unpersist()
     rows = own.sparkSession.read.schema(SCHEMA).parquet(f"{base}/rows")
     training = rows.where("round >= 0")
     model.set_classes(neighbours(training, model.compact))
@@ -621,7 +623,7 @@ def learned(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, Dat
     return model, rows, vocabulary, totals, least
 
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, ids binary, sizes binary, counts binary, variants binary, rest array<struct<word:binary,at:long,n:long>>, h long, row long, shard long, round int"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, ids binary, sizes binary, counts binary, variants binary, rest array<struct<word:binary,n:long>>, h long, row long, shard long, round int"
 
 
 def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -634,39 +636,35 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         lm = shared.value
-        for part in slices(batches, "ids", 1 << 20):
+        forget()
+        for part in slices(batches, "ids", 1 << 19):
             ids, sizes, counts, kinds = (part.column(i).to_pylist() for i in range(4))
-            t = Texts(ids, sizes, part.column(8).to_numpy() - 1)
-            c = np.frombuffer(b"".join(counts), "<f4").astype(float)
-            kind = unpacked(kinds, t.n_words, "<u4")
-            spelled = lm.spelling(t, kind)
-            other = np.flatnonzero(kind >= BYTES)
-            rest = part.column(4)
-            spelled[other] -= math.log(257) * (kind[other] - BYTES + 1)  # by their bytes, with an end
+            t = Texts(ids, sizes, part.column(4).to_numpy() - 1)
             log_p = lm.log_class(t)
-            log_p[~t.is_end] += lm.within(t, c, spelled)
-            score = np.add.reduceat(log_p, t.starts) / math.log(10) if len(t.starts) else np.zeros(0)
-            words = rest.flatten()
-            at = words.field("at").to_numpy() + np.repeat(np.cumsum(t.n_words) - t.n_words, rest.value_lengths().to_numpy())
-            cls = lm.cls[t.first[at]]
-            p = spelled[at] + lm.log_free[cls] + lm.log_tokens[cls]
-            named = pa.StructArray.from_arrays([words.field("word"), words.field("n"), pa.array(p, pa.float64())], ["word", "n", "p"])
-            offsets = np.append(0, np.cumsum(rest.value_lengths().to_numpy()))
-            yield pa.RecordBatch.from_arrays([*part.columns[5:], pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), named)], ["row", "doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "rest"])
-
-    scored = rows.select("ids", "sizes", "counts", "variants", "rest", "row", "doc_id", "held_out", "n_tokens", "n_known", "sums")
-    scored = written(scored.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double, rest array<struct<word:binary,n:long,p:double>>"), f"{base}/scored")
-    removed(spark, f"{base}/rows")
-    rare = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n", "x.p")
+            log_p[~t.is_end] += lm.within(t, np.frombuffer(b"".join(counts), "<f4").astype(float), lm.spelling(t, unpacked(kinds, t.n_words, "<u4")))
+            yield pa.RecordBatch.from_arrays([part.column(5), pa.array(np.add.reduceat(log_p, t.starts) / math.log(10))], ["row", "score"])
+
+    def spelled(batches):
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            if words:
+                ids, sizes = ids_of(words, path)
+                t = Texts([ids.astype("<u2").tobytes()], [packed(sizes, "<u4")], np.array([len(words)]))
+                cls = shared.value.cls[t.first]
+                p = shared.value.spelling(t, variants(words)) + shared.value.log_free[cls] + shared.value.log_tokens[cls]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], ["word", "c", "p"])
+
+    scored = written(rows.select("ids", "sizes", "counts", "variants", "n_tokens", "row").mapInArrow(run, "row long, score double"), f"{base}/scored")
     # What the share adds to a spelled word: log(1 + share / spelled), for exponents of any size.
-    rare = rare.join(vocabulary.where(F.col("c") < least), "word")
+    rare = vocabulary.where((F.col("c") < least) & (F.octet_length("word") > 0)).select("word", "c").mapInArrow(spelled, "word binary, c long, p double")
     ahead = F.log(F.col("c") - model.discount) - F.col("p")
     gain = (F.greatest(ahead, F.lit(0.0)) + F.log1p(F.exp(-F.abs(ahead)))) / math.log(10)
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"), F.sum(F.col("n") * gain).alias("gain"))
+    rare = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n").join(rare.select("word", "c", gain.alias("gain")), "word")
+    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"), F.sum(F.col("n") * F.col("gain")).alias("gain"))
     ends = vocabulary.where("octet_length(word) = 0").first()
     log_all = math.log10(totals["n"] + totals["v"] + 1)
     log_end = math.log10((ends["c"] if ends else 0) + 1)
-    out = scored.drop("rest").join(rare, "row", "left")
+    out = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "sums").join(scored, "row").join(rare, "row", "left")
     return out.select(
         "doc_id",
         "held_out",

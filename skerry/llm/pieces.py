@@ -139,7 +139,7 @@ def spread(rows: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts.  At most 2 * most strings are held with their ids."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -242,3 +242,9 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Gives the memory of held strings back; workers are used again by stages that need none."""
+    for own in _encoders.values():
+        own.held, own.old = {}, {}
