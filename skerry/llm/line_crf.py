@@ -5,8 +5,8 @@ emission also sees the features of the lines before and behind it, and the chain
 take their document's label.  Forward-backward gives each line's probability of being good; their mean, weighted by line length, and a logistic
 calibration on the training documents give the document's score.
 
-The fit uses at most `most_docs` labelled rows, in the order of a hash of their doc_id, with at most `most_lines` lines each: documented bounds.  Scoring
-covers whole texts.  Labels, lang, source and doc_id are no inputs of a score.
+The fit uses at most `most_docs` labelled rows, in the order of a hash of their doc_id and lines, and of a longer text a window of `most_lines` neighbouring lines, whose
+start is a hash of its doc_id: documented bounds, which hold what meets at the driver below 30 MB.  Scoring covers whole texts.  Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts are one empty line; labels that are null or contradict each other are not learned from; without labels of both classes every
 score is 0.5; repeated rows are kept one for one; an empty table gives an empty result.
@@ -14,6 +14,8 @@ score is 0.5; repeated rows are kept one for one; an empty table gives an empty
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, utf8
 
-MOST_DOCS, MOST_LINES, THRESHOLD = 4000, 2000, 0.3
+MOST_DOCS, MOST_LINES, THRESHOLD = 4000, 100, 0.3
 FOLDS, HELD_OUT = 5, 0
 N_CLASSES = 10
 
@@ -185,7 +187,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 120, rate:
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_lines: int = MOST_LINES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on labelled rows outside the held-out fold, at most most_docs of them, by the order of a hash of doc_id."""
+    """Fits on labelled rows outside the held-out fold, at most most_docs of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS != HELD_OUT)
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y")
@@ -196,12 +198,13 @@ def learned(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most
         for part in slices(batches, "text"):
             rows = []
             for key, y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2))):
-                if text.count(b"\n") < most_lines:
-                    own, length, _ = line_features([text])
-                    rows.append((key, y, own.astype("<f4").tobytes(), length.astype("<i8").tobytes()))
+                own, length, _ = line_features([text])
+                at = zlib.crc32(str(key).encode()) % max(1, len(own) - most_lines + 1)
+                rows.append((key, y, own[at : at + most_lines].astype("<f4").tobytes(), length[at : at + most_lines].astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["id", "y", "own", "length"])
 
-    found = texts.mapInArrow(run, "id long, y int, own binary, length binary").collect()
+    rows = texts.mapInArrow(run, "id long, y int, own binary, length binary")
+    found = rows.orderBy(F.xxhash64("id", "own"), "id", "own").limit(most_docs).collect()  # a task keeps its first most_docs rows
     found = sorted((r["id"], r["y"], bytes(r["own"]), bytes(r["length"])) for r in found)
     return fit([(np.frombuffer(a, "<f4").reshape(-1, N_OWN), np.frombuffer(b, "<i8"), y) for _, y, a, b in found])
 
