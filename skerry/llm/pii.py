@@ -6,9 +6,9 @@ text makes them back-track.
 
 Terms (after Sanchez and Batet's PMI-based sanitisation): a term is a word of a document that holds an entity.  Over all documents, with N documents, n_e holding entity e,
 n_t holding term t and n_et holding both, e holds log2(N/n_e) bits and t tells log2(N n_et / (n_e n_t)) of them.  A term that tells at least GENERALISE of e's bits, and meets
-e more often than chance allows, is generalised wherever it stands in documents that hold e; from REMOVE on it is removed.  Chance: were e and t independent,
+e more often than chance allows, is generalised wherever it stands in documents that hold e, to the class of terms that are about as common (1, 10, 100, ... documents or more); from REMOVE on it is removed.  Chance: were e and t independent,
 n_et or more common documents had a probability of at most exp(-(n_et ln(n_et / m) - n_et + m)) with m = n_e n_t / N (Chernoff); it has to be at most CHANCE.
-Since n_et <= n_e, t can only tell as much if n_t <= N (n_e / N)^GENERALISE: other pairs are never made, and none is lost by that. A string of LONG digits or more that matched a pattern but failed its check is a term like any
+Entities of the same documents tell the same, and are looked at as one.  Since n_et <= n_e, t can only tell as much if n_t <= N (n_e / N)^GENERALISE: other pairs are never made, and none is lost by that. A string of LONG digits or more that matched a pattern but failed its check is a term like any
 word, named by its digits: it stays where no entity is, and where it tells too little.
 
 Positions are code points, ends are exclusive.  Defined cases: null counts as empty and has no spans; rows, nulls and repeats are kept one for one and count as
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import joined_apart, scratch, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 LOCAL, LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -36,6 +36,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WORD = "\\p{L}{3,}"
+#: Addresses, words of ASCII letters, and others; a word beyond ASCII that runs into an address is matched with it.
+TOKENS = f"{PATTERNS['email']}|[A-Za-z]{{3,}}+(?!\\p{{L}})|\\p{{L}}{{3,}}+(?:(?<=[A-Za-z])[{LOCAL}]*+@[{LABEL}]++(?:\\.[{LABEL}]++)++)?+"
 CHANCE, GENERALISE, REMOVE, LONG = 0.01, 0.8, 0.95, 9
 SPAN = "struct<k:int,s:int,e:int,v:string>"
 TERM = KINDS.index("term")
@@ -105,11 +107,9 @@ def entities(text: Column) -> Column:
 PLACE = "array<struct<s:int,e:int,v:string>>"
 
 
-def terms_of(text: Column, emails: Column, more: Column) -> Column:
+def terms_of(text: Column, more: Column) -> Column:
     """array<struct<s, e, v>>: more, the failing strings of digits, and the words of a text that touch no entity, in lower case.  Of entities only e-mail addresses have letters; they are matched along with the words."""
-    every = F.filter(matches(text, f"{PATTERNS['email']}|{WORD}"), lambda w: ~F.contains(w["v"], F.lit("@")))
-    # Letters beyond ASCII are in no address, but may stand right before one.
-    apart = F.filter(every, lambda w: w["v"].rlike("^[A-Za-z]*$") | ~F.exists(emails, lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
+    apart = F.filter(matches(text, TOKENS), lambda w: ~F.contains(w["v"], F.lit("@")))
     plain = lambda w, v: F.struct(w["s"].alias("s"), w["e"].alias("e"), v.alias("v"))
     return F.concat(F.transform(more, lambda w: plain(w, w["v"])), F.transform(apart, lambda w: plain(w, F.lower(w["v"]))))
 
@@ -118,7 +118,7 @@ def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __text (null: empty), __row, __found (entities) and __terms (of rows with an entity)."""
     own = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("__row", F.monotonically_increasing_id())
     own = own.withColumn("__found", F.when(F.col("__text").rlike("[@0-9]"), entities(F.col("__text"))).otherwise(F.struct(*[F.array().cast(f"array<{SPAN}>").alias(k) for k in [*PATTERNS, "more"]])))
-    return own.withColumn("__terms", F.when(holds(), terms_of(F.col("__text"), F.col("__found.email"), F.col("__found.more"))).otherwise(F.array().cast(PLACE)))
+    return own.withColumn("__terms", F.when(holds(), terms_of(F.col("__text"), F.col("__found.more"))).otherwise(F.array().cast(PLACE)))
 
 
 def holds() -> Column:
@@ -127,14 +127,16 @@ def holds() -> Column:
 
 
 def telling(docs: DataFrame, every: DataFrame, base: str, text_col: str = "text") -> DataFrame:
-    """(__row, __told): for each row, the terms that tell at least GENERALISE of the information of an entity it holds, with the largest share told.
-    every: the rows of found(docs)."""
+    """(__row, __told): for each row, the terms that tell at least GENERALISE of the information of an entity it holds, with the largest share told and the number of
+    documents that hold them, dealt into about the root of their number of parts by a hash.  every: the rows of found(docs)."""
     rows = every.where(holds())
     n = float(max(docs.count(), 1))
     entity = F.array_distinct(F.flatten(F.array(*[F.transform(f"__found.{k}", lambda x: x["v"]) for k in PATTERNS])))
     own = rows.select(F.col("__row").alias("row"), F.explode(entity).alias("entity"))
-    n_e = own.groupBy("entity").agg(F.count("*").alias("n_e"))
-    own = written(own.join(n_e, "entity"), f"{base}/entities")
+    # An entity's documents, by their number and two hashes.  Entities of the same documents meet each term equally often.
+    of = own.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
+    own = joined_apart(written(own, f"{base}/held"), written(of, f"{base}/entities-of"), "entity", "inner")
+    own = written(own.select("row", "n_e", F.concat_ws(":", "n_e", "x", "y").alias("entity")).distinct(), f"{base}/entities")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
     numbers = every.where(F.size("__found.more") > 0).select(F.explode(F.array_distinct(F.transform("__found.more", lambda x: x["v"]))).alias("term"))
@@ -153,13 +155,30 @@ def telling(docs: DataFrame, every: DataFrame, base: str, text_col: str = "text"
     told = F.when(bits > 0, F.log2(F.col("n_et") / chance) / bits).otherwise(F.lit(0.0))
     significant = F.col("n_et") * F.log(F.col("n_et") / chance) - F.col("n_et") + chance >= -math.log(CHANCE)
     risky = both.where(significant).select("entity", "term", told.alias("told")).where(F.col("told") >= GENERALISE)
-    each = pairs.select("row", "entity", "term").join(risky, ["entity", "term"]).groupBy("row", "term").agg(F.max("told").alias("told"))
-    return each.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("__told")).withColumnRenamed("row", "__row")
+    risky = written(risky.withColumn("pair", F.struct("entity", "term")).select("pair", "told"), f"{base}/risky")
+    met = written(pairs.select("row", "term", "n_t", F.struct("entity", "term").alias("pair")), f"{base}/met")
+    each = joined_apart(met, risky, "pair", "inner").groupBy("row", "term").agg(F.max("told").alias("told"), F.first("n_t").alias("n_t"))
+    told = each.groupBy("row").agg(F.collect_list(F.struct("term", "told", "n_t")).alias("all"))
+    return told.select(F.col("row").alias("__row"), _dealt(F.col("all")).alias("__told"))
+
+
+def _part(term: Column, parts: Column) -> Column:
+    return F.pmod(F.hash(term), parts)
+
+
+def _dealt(entries: Column) -> Column:
+    parts = F.ceil(F.sqrt(F.size(entries))).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.filter(entries, lambda x: _part(x["term"], parts) == k))
+
+
+def told_of(term: Column) -> Column:
+    """What __told has of a term, as an array of one struct or none."""
+    return F.filter(F.get(F.col("__told"), _part(term, F.size("__told"))), lambda x: x["term"] == term)
 
 
 def told_places() -> Column:
     """The places of a row's telling terms."""
-    return F.when(F.col("__told").isNull(), F.array().cast(PLACE)).otherwise(F.filter("__terms", lambda w: F.map_contains_key(F.col("__told"), w["v"])))
+    return F.when(F.col("__told").isNull(), F.array().cast(PLACE)).otherwise(F.filter("__terms", lambda w: F.size(told_of(w["v"])) > 0))
 
 
 def _spelled(spans: Column) -> Column:
@@ -184,24 +203,48 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out.select("doc_id", *counts, F.sha2(_spelled(F.col("__basic")).cast("binary"), 256).alias("base_sha256"), _spelled(F.concat("__basic", F.sort_array(F.array_distinct(more)))).alias("spans"))
 
 
+def highest(x: Column) -> Column:
+    """For each element of an array of ints, the greatest of those up to it, in blocks as before() has them."""
+    top = lambda part: F.array_max(part)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: top(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def by_block(tops: Column) -> Column:
+        starts = F.transform(tops, lambda _, b: F.coalesce(top(F.slice(tops, F.lit(1), b)), F.lit(-1)))
+        return let(starts, lambda at: F.transform(x, lambda _, i: F.greatest(F.get(at, F.floor(i / BLOCK).cast("int")), top(F.slice(x, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)))))
+
+    return let(blocks, by_block)
+
+
+CHUNK = 4096
+
+
 def _rewritten(text: Column, every: Column) -> Column:
-    """text with its spans replaced, [EMAIL] and so on; spans that overlap are replaced as one, by the name of the first; removed terms leave nothing."""
+    """text with its spans replaced, [EMAIL] and so on; spans that overlap are replaced as one, by the name of the first; removed terms leave nothing.  Spans are in order
+    and a text is cut into chunks once, so that the work grows little faster than their number."""
+
+    def rebuilt(spans: Column) -> Column:
+        return let(highest(F.transform(spans, lambda x: x["e"])), lambda ends: let(firsts(spans, ends), lambda m: let(chunks, lambda own: put_together(m, ends, own))))
+
+    def firsts(spans: Column, ends: Column) -> Column:
+        """The spans that start behind all before them, with their numbers."""
+        placed = F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), x["name"].alias("name"), i.alias("i")))
+        return F.filter(placed, lambda x: (x["i"] == 0) | (x["s"] >= F.get(ends, x["i"] - 1)))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / CHUNK).cast("int")), lambda k: F.substring(text, k * CHUNK + 1, F.lit(CHUNK)))
 
-    def merged(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), last["name"].alias("name"))))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["s"] < F.try_element_at(acc, F.lit(-1))["e"], grown).otherwise(F.concat(acc, F.array(x)))
+    def between(own: Column, s: Column, e: Column) -> Column:
+        low = F.floor(s / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice(own, low + 1, F.greatest(F.floor((e - 1) / CHUNK).cast("int") - low + 1, F.lit(0))), ""), s - low * CHUNK + 1, e - s)
 
-    def rebuilt(m: Column) -> Column:
-        pieces = F.transform(m, lambda x, i: F.concat(F.substring(text, F.coalesce(F.get(m, i - 1)["e"], F.lit(0)) + 1, x["s"] - F.coalesce(F.get(m, i - 1)["e"], F.lit(0))), x["name"]))
-        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(m, -1)["e"] + 1, F.char_length(text)))
+    def put_together(m: Column, ends: Column, own: Column) -> Column:
+        pieces = F.transform(m, lambda x, k: F.concat(between(own, F.when(k == 0, 0).otherwise(F.get(ends, x["i"] - 1)), x["s"]), x["name"]))
+        return F.concat(F.array_join(pieces, ""), between(own, F.element_at(ends, -1), F.char_length(text)))
 
-    whole = F.aggregate(F.sort_array(every), F.array().cast("array<struct<s:int,e:int,name:string>>"), merged)
-    return let(whole, lambda m: F.when(F.size(m) == 0, text).otherwise(rebuilt(m)))
+    return let(F.sort_array(every), lambda spans: F.when(F.size(spans) == 0, text).otherwise(rebuilt(spans)))
 
 
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with entities replaced by their kind, telling terms generalised to [TERM] or removed (strings of digits: replaced by [NUMBER]), and columns as they are.  Only rows with an entity
+    """docs with entities replaced by their kind, telling terms generalised to a class of terms, [TERM 10+] for those of 10 to 99 documents, or removed (strings of digits: replaced by [NUMBER]), and columns as they are.  Only rows with an entity
     meet the terms in a join."""
     base = scratch(docs.sparkSession, "pii-text")
     columns = docs.columns
@@ -209,7 +252,9 @@ def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = f"c{columns.index(text_col)}"
     rows = written(found(renamed, text).drop("__text"), f"{base}/found")
     terms = telling(rows.select(text), rows, base, text)
-    name = lambda w: F.when(F.startswith(w["v"], F.lit("#")), F.lit("[NUMBER]")).when(F.element_at("__told", w["v"]) >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]"))
+    common = lambda n: F.concat(F.lit("[TERM "), F.pow(F.lit(10.0), F.floor(F.log10(n.cast("double") + 0.5))).cast("long").cast("string"), F.lit("+]"))
+    called = lambda told: F.when(told["told"] >= REMOVE, F.lit("")).otherwise(common(told["n_t"]))
+    name = lambda w: F.when(F.startswith(w["v"], F.lit("#")), F.lit("[NUMBER]")).otherwise(let(F.get(told_of(w["v"]), F.lit(0)), called))
     placed = F.transform(told_places(), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), name(w).alias("name")))
     labelled = lambda k, label: F.transform(F.col(f"__found.{k}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(label).alias("name")))
     basic = [labelled(k, f"[{k.upper()}]") for k in PATTERNS]
