@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,25 +9,15 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
-
-#: Where the cluster's folder is not set (tests only).
-LOCAL_SHARED = "/tmp/skerry-shared"
-
+from ..cluster import removed, shared_path, ship  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, else a local one for tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    ship(spark)
-    return f"{shared_dir(spark).rstrip('/')}/skerry/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder; see cluster.shared_path."""
+    return shared_path(spark, name)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -37,13 +26,6 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder through Hadoop's file system, whichever store it lies in."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def joined_apart(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """left.join(right, key, how), "left" or "inner", where right has a row for each key at most and left is a table.  Keys of more than one in 1,000 of left's rows, of
     which there are 1,000 at most, meet their rows in a broadcast join; so no key crowds a task of the shuffled one."""
@@ -76,17 +58,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
         pa.default_memory_pool().release_unused()
 
 
-def per_batch(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, most: int = 8 << 20) -> DataFrame:
-    """mapInArrow with bounded slices; work gets a slice and returns columns."""
-
-    def run(batches):
-        for part in slices(batches, text, most):
-            out = work(part)
-            yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
-
-    return df.mapInArrow(run, schema)
-
-
 class PieceCache(dict):
     """Encodings of text pieces, by the piece's bytes; a missing piece is encoded by `encode`.  When `most` pieces are held they become the old ones, of which
     those that are met again are kept: at most 2 * most pieces are held."""

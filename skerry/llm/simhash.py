@@ -6,8 +6,9 @@ seed 42; a bit is 1 if it is set in over half of the hashes; no words: zero.
 Links: two fingerprints that differ in at most RADIUS bits.  Each bit i has a vector a(i) in {0,1}^(RADIUS+1), not zero; for every non-zero v the mask m_v holds
 the bits with a(i).v = 1.  At most RADIUS differing bits leave a v that is orthogonal to all their vectors, so the two fingerprints agree under m_v:
 every pair within the radius collides in one of the 2^(RADIUS+1)-1 tables.  Candidates are verified exactly.  A bucket of two is one comparison.
-Fingerprints in larger buckets are grouped by the values within one bit of them instead of compared in pairs: for radius 2, two fingerprints are linked exactly if
-they share such a value, and no value has more than 65 of them.
+Fingerprints in larger buckets are grouped by the values within RADIUS / 2 bits of them instead of compared in pairs: for an even radius, two fingerprints are linked
+exactly if they share such a value, and for radius 2 no value has more than 65 of them.  Where so many fingerprints are there that keys of some 36 bits meet by chance
+(10^10 and more), all are grouped that way, with 65 rows for each.
 
 Components: smallest doc_id reachable over links, by alternating large-star and small-star steps on the distinct linked fingerprints; lineage is cut by tables in the
 shared folder.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, scratch, slices, utf8, written
+from .common import joined_apart, removed, scratch, slices, utf8, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -73,14 +74,17 @@ def _signed(x: int) -> int:
 
 def links(fps: DataFrame, base: str) -> DataFrame:
     """(a, b), a < b: links between distinct fingerprints whose transitive closure is that of all pairs within RADIUS bits.  fps: one row per fingerprint."""
+    if RADIUS % 2:
+        raise ValueError("crowded buckets are grouped exactly for an even radius only")
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks())])).alias("x")
     placed = fps.select("fp", tables).select("x.table", "x.key", "fp")
     buckets = written(placed.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), f"{base}/buckets")
     pairs = buckets.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
     crowded = placed.join(buckets.where("n > 2").select("table", "key"), ["table", "key"], "left_semi").select("fp").distinct()
-    near = F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)).cast("long")) for i in range(64)])).alias("value")
-    stars = crowded.select("fp", near).groupBy("value").agg(F.sort_array(F.collect_list("fp")).alias("own")).where(F.size("own") > 1)  # at most 65 in each
-    stars = stars.select(F.col("own")[0].alias("a"), F.explode(F.slice("own", 2, 64)).alias("b"))
+    flips = [sum(1 << i for i in own) for k in range(RADIUS // 2 + 1) for own in itertools.combinations(range(64), k)]
+    near = F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(x)).cast("long")) for x in flips])).alias("value")
+    stars = crowded.select("fp", near).groupBy("value").agg(F.sort_array(F.collect_list("fp")).alias("own")).where(F.size("own") > 1)  # at most len(flips) in each
+    stars = stars.select(F.col("own")[0].alias("a"), F.explode(F.slice("own", 2, len(flips))).alias("b"))
     return pairs.union(stars).distinct()
 
 
@@ -119,7 +123,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_
     moved = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     # A linked component's name is null where none of its rows has a doc_id, and then so is least.
     named = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id", "root", *["row"] * bool(row_col))
+    # Copies share a fingerprint, and a third of all rows may be copies.
+    return joined_apart(own, written(named, f"{base}/named"), "fp", "inner").select("doc_id", "fp", "component_id", "root", *["row"] * bool(row_col))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
