@@ -29,6 +29,7 @@ import math
 import re
 import unicodedata
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,8 @@ def variant(word: bytes) -> int:
 def variants(words: list[bytes]) -> np.ndarray:
     """PLAIN, CAPITAL, or BYTES and the number of bytes."""
     out = np.full(len(words), PLAIN, np.int64)
-    for i, w in enumerate(words):
-        if not w.isascii() and not LOWER(w) and (k := variant(w)) != PLAIN:
+    for i in np.flatnonzero(~np.array(list(map(bytes.isascii, words)), bool)).tolist():
+        if not LOWER(w := words[i]) and (k := variant(w)) != PLAIN:
             out[i] = k if k < BYTES else k + len(w)
     return out
 
@@ -162,12 +163,12 @@ def prepared(own: DataFrame, path: str, shared: Broadcast, n_shards: int) -> Dat
     of all words, packed; rest: the words that are not known, and how many there are; and the training shard (null: held out).  shared: the known words' counts."""
 
     def run(batches):
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 4 << 20):
             keys, texts = part.column(0).to_pylist(), [t.translate(UPPER) for t in utf8(part.column(1))]
             words, at, n_words = distinct_words(texts)
             ids, sizes = ids_of(words, path)
             get = shared.value.get
-            c = np.array([get(w, 0) for w in words], np.int64)[at]
+            c = np.array(list(map(get, words, repeat(0))), np.int64)[at]
             kind = variants(words)[at]
             own_size = sizes[at]
             ends = np.cumsum(own_size)
@@ -183,8 +184,13 @@ def prepared(own: DataFrame, path: str, shared: Broadcast, n_shards: int) -> Dat
             rest = pa.StructArray.from_arrays([pa.array(list(map(words.__getitem__, (pair % (len(words) + 1)).tolist())), pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
             offsets = np.append(0, np.cumsum(np.bincount(pair // (len(words) + 1), minlength=len(texts))))
 
-            def cut(x: np.ndarray, ends: np.ndarray, pack=np.ndarray.tobytes) -> pa.Array:
-                return pa.array([pack(x[a:b]) for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())], pa.binary())
+            def cut(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+                return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.append(0, ends) * x.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())])
+
+            def packs(x: np.ndarray) -> pa.Array:
+                if not len(x) or x.max() < 256:
+                    return cut(x.astype(np.uint8), to)
+                return pa.array([packed(x[a:b], "<u4") for a, b in zip(ahead.tolist(), to.tolist())], pa.binary())
 
             yield pa.RecordBatch.from_arrays(
                 [
@@ -194,9 +200,9 @@ def prepared(own: DataFrame, path: str, shared: Broadcast, n_shards: int) -> Dat
                     pa.array(n_known[to] - n_known[ahead], pa.int64()),
                     pa.array(logs[to] - logs[ahead], pa.float64()),
                     cut(every.astype("<u2"), id_to),
-                    cut(own_size, to, lambda x: packed(x, "<u4")),
+                    packs(own_size),
                     cut(c.astype("<f4"), to),
-                    cut(kind, to, lambda x: packed(x, "<u4")),
+                    packs(kind),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest),
                     *part.columns[2:],
                 ],
