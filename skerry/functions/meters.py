@@ -24,16 +24,12 @@ class Meter:
     direct: Callable[[Column], Column]
 
 
-def _variance(p: dict[str, Column]) -> Column:
-    return F.greatest(over(p["squares"], p["n"]) - over(p["sum"], p["n"]) * over(p["sum"], p["n"]), F.when(p["n"] > 0, F.lit(0.0)))
-
-
 COUNT = Meter("count", ("rows",), lambda p: p["rows"], lambda x: F.count(F.lit(1)))
 SUM = Meter("sum", ("sum",), lambda p: F.coalesce(p["sum"], F.lit(0.0)), lambda x: F.coalesce(F.sum(x), F.lit(0.0)))
 SUM_SQUARES = Meter("sum_squares", ("squares",), lambda p: F.coalesce(p["squares"], F.lit(0.0)), lambda x: F.coalesce(F.sum(x * x), F.lit(0.0)))
 AVERAGE = Meter("average", ("sum", "n"), lambda p: over(p["sum"], p["n"]), F.avg)
-#: Population variance, never negative.
-VARIANCE = Meter("variance", ("squares", "sum", "n"), _variance, F.var_pop)
+#: Population variance, from means and squared deviations.
+VARIANCE = Meter("variance", ("moments",), lambda p: over(p["moments"]["m2"], p["moments"]["n"]), F.var_pop)
 MIN = Meter("min", ("min",), lambda p: p["min"], F.min)
 MAX = Meter("max", ("max",), lambda p: p["max"], F.max)
 #: Has no parts: its prefix values are computed by operators.kernels.PrefixMedian.
@@ -88,8 +84,12 @@ def final(df: DataFrame, spec: StreamSpec, value: str | Column, meters: dict[str
 
 
 def retracted(df: DataFrame, spec: StreamSpec, value: str, op: str, out: str = "n") -> DataFrame:
-    """Multisets with removals: op is 1 where a value comes and -1 where it goes; sums, counts and averages follow from signed sums, extremes and medians from the
-    values that are left."""
+    """Multisets with removals: op is 1 where a value comes and -1 where it goes; sums, counts and averages follow from signed sums, the others from the values that are
+    left.  Variances are about the mean of the values that are left."""
     left = df.groupBy(*spec.key, number(value).alias("__x")).agg(F.sum(op).alias("__m")).where("__m > 0")
     x, m = F.col("__x"), F.col("__m")
-    return left.groupBy(*spec.key).agg(F.sum(m).alias(out), F.sum(x * m).alias("sum"), F.sum(x * x * m).alias("sum_squares"), over(F.sum(x * m), F.sum(m)).alias("average"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.lit(0.5), m).alias("median"))
+    means = left.groupBy(*spec.key).agg(over(F.sum(x * m), F.sum(m)).alias("__mean")).select(F.struct(F.lit(0), *spec.key).alias("__to"), "__mean")  # a row for each stream
+    away = left.join(means, F.struct(F.lit(0), *spec.key) == F.col("__to")).withColumn("__away", x - F.col("__mean"))
+    return away.groupBy(*spec.key).agg(
+        F.sum(m).alias(out), F.sum(x * m).alias("sum"), F.sum(x * x * m).alias("sum_squares"), over(F.sum(x * m), F.sum(m)).alias("average"), over(F.sum(F.col("__away") * F.col("__away") * m), F.sum(m)).alias("variance"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.lit(0.5), m).alias("median")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..plans.stream import StreamSpec, numbered
 
 
+class Metric(Protocol):
+    """What windowed() takes: one value for each group of rows."""
+
+    def __call__(self, df: DataFrame, by: list[str]) -> DataFrame: ...
+
+
 def _counts(df: DataFrame, by: list[str], label: str, predicted: Column) -> DataFrame:
     y, p = F.col(label).cast("double"), predicted.cast("double")
     return df.groupBy(*by).agg(F.sum(y * p).alias("__tp"), F.sum(p).alias("__p"), F.sum(y).alias("__y"))
@@ -60,21 +66,21 @@ def _cumulated(points: DataFrame, by: list[str]) -> DataFrame:
     rows = points.withColumn("__b", _bucket(F.col("__s")))
     totals = rows.groupBy(*by, "__b").agg(F.sum("__tp").alias("__btp"), F.sum("__fp").alias("__bfp"))
     above = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    offsets = totals.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, "__b"])], F.coalesce(F.sum("__btp").over(above), F.lit(0.0)).alias("__atp"), F.coalesce(F.sum("__bfp").over(above), F.lit(0.0)).alias("__afp"))
-    local = Window.partitionBy(*by, "__b").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = totals.select(F.struct(*by, "__b").alias("__to"), F.coalesce(F.sum("__btp").over(above), F.lit(0.0)).alias("__atp"), F.coalesce(F.sum("__bfp").over(above), F.lit(0.0)).alias("__afp"))
+    # A struct is equal where its nulls are; rows meet their offsets as the window dealt them.
+    rows = rows.withColumn("__at", F.struct(*by, "__b"))
+    local = Window.partitionBy("__at").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__ltp", F.sum("__tp").over(local)).withColumn("__lfp", F.sum("__fp").over(local))
-    on = [rows[c].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*by, "__b"])]
-    return rows.join(offsets, on).withColumn("__ctp", F.col("__ltp") + F.col("__atp")).withColumn("__cfp", F.col("__lfp") + F.col("__afp"))
+    return rows.join(offsets, F.col("__at") == F.col("__to")).withColumn("__ctp", F.col("__ltp") + F.col("__atp")).withColumn("__cfp", F.col("__lfp") + F.col("__afp"))
 
 
-def windowed(df: DataFrame, spec: StreamSpec, metric: Callable[[DataFrame, list[str]], DataFrame], rows: int, ignore_nonempty_last: bool = True, out: str = "value") -> DataFrame:
+def windowed(df: DataFrame, spec: StreamSpec, metric: Metric, rows: int, ignore_nonempty_last: bool = True, out: str = "value") -> DataFrame:
     """The mean of a metric over tumbling windows of `rows` rows, for each stream.  A last window that is not full counts only if it is the only one or if
     ignore_nonempty_last is false.  metric(df, by) gives a column `value`."""
     placed = numbered(df, spec, "__rn").withColumn("__w", F.floor((F.col("__rn") - 1) / rows))
     key = list(spec.key)
-    full = placed.groupBy(*key, "__w").agg(F.count("*").alias("__n")).withColumnsRenamed({k: f"__g{i}" for i, k in enumerate(key)}).withColumnRenamed("__w", "__gw")
-    values = metric(placed, [*key, "__w"])
-    both = values.join(full, [values[k].eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(key)] + [values["__w"] == F.col("__gw")])
+    full = placed.groupBy(*key, "__w").agg(F.count("*").alias("__n")).select(F.struct(*key, "__w").alias("__to"), "__n")
+    both = metric(placed, [*key, "__w"]).join(full, F.struct(*key, "__w") == F.col("__to"))
     if ignore_nonempty_last:
         both = both.where((F.col("__n") == rows) | (F.col("__w") == 0))
     return both.groupBy(*key).agg(F.avg("value").alias(out))

@@ -87,12 +87,14 @@ def _odd(x: float) -> int:
 
 def loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Local linear fits to y at places 0, 1, ..., with tricube weights of the `span` nearest places, evaluated at `at`."""
-    n = len(y)
-    x = np.arange(n, dtype=float)
-    far = np.abs(at[:, None] - x[None])
-    width = np.sort(far, axis=1)[:, min(span, n) - 1] + max(span - n, 0) // 2
-    width = np.maximum(width, 1e-12)[:, None]
-    w = np.where(far <= 0.999 * width, np.where(far <= 0.001 * width, 1.0, (1 - np.minimum(far / width, 1) ** 3) ** 3), 0.0) * weights
+    n, near = len(y), min(span, len(y))
+    # The nearest places are neighbours of each other.
+    left = np.clip(np.floor(at - (near - 1) / 2), 0, n - near).astype(np.int64)
+    place = left[:, None] + np.arange(near)
+    x, value = place.astype(float), np.asarray(y, float)[place]
+    far = np.abs(at[:, None] - x)
+    width = np.maximum(far.max(1) + max(span - n, 0) // 2, 1e-12)[:, None]
+    w = np.where(far <= 0.999 * width, np.where(far <= 0.001 * width, 1.0, (1 - np.minimum(far / width, 1) ** 3) ** 3), 0.0) * weights[place]
     total = w.sum(1, keepdims=True)
     ok = total[:, 0] > 0
     w = w / np.where(total > 0, total, 1)
@@ -100,8 +102,8 @@ def loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray) -> np.n
     spread = (w * (x - mean[:, None]) ** 2).sum(1)
     sloped = spread > (0.001 * max(n - 1, 1)) ** 2
     slope = np.where(sloped, (at - mean) / np.where(sloped, spread, 1), 0)
-    fit = ((w * (1 + slope[:, None] * (x - mean[:, None]))) * y).sum(1)
-    return np.where(ok, fit, np.interp(at, x, y))
+    fit = ((w * (1 + slope[:, None] * (x - mean[:, None]))) * value).sum(1)
+    return np.where(ok, fit, np.interp(at, np.arange(n), y))
 
 
 def _moving(x: np.ndarray, n: int) -> np.ndarray:
@@ -110,13 +112,13 @@ def _moving(x: np.ndarray, n: int) -> np.ndarray:
 
 @functools.lru_cache(maxsize=64)
 def _stl_operator(n: int, period: int, options: tuple) -> np.ndarray:
-    """Without robustness weights the seasonal part is linear in y."""
+    """Without robustness weights the seasonal part is linear in y; for the short windows that come again and again."""
     return np.column_stack([_stl(row, period, **dict(options)) for row in np.eye(n)])
 
 
 def stl_seasonal(y: np.ndarray, period: int, robust: bool = True, **options) -> np.ndarray:
     """The seasonal part of STL (Cleveland et al. 1990): cycle-subseries smoothing, low-pass filtering and trend smoothing, repeated with bisquare weights."""
-    if robust or options.get("outer"):
+    if robust or options.get("outer") or len(y) > 48:
         return _stl(np.asarray(y, float), period, robust=robust, **options)
     return _stl_operator(len(y), period, tuple(sorted({**options, "robust": False}.items()))) @ y
 
@@ -204,7 +206,3 @@ def single_linkage(distance: np.ndarray, most: int) -> list[list[int]]:
 def average_path(n: float) -> float:
     """The mean depth of an unsuccessful search in a binary tree of n points (isolation forest's normalisation)."""
     return 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-
-
-def erf(x: np.ndarray) -> np.ndarray:
-    return np.vectorize(math.erf, otypes=[float])(x)

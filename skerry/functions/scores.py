@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..cluster import ship
-from ..plans.stream import StreamSpec, number, over, sliding
+from ..plans.stream import StreamSpec, number, numbered, over
 from .meters import AVERAGE, MAX, MEDIAN, VARIANCE, running, track
 
 # --- post-processors ------------------------------------------------------------------------------------------------------------------------------------
@@ -56,29 +53,59 @@ def frozen_zscore(fitted: DataFrame, df: DataFrame, spec: StreamSpec, score: str
     """Fit on one set of rows, transform another: z-scores with the fitted mean and deviation of each stream."""
     x = number(score)
     stats = fitted.groupBy(*spec.key).agg(F.avg(x).alias("__mean"), F.var_pop(x).alias("__var"))
-    both = df.join(stats, list(spec.key), "left") if spec.key else df.join(F.broadcast(stats), F.lit(True), "left")  # one row without keys
-    return _z(both, score, out)
-
+    return _z(_with_fitted(df, stats, spec), score, out)
+
+
+def _with_fitted(df: DataFrame, stats: DataFrame, spec: StreamSpec) -> DataFrame:
+    """Rows with what was fitted on their stream, a row for each; NULLs where nothing was."""
+    return df.join(stats, list(spec.key), "left") if spec.key else df.join(F.broadcast(stats), F.lit(True), "left")  # one row without keys
+
+
+def last_rows(fitted: DataFrame, spec: StreamSpec, rows: int) -> DataFrame:
+    """The last `rows` rows of each stream: those that have fewer than that many behind them."""
+    total = fitted.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("__n"))
+    return _with_fitted(numbered(fitted, spec, "__rn"), total, spec).where(F.col("__rn") > F.col("__n") - rows).drop("__rn", "__n")
+
+
+def frozen(fitted: DataFrame, df: DataFrame, spec: StreamSpec, score: str, method: str, rows: int | None = None, out: str = "post") -> DataFrame:
+    """Fit on one set of rows, transform another, whose rows change nothing.  method: average, max or median (the fitted value itself), zscore, gauss or gauss_tail (against the
+    fitted mean and deviation), conformal (the share of fitted scores that are greater).  rows: fitted are the last `rows` scores of each stream (None: all)."""
+    x, own = number(score), fitted if rows is None else last_rows(fitted, spec, rows)
+    values = {"average": F.avg(x), "max": F.max(x), "median": F.percentile(x, F.lit(0.5))}
+    if method in values:
+        return _with_fitted(df, own.groupBy(*spec.key).agg(values[method].alias(out)), spec)
+    if method == "conformal":
+        return _frozen_conformal(own, df, spec, score, out)
+    both = _with_fitted(df, own.groupBy(*spec.key).agg(F.avg(x).alias("__mean"), F.var_pop(x).alias("__var")), spec)
+    if method == "zscore":
+        return _z(both, score, out)
+    z = (F.col(score).cast("double") - F.col("__mean")) / F.when(F.col("__var") > 0, F.sqrt("__var")).otherwise(F.lit(1.0))
+    return both.withColumn(out, {"gauss": z, "gauss_tail": normal_cdf(z)}[method]).drop("__mean", "__var")
+
+
+def _frozen_conformal(fitted: DataFrame, df: DataFrame, spec: StreamSpec, score: str, out: str) -> DataFrame:
+    """Fitted and new scores in one order per stream: a new one's rank is the number of fitted ones above it.  Distinct scores are counted first."""
+    keys = list(spec.key)
+    counts = fitted.where(number(score).isNotNull()).groupBy(*keys, number(score).alias("__s")).agg(F.count(F.lit(1)).alias("__m"))
+    both = df.withColumn("__s", number(score)).withColumn("__m", F.lit(0).cast("long")).withColumn("__new", F.lit(True)).unionByName(counts.withColumn("__new", F.lit(False)), allowMissingColumns=True)
+    above = Window.partitionBy(*keys).orderBy(F.desc("__s")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = Window.partitionBy(*keys, "__s")
+    ranked = both.withColumn("__above", F.sum("__m").over(above) - F.sum("__m").over(ties)).withColumn("__all", F.sum("__m").over(Window.partitionBy(*keys)))
+    p = F.when(F.col("__s").isNotNull(), over(F.col("__above").cast("double"), F.col("__all").cast("double")))
+    return ranked.where("__new").withColumn(out, p).select(*df.columns, out)
 
 # --- calibrators ----------------------------------------------------------------------------------------------------------------------------------------
 
 
 def conformal(df: DataFrame, spec: StreamSpec, score: str, rows: int | None = 300, out: str = "p") -> DataFrame:
-    """The share of the last `rows` scores (the own included) that are greater: a p-value, small for anomalies.  rows None: of all scores so far, through the
-    rank kernel."""
-    if rows is None:
-        from ..operators.kernels import PrefixRank
-        from ..operators.runtime import run_batch
-
-        return run_batch(df, spec, PrefixRank(), value=score, out=out)
+    """The share of the last `rows` scores (the own included) that are greater: a p-value, small for anomalies.  rows None: of all scores so far."""
+    from ..operators.online import Conformal
+    from ..operators.order import prefix_rank
+    from ..operators.runtime import run_batch
 
-    def columns(w):
-        held = F.collect_list(number(score)).over(w)
-        return [held.alias("__held")]
-
-    own = number(score)
-    p = over(F.size(F.filter("__held", lambda v: v > F.col("__own"))).cast("double"), F.size("__held").cast("double"))
-    return sliding(df, spec, rows, columns).withColumn("__own", own).withColumn(out, p).drop("__held", "__own")
+    if rows is None:
+        return prefix_rank(df, spec, score, out)
+    return run_batch(df, spec, Conformal(rows), value=score, out=out)
 
 
 def gaussian_z(df: DataFrame, spec: StreamSpec, score: str, rows: int | None = 6400, out: str = "z") -> DataFrame:
@@ -89,15 +116,33 @@ def gaussian_z(df: DataFrame, spec: StreamSpec, score: str, rows: int | None = 6
     return both.withColumn(out, (F.col(score).cast("double") - F.col("__mean")) / deviation).drop("__mean", "__var")
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """Of a standard normal variable; Spark has no error function."""
-    return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(-x / math.sqrt(2)))
+#: The rational approximation of the normal distribution function by Hart (1968), numerator and denominator from the highest power, as given by West (2005).
+ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+NEAR, FAR, ROOT = 7.07106781186547, 37.0, 2.506628274631
+
+
+def normal_cdf(z: Column | str) -> Column:
+    """Of a standard normal variable, to about 15 digits; Spark has no error function."""
+    z = F.col(z) if isinstance(z, str) else z
+    x = F.abs(z)
+    horner = lambda c: reduce(lambda acc, k: acc * x + k, c[1:], F.lit(c[0]))
+    fraction = reduce(lambda acc, k: x + F.lit(float(k)) / acc, (4, 3, 2, 1), x + 0.65)
+    tail = F.exp(-x * x / 2) * F.when(x < NEAR, horner(ABOVE) / horner(BELOW)).otherwise(1 / (fraction * ROOT))
+    tail = F.when(x > FAR, 0.0).otherwise(tail)
+    return F.when(z.isNull() | F.isnan(z), None).when(z > 0, 1 - tail).otherwise(tail)
+
+
+def normal_cdf_sql(z: str) -> str:
+    """normal_cdf() in SQL."""
+    horner = lambda c: reduce(lambda acc, k: f"({acc} * abs({z}) + {k!r}::DOUBLE)", c[1:], f"{c[0]!r}::DOUBLE")
+    fraction = reduce(lambda acc, k: f"(abs({z}) + {float(k)} / {acc})", (4, 3, 2, 1), f"(abs({z}) + 0.65)")
+    tail = f"CASE WHEN abs({z}) > {FAR} THEN 0 ELSE exp(-{z} * {z} / 2) * CASE WHEN abs({z}) < {NEAR!r} THEN {horner(ABOVE)} / {horner(BELOW)} ELSE 1 / ({fraction} * {ROOT!r}) END END"
+    return f"CASE WHEN {z} > 0 THEN 1 - ({tail}) ELSE {tail} END"
 
 
 def gaussian_tail(df: DataFrame, spec: StreamSpec, score: str, rows: int | None = 6400, out: str = "p") -> DataFrame:
     """One minus the tail probability of gaussian_z: near 1 for anomalies."""
-    ship(df.sparkSession)
     return gaussian_z(df, spec, score, rows, "__z").withColumn(out, normal_cdf("__z")).drop("__z")
 
 

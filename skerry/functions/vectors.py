@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -120,6 +122,50 @@ def streamhash_matrix(n_components: int, n_features: int, density: float = 1 / 3
     return out
 
 
+class Projector(Protocol):
+    """Anything that gives the matrix of a linear projection for vectors of n_features entries; project() applies it."""
+
+    def matrix(self, n_features: int) -> np.ndarray: ...
+
+
+@dataclass(frozen=True)
+class Gaussian:
+    n_components: int
+    seed: int = 0
+
+    def matrix(self, n_features: int) -> np.ndarray:
+        return gaussian_matrix(self.n_components, n_features, self.seed)
+
+
+@dataclass(frozen=True)
+class Sparse:
+    n_components: int
+    density: float | None = None
+    seed: int = 0
+
+    def matrix(self, n_features: int) -> np.ndarray:
+        return sparse_matrix(self.n_components, n_features, self.density, self.seed)
+
+
+@dataclass(frozen=True)
+class StreamHash:
+    n_components: int
+    density: float = 1 / 3
+
+    def matrix(self, n_features: int) -> np.ndarray:
+        return streamhash_matrix(self.n_components, n_features, self.density)
+
+
+def project(df: DataFrame, features: str, projector: Projector, n_features: int | None = None, out: str | None = None) -> DataFrame:
+    """df with the vectors projected; the number of features is looked up in one row where it is not given."""
+    if n_features is None:
+        first = df.where(F.col(features).isNotNull()).select(F.size(features).alias("n")).first()
+        if first is None:
+            return df if out is None else df.withColumn(out, doubles(features))
+        n_features = first["n"]
+    return df.withColumn(out or features, projected(features, projector.matrix(n_features)))
+
+
 def feature_extremes(df: DataFrame, x: str = "features") -> DataFrame:
     """(pos, min, max) of each feature."""
     return df.select(F.posexplode(doubles(x)).alias("pos", "v")).groupBy("pos").agg(F.min("v").alias("min"), F.max("v").alias("max"))

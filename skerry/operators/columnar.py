@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.meters import AVERAGE, VARIANCE, running, track
 from ..functions.numerics import chi2_quantile
 from ..functions.vectors import doubles, murmur3
-from ..plans.stream import StreamSpec, number, numbered, over, sliding
+from ..plans.stream import StreamSpec, number, numbered, over, repeated, sliding
 
 #: Raw scores of these detectors are high for normal rows.
 LOW_IS_ANOMALOUS = {"exact_storm", "rs_hash", "inqmad", "relative_entropy"}
@@ -38,8 +38,8 @@ def perfect_model(df: DataFrame, label: str = "label", out: str = "score") -> Da
 
 def random_model(df: DataFrame, spec: StreamSpec, seed: int = 0, out: str = "score") -> DataFrame:
     """Uniform on [0, 1), by a hash of the row's key and place: the same in every run and partitioning."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *spec.key, *spec.order), 11)
-    return df.withColumn(out, bits.cast("double") / F.lit(float(1 << 53)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*spec.key, *spec.order)]))
+    return df.withColumn(out, F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52)))
 
 
 def standard_absolute_deviation(df: DataFrame, spec: StreamSpec, value: str, subtracted: str = "mean", absolute: bool = True, out: str = "score") -> DataFrame:
@@ -48,25 +48,20 @@ def standard_absolute_deviation(df: DataFrame, spec: StreamSpec, value: str, sub
         raise ValueError("subtracted must be mean or median")
     both = track(df, spec, value, {"__mean": AVERAGE, "__var": VARIANCE})
     if subtracted == "median":
-        from .kernels import PrefixMedian
-        from .runtime import run_batch
+        from .order import prefix_median
 
-        both = run_batch(both, spec, PrefixMedian(), value=value, out="__mean")
+        both = prefix_median(both, spec, value, "__mean")
     z = (F.col(value).cast("double") - F.col("__mean")) / (F.sqrt("__var") + 1e-10)
     return both.withColumn(out, F.abs(z) if absolute else z).drop("__mean", "__var")
 
 
 def exact_storm(df: DataFrame, spec: StreamSpec, features: Column | str, rows: int = 10_000, radius: float = 0.1, out: str = "score") -> DataFrame:
-    """The share of the rows - 1 vectors before the own that are nearer than radius; 0 for the first row."""
-    x = doubles(features)
-
-    def near(v: Column) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(v, F.col("__x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)) < radius
+    """The share of the rows - 1 vectors before the own that are nearer than radius; 0 for the first row.  The kernel holds rows - 1 vectors; chunks of a stream run apart."""
+    from .online import ExactStorm
+    from .runtime import run_batch
 
-    held = sliding(df.withColumn("__x", x), spec, rows, lambda w: [F.collect_list("__x").over(w).alias("__held")])
-    # The own vector is in the window and near itself.
-    share = over((F.size(F.filter("__held", near)) - 1).cast("double"), (F.size("__held") - 1).cast("double"))
-    return held.withColumn(out, F.coalesce(share, F.lit(0.0))).drop("__held", "__x")
+    named = df.withColumn("__f", doubles(features))
+    return run_batch(named, spec, ExactStorm(rows, radius), features="__f", out=out).drop("__f")
 
 
 def relative_entropy(df: DataFrame, spec: StreamSpec, value: str, low: float, high: float, n_bins: int = 5, rows: int = 52, out: str = "score") -> DataFrame:
@@ -80,9 +75,8 @@ def relative_entropy(df: DataFrame, spec: StreamSpec, value: str, low: float, hi
     counts = counts.withColumn("__total", sum((F.col(f"__c{k}") for k in range(1, n_bins)), F.col("__c0")))
     share = lambda k: F.try_divide(F.col(f"__c{k}").cast("double"), F.col("__total"))
     counts = counts.select("*", *[share(k).alias(f"__p{k}") for k in range(n_bins)])
-    first = counts.where(F.col("__rn") == rows).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(spec.key)], *[F.col(f"__p{k}").alias(f"__q{k}") for k in range(n_bins)])
-    on = [counts[k].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(spec.key)] or [F.lit(True)]
-    both = counts.join(first if spec.key else F.broadcast(first), on, "left")  # a row for each stream
+    first = counts.where(F.col("__rn") == rows).select(F.struct(F.lit(0), *spec.key).alias("__first"), *[F.col(f"__p{k}").alias(f"__q{k}") for k in range(n_bins)])
+    both = counts.join(first, F.struct(F.lit(0), *spec.key) == F.col("__first"), "left")  # a row for each stream
     term = lambda p, q: F.when(p == 0, 0.0).when(q == 0, F.lit(math.inf)).otherwise(p * F.log(p / q))
     kl = sum((term(F.col(f"__p{k}"), F.col(f"__q{k}")) for k in range(1, n_bins)), term(F.col("__p0"), F.col("__q0")))
     score = F.when(F.col("__rn") < rows, 0.0).when(2 * rows * kl < limit, 0.0).otherwise(-1.0)
@@ -102,13 +96,18 @@ def seasonal_trend(df: DataFrame, spec: StreamSpec, value: str, season: int, tre
     return rows.withColumn(out, x - F.col("__trend") - F.coalesce("__season", F.lit(0.0))).select(*df.columns, out)
 
 
-def repeated(df: DataFrame, spec: StreamSpec, rows: int, halo: int) -> DataFrame:
-    """Numbered rows in blocks of `rows`; the last `halo` rows of a block come again in the next, marked by __block != __to."""
-    placed = numbered(df, spec, "__rn").withColumn("__block", F.floor((F.col("__rn") - 1) / rows))
-    again = (F.col("__rn") - 1) % rows >= rows - halo
-    return placed.withColumn("__to", F.explode(F.when(again, F.array("__block", F.col("__block") + 1)).otherwise(F.array("__block"))))
+def seasonal_trend_vectors(df: DataFrame, spec: StreamSpec, features: str, season: int, trend: int | None = None, out: str = "residual") -> DataFrame:
+    """seasonal_trend() of each entry of the vectors, which are streams of their own."""
+    each = df.select("*", F.posexplode(doubles(features)).alias("__pos", "__v"))
+    flat = seasonal_trend(each, StreamSpec((*spec.key, "__pos"), spec.order, spec.block), "__v", season, trend, "__r")
+    residual = F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__r"))), lambda x: x["__r"]).alias("__residual")
+    rows = flat.groupBy(*spec.key, *spec.order).agg(residual).select(F.struct(F.lit(0), *spec.key, *spec.order).alias("__to"), F.col("__residual").alias(out))
+    return df.join(rows, F.struct(F.lit(0), *spec.key, *spec.order) == F.col("__to"), "left").drop("__to")
 
 
+#: The largest prime below 2**31.
+PRIME = 2_147_483_647
+
 # --- half-space trees -----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -123,8 +122,13 @@ class Forest:
     depth: int = 15
     seed: int = 0
 
-    def attribute(self, tree: int, node: int) -> int:
-        return murmur3(f"{tree}:{node}".encode(), self.seed) % len(self.low)
+    def attributes(self, tree, node):
+        """Split attribute of nodes of a tree, numbers or arrays: multiplicative hashing modulo a prime, which SQL can do as well."""
+        a, b = self.factors(tree)
+        return (node * a + b) % PRIME % len(self.low)
+
+    def factors(self, tree):
+        return (tree * 7919 + self.seed * 104_729 + 1) * 48_271 % PRIME, (tree * 15_485_863 + self.seed * 32_452_843 + 11) % PRIME
 
     def splits(self, tree: int) -> tuple[list[int], list[float]]:
         """Split attribute and value of every inner node, from node 1."""
@@ -132,7 +136,7 @@ class Forest:
         attributes, values = [], []
         for node in range(1, 1 << self.depth):
             low, high = boxes.pop(node)
-            q = self.attribute(tree, node)
+            q = self.attributes(tree, node)
             mid = (low[q] + high[q]) / 2
             attributes.append(q)
             values.append(mid)
@@ -159,10 +163,13 @@ def _named(tree: int):
 
 def half_space_trees(df: DataFrame, spec: StreamSpec, features: Column | str, forest: Forest, rows: int = 100, out: str = "score") -> DataFrame:
     """-sum over trees and path nodes of mass * 2**depth.  A node's mass is the number of rows of the last full window of `rows` rows that pass it, in the first
-    window that of the rows so far.  Windows are counted apart from each other, so the plan is as parallel as there are windows.  The plan holds the trees: for depths
-    beyond 8 use the kernel."""
+    window that of the rows so far.  Windows are counted apart from each other, so the plan is as parallel as there are windows.  The plan holds the trees; those
+    deeper than 8 are walked by the kernel, over chunks of windows that have the window before them."""
     if forest.depth > 8:
-        raise ValueError("too deep for a plan: use the HalfSpaceTrees kernel")
+        from .kernels import HalfSpaceTrees
+        from .runtime import run_batch
+
+        return run_batch(df, spec, HalfSpaceTrees(forest, rows), features=features, out=out)
     x, paths = doubles(features), []
     for tree in range(forest.n_trees):
         attributes, values = forest.splits(tree)
@@ -195,36 +202,35 @@ class HashParameters:
 
     @staticmethod
     def drawn(low: list[float], high: list[float], n: int = 100, decay: float = 0.015, seed: int = 0) -> "HashParameters":
-        """As published (Sathe and Aggarwal 2016): widths uniform between 1/sqrt(s) and 1 - 1/sqrt(s) for the effective sample s, and 1 + log_w(s)/2 to log_w(s) features
-        that vary."""
+        """After Sathe and Aggarwal (2016), for an effective sample of s rows: a component's width is uniform between 1/sqrt(s) and 1 - 1/sqrt(s); its number of features is
+        a uniform integer between 1 + t/2 and t, with t = log(s) to the base max(2, 1/width); its features are any of those whose range is not empty; shifts are uniform
+        below the width.  Features without a range tell no rows apart and are in no component."""
         rng = np.random.default_rng(seed)
-        s = max(1000.0, 1 / (1 - 2**-decay))
+        s = max(1000.0, 1 / -math.expm1(-decay * math.log(2)))
         widths = rng.uniform(s**-0.5, 1 - s**-0.5, n)
-        most = np.log(s) / np.log(np.maximum(2, 1 / widths))
-        varying = [i for i, (a, b) in enumerate(zip(low, high)) if a != b] or list(range(len(low)))
-        features, shifts = [], []
-        for f, top in zip(widths, most):
-            least = 1 + 0.5 * top
-            size = 1 if math.floor(least) >= math.floor(top) else int(rng.integers(int(least), int(top)))
-            own = sorted(rng.choice(varying, min(size, len(varying)), replace=False).tolist())
-            features.append(tuple(own))
-            shifts.append(tuple(rng.uniform(0, f, len(own)).tolist()))
-        return HashParameters(tuple(widths.tolist()), tuple(features), tuple(shifts), decay)
-
-    def cell(self, r: int, x: Column) -> Column:
-        each = [F.floor((F.element_at(x, i + 1) + F.lit(a)) / F.lit(self.widths[r])).cast("string") for i, a in zip(self.features[r], self.shifts[r])]
-        return F.concat_ws(",", F.lit(str(r)), *each)
+        usable = np.flatnonzero(np.asarray(high, float) > np.asarray(low, float))
+        t = math.log(s) / np.log(np.clip(1 / widths, 2, None))
+        sizes = np.minimum(rng.integers(np.ceil(1 + t / 2).astype(int), np.maximum(np.floor(t), np.ceil(1 + t / 2)).astype(int) + 1), len(usable))
+        order = rng.random((n, len(usable))).argsort(axis=1)
+        shifts = rng.random((n, len(usable))) * widths[:, None]
+        return HashParameters(tuple(widths.tolist()), tuple(tuple(sorted(usable[o[:k]].tolist())) for o, k in zip(order, sizes)), tuple(tuple(x[:k].tolist()) for x, k in zip(shifts, sizes)), decay)
+
+    def cells(self, x: Column) -> Column:
+        """The names of a row's cells.  The parameters are one literal, which keeps the plan's code short."""
+        every = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(w).alias("w"), F.lit([i + 1 for i in f]).cast("array<int>").alias("f"), F.lit(list(a)).cast("array<double>").alias("a")) for r, (w, f, a) in enumerate(zip(self.widths, self.features, self.shifts))])
+        place = lambda p: F.zip_with(p["f"], p["a"], lambda i, a: F.floor((F.element_at(x, i) + a) / p["w"]).cast("string"))
+        return F.transform(every, lambda p: F.concat_ws(",", p["r"].cast("string"), place(p)))
 
 
 def rs_hash(df: DataFrame, spec: StreamSpec, features: Column | str, parameters: HashParameters, block: int = 20_000, out: str = "score") -> DataFrame:
     """Mean over components of ln(1 + c), c the decayed number of earlier rows in the same cell: sum of 2**(-decay * age).  Weights count from the start of a block of
-    rows, which keeps them finite; rows older than 60 halvings before a block add less than rounding and stay out of it."""
+    rows, which keeps them finite; rows older than 60 halvings before a block add less than rounding and stay out of it.
+    Cells are told apart exactly, so that several hash functions for them would count the same."""
     n, halo = len(parameters.widths), math.ceil(60 / parameters.decay)
     rows = repeated(df.withColumn("__x", doubles(features)), spec, max(block, halo), halo)
-    cells = F.array(*[parameters.cell(r, F.col("__x")) for r in range(n)])
-    age = F.col("__rn") - F.col("__to") * max(block, halo)
-    each = rows.select(*spec.key, "__rn", "__block", "__to", age.alias("__age"), F.explode(cells).alias("__cell"))
-    w = Window.partitionBy(*spec.key, "__to", "__cell").orderBy("__rn").rowsBetween(Window.unboundedPreceding, -1)
+    age = F.col("__place") - F.col("__to") * max(block, halo)
+    each = rows.select(*spec.key, "__place", "__chunk", "__to", age.alias("__age"), F.explode(parameters.cells(F.col("__x"))).alias("__cell"))
+    w = Window.partitionBy(*spec.key, "__to", "__cell").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
     c = F.coalesce(F.sum(F.pow(F.lit(2.0), parameters.decay * F.col("__age"))).over(w), F.lit(0.0)) * F.pow(F.lit(2.0), -parameters.decay * F.col("__age"))
-    scored = each.withColumn("__c", c).where("__to = __block").groupBy(*spec.key, "__rn").agg((F.sum(F.log1p("__c")) / n).alias(out))
-    return rows.where("__to = __block").join(scored, [*spec.key, "__rn"]).select(*df.columns, out)
+    scored = each.withColumn("__c", c).where("__to = __chunk").groupBy(*spec.key, "__place").agg((F.sum(F.log1p("__c")) / n).alias(out))
+    return rows.where("__to = __chunk").join(scored, [*spec.key, "__place"]).select(*df.columns, out)

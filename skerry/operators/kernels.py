@@ -1,4 +1,5 @@
-"""Sequential detectors and statistics as kernels: one object holds the parameters and the state of one stream; step(x, y) takes the next row in and returns its score.
+"""Sequential detectors and statistics as kernels: one object holds the parameters and the state of one stream; step(x, y) takes the next row in and returns its score;
+score(x, y) scores a row against the state and leaves it as it is.
 
 A kernel is a plain Python object, so its state is its pickle: runtime.run_batch streams sorted rows through one kernel per key, streaming.runner keeps it in the
 state store, and both give the same scores.  All randomness comes from `seed` (and the key), never from global generators.
@@ -19,9 +20,12 @@ from .columnar import Forest, HashParameters
 
 
 class Kernel:
-    """Subclasses define start(d), called at the first row with its number of features, and step(x, y)."""
+    """Subclasses define start(d), called at the first row with its number of features, and step(x, y), or learn(x, y) and score(x, y)."""
 
     seed = 0
+    #: How many rows before a row its score depends on (None: all), and the windows whose edges they are counted from.
+    memory: int | None = None
+    window = 1
 
     def fresh(self, key_hash: int = 0) -> "Kernel":
         """A copy for one stream, with a generator of its own."""
@@ -39,8 +43,18 @@ class Kernel:
     def start(self, d: int) -> None:
         pass
 
+    def learn(self, x: np.ndarray, y=None) -> None:
+        self.step(x, y)
+
     def step(self, x: np.ndarray, y=None) -> float | None:
-        raise NotImplementedError
+        if type(self).learn is Kernel.learn:
+            raise NotImplementedError
+        self.learn(x, y)
+        return self.score(x, y)
+
+    def score(self, x: np.ndarray, y=None) -> float | None:
+        """Where a detector has no score without taking the row in, a copy takes it in."""
+        return copy.deepcopy(self).next(x, y)
 
 
 class _Sorted:
@@ -66,9 +80,11 @@ class PrefixMedian(Kernel):
     def start(self, d):
         self.held = _Sorted()
 
-    def step(self, x, y=None):
+    def learn(self, x, y=None):
         if x[0] == x[0]:
             self.held.add(float(x[0]))
+
+    def score(self, x, y=None):
         return self.held.median()
 
 
@@ -78,13 +94,13 @@ class PrefixRank(Kernel):
     def start(self, d):
         self.held = _Sorted()
 
-    def step(self, x, y=None):
-        v = float(x[0])
-        if v != v:
-            return None
-        self.held.add(v)
-        n = len(self.held.own)
-        return (n - bisect.bisect_right(self.held.own, v)) / n
+    def learn(self, x, y=None):
+        if x[0] == x[0]:
+            self.held.add(float(x[0]))
+
+    def score(self, x, y=None):
+        v, n = float(x[0]), len(self.held.own)
+        return (n - bisect.bisect_right(self.held.own, v)) / n if v == v and n else None
 
 
 class MedianAbsoluteDeviation(Kernel):
@@ -96,56 +112,74 @@ class MedianAbsoluteDeviation(Kernel):
     def start(self, d):
         self.values, self.deviations = _Sorted(), _Sorted()
 
-    def step(self, x, y=None):
+    def learn(self, x, y=None):
         v = float(x[0])
-        if v != v:
+        if v == v:
+            self.values.add(v)
+            self.deviations.add(abs(v - self.values.median()))
+
+    def score(self, x, y=None):
+        v = float(x[0])
+        if v != v or not self.values.own:
             return None
-        self.values.add(v)
-        median = self.values.median()
-        self.deviations.add(abs(v - median))
-        z = (v - median) / (self.b * self.deviations.median() + 1e-10)
+        z = (v - self.values.median()) / (self.b * self.deviations.median() + 1e-10)
         return abs(z) if self.absolute else z
 
 
 class HalfSpaceTrees(Kernel):
-    """See columnar.half_space_trees; keeps counts of visited nodes only, and works a path's boxes out as it goes."""
+    """Half-space trees (Tan, Ting and Liu 2011): -sum over trees and path nodes of mass * 2**depth.  A node's mass is the number of rows of the last full window of `rows`
+    rows that pass it, in the first window that of the rows so far.  Only visited nodes are kept.  initial: rows that are a first window before the stream's."""
 
-    def __init__(self, forest: Forest, rows: int = 100):
-        self.forest, self.rows = forest, rows
+    def __init__(self, forest: Forest, rows: int = 100, initial: np.ndarray | None = None):
+        self.forest, self.rows, self.initial = forest, rows, initial
+        if initial is None:
+            self.memory, self.window = rows, rows
 
     def start(self, d):
         self.mass: dict = {}
         self.latest: dict = {}
         self.n = 0
-        self.known: dict = {}
-
-    def path(self, tree: int, x: np.ndarray) -> list[int]:
-        f = self.forest
-        low, high, node, out = list(f.low), list(f.high), 1, [1]
+        self.filled = self.initial is not None
+        if self.filled:
+            for x in np.asarray(self.initial, float):
+                self._count(self.paths(x))
+            self.mass, self.latest = self.latest, {}
+
+    def paths(self, x: np.ndarray) -> list[list[int]]:
+        """For each level, the trees' nodes as single numbers."""
+        f, trees = self.forest, np.arange(self.forest.n_trees)
+        low, high = np.tile(np.asarray(f.low, float), (f.n_trees, 1)), np.tile(np.asarray(f.high, float), (f.n_trees, 1))
+        node, out = np.ones(f.n_trees, np.int64), [trees << 32 | 1]
         for _ in range(f.depth):
-            q = self.known.get((tree, node))
-            if q is None:
-                q = self.known[tree, node] = f.attribute(tree, node)
-            mid = (low[q] + high[q]) / 2
+            q = f.attributes(trees, node)
+            mid = (low[trees, q] + high[trees, q]) / 2
             right = x[q] > mid
-            (low if right else high)[q] = mid
+            low[trees[right], q[right]] = mid[right]
+            high[trees[~right], q[~right]] = mid[~right]
             node = 2 * node + right
-            out.append(node)
-        return out
+            out.append(trees << 32 | node)
+        return [level.tolist() for level in out]
+
+    def _count(self, paths) -> None:
+        held = self.latest
+        for level in paths:
+            for node in level:
+                held[node] = held.get(node, 0) + 1
+
+    def _total(self, paths) -> float:
+        mass = self.mass if self.filled else self.latest
+        return -sum(2.0**k * sum(mass.get(node, 0) for node in level) for k, level in enumerate(paths))
 
     def step(self, x, y=None):
         self.n += 1
-        first, total = self.n <= self.rows, 0.0
-        paths = [(t, self.path(t, x)) for t in range(self.forest.n_trees)]
-        for t, path in paths:
-            for node in path:
-                self.latest[t, node] = self.latest.get((t, node), 0) + 1
+        paths = self.paths(x)
+        self._count(paths)
         if self.n % self.rows == 0:
-            self.mass, self.latest, self.known = self.latest, {}, {}
-        mass = self.latest if first and self.n < self.rows else self.mass
-        for t, path in paths:
-            total += sum(mass.get((t, node), 0) * 2.0**k for k, node in enumerate(path))
-        return -total
+            self.mass, self.latest, self.filled = self.latest, {}, True
+        return self._total(paths)
+
+    def score(self, x, y=None):
+        return self._total(self.paths(x))
 
 
 class RSHash(Kernel):
@@ -157,20 +191,28 @@ class RSHash(Kernel):
     def start(self, d):
         self.cells: dict = {}
         self.n = 0
-        self.memory = math.ceil(60 / self.p.decay)
+        self.faded = math.ceil(60 / self.p.decay)
 
-    def step(self, x, y=None):
-        total, p = 0.0, self.p
+    def _seen(self, x) -> list[tuple[tuple, float]]:
+        """Cells of a row, and the faded numbers of rows in them."""
+        out, p = [], self.p
         for r, (f, own, shift) in enumerate(zip(p.widths, p.features, p.shifts)):
             cell = (r, *(math.floor((x[i] + a) / f) for i, a in zip(own, shift)))
             at, c = self.cells.get(cell, (self.n, 0.0))
-            c *= 2.0 ** (-p.decay * (self.n - at))
-            total += math.log1p(c)
+            out.append((cell, c * 2.0 ** (-p.decay * (self.n - at))))
+        return out
+
+    def step(self, x, y=None):
+        seen = self._seen(x)
+        for cell, c in seen:
             self.cells[cell] = (self.n, c + 1)
         self.n += 1
-        if self.n % self.memory == 0:
-            self.cells = {k: v for k, v in self.cells.items() if self.n - v[0] < self.memory}
-        return total / len(p.widths)
+        if self.n % self.faded == 0:
+            self.cells = {k: v for k, v in self.cells.items() if self.n - v[0] < self.faded}
+        return sum(math.log1p(c) for _, c in seen) / len(seen)
+
+    def score(self, x, y=None):
+        return sum(math.log1p(c) for _, c in self._seen(x)) / len(self.p.widths)
 
 
 class LODA(Kernel):
@@ -211,9 +253,15 @@ class LODA(Kernel):
             self.first = []
         else:
             self._add(z)
-        counts = np.array([held[cell] for held, cell in zip(self.counts, self._cells(z))])
+        return self._score(z)
+
+    def _score(self, z: np.ndarray) -> float:
+        counts = np.array([held.get(cell, 0.5) for held, cell in zip(self.counts, self._cells(z))])  # half a row where there was none
         return float(-np.mean(np.log(counts / (self.n * self.width))))
 
+    def score(self, x, y=None):
+        return 0.0 if self.width is None else self._score(self.w @ x)
+
 
 class XStream(Kernel):
     """Half-space chains on stream-hash projections (Manzoor et al. 2018).  A window's rows are counted under the cell widths of the window before it and
@@ -221,52 +269,62 @@ class XStream(Kernel):
 
     def __init__(self, n_components: int = 100, n_chains: int = 100, depth: int = 25, rows: int = 25, seed: int = 0):
         self.k, self.n_chains, self.depth, self.rows, self.seed = n_components, n_chains, depth, rows, seed
+        self.memory, self.window = 2 * rows, rows
+        rng = np.random.default_rng(seed)
+        self.features, self.part = rng.integers(0, n_components, (n_chains, depth)), rng.random((n_chains, n_components))
+        self.mix = rng.integers(1, 2**63, n_components, dtype=np.int64) | 1
+
+        # How often a chain has cut a feature at each depth, and the depth where it did so before (-1: never).
+        self.times, self.before = np.ones((n_chains, depth)), np.full((n_chains, depth), -1)
+        for c, own in enumerate(self.features.tolist()):
+            last: dict[int, int] = {}
+            for j, f in enumerate(own):
+                if f in last:
+                    self.before[c, j], self.times[c, j] = last[f], self.times[c, last[f]] + 1
+                last[f] = j
 
     def start(self, d):
         self.matrix = streamhash_matrix(self.k, d)
-        self.features = self.rng.integers(0, self.k, (self.n_chains, self.depth))
-        self.part = self.rng.random((self.n_chains, self.k))
         self.width = np.full(self.k, 0.5)
-        self.shift = self.part * self.width
-        self.mix = self.rng.integers(1, 2**63, self.k, dtype=np.int64) | 1
-        self.lookup: dict = {}
-        self.counts = self.lookup
-        self.window: list = []
+        self.keys, self.numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the window closed last
+        self.own: list = []
+        self.cut: list = []
         self.n = 0
 
     def cells(self, z: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the cell vector for each chain and depth."""
-        chains = np.arange(self.n_chains)
-        bins, seen = np.zeros((self.n_chains, self.k)), np.zeros((self.n_chains, self.k), bool)
-        code, out = np.zeros(self.n_chains, np.int64), np.empty((self.n_chains, self.depth), np.int64)
+        """A 64-bit hash of the cell vector for each chain and depth.  The m-th cut of a feature halves the cells of the one before and moves them by the chain's shift."""
+        f, chains = self.features, np.arange(self.n_chains)[:, None]
+        part, scale = self.part[chains, f], 2.0 ** (self.times - 1)
+        bins = np.floor(scale * ((z[f] + part * self.width[f]) / self.width[f]) - (scale - 1) * part).astype(np.int64)
+        old = np.where(self.before >= 0, bins[chains, self.before], 0)
         with np.errstate(over="ignore"):
-            for j in range(self.depth):
-                f = self.features[:, j]
-                old, again = bins[chains, f], seen[chains, f]
-                shift, width = self.shift[chains, f], self.width[f]
-                new = np.where(again, 2 * old - shift / width, (z[f] + shift) / width)
-                code += (np.floor(new).astype(np.int64) - np.where(again, np.floor(old), 0).astype(np.int64)) * self.mix[f]
-                bins[chains, f], seen[chains, f] = new, True
-                out[:, j] = code
-        return out
+            code = np.cumsum((bins - old) * self.mix[f], axis=1, dtype=np.int64)
+            return ((code * self.depth + np.arange(self.depth)) * self.n_chains + chains) * np.int64(0x9E3779B97F4A7C15 - 2**64)
 
     def step(self, x, y=None):
         z = self.matrix @ x
         self.n += 1
-        self.window.append(z)
-        for c, row in enumerate(self.cells(z).tolist()):
-            for j, cell in enumerate(row):
-                self.counts[c, j, cell] = self.counts.get((c, j, cell), 0) + 1
+        self.own.append(z)
+        self.cut.append(self.cells(z).ravel())
         if self.n % self.rows == 0:
-            own = np.array(self.window)
+            self.keys, self.numbers = np.unique(np.concatenate(self.cut), return_counts=True)
+            own = np.array(self.own)
             width = (own.max(0) - own.min(0)) / 2
             self.width = np.where(np.abs(width) <= 1e-4, 1.0, width)
-            self.shift = self.part * self.width
-            self.lookup, self.counts, self.window = self.counts, {}, []
-        total = 0.0
-        for c, row in enumerate(self.cells(z).tolist()):
-            total += min(math.log2(1 + self.lookup.get((c, j, cell), 0)) + j + 1 for j, cell in enumerate(row))
-        return -total / self.n_chains
+            self.own, self.cut = [], []
+        return self._score(z)
+
+    def _score(self, z: np.ndarray) -> float:
+        cells = self.cells(z)
+        if self.n < self.rows:  # the first window counts as far as it is there
+            counts = (np.array(self.cut) == cells.ravel()).sum(0)
+        else:
+            at = np.minimum(np.searchsorted(self.keys, cells.ravel()), len(self.keys) - 1)
+            counts = np.where(self.keys[at] == cells.ravel(), self.numbers[at], 0)
+        return -float((np.log2(1 + counts.reshape(cells.shape)) + np.arange(1, self.depth + 1)).min(1).mean())
+
+    def score(self, x, y=None):
+        return self._score(self.matrix @ x)
 
 
 class KNNCAD(Kernel):
@@ -282,16 +340,29 @@ class KNNCAD(Kernel):
 
     def start(self, d):
         self.last: deque = deque(maxlen=self.LAGS)
-        self.training: deque = deque()
+        self.training = np.empty((0, self.LAGS))  # in no order; the oldest row is at `oldest`
+        self.oldest = 0
         self.waiting: deque = deque()
         self.scores: deque = deque()
         self.metric = np.eye(self.LAGS)
+        self._measured()
         self.n = self.quiet = 0
 
+    def _measured(self) -> None:
+        """What distances need of the training rows: their products with the metric and their own lengths."""
+        self.products = self.training @ self.metric
+        self.lengths = np.einsum("ij,ij->i", self.products, self.training)
+
     def distance(self, item: np.ndarray, itself: bool) -> float:
-        away = np.array(self.training) - item
         k = self.NEIGHBOURS + itself
-        return float(np.partition(np.einsum("ij,jk,ik->i", away, self.metric, away), k)[:k].sum())
+        # The metric is symmetric.
+        return float(np.partition(self.lengths - 2 * (self.products @ item) + item @ self.metric @ item, k)[:k].sum())
+
+    def _replaced(self, item: np.ndarray) -> None:
+        at = self.oldest
+        self.training[at], self.products[at] = item, item @ self.metric
+        self.lengths[at] = self.products[at] @ item
+        self.oldest = (at + 1) % len(self.training)
 
     def step(self, x, y=None):
         self.last.append(float(x[0]))
@@ -300,20 +371,21 @@ class KNNCAD(Kernel):
             return 0.0
         item = np.array(self.last)
         if self.n < self.period:
-            self.training.append(item)
+            self.training = np.concatenate([self.training, item[None]])
+            self._measured()
             return 0.0
         if self.n % self.period in (0, self.period // 2):
-            own = np.array(self.training)
             try:
-                self.metric = np.linalg.inv(own.T @ own)
+                metric = np.linalg.inv(self.training.T @ self.training)
+                self.metric = (metric + metric.T) / 2
             except np.linalg.LinAlgError:
                 pass  # the metric stays
+            self._measured()
         if not self.scores:
             self.scores.extend(self.distance(t, True) for t in self.training)
         new = self.distance(item, False)
         if self.n >= 2 * self.period:
-            self.training.popleft()
-            self.training.append(self.waiting.popleft())
+            self._replaced(self.waiting.popleft())
         self.scores.popleft()
         self.waiting.append(item)
         self.scores.append(new)
@@ -334,18 +406,19 @@ class SeasonalESD(Kernel):
         if period < 2 or rows < 2 * period or not 0 < most < rows - 2 or not (isinstance(alpha, float) and 0 < alpha < 1):
             raise ValueError("period >= 2, rows >= 2 * period, 0 < most < rows - 2 and 0 < alpha < 1")
         self.period, self.rows, self.most, self.robust, self.hybrid, self.stl = period, rows, most, robust, hybrid, stl
+        self.memory = rows - 1
         self.critical = [esd_critical(rows, i, alpha) for i in range(1, most + 1)]
 
     def start(self, d):
         if d != 1:
             raise ValueError("seasonal ESD takes one value")
-        self.window: deque = deque(maxlen=self.rows)
+        self.held: deque = deque(maxlen=self.rows)
 
     def step(self, x, y=None):
-        self.window.append(float(x[0]))
-        if len(self.window) < self.rows:
+        self.held.append(float(x[0]))
+        if len(self.held) < self.rows:
             return 0.0
-        residual = stl_residual(np.array(self.window), self.period, self.robust, **self.stl)
+        residual = stl_residual(np.array(self.held), self.period, self.robust, **self.stl)
         return next((s for i, s in esd(residual, self.most, self.critical, self.hybrid) if i == self.rows - 1), 0.0)
 
 
@@ -356,13 +429,14 @@ class STLResidual(Kernel):
         if period < 2 or rows < 2 * period:
             raise ValueError("period >= 2 and rows >= 2 * period")
         self.period, self.rows, self.robust, self.stl = period, rows, robust, stl
+        self.memory = rows - 1
 
     def start(self, d):
-        self.window: deque = deque(maxlen=self.rows)
+        self.held: deque = deque(maxlen=self.rows)
 
     def step(self, x, y=None):
-        self.window.append(float(x[0]))
-        return 0.0 if len(self.window) < 2 * self.period else float(stl_residual(np.array(self.window), self.period, self.robust, **self.stl)[-1])
+        self.held.append(float(x[0]))
+        return 0.0 if len(self.held) < 2 * self.period else float(stl_residual(np.array(self.held), self.period, self.robust, **self.stl)[-1])
 
 
 class InqMAD(Kernel):
@@ -377,12 +451,17 @@ class InqMAD(Kernel):
         self.b = self.rng.uniform(0, 2 * math.pi, self.m)
         self.rho, self.n = np.zeros((self.m, self.m)), 0
 
-    def step(self, x, y=None):
-        psi = np.cos(x @ self.w + self.b)
-        psi /= np.linalg.norm(psi) or 1.0
+    def psi(self, x: np.ndarray) -> np.ndarray:
+        out = np.cos(x @ self.w + self.b)
+        return out / (np.linalg.norm(out) or 1.0)
+
+    def learn(self, x, y=None):
+        psi = self.psi(x)
         self.rho += np.outer(psi, psi)
         self.n += 1
-        out = self.rho @ psi / self.n
+
+    def score(self, x, y=None):
+        out = self.rho @ self.psi(x) / self.n
         return float(out @ out)
 
 
@@ -576,9 +655,12 @@ class KitNet(Kernel):
         self.sum, self.rest, self.squares, self.products = np.zeros(d), np.zeros(d), np.zeros(d), np.zeros((d, d))
         self.groups: list = []
 
+    def score(self, x, y=None):
+        return self.output.execute(np.array([a.execute(x[g]) for a, g in zip(self.layer, self.groups)])) if self.n > self.mapping_rows + self.training_rows else 0.0
+
     def step(self, x, y=None):
         if self.n > self.mapping_rows + self.training_rows:
-            return self.output.execute(np.array([a.execute(x[g]) for a, g in zip(self.layer, self.groups)]))
+            return self.score(x)
         if not self.groups:
             self.seen += 1
             self.sum = self.sum + x
@@ -596,27 +678,42 @@ class KitNet(Kernel):
         return 0.0
 
 
+def fitted(detector, x: np.ndarray, rng: np.random.Generator, y: np.ndarray | None = None):
+    """A batch detector's model; labels go to detectors that take them."""
+    return detector.fit(x, rng) if y is None else detector.fit(x, rng, y)
+
+
 class Monitor(Kernel):
-    """A batch detector with a moving reference window; see reference_window."""
+    """A batch detector with a moving reference window; see reference_window.  labels: the detector learns from rows and their labels, those of an initial window included."""
 
-    def __init__(self, detector, rows: int, slide: int, initial: np.ndarray | None = None):
-        self.detector, self.rows, self.slide, self.initial = detector, rows, slide, initial
+    def __init__(self, detector, rows: int, slide: int, initial: np.ndarray | None = None, labels: bool = False, initial_labels: np.ndarray | None = None):
+        if labels and initial is not None and (initial_labels is None or len(initial_labels) != len(initial)):
+            raise ValueError("a label for each initial row")
+        self.detector, self.rows, self.slide, self.initial, self.labels, self.initial_labels = detector, rows, slide, initial, labels, initial_labels
 
     def start(self, d):
         self.now: list = []
-        self.reference = [] if self.initial is None else [np.asarray(v, float) for v in self.initial][-self.rows :]
-        self.model = self.detector.fit(np.array(self.reference), self.rng) if self.reference else None
+        first = [] if self.initial is None else zip(self.initial, self.initial_labels if self.labels else [None] * len(self.initial))
+        self.reference = [(np.asarray(v, float), y) for v, y in first][-self.rows :]
+        self.model = self._fitted() if self.reference else None
         self.filling = self.initial is None
 
+    def _fitted(self):
+        x, y = np.array([v for v, _ in self.reference]), np.array([y for _, y in self.reference])
+        return fitted(self.detector, x, self.rng, y if self.labels else None)
+
+    def score(self, x, y=None):
+        return float(self.model.scores(np.asarray(x, float)[None])[0]) if self.model is not None else 0.0
+
     def step(self, x, y=None):
-        self.now.append(np.asarray(x, float))
+        self.now.append((np.asarray(x, float), y))
         if self.filling and len(self.now) < self.rows and len(self.reference) < self.rows:
             self.reference = list(self.now)
-            self.model = self.detector.fit(np.array(self.reference), self.rng)
+            self.model = self._fitted()
         elif len(self.now) % self.slide == 0:
             self.reference, self.now = (self.reference + self.now)[-self.rows :], []
-            self.model = self.detector.fit(np.array(self.reference), self.rng)
-        return float(self.model.scores(np.asarray(x, float)[None])[0]) if self.model is not None else 0.0
+            self.model = self._fitted()
+        return self.score(x)
 
 
 # --- batch detectors: fit(rows, rng) gives a model with scores(rows) -------------------------------------------------------------------------------------
@@ -700,13 +797,16 @@ class _Loop:
 
 
 class Fixed(Kernel):
-    """One fit, on given rows; every row is scored by it."""
+    """One fit, on given rows and, for detectors that take them, labels; every row is scored by it."""
 
-    def __init__(self, detector, initial: np.ndarray):
-        self.detector, self.initial = detector, np.asarray(initial, float)
+    def __init__(self, detector, initial: np.ndarray, labels: np.ndarray | None = None):
+        self.detector, self.initial, self.labels = detector, np.asarray(initial, float), labels
 
     def start(self, d):
-        self.model = self.detector.fit(self.initial, self.rng)
+        self.model = fitted(self.detector, self.initial, self.rng, self.labels)
 
-    def step(self, x, y=None):
+    def learn(self, x, y=None):
+        pass
+
+    def score(self, x, y=None):
         return float(self.model.scores(np.asarray(x, float)[None])[0])

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..cluster import ship
 from ..plans.stream import StreamSpec, numbered
-from .kernels import Fixed, IsolationForest, LocalOutlierProbability, Monitor
+from .kernels import Fixed, IsolationForest, LocalOutlierProbability, Monitor, fitted
 from .runtime import run_batch, vectors
 
 
@@ -48,15 +48,16 @@ def versions(df: DataFrame, spec: StreamSpec, rows: int, slide: int) -> DataFram
     return placed.select("*", F.explode(every).alias("__to"))
 
 
-def monitor(df: DataFrame, spec: StreamSpec, features: str, detector, rows: int, slide: int, initial: np.ndarray | None = None, seed: int = 0, out: str = "score") -> DataFrame:
-    """Scores of a detector with a moving reference window.  With an initial window the versions depend on it, and the stream runs through one kernel."""
+def monitor(df: DataFrame, spec: StreamSpec, features: str, detector, rows: int, slide: int, initial: np.ndarray | None = None, seed: int = 0, out: str = "score", label: str | None = None, initial_labels: np.ndarray | None = None) -> DataFrame:
+    """Scores of a detector with a moving reference window; label: a column for detectors that learn from labels.  With an initial window the versions depend on it, and the
+    stream runs through one kernel."""
     if initial is not None:
-        kernel = Monitor(detector, rows, slide, initial)
+        kernel = Monitor(detector, rows, slide, initial, label is not None, initial_labels)
         kernel.seed = seed
-        return run_batch(df, spec, kernel, features=features, out=out)
+        return run_batch(df, spec, kernel, features=features, label=label, out=out)
     ship(df.sparkSession)
     keys = list(spec.key)
-    each = versions(df, spec, rows, slide).withColumn("__x", F.col(features).cast("array<double>"))
+    each = versions(df, spec, rows, slide).withColumn("__x", F.col(features).cast("array<double>")).withColumn("__y", F.col(label).cast("double") if label else F.lit(None).cast("double"))
     by = [*keys, "__to"]
     ordered = each.repartition(*by).sortWithinPartitions(*by, "__rn")
     names = ordered.columns
@@ -65,56 +66,55 @@ def monitor(df: DataFrame, spec: StreamSpec, features: str, detector, rows: int,
     def generator(key: tuple) -> np.random.Generator:
         return np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
 
-    def finished(key, group):
-        """group: (row number, version that scores it, vector); gives the scores of the rows that this version scores, in order."""
+    def finished(key: tuple, n: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray | None):
+        """n: row numbers, v: the versions that score them; scores of the rows that this version scores, in order."""
         version = key[-1]
-        x = np.array([v for *_, v in group])
         if version == 0:
-            kernel = Monitor(detector, rows, slide).fresh()
+            kernel = Monitor(detector, rows, slide, labels=y is not None).fresh()
             kernel.rng = generator(key)
-            return [kernel.next(v) for v in x]
-        learned = np.array([n <= version for n, _, _ in group])
-        model = detector.fit(x[learned], generator(key))
-        mine = np.array([v == version for _, v, _ in group])
-        return model.scores(x[mine]).tolist()
+            return [kernel.next(own, None if y is None else y[i]) for i, own in enumerate(x)]
+        return fitted(detector, x[n <= version], generator(key), None if y is None else y[n <= version]).scores(x[v == version])
 
     def run(batches):
-        key, group, held = None, [], []
+        key, group = None, []
 
         def flush():
-            scores = finished(key, group)
-            kept = [r for r in held if r is not None]
-            table = pa.RecordBatch.from_pylist(kept, schema=held_schema[0])
-            return pa.RecordBatch.from_arrays([*table.columns, pa.array(scores, pa.float64())], [*df_columns, out])
+            whole = pa.Table.from_batches(group)
+            n, v = (whole.column(c).to_numpy() for c in ("__rn", "__version"))
+            x = np.concatenate([vectors(b.column(at["__x"])) for b in group])
+            y = whole.column("__y").to_numpy() if label else None
+            mine = whole.select(df_columns).filter(pa.array(v == key[-1])).combine_chunks()
+            for part in mine.append_column(out, pa.array(finished(key, n, v, x, y), pa.float64())).to_batches():
+                yield part
 
-        held_schema: list = [None]
         for batch in batches:
-            held_schema[0] = pa.schema([batch.schema.field(at[c]) for c in df_columns])
-            rows_of = batch.select(df_columns).to_pylist()
             keys_of = list(zip(*(batch.column(at[c]).to_pylist() for c in by)))
-            for k, n, v, x, row in zip(keys_of, batch.column(at["__rn"]).to_pylist(), batch.column(at["__version"]).to_pylist(), vectors(batch.column(at["__x"])), rows_of):
+            start = 0
+            for i, k in enumerate(keys_of):
                 if k != key:
+                    if i > start:
+                        group.append(batch.slice(start, i - start))
                     if group:
-                        yield flush()
-                    key, group, held = k, [], []
-                group.append((n, v, x))
-                held.append(row if v == k[-1] else None)
+                        yield from flush()
+                    key, group, start = k, [], i
+            if len(keys_of) > start:
+                group.append(batch.slice(start))
         if group:
-            yield flush()
+            yield from flush()
 
     df_columns = df.columns
     return ordered.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
-def iforest_asd(df: DataFrame, spec: StreamSpec, features: str, rows: int = 2048, detector: IsolationForest | None = None, seed: int = 0, out: str = "score") -> DataFrame:
-    """Isolation forests on windows that slide by their own length."""
-    return monitor(df, spec, features, detector or IsolationForest(), rows, rows, seed=seed, out=out)
+def iforest_asd(df: DataFrame, spec: StreamSpec, features: str, rows: int = 2048, detector: IsolationForest | None = None, seed: int = 0, out: str = "score", initial: np.ndarray | None = None) -> DataFrame:
+    """Isolation forests on windows that slide by their own length; initial: rows of a first window."""
+    return monitor(df, spec, features, detector or IsolationForest(), rows, rows, initial, seed, out)
 
 
-def one_fit(df: DataFrame, features: str, detector, initial: np.ndarray, seed: int = 0, out: str = "score") -> DataFrame:
-    """One fit on the driver, on rows that were handed over; the model is broadcast and rows are scored where they are."""
+def one_fit(df: DataFrame, features: str, detector, initial: np.ndarray, seed: int = 0, out: str = "score", labels: np.ndarray | None = None) -> DataFrame:
+    """One fit on the driver, on rows (and labels) that were handed over; the model is broadcast and rows are scored where they are."""
     ship(df.sparkSession)
-    model = df.sparkSession.sparkContext.broadcast(detector.fit(np.asarray(initial, float), np.random.default_rng(seed)))
+    model = df.sparkSession.sparkContext.broadcast(fitted(detector, np.asarray(initial, float), np.random.default_rng(seed), labels))
     columns = df.columns
 
     def run(batches):

@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Sequence
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,12 @@ KNOWN = [
 ]
 
 
+class Source(Protocol):
+    """Anything that gives a dataset: from_arrays, read_dataset and dataset are such functions with their arguments bound."""
+
+    def __call__(self, spark: SparkSession) -> DataFrame: ...
+
+
 def ordered(df: DataFrame, order: Sequence[str], out: str = "seq") -> DataFrame:
     """df with a place in its total order, from 1, without bringing all rows into one task: rows are dealt in ranges, and a range's places follow from the sizes of
     the ranges before it.  `order` must tell all rows apart."""
@@ -132,6 +139,13 @@ def read_dataset(spark: SparkSession, path: str, shuffle: bool = False, seed: in
     return shuffled(df, seed) if shuffle else df
 
 
+def dataset(spark: SparkSession, base: str, name: str, shuffle: bool = False, seed: int = 0) -> DataFrame:
+    """One of the KNOWN files in a base folder."""
+    if name not in KNOWN:
+        raise ValueError(f"no dataset {name!r}; there are {', '.join(KNOWN)}")
+    return read_dataset(spark, f"{base.rstrip('/')}/{name}", shuffle, seed)
+
+
 def from_arrays(spark: SparkSession, x, y=None, shuffle: bool = False, seed: int = 0) -> DataFrame:
     """(seq, features, label) of an array or a pandas frame and its labels, which must be as many."""
     x = np.asarray(x.to_numpy() if hasattr(x, "to_numpy") else x, float)

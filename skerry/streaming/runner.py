@@ -61,9 +61,11 @@ def run_stream(df: DataFrame, spec: StreamSpec, kernel: Kernel, value: str | Non
     return held.groupBy(*keys).applyInPandasWithState(step, schema, "state binary", "append", timeout)
 
 
-def read_events(spark, path: str, schema, timestamp: str, late: str = "0 seconds", files_per_batch: int = 1) -> DataFrame:
-    """A stream of Parquet files, with a watermark; timestamps without a zone are taken as the session's."""
+def read_events(spark, path: str, schema, timestamp: str | None, late: str = "0 seconds", files_per_batch: int = 1) -> DataFrame:
+    """A stream of Parquet files, with a watermark on a timestamp where one is named; timestamps without a zone are taken as the session's."""
     df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    if timestamp is None:
+        return df
     return df.withColumn(timestamp, F.col(timestamp).cast("timestamp")).withWatermark(timestamp, late)
 
 

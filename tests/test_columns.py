@@ -69,7 +69,7 @@ def test_absolute_and_removal(spark, stream):
     assert all(x > 0 for v in out.values() for x in v)
     rows = [("a", x, 1) for x in (1.0, 2.0, 2.0, 9.0)] + [("a", 9.0, -1), ("a", 2.0, -1)]
     r = M.retracted(spark.createDataFrame(rows, "k string, value double, op int"), PLAIN, "value", "op").first()
-    assert (r["n"], r["sum"], r["max"], r["median"]) == (2, 3.0, 2.0, 1.5)
+    assert (r["n"], r["sum"], r["max"], r["median"], r["variance"]) == (2, 3.0, 2.0, 1.5, 0.25)
 
 
 def test_scores(stream):
@@ -113,6 +113,15 @@ def test_vectors(spark):
             V.gaussian_matrix(bad, 5)
 
 
+def test_projectors(spark):
+    x = np.random.default_rng(1).random((9, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, f array<double>")
+    for p in (V.Gaussian(3, 7), V.Sparse(4, 0.5, 2), V.StreamHash(6)):
+        got = V.project(df, "f", p, out="p").orderBy("i").collect()
+        assert np.allclose([r["p"] for r in got], x @ p.matrix(5).T)
+    assert V.project(df.limit(0), "f", V.Gaussian(3)).count() == 0
+
+
 def test_metrics(spark):
     rng = np.random.default_rng(2)
     y, s = rng.integers(0, 2, 200), np.round(rng.normal(size=200), 1) * 30
@@ -162,3 +171,97 @@ def test_the_entry_point_imports_without_a_session():
 
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 80"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
+def test_variance_of_large_numbers(spark):
+    """Deviations that sums of squares would lose: with and without blocks, with a drift, an empty first block and missing values."""
+    rows = [("a", i, 1e9 + i % 2) for i in range(1, 101)] + [("b", i, 1e9 * (i > 50) + i % 3) for i in range(1, 101)] + [("c", i, None if i < 20 else float(i)) for i in range(1, 60)] + [(None, i, 5.0) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "k string, seq long, value double")
+    for spec in (PLAIN, BLOCKS):
+        got = {}
+        for r in M.track(df, spec, "value", {"v": M.VARIANCE}).orderBy("seq").collect():
+            got.setdefault(r["k"], []).append(r["v"])
+        for k in ("a", "b", "c", None):
+            v = [x for key, _, x in rows if key == k]
+            want = [np.var([y for y in v[: i + 1] if y is not None]) if any(y is not None for y in v[: i + 1]) else None for i in range(len(v))]
+            assert [x is None for x in got[k]] == [x is None for x in want]
+            assert np.allclose([x for x in got[k] if x is not None], [x for x in want if x is not None], rtol=1e-9, atol=1e-6)
+        assert abs(got["a"][-1] - 0.25) < 1e-6
+    z = S.zscore(df.where("k = 'a'"), BLOCKS, "value").orderBy("seq").collect()
+    assert abs(z[-1]["post"] + 1) < 1e-4
+
+
+def test_small_tables_are_windowed_whole(spark, tmp_path, monkeypatch):
+    """Both plans give the same; the small one has one exchange."""
+    import skerry.plans.stream as streams
+
+    rng = np.random.default_rng(3)
+    path = f"{tmp_path}/t"
+    spark.createDataFrame([("ab"[i % 2], i, float(v)) for i, v in enumerate(rng.normal(size=200))], "k string, seq long, value double").write.parquet(path)
+    plans = []
+    for most in (streams.SMALL, -1):
+        monkeypatch.setattr(streams, "SMALL", most)
+        df = spark.read.parquet(path)
+        a = by_key(S.running_zscore(S.zscore(df, BLOCKS, "value", "z").na.fill(0.0), BLOCKS, "z", 9, "post"), "post")
+        plans.append((streams.small(df), a, by_key(C.relative_entropy(df, BLOCKS, "value", -3, 3, rows=20), "score"), by_key(C.seasonal_trend(df, BLOCKS, "value", 4, 6), "residual")))
+    assert plans[0][0] and not plans[1][0]
+    for x, y in zip(plans[0][1:], plans[1][1:]):
+        for k in "ab":
+            assert np.allclose([np.nan if v is None else v for v in x[k]], [np.nan if v is None else v for v in y[k]], equal_nan=True)
+
+
+def test_normal_distribution(spark):
+    import duckdb
+
+    z = [0.0, 1e-9, 0.3, -0.3, 1.0, -2.5, 5.0, -7.0, 7.08, -7.08, 12.0, -37.5, 40.0]
+    df = spark.createDataFrame([(v,) for v in z] + [(None,), (float("nan"),)], "z double")
+    got = [r["p"] for r in df.select(S.normal_cdf("z").alias("p")).collect()]
+    want = [0.5 * math.erfc(-v / math.sqrt(2)) for v in z]
+    assert np.allclose(got[:-2], want, rtol=1e-6, atol=1e-15) and got[-2:] == [None, None]
+    other = [duckdb.sql(f"SELECT {S.normal_cdf_sql('z')} FROM (SELECT {v!r}::DOUBLE AS z)").fetchone()[0] for v in z]
+    assert np.allclose(other, want, rtol=1e-6, atol=1e-15)
+
+
+def test_frozen_scores(spark, stream):
+    """Fitted on the first 60 rows of each stream, applied to the others, which change nothing."""
+    first, rest = stream.where("seq <= 60"), stream.where("seq > 60").union(spark.createDataFrame([("new", 1, 1.0)], stream.schema))
+    values = by_key(stream, "value")
+    for method, rows, f in (
+        ("average", None, lambda w, v: w.mean()),
+        ("max", 9, lambda w, v: w.max()),
+        ("median", 9, lambda w, v: np.median(w)),
+        ("zscore", None, lambda w, v: (v - w.mean()) / w.std()),
+        ("gauss", 9, lambda w, v: (v - w.mean()) / w.std()),
+        ("gauss_tail", 9, lambda w, v: 0.5 * math.erfc(-(v - w.mean()) / w.std() / math.sqrt(2))),
+        ("conformal", 9, lambda w, v: (w > v).mean()),
+        ("conformal", None, lambda w, v: (w > v).mean()),
+    ):
+        for spec in (PLAIN, BLOCKS):
+            got = by_key(S.frozen(first, rest, spec, "value", method, rows), "post")
+            assert got["new"] == [None]
+            for k, v in values.items():
+                w = np.array(v[:60][-rows if rows else 0 :])
+                assert np.allclose(got[k], [f(w, x) for x in v[60:]])
+
+
+def test_hash_parameters():
+    p = C.HashParameters.drawn([0.0] * 6 + [1.0], [1.0] * 7, n=200, seed=3)
+    s = max(1000.0, 1 / (1 - 2**-0.015))
+    for f, own, shift in zip(p.widths, p.features, p.shifts):
+        t = math.log(s) / math.log(max(2, 1 / f))
+        assert s**-0.5 <= f <= 1 - s**-0.5 and min(6, math.ceil(1 + t / 2)) <= len(own) <= max(math.floor(t), math.ceil(1 + t / 2)) and len(set(own)) == len(own) == len(shift)
+        assert 6 not in own and all(0 <= a < f for a in shift)
+    assert all(own == () for own in C.HashParameters.drawn([1.0], [1.0], n=3).features)
+
+
+def test_the_shared_folder_is_asked_for():
+    from types import SimpleNamespace
+
+    from skerry import cluster
+
+    def session(master, path):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: path), sparkContext=SimpleNamespace(master=master))
+
+    assert cluster.shared_dir(session("local[4]", None)) == cluster.LOCAL_SHARED and cluster.shared_dir(session("spark://x", "hdfs:///c/")) == "hdfs:///c"
+    with pytest.raises(RuntimeError):
+        cluster.shared_dir(session("spark://x", None))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skerry.functions import numerics as N
 from skerry.operators import columnar as C
 from skerry.operators import kernels as K
+from skerry.operators import online as O
 from skerry.operators import reference_window as R
 from skerry.operators.runtime import fit_then_score, run_batch
 from skerry.operators.seasonal import series_residual
@@ -246,7 +247,13 @@ def test_fit_then_score(spark):
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate([1, 5, 2, 8, 3])], "k string, seq long, value double")
     out = fit_then_score(df, df.unionAll(spark.createDataFrame([("new", 1, 1.0)], df.schema)), KEYED, K.PrefixMedian(), value="value").collect()
     for r in out:
-        assert r["score"] == (None if r["k"] == "new" else np.median([1, 5, 2, 8, 3, r["value"]]))
+        assert r["score"] == (None if r["k"] == "new" else 3.0)
+    one = fit_then_score(df, df, ONE, K.MedianAbsoluteDeviation(), value="value").collect()
+    own = K.MedianAbsoluteDeviation().fresh()
+    for r in df.orderBy("seq").collect():
+        own.next(np.array([r["value"]]))
+    assert len(one) == 5 and all(r["score"] == own.score(np.array([r["value"]])) for r in one)
+    assert fit_then_score(df.limit(0), df, KEYED, K.PrefixMedian(), value="value").where("score IS NULL").count() == 5
 
 
 def mat(name_to_array, compress):
@@ -288,7 +295,7 @@ def test_arrays(spark):
     assert readers.from_arrays(spark, x, None, True, 3).count() == 4
 
 
-@pytest.mark.parametrize("name", ["det_xstream", "det_loda", "det_rrcf", "det_kitnet", "det_inqmad", "det_loop", "int_onefit", "int_refwindow", "int_refwindow_initial", "det_iforestasd", "pipeline_vectors"])
+@pytest.mark.parametrize("name", ["det_hst", "det_hst_kernel", "det_hst_deep", "det_rshash", "det_rshash_kernel", "det_xstream", "det_loda", "det_rrcf", "det_kitnet", "det_inqmad", "det_loop", "int_onefit", "int_refwindow", "int_refwindow_initial", "det_iforestasd", "pipeline_vectors"])
 def test_vector_queries_read_all_dimensions(spark, tmp_path, name):
     from skerry import queries
 
@@ -299,3 +306,187 @@ def test_vector_queries_read_all_dimensions(spark, tmp_path, name):
         df.coalesce(1).write.parquet(f"{tmp_path}/{k}/embeddings.parquet")
         found.append(sorted((r["vec_id"], r["score"]) for r in queries.queries()[name](spark, f"{tmp_path}/{k}").collect()))
     assert len(found[0]) == own.count() and found[0] != found[1]
+
+
+def meters(v, name, rows):
+    f = {"count": len, "sum": np.sum, "sum_squares": lambda x: np.sum(x * x), "average": np.mean, "variance": np.var, "min": np.min, "max": np.max, "median": np.median}[name]
+    return [f(np.array(v[max(0, i + 1 - rows) if rows else 0 : i + 1])) for i in range(len(v))]
+
+
+@pytest.mark.parametrize("rows", [None, 1, 7, 200])
+def test_online_statistics(rows):
+    v = np.random.default_rng(1).normal(size=150) + 1e6
+    for name in ("count", "sum", "sum_squares", "average", "variance", "min", "max", "median"):
+        own = O.Statistic(name, rows).fresh()
+        assert np.allclose([own.next(np.array([x])) for x in v], meters(v, name, rows), rtol=1e-9)
+    own = O.Statistic("average", rows).fresh()
+    assert own.next(np.array([np.nan])) is None and own.next(np.array([2.0])) == 2.0
+    for bad in (lambda: O.Statistic("mode"), lambda: O.Standardised("other"), lambda: O.SeasonalTrend(1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_online_kernels_equal_plans(spark, tmp_path):
+    """Row by row the same as by windows, also after a pickle and with missing values."""
+    import pickle
+
+    from skerry.functions import scores as S
+
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=160), 1) * 10
+    rows = [("a", i, None if i in (5, 77) else float(x)) for i, x in enumerate(v)]
+    path = f"{tmp_path}/t"
+    spark.createDataFrame(rows, "k string, seq long, value double").write.parquet(path)
+    df = spark.read.parquet(path)
+    spec = StreamSpec(("k",), ("seq",), "floor(seq / 50)")
+    cases = [
+        (O.Standardised(), S.zscore(df, spec, "value", "score")),
+        (O.Standardised(rows=12), S.running_zscore(df, spec, "value", 12, "score")),
+        (O.Standardised("gauss", 12), S.gaussian_z(df, spec, "value", 12, "score")),
+        (O.Standardised("tail", 12), S.gaussian_tail(df, spec, "value", 12, "score")),
+        (O.Standardised("sad"), C.standard_absolute_deviation(df, spec, "value")),
+        (O.Standardised("sad", subtracted="median", absolute=False), C.standard_absolute_deviation(df, spec, "value", "median", False)),
+        (O.RelativeEntropy(-30, 30, rows=20), C.relative_entropy(df, spec, "value", -30, 30, rows=20)),
+        (O.SeasonalTrend(5, 8), C.seasonal_trend(df, spec, "value", 5, 8, out="score")),
+    ]
+    for kernel, plan in cases:
+        own, got = kernel.fresh(), []
+        for i, (_, _, x) in enumerate(rows):
+            got.append(own.next(np.array([np.nan if x is None else x])))
+            if i == 60:
+                own = pickle.loads(pickle.dumps(own))
+                frozen = own.score(np.array([1.0]))
+                assert own.score(np.array([1.0])) == frozen
+        want = [r["score"] for r in plan.orderBy("seq").collect()]
+        assert [x is None for x in got] == [x is None for x in want], kernel
+        assert np.allclose([x for x in got if x is not None], [x for x in want if x is not None], atol=1e-9)
+
+
+def test_frozen_season():
+    """A frozen decomposer takes the phase of the next row and the trend of the last ones, and does not change."""
+    own = O.SeasonalTrend(3).fresh()
+    for x in np.tile([1.0, 2.0, 3.0], 8):
+        own.next(np.array([x]))
+    assert [own.score(np.array([1.0])) for _ in range(3)] == [0.0] * 3
+
+
+def test_chunks_of_a_stream(spark, planted):
+    """Kernels with a bounded memory give the same in chunks, each of which is a task."""
+    x, _ = planted
+    df = spark.createDataFrame([(i + 1, "ab"[i % 2], v.tolist(), float(v[0])) for i, v in enumerate(x[:300])], "seq long, k string, f array<double>, value double")
+    forest = C.Forest(tuple(BOX[0]), tuple(BOX[1]), 3, 9, 5)
+    spec = StreamSpec(("k",), ("seq",), "floor(seq / 100)")
+    for kernel, source in ((K.HalfSpaceTrees(forest, 20), "f"), (K.XStream(6, 5, 4, 15), "f"), (O.ExactStorm(30, 2.0), "f"), (O.Conformal(25), "value"), (K.STLResidual(4, 20, robust=False), "value"), (O.Statistic("median", 9), "value"), (O.Standardised("tail", 31), "value")):
+        args = {"value" if source == "value" else "features": source}
+        whole = [(r["seq"], r["score"]) for r in run_batch(df, StreamSpec(("k",), ("seq",)), kernel, **args).orderBy("seq").collect()]
+        parts = [(r["seq"], r["score"]) for r in run_batch(df, spec, kernel, chunk=40, **args).orderBy("seq").collect()]
+        assert [a for a, _ in whole] == [a for a, _ in parts]
+        assert np.allclose([np.nan if s is None else s for _, s in whole], [np.nan if s is None else s for _, s in parts], atol=1e-9, equal_nan=True), kernel
+    assert run_batch(df, StreamSpec((), ("seq",), "floor(seq / 100)"), O.ExactStorm(30, 2.0), features="f", chunk=40).count() == 300
+
+
+def test_scores_leave_the_state(planted):
+    x, _ = planted
+    for kernel in (K.HalfSpaceTrees(C.Forest(tuple(BOX[0]), tuple(BOX[1]), 5, 6), 50), K.RSHash(C.HashParameters.drawn(*BOX, n=9)), K.LODA(), K.XStream(6, 5, 4, 15), K.RobustRandomCutForest(2, 32), K.KitNet(3, 20, 30), K.InqMAD(32, 0.1), K.Monitor(K.IsolationForest(5, 16), 30, 10), O.ExactStorm(20, 1.0)):
+        own = kernel.fresh()
+        for v in x[:120]:
+            own.next(v)
+        before = [own.score(v) for v in x[120:130]]
+        assert before == [own.score(v) for v in x[120:130]] and np.isfinite(before).all()
+
+
+def test_an_initial_window_of_half_space_trees(planted):
+    x, _ = planted
+    forest = C.Forest(tuple(BOX[0]), tuple(BOX[1]), 5, 6)
+    plain, own = K.HalfSpaceTrees(forest, 50).fresh(), K.HalfSpaceTrees(forest, 50, x[:50]).fresh()
+    for v in x[:50]:
+        plain.next(v)
+    assert [plain.next(v) for v in x[50:180]] == [own.next(v) for v in x[50:180]]
+
+
+def test_loess_is_local():
+    """Against dense weights of all places."""
+    rng = np.random.default_rng(7)
+    for n, span in ((20, 7), (20, 6), (9, 15), (40, 40)):
+        y, weights = rng.normal(size=n), rng.random(n)
+        at = np.arange(-1, n + 1, dtype=float)
+        far = np.abs(at[:, None] - np.arange(n))
+        width = np.sort(far, axis=1)[:, min(span, n) - 1, None] + max(span - n, 0) // 2
+        w = np.where(far <= 0.999 * width, np.where(far <= 0.001 * width, 1, (1 - np.minimum(far / width, 1) ** 3) ** 3), 0) * weights
+        want = [np.polynomial.Polynomial.fit(np.arange(n)[k > 0], y[k > 0], 1, w=np.sqrt(k[k > 0]))(a) for a, k in zip(at, w)]
+        assert np.allclose(N.loess(y, span, at, weights), want)
+
+
+def test_known_datasets(spark, tmp_path):
+    (tmp_path / "glass.mat").write_bytes(mat({"X": np.arange(6.0).reshape(3, 2), "y": np.array([[0], [1], [0.0]])}, True))
+    assert [r["label"] for r in readers.dataset(spark, f"file://{tmp_path}", "glass.mat").orderBy("seq").collect()] == [0, 1, 0]
+    with pytest.raises(ValueError):
+        readers.dataset(spark, str(tmp_path), "other.mat")
+
+
+class Labelled:
+    """A detector that learns from labels: the distance from the mean of the rows that are labelled 0."""
+
+    def fit(self, x, rng, y):
+        out = Labelled()
+        out.mean = x[y == 0].mean(0) if (y == 0).any() else np.zeros(x.shape[1])
+        return out
+
+    def scores(self, x):
+        return np.abs(x - self.mean).sum(1)
+
+
+def test_detectors_that_learn_from_labels(spark):
+    x = np.random.default_rng(7).random((60, 2))
+    rows = [("a" if i % 3 else "b", i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, seq long, f array<double>, y int")
+    spark.sparkContext.addPyFile(__file__)
+    initial, labels = x[:10] + 1, np.arange(10) % 2
+    for first, more in ((None, {}), (initial, {"initial": initial, "initial_labels": labels})):
+        got = {r["seq"]: r["score"] for r in R.monitor(df, KEYED, "f", Labelled(), 6, 4, label="y", **more).collect()}
+        for key in "ab":
+            own = K.Monitor(Labelled(), 6, 4, first, True, labels if first is not None else None).fresh()
+            for k, i, v, y in rows:
+                if k == key:
+                    assert np.isclose(got[i], own.next(np.array(v), y))
+    one = R.one_fit(df, "f", Labelled(), initial, labels=labels).collect()
+    mean = initial[labels == 0].mean(0)
+    assert np.allclose([r["score"] for r in one], [np.abs(np.array(r["f"]) - mean).sum() for r in one])
+    with pytest.raises(ValueError):
+        K.Monitor(Labelled(), 6, 4, initial, True)
+    assert R.iforest_asd(df, KEYED, "f", 8, K.IsolationForest(3, 8), initial=initial).where("score > 0").count() == 60
+
+
+def test_order_statistics_in_parts(spark):
+    """Long and short streams, ties, a value with most of the rows, missing values at edges of chunks, and null keys: the same as by the kernels."""
+    from skerry.operators import order
+
+    rng = np.random.default_rng(9)
+    rows = [("a", i, float(v)) for i, v in enumerate(np.round(rng.normal(size=300), 1))]
+    rows += [(None, i, 7.0 if i % 3 else float(v)) for i, v in enumerate(rng.normal(size=200) * 5)]
+    rows += [("b", i, None if i < 25 or 60 <= i < 90 else float(i * 37 % 101)) for i in range(150)] + [("c", i, 1.0) for i in range(90)] + [("d", i, float(i)) for i in range(5)] + [("e", i, None) for i in range(70)]
+    df = spark.createDataFrame(rows, "k string, seq long, value double").repartition(3)
+    spec = StreamSpec(("k",), ("seq",), "floor(seq / 40)")
+    plain = StreamSpec(("k",), ("seq",))
+    get = lambda d, c: {(r["k"], r["seq"]): r[c] for r in d.collect()}
+    for f, kernel in ((order.prefix_median, K.PrefixMedian()), (order.prefix_rank, K.PrefixRank()), (order.median_absolute_deviation, K.MedianAbsoluteDeviation())):
+        want, got = get(run_batch(df, plain, kernel, value="value"), "score"), get(f(df, spec, "value", out="score", part=20), "score")
+        assert set(want) == set(got) and len(got) == len(rows)
+        for key, v in want.items():
+            assert (v is None) == (got[key] is None) and (v is None or np.isclose(v, got[key])), (f, key, v, got[key])
+    assert order.prefix_median(df.limit(0), spec, "value", part=20).count() == 0
+
+
+def test_counts_by_bucket():
+    from skerry.operators.order import Counts, buckets
+
+    rng = np.random.default_rng(1)
+    x, bounds = rng.integers(0, 30, 500) / 2, np.array([2.0, 5.5, 9.0])
+    own = buckets(bounds, x)
+    assert ((own % 2 == 1) == np.isin(x, bounds)).all() and (np.diff(own[np.argsort(x, kind="stable")]) >= 0).all()
+    counts, held = Counts(np.bincount(own[:100], minlength=7)), sorted(own[:100].tolist())
+    for b in own[100:].tolist():
+        counts.add(b)
+        held = sorted([*held, b])
+        k = int(rng.integers(len(held)))
+        assert counts.upto(b) == sum(v <= b for v in held) and counts.find(k) == (held[k], k - sum(v < held[k] for v in held))
