@@ -89,9 +89,9 @@ def unpacked(raw: list[bytes], n: np.ndarray, wide: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(r, np.uint8 if len(r) == k else wide).astype(np.int64) for r, k in zip(raw, n.tolist())])
 
 
-def ids_of(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words, one word behind the other, and their numbers; NONE for a word without ids (white space beyond ASCII)."""
-    ids, sizes = encoder(path).encode(words)
+def ids_of(words: list[bytes], path: str, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, one word behind the other, and their numbers; NONE for a word without ids (white space beyond ASCII).  distinct: no word comes twice."""
+    ids, sizes = encoder(path).encode(words, distinct)
     if len(sizes) and not sizes.all():
         ids = np.insert(ids, (np.cumsum(sizes) - sizes)[sizes == 0], np.uint16(NONE))
     return ids, np.maximum(sizes, 1)
@@ -129,30 +129,44 @@ def word_counts(own: DataFrame) -> DataFrame:
 STARTS, TYPES, INNER, INNER_TOKENS, PAIRS, LAST, VARIANTS, TIMES = range(8)
 
 
-def subword_counts(vocabulary: DataFrame, path: str) -> DataFrame:
-    """(kind, key, n) over all training words, each of which comes once."""
+def spelt(vocabulary: DataFrame, path: str) -> DataFrame:
+    """(word, c, ids, kind) of the training words without the end: a word is encoded once."""
 
     def run(batches):
         for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            if not words:
+            words = batch.column(0).to_pylist()
+            if words:
+                ids, sizes = ids_of(words, path, True)
+                offsets = (2 * np.append(0, np.cumsum(sizes))).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2").tobytes())])
+                yield pa.RecordBatch.from_arrays([*batch.columns, raw, pa.array(variants(words))], ["word", "c", "ids", "kind"])
+
+    return vocabulary.where("octet_length(word) > 0").select("word", "c").mapInArrow(run, "word binary, c long, ids binary, kind long")
+
+
+def subword_counts(words: DataFrame) -> DataFrame:
+    """(kind, key, n) over all training words, each of which comes once in spelt()."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            ids, size = ids_of(words, path)
-            ids = ids.astype(np.int64)
+            c, raw, kinds = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            ids, size = np.frombuffer(b"".join(raw), "<u2").astype(np.int64), np.array(list(map(len, raw))) // 2
             first = np.zeros(len(ids), bool)
             first[np.cumsum(size) - size] = True
             last = np.append(first[1:], True)
             weight = np.repeat(c, size)
             inner = ~first
             pairs = ids[:-1][inner[1:]] * 65536 + ids[1:][inner[1:]]
-            parts = [(STARTS, ids[first], c), (TYPES, ids[first], None), (INNER, ids[inner], None), (INNER_TOKENS, ids[inner], weight[inner]), (PAIRS, pairs, None), (LAST, ids[last], None), (VARIANTS, np.minimum(variants(words), BYTES).astype(np.int64), None), (TIMES, np.minimum(c, 3), None)]
+            parts = [(STARTS, ids[first], c), (TYPES, ids[first], None), (INNER, ids[inner], None), (INNER_TOKENS, ids[inner], weight[inner]), (PAIRS, pairs, None), (LAST, ids[last], None), (VARIANTS, np.minimum(kinds, BYTES), None), (TIMES, np.minimum(c, 3), None)]
             out = []
             for kind, keys, w in parts:
                 keys, at = np.unique(keys, return_inverse=True)
                 out.append((np.full(len(keys), kind, np.int32), keys, np.bincount(at, w, len(keys)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["kind", "key", "n"])
 
-    return vocabulary.select("word", "c").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return words.select("c", "ids", "kind").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 # --- documents as ids ---------------------------------------------------------------------------------------------------------------------------------
@@ -163,10 +177,10 @@ def prepared(own: DataFrame, path: str, shared: Broadcast, n_shards: int) -> Dat
     of all words, packed; rest: the words that are not known, and how many there are; and the training shard (null: held out).  shared: the known words' counts."""
 
     def run(batches):
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             keys, texts = part.column(0).to_pylist(), [t.translate(UPPER) for t in utf8(part.column(1))]
             words, at, n_words = distinct_words(texts)
-            ids, sizes = ids_of(words, path)
+            ids, sizes = ids_of(words, path, True)
             get = shared.value.get
             c = np.array(list(map(get, words, repeat(0))), np.int64)[at]
             kind = variants(words)[at]
@@ -587,17 +601,18 @@ def shards(n_tokens: int) -> int:
     return max(1, min(MOST_SHARDS, -(-n_tokens // (SHARD * ROUNDS))))
 
 
-def counted(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, dict]:
-    """A model without attention, (word, c) of the training words, and the numbers of distinct (v) and all (n) training tokens.  own: (doc_id, text)."""
+def counted(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, DataFrame, dict]:
+    """A model without attention, (word, c) of the training words, their ids, and the numbers of distinct (v) and all (n) training tokens.  own: (doc_id, text)."""
     vocabulary = written(word_counts(own), f"{base}/words")
-    counts = written(subword_counts(vocabulary.where("octet_length(word) > 0"), path), f"{base}/subwords")
+    words = written(spelt(vocabulary, path), f"{base}/spelt")
+    counts = written(subword_counts(words), f"{base}/subwords")
     single = counts.where(F.col("kind") != PAIRS).toArrow().to_pandas()  # at most 5 * IDS rows and some
     ends = vocabulary.where("octet_length(word) = 0").first()
     model = Model({int(k): (g["key"].to_numpy(), g["n"].to_numpy()) for k, g in single.groupby("kind")}, ends["c"] if ends else 0)
     often = [int(k) for k in model.often]
     pairs = counts.where(F.col("kind") == PAIRS).select(F.shiftright("key", 16).alias("a"), F.col("key").bitwiseAND(F.lit(65535)).alias("b"), "n").where(F.col("a").isin(often) & F.col("b").isin(often)).toArrow()  # at most TOP**2 rows
     model.set_pairs(*(pairs[c].to_numpy() for c in "abn"))
-    return model, vocabulary, vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().asDict()
+    return model, vocabulary, words, vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().asDict()
 
 
 def head(vocabulary: DataFrame, most: int | None = None) -> tuple[dict[bytes, int], int]:
@@ -614,9 +629,10 @@ def head(vocabulary: DataFrame, most: int | None = None) -> tuple[dict[bytes, in
     return dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist())), least
 
 
-def learned(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, DataFrame, dict, int]:
-    """The model, all rows as ids, (word, c) of the training words, their totals, and the least count of the words that rows hold the counts of."""
-    model, vocabulary, totals = counted(own, path, base)
+def learned(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, DataFrame, dict, int, int]:
+    """The model, all rows as ids, (word, c, ids, kind) of the training words, their totals, the least count of the words that rows hold the counts of, and the number of
+    training documents."""
+    model, vocabulary, words, totals = counted(own, path, base)
     known, least = head(vocabulary)
     known = own.sparkSession.sparkContext.broadcast(known)
     n_shards = shards(totals["n"])
@@ -626,7 +642,7 @@ def learned(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, Dat
     training = rows.where("round >= 0")
     model.set_classes(neighbours(training, model.compact))
     trained(model, training, n_shards)
-    return model, rows, vocabulary, totals, least
+    return model, rows, words, totals, least, int(model.starts[END])
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, ids binary, sizes binary, counts binary, variants binary, rest array<struct<word:binary,n:long>>, h long, row long, shard long, round int"
@@ -637,7 +653,7 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     base = scratch(spark, "lm")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model, rows, vocabulary, totals, least = learned(own, path, base)
+    model, rows, words, totals, least, n_ends = learned(own, path, base)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -652,30 +668,28 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def spelled(batches):
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            if words:
-                ids, sizes = ids_of(words, path)
-                t = Texts([ids.astype("<u2").tobytes()], [packed(sizes, "<u4")], np.array([len(words)]))
+            if batch.num_rows:
+                raw = batch.column(2).to_pylist()
+                t = Texts([b"".join(raw)], [packed(np.array(list(map(len, raw))) // 2, "<u4")], np.array([len(raw)]))
                 cls = shared.value.cls[t.first]
-                p = shared.value.spelling(t, variants(words)) + shared.value.log_free[cls] + shared.value.log_tokens[cls]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], ["word", "c", "p"])
+                p = shared.value.spelling(t, batch.column(3).to_numpy()) + shared.value.log_free[cls] + shared.value.log_tokens[cls]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], ["word", "c", "p"])
 
     scored = written(rows.select("ids", "sizes", "counts", "variants", "n_tokens", "row").mapInArrow(run, "row long, score double"), f"{base}/scored")
     # What the share adds to a spelled word: log(1 + share / spelled), for exponents of any size.
-    rare = vocabulary.where((F.col("c") < least) & (F.octet_length("word") > 0)).select("word", "c").mapInArrow(spelled, "word binary, c long, p double")
+    rare = words.where(F.col("c") < least).mapInArrow(spelled, "word binary, c long, p double")
     ahead = F.log(F.col("c") - model.discount) - F.col("p")
     gain = (F.greatest(ahead, F.lit(0.0)) + F.log1p(F.exp(-F.abs(ahead)))) / math.log(10)
     rare = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n").join(rare.select("word", "c", gain.alias("gain")), "word")
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"), F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    ends = vocabulary.where("octet_length(word) = 0").first()
     log_all = math.log10(totals["n"] + totals["v"] + 1)
-    log_end = math.log10((ends["c"] if ends else 0) + 1)
+    log_end = math.log10(n_ends + 1)
     out = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "sums").join(scored, "row").join(rare, "row", "left")
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(ends is not None))).cast("long").alias("n_known"),
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(n_ends > 0))).cast("long").alias("n_known"),
         F.lit(totals["n"]).cast("long").alias("train_tokens"),
         (F.col("sums") + F.coalesce("more", F.lit(0.0)) + F.lit(log_end) - F.col("n_tokens") * log_all).alias("base_score"),
         (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),

@@ -188,7 +188,7 @@ class Encoder:
             self.old, self.held = held, {}
         return np.frombuffer(b"".join(raw), "<u2"), np.array(list(map(len, raw)), np.int64) // 2
 
-    def _encode(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: Sequence[bytes], distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b" ".join(texts), np.uint8).copy()
         kind = KINDS[data]
         pairs = np.flatnonzero(data == 0xC3) + 1  # two bytes of U+00C0 to U+00FF
@@ -214,19 +214,21 @@ class Encoder:
             return np.zeros(0, "<u2"), np.zeros(len(texts), np.int64)
         # A pre-token ends where the next one or white space starts.
         ends = np.minimum(np.append(at[1:], len(data)), ends[np.searchsorted(ends, at, side="right")])
-        first, own = grouped(data, at, ends)
+        # Of words that come once each, so do most pre-tokens.
+        first, own = (np.arange(len(at)),) * 2 if distinct else grouped(data, at, ends)
         raw = data.tobytes()
         ids, sizes = self.strings([raw[a:b] for a, b in zip(at[first].tolist(), ends[first].tolist())], kind[at[first]] == 4)
         until = np.concatenate([[0], np.cumsum(sizes[own])])[np.searchsorted(at, lengths)]
-        return spread(ids, sizes, own), np.diff(until, prepend=0)
+        return ids if distinct else spread(ids, sizes, own), np.diff(until, prepend=0)
 
-    def encode(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one behind the other, and how many each has, as the tokenizer's encode without special tokens gives them."""
+    def encode(self, texts: Sequence[bytes], distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and how many each has, as the tokenizer's encode without special tokens gives them.  distinct: the texts are
+        words that come once each."""
         if sum(map(len, texts)) <= MOST:
-            return self._encode(texts)
+            return self._encode(texts, distinct)
         out, sizes = [np.zeros(0, "<u2")], np.zeros(len(texts), np.int64)
         for numbers, part in _blocks(texts):
-            ids, n = self._encode(part)
+            ids, n = self._encode(part, distinct)
             out.append(ids)
             np.add.at(sizes, numbers, n)
         return np.concatenate(out), sizes
