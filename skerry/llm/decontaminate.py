@@ -213,177 +213,6 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, whole: bool = True, size
     return both.mapInArrow(rewritten, rows.select(names).schema).toDF(*columns)
 
 
-_WORDS = 1_000_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Lower-cases A-Z and turns every byte that is in no word into a space.
-TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
-def words(text: bytes) -> list[bytes]:
-    return text.translate(TABLE).split()
-
-
-class Windows:
-    """The items' windows: `vocabulary` numbers their words from 1; `by_size` has, for each window length, sorted hashes and what they stand for."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], size: int = SIZE):
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for name, text in items:
-            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            n = min(size, len(own))
-            for i in range(len(own) - n + 1 if n else 0):
-                found[n][tuple(own[i : i + n])] |= {name} - {None}
-        self.by_size = []
-        for n, windows in sorted(found.items()):
-            keys = np.array(list(windows), np.uint64).reshape(-1, n)
-            hashes: dict[int, list] = defaultdict(list)
-            for h, (window, names) in zip(self.hashed(keys).tolist(), windows.items()):
-                hashes[h].append((window, names))
-            self.by_size.append((n, np.array(sorted(hashes), np.uint64), hashes))
-
-    @staticmethod
-    def hashed(keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.uint64)
-        for j in range(keys.shape[1]):
-            out = out * BASE + keys[:, j]
-            out ^= out >> np.uint64(29)
-        return out
-
-    def scan(self, text: bytes) -> tuple[int, np.ndarray | None, set[str]]:
-        """Number of words, which of them are hit (None: none), and the items found."""
-        own = words(text)
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in own], np.uint64)
-        n_known = np.cumsum(np.concatenate([[0], ids != 0]))
-        hit, names = None, set()
-        for n, hashes, stands in self.by_size:
-            if len(ids) < n:
-                break
-            starts = np.flatnonzero(n_known[n:] - n_known[:-n] == n)
-            if not len(starts):
-                continue
-            keys = self.hashed(ids[starts[:, None] + np.arange(n)])
-            at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-            for i, key in zip(starts[(same := hashes[at] == keys)].tolist(), keys[same].tolist()):
-                window = tuple(ids[i : i + n].tolist())
-                for known, items in stands[key]:
-                    if known == window:  # verified
-                        hit = np.zeros(len(ids), bool) if hit is None else hit
-                        hit[i : i + n] = True
-                        names |= items
-        return len(own), hit, names
-
-
-def _result(doc_ids: pa.Array, rows: list[tuple[int, int, set[str]]]) -> pa.RecordBatch:
-    names = [sorted(r[2]) for r in rows]
-    return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(map(len, names), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array([r[1] > 0 for r in rows], pa.bool_()), pa.array(names, pa.list_(pa.string()))],
-        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
-    )
-
-
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-
-
-def small_windows(benchmark: DataFrame, size: int = SIZE, most_words: int = MOST_WORDS, id_col: str = "item_id", text_col: str = "text") -> Windows | None:
-    """The windows of a benchmark, or None where it has more than most_words words (estimated from above by characters before anything is gathered)."""
-    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text"))
-    chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if chars > 8 * most_words:
-        return None
-    return Windows([(r["name"], r["text"].encode()) for r in items.collect()], size)
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most_words: int = MOST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: n_words, n_hit, n_items, items_sha256, contaminated and the sorted item ids."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = small_windows(benchmark, size, most_words)
-    if known is None:
-        return _joined(own, benchmark, size)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches):
-        windows = shared.value
-        for part in slices(batches, "text"):
-            rows = [(n, 0 if hit is None else int(hit.sum()), names) for n, hit, names in map(windows.scan, utf8(part.column(1)))]
-            yield _result(part.column(0), rows)
-
-    return own.mapInArrow(run, SCHEMA)
-
-
-def _joined(own: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """The same for item sets beyond the broadcast bound: windows of documents and items meet in a shuffled join on their words."""
-    rows = own.withColumn("row", F.monotonically_increasing_id())
-
-    def windows(batches):
-        for part in slices(batches, "text"):
-            for key, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                all_words = words(text)
-                out = [(key, i, n, hashlib.sha256(b" ".join(all_words[i : i + n])).digest()) for n in range(1, size + 1) for i in range(len(all_words) - n + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["row", "at", "n", "window"])
-
-    def item_windows(batches):
-        for part in slices(batches, "text"):
-            out = []
-            for name, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                all_words = words(text)
-                n = min(size, len(all_words))
-                out += [(name, n, hashlib.sha256(b" ".join(all_words[i : i + n])).digest()) for i in range(len(all_words) - n + 1 if n else 0)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["item", "n", "window"])
-
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
-    items = items.mapInArrow(item_windows, "item string, n long, window binary").distinct()
-    places = rows.select("row", "text").mapInArrow(windows, "row long, at long, n long, window binary").join(items, ["n", "window"])
-    spans = places.select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    names = places.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    n_words = F.size(F.filter(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != ""))
-    out = rows.select("row", "doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_words).cast("long").alias("n_words")).join(spans, "row", "left").join(names, "row", "left")
-    items_of = F.coalesce("items", F.array().cast("array<string>"))
-    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), items_of.alias("items"))
-
-
-def without_hits(docs: DataFrame, benchmark: DataFrame, whole: bool = True, size: int = SIZE, most_words: int = MOST_WORDS, text_col: str = "text") -> DataFrame:
-    """docs with contaminated rows removed (whole), or with the hit words removed from their texts: runs of hit words and what lies between them go.
-    Columns stay as they are.  Beyond the broadcast bound only whole rows can go: those whose doc_id has a hit."""
-    known = small_windows(benchmark, size, most_words)
-    if known is None:
-        if not whole:
-            raise ValueError("spans are removed only with at most most_words item words")
-        hit = scan(docs, benchmark, size, most_words, text_col=text_col).where("contaminated").select(F.col("doc_id").alias("__id"))
-        return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    at = docs.columns.index(text_col)
-
-    def cut(text: bytes, hit: np.ndarray) -> str:
-        mapped, out, keep_from, end, k = text.translate(TABLE), [], 0, 0, 0
-        for w in mapped.split():
-            start = mapped.index(w, end)
-            if hit[k]:
-                if not (k and hit[k - 1]):
-                    out.append(text[keep_from:start])
-                keep_from = start + len(w)
-            end, k = start + len(w), k + 1
-        return b"".join([*out, text[keep_from:]]).decode()
-
-    def run(batches):
-        windows = shared.value
-        for batch in batches:
-            for part in slices(iter([batch.rename_columns([str(i) for i in range(batch.num_columns)])]), str(at)):
-                texts = utf8(part.column(at))
-                hits = [windows.scan(t)[1] for t in texts]
-                if whole:
-                    out = part.filter(pa.array([h is None for h in hits], pa.bool_()))
-                else:
-                    column = pa.array([t if h is None else cut(b, h) for t, b, h in zip(part.column(at).to_pylist(), texts, hits)], part.schema.field(at).type)
-                    out = part.set_column(at, str(at), column)
-                yield out.rename_columns(batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
