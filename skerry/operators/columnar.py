@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -217,9 +218,10 @@ class HashParameters:
 
     def cells(self, x: Column) -> Column:
         """The names of a row's cells.  The parameters are one literal, which keeps the plan's code short."""
-        every = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(w).alias("w"), F.lit([i + 1 for i in f]).cast("array<int>").alias("f"), F.lit(list(a)).cast("array<double>").alias("a")) for r, (w, f, a) in enumerate(zip(self.widths, self.features, self.shifts))])
+        own = [{"r": str(r), "w": w, "f": [i + 1 for i in f], "a": list(a)} for r, (w, f, a) in enumerate(zip(self.widths, self.features, self.shifts))]
+        every = F.from_json(F.lit(json.dumps(own)), "array<struct<r:string,w:double,f:array<int>,a:array<double>>>")
         place = lambda p: F.zip_with(p["f"], p["a"], lambda i, a: F.floor((F.element_at(x, i) + a) / p["w"]).cast("string"))
-        return F.transform(every, lambda p: F.concat_ws(",", p["r"].cast("string"), place(p)))
+        return F.transform(every, lambda p: F.concat_ws(",", p["r"], place(p)))
 
 
 def rs_hash(df: DataFrame, spec: StreamSpec, features: Column | str, parameters: HashParameters, block: int = 20_000, out: str = "score") -> DataFrame:
