@@ -218,7 +218,7 @@ def test_normal_distribution(spark):
     got = [r["p"] for r in df.select(S.normal_cdf("z").alias("p")).collect()]
     want = [0.5 * math.erfc(-v / math.sqrt(2)) for v in z]
     assert np.allclose(got[:-2], want, rtol=1e-6, atol=1e-15) and got[-2:] == [None, None]
-    other = [duckdb.sql(f"SELECT {S.normal_cdf_sql('z')} FROM (SELECT {v!r}::DOUBLE AS z)").fetchone()[0] for v in z]
+    other = [duckdb.connect().execute(f"SELECT {S.normal_cdf_sql('z')} FROM (SELECT {v!r}::DOUBLE AS z)").fetchone()[0] for v in z]
     assert np.allclose(other, want, rtol=1e-6, atol=1e-15)
 
 
