@@ -487,9 +487,9 @@ query("stream_totals", _stream_totals, "SELECT event_type, round(count(*)::DOUBL
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors as a headerless file of numbers, written and read again."""
+    """The vectors as headerless files of numbers, written in ranges of vec_id and read again."""
     path = shared_path(spark, "csv")
-    own = embeddings(spark, sf_dir).orderBy("vec_id").coalesce(1)
+    own = embeddings(spark, sf_dir).orderBy("vec_id")
     own.select(*[F.col("features")[i].alias(f"c{i}") for i in range(64)], "label").write.csv(path)
     return rounded(readers.read_dataset(spark, path).withColumn("sum", V.total(F.col("features"))), "sum", keep=["seq", "label"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.stream import StreamSpec
+from ..plans.stream import StreamSpec, numbered
 
 #: The dataset files that can be asked for by name.
 KNOWN = [
@@ -54,8 +54,6 @@ class Source(Protocol):
 def ordered(df: DataFrame, order: Sequence[str], out: str = "seq") -> DataFrame:
     """df with a place in its total order, from 1, without bringing all rows into one task: rows are dealt in ranges, and a range's places follow from the sizes of
     the ranges before it.  `order` must tell all rows apart."""
-    from ..plans.stream import numbered
-
     # Ranges by the first column of the order; rows that share its value share a range.
     levels = df.select(F.col(order[0]).alias("__v"))
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -78,11 +76,14 @@ def shuffled(df: DataFrame, seed: int, row: Column | str = "seq") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, n_features: int) -> DataFrame:
-    """Headerless numbers, the label in the last column; rows are in the order of the file."""
+    """Headerless numbers, the label in the last column; rows are in the order of the file, those of a folder in the order of its files' names.  Spark deals large files
+    before small ones, so a row's place is that of its file, of its split of the file, and its own within the split."""
     schema = T.StructType([T.StructField(f"c{i}", T.DoubleType()) for i in range(n_features + 1)])
-    rows = spark.read.schema(schema).csv(path).withColumn("__at", F.monotonically_increasing_id())
+    file, split = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")
+    rows = spark.read.schema(schema).csv(path).select("*", file, split, F.monotonically_increasing_id().alias("line"))
     vector = F.array(*[F.col(f"c{i}") for i in range(n_features)])
-    return ordered(rows, ["__at"]).select("seq", vector.alias("features"), F.col(f"c{n_features}").cast("int").alias("label"))
+    placed = numbered(rows, StreamSpec((), ("file", "split", "line"), "struct(file, split)"), "seq")
+    return placed.select("seq", vector.alias("features"), F.col(f"c{n_features}").cast("int").alias("label"))
 
 
 def csv_width(spark: SparkSession, path: str) -> int:

@@ -285,6 +285,37 @@ def test_readers(spark, tmp_path, compress):
     assert a == b and sorted(r["label"] for r in a) == list(range(5)) and [r["seq"] for r in a] == [1, 2, 3, 4, 5]
 
 
+def test_csv_rows_are_in_the_order_of_files_and_lines(spark, tmp_path, monkeypatch):
+    from skerry.plans import stream
+
+    # The first file is the smallest; splits are of some 50 rows.
+    at = 0
+    for k, rows in enumerate((40, 700, 300)):
+        (tmp_path / f"part-{k}.csv").write_text("".join(f"{i}.25,{-i}.5,{i % 7}\n" for i in range(at, at + rows)))
+        at += rows
+    most, cost = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for small in (stream.SMALL, -1):
+            monkeypatch.setattr(stream, "SMALL", small)
+            got = readers.read_dataset(spark, f"file://{tmp_path}").collect()
+            assert sorted((r["seq"], r["features"][0], r["label"]) for r in got) == [(i + 1, i + 0.25, i % 7) for i in range(at)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+@pytest.mark.parametrize("other", ["x", "__to"])
+def test_rows_are_numbered_by_columns_of_any_name(spark, monkeypatch, other):
+    from skerry.plans import stream
+
+    monkeypatch.setattr(stream, "SMALL", -1)
+    df = spark.range(1000).select(((F.col("id") * 7) % 1000).alias("__at"), F.col("id").alias(other))
+    got = stream.numbered(df, StreamSpec((), ("__at",), "floor(__at / 300)")).collect()
+    assert len(got) == 1000 and all(r["rn"] == r["__at"] + 1 and r[other] * 7 % 1000 == r["__at"] for r in got)
+
+
 def test_arrays(spark):
     import pandas as pd
 
