@@ -51,13 +51,23 @@ def runs(solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, own): numbers of segments of the data, one for each distinct string, and for each segment the number of its string.  Hashes tell strings apart; that
-    those of a group are equal is verified."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each segment of the data, which does not depend on where it lies."""
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(VALUES[data] * down[: len(data)], out=sums[1:])
-    key = (sums[ends] - sums[starts]) * up[starts]
+    return (sums[ends] - sums[starts]) * up[starts]
+
+
+def span(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of segments, one behind the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, every: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, own): numbers of segments of the data, one for each distinct string, and for each segment the number of its string.  Hashes (every, if they are there)
+    tell strings apart; that those of a group are equal is verified."""
+    key = hashes(data, starts, ends) if every is None else every
     order = np.argsort(key)
     key = key[order]
     new = np.ones(len(key), bool)
@@ -66,11 +76,8 @@ def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     own[order] = np.cumsum(new) - 1
     first = order[new]
     size = ends - starts
-    if np.array_equal(size, size[first][own]):
-        ahead = np.cumsum(size) - size
-        at = np.arange(int(size.sum()))
-        if np.array_equal(data[at + np.repeat(starts - ahead, size)], data[at + np.repeat(starts[first][own] - ahead, size)]):
-            return first, own
+    if np.array_equal(size, size[first][own]) and np.array_equal(data[span(starts, size)], data[span(starts[first][own], size)]):
+        return first, own
     raw, place = data.tobytes(), {}
     own = np.array([place.setdefault(raw[a:b], len(place)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
     return np.unique(own, return_index=True)[1], own
@@ -131,15 +138,58 @@ def parted(text: bytes, most: int) -> list[bytes]:
 
 def spread(rows: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The rows of groups own[0], own[1], ..., one behind the other; rows holds the groups in order, which have these sizes."""
-    n = sizes[own]
-    ahead = np.cumsum(n) - n
-    return rows[np.repeat((np.cumsum(sizes) - sizes)[own] - ahead, n) + np.arange(int(n.sum()))]
+    return rows[span((np.cumsum(sizes) - sizes)[own], sizes[own])]
+
+
+class Held:
+    """Strings with their ids in flat arrays: numbers of strings by their hashes in order, and bytes and ids of all strings, one behind the other."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, "<u2")
+        self.at, self.size, self.ids_at, self.n_ids = (np.zeros(0, np.int32) for _ in range(4))
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the segments of the data are here, the numbers of those); bytes are compared."""
+        here = np.zeros(len(keys), bool)
+        if not len(self.keys) or not len(keys):
+            return here, np.zeros(0, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        number = self.numbers[at]
+        own = np.flatnonzero((self.keys[at] == keys) & (self.size[number] == sizes))
+        n = sizes[own]
+        same = data[span(starts[own], n)] == self.bytes[span(self.at[number[own]], n)]
+        if not same.all():
+            own = own[np.logical_and.reduceat(same, np.cumsum(n) - n)]
+        here[own] = True
+        return here, number[own]
+
+    def add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
+        """Takes segments in, of strings with the same hash the first one only; ids: of all of them, one behind the other."""
+        keys, own = np.unique(keys, return_index=True)
+        at = np.searchsorted(self.keys, keys)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+            keys, own, at = keys[new], own[new], at[new]
+        number = np.arange(len(self.size), len(self.size) + len(own), dtype=np.int32)
+        place = at + np.arange(len(own))
+        others = np.ones(len(self.keys) + len(own), bool)
+        others[place] = False
+        for name, x in (("keys", keys), ("numbers", number)):
+            both = np.empty(len(others), x.dtype)
+            both[place], both[others] = x, getattr(self, name)
+            setattr(self, name, both)
+        for whole, begins, lengths, x, first, n in (("bytes", "at", "size", data, starts, sizes), ("ids", "ids_at", "n_ids", ids, np.cumsum(n_ids) - n_ids, n_ids)):
+            first, n = first[own], n[own]
+            for name, more in ((begins, len(getattr(self, whole)) + np.cumsum(n) - n), (lengths, n), (whole, x[span(first, n)])):
+                setattr(self, name, np.concatenate([getattr(self, name), more.astype(getattr(self, name).dtype)]))
 
 
 class Encoder:
-    """Ids of whole texts.  At most 2 * most strings are held with their ids."""
+    """Ids of whole texts.  Strings are held with their ids; when there are more than `most`, or MOST bytes of them, they become the old ones, of which those that are met
+    again are kept."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -153,40 +203,48 @@ class Encoder:
         self.letters = np.arange(256, dtype="<u4")  # the merger splits at the space
         for byte, character in byte_letters().items():
             self.letters[byte] = ord(character) if byte != 32 else 32
-        self.most, self.held, self.old = most, {}, {}
+        self.most, self.held, self.old = most, Held(), Held()
 
-    def _merged(self, words: list[bytes]) -> list[bytes]:
-        """Ids of pre-tokens: each ends with the one id that ends a word."""
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one behind the other, and their numbers: each pre-token ends with the one id that ends a word."""
         text = self.letters[np.frombuffer(b" ".join(words), np.uint8)].tobytes().decode("utf-32-le")
         ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-        ends = (2 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
-        if len(ends) != len(words):
+        sizes = np.diff(np.flatnonzero(self.final[ids]), prepend=-1)
+        if len(sizes) != len(words):
             raise AssertionError("a pre-token without an end")
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def strings(self, words: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, one behind the other, and their numbers, of distinct strings: pre-tokens, or whole pieces where odd."""
-        held, old = self.held, self.old
-        raw = list(map(held.get, words))
-        missing = [i for i, r in enumerate(raw) if r is None]
-        if old:
-            again = list(map(old.get, map(words.__getitem__, missing)))
-            for i, r in zip(missing, again):
-                if r is not None:
-                    raw[i] = held[words[i]] = r
-            missing = [i for i, r in zip(missing, again) if r is None]
-        plain = [i for i in missing if not odd[i]]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            for i, r in zip(part, self._merged(list(map(words.__getitem__, part)))):
-                raw[i] = held[words[i]] = r
-        for i in missing:
-            if odd[i]:
-                raw[i] = held[words[i]] = np.array(self.whole.encode(words[i].decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        if len(held) > self.most:
-            self.old, self.held = held, {}
-        return np.frombuffer(b"".join(raw), "<u2"), np.array(list(map(len, raw)), np.int64) // 2
+        return ids, sizes
+
+    def strings(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, one behind the other, and their numbers, of segments of the data with these hashes: pre-tokens, or whole pieces where odd."""
+        size, at, n = ends - starts, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        missing, parts, ahead, fresh = np.arange(len(keys)), [], 0, None
+        for known in (self.held, self.old):
+            here, numbers = known.find(keys[missing], data, starts[missing], size[missing])
+            own, missing = missing[here], missing[~here]
+            at[own], n[own] = known.ids_at[numbers] + ahead, known.n_ids[numbers]
+            parts.append(known.ids)
+            ahead += len(known.ids)
+            fresh = missing if fresh is None else fresh
+        raw = data.tobytes() if len(missing) else b""
+        plain, strange = missing[~odd[missing]], missing[odd[missing]]
+        numbers = [np.zeros(0, np.int64)]
+        for k in range(0, len(plain), 2000):
+            own = plain[k : k + 2000]
+            ids, sizes = self._merged([raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist())])
+            parts.append(ids)
+            numbers.append(sizes)
+        for a, b in zip(starts[strange].tolist(), ends[strange].tolist()):
+            parts.append(np.array(self.whole.encode(raw[a:b].decode(), add_special_tokens=False).ids, "<u2"))
+            numbers.append(np.array([len(parts[-1])]))
+        new, numbers = np.concatenate([plain, strange]), np.concatenate(numbers)
+        at[new], n[new] = ahead + np.cumsum(numbers) - numbers, numbers
+        every = np.concatenate(parts)
+        if len(fresh):
+            self.held.add(keys[fresh], data, starts[fresh], size[fresh], every[span(at[fresh], n[fresh])], n[fresh])
+        out = every[span(at, n)]
+        if len(self.held.keys) > self.most or len(self.held.bytes) > MOST:
+            self.old, self.held = self.held, Held()
+        return out, n
 
     def _encode(self, texts: Sequence[bytes], distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b" ".join(texts), np.uint8).copy()
@@ -215,9 +273,9 @@ class Encoder:
         # A pre-token ends where the next one or white space starts.
         ends = np.minimum(np.append(at[1:], len(data)), ends[np.searchsorted(ends, at, side="right")])
         # Of words that come once each, so do most pre-tokens.
-        first, own = (np.arange(len(at)),) * 2 if distinct else grouped(data, at, ends)
-        raw = data.tobytes()
-        ids, sizes = self.strings([raw[a:b] for a, b in zip(at[first].tolist(), ends[first].tolist())], kind[at[first]] == 4)
+        keys = hashes(data, at, ends)
+        first, own = (np.arange(len(at)),) * 2 if distinct else grouped(data, at, ends, keys)
+        ids, sizes = self.strings(data, at[first], ends[first], keys[first], kind[at[first]] == 4)
         until = np.concatenate([[0], np.cumsum(sizes[own])])[np.searchsorted(at, lengths)]
         return ids if distinct else spread(ids, sizes, own), np.diff(until, prepend=0)
 
@@ -249,4 +307,4 @@ def encoder(path: str) -> Encoder:
 def forget() -> None:
     """Gives the memory of held strings back; workers are used again by stages that need none."""
     for own in _encoders.values():
-        own.held, own.old = {}, {}
+        own.held, own.old = Held(), Held()

@@ -294,6 +294,39 @@ def test_empty_tables_and_pieces(spark):
     assert len(first) == 3 and same[0] == same[2] and len(set(same.tolist())) == 3
 
 
+def test_encoder_holds_strings_over_many_calls(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from skerry.llm import pieces
+
+    path = tokenizer("word_bpe_49k.json")
+    whole, rnd = Tokenizer.from_file(path), random.Random(5)
+    words = ["".join(rnd.choice("abcdeéß<1 '") for _ in range(rnd.randrange(1, 9))) for _ in range(1500)]
+    want = {w: whole.encode(w, add_special_tokens=False).ids for w in words}
+    for most, values in ((200, pieces.VALUES), (1 << 20, pieces.VALUES), (200, np.ones(256, np.uint64))):  # the last: many strings hash alike
+        monkeypatch.setattr(pieces, "VALUES", values)
+        own = pieces.Encoder(path, most)
+        for _ in range(40):
+            part = rnd.choices(words, k=60)
+            ids, sizes = own.encode([w.encode() for w in part])
+            assert sizes.tolist() == [len(want[w]) for w in part] and ids.tolist() == [k for w in part for k in want[w]]
+
+
+def test_encoder_merges_the_strings_of_a_large_vocabulary_once(monkeypatch):
+    from skerry.llm import pieces
+
+    own, merged = pieces.Encoder(tokenizer("word_bpe_49k.json")), []
+    inner = own._merged
+    monkeypatch.setattr(own, "_merged", lambda words: merged.append(len(words)) or inner(words))
+    letters = np.frombuffer(b"abcdefghijklmnop", "S1")
+    words = [letters[[i >> k & 15 for k in (0, 4, 8, 12, 16)]].tobytes() for i in range(250_000)]
+    first = own.encode([b" ".join(words)])
+    assert sum(merged) == len(words)
+    for at in range(0, len(words), 50_000):
+        own.encode([b" ".join(words[at : at + 50_000])])
+    assert sum(merged) == len(words) and np.array_equal(own.encode([b" ".join(words)])[0], first[0])
+
+
 def test_common_keys_meet_apart(spark):
     from skerry.llm.common import joined_apart, scratch, written
 
