@@ -29,16 +29,17 @@ import math
 import re
 import unicodedata
 import zlib
-from itertools import repeat
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, slices, utf8, written
-from .pieces import distinct_words, encoder, forget
+from .pieces import MOST, Held, distinct_segments, distinct_words, encoder, forget, hashes, span
 from .simhash import UPPER
 
 STRIDE, WIDTH, CLASSES, TOP, HEAD = 16, 16, 32, 1024, 200_000
@@ -110,7 +111,7 @@ def word_counts(own: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
             held.clear()
 
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             texts = [t.translate(UPPER) for key, t in zip(part.column(0).to_pylist(), utf8(part.column(1))) if not held_out(key)]
             words, at, _ = distinct_words(texts)
             for w, n in zip([*words, b""], [*np.bincount(at, minlength=len(words)).tolist(), len(texts)]):
@@ -172,29 +173,87 @@ def subword_counts(words: DataFrame) -> DataFrame:
 # --- documents as ids ---------------------------------------------------------------------------------------------------------------------------------
 
 
+class Heads:
+    """The most frequent words, by number in flat arrays: counts, ids and variants.  One number more stands for all other words."""
+
+    def __init__(self, words: Sequence[bytes] = (), counts=(), ids: Sequence[bytes] = (), kinds=()):
+        size = np.array(list(map(len, words)), np.int32)
+        at = (np.cumsum(size + 1) - size - 1).astype(np.int32)
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        keys = hashes(data, at, at + size) if words else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        alike = np.zeros(len(words) + 1, bool)
+        alike[1:-1] = keys[order][1:] == keys[order][:-1]
+        alike = alike[1:] | alike[:-1]
+        #: Words whose hash another one has as well; they are not found.
+        self.excluded = [words[i] for i in order[alike].tolist()]
+        order = order[~alike]
+        self.held = Held()
+        self.held.keys, self.held.numbers, self.held.bytes, self.held.at, self.held.size = keys[order], order.astype(np.int32), data, at, size
+        self.n = len(words)
+        self.counts = np.append(np.asarray(counts, np.int64), 0)
+        self.logs = np.log10(self.counts + 1.0)
+        self.kinds = np.asarray(kinds, np.int64)
+        self.ids, self.sizes = np.frombuffer(b"".join(ids), "<u2"), np.array(list(map(len, ids)), np.int64) // 2
+        self.ids_at = np.cumsum(self.sizes) - self.sizes
+        self.first, self.last = (np.append(self.ids[k], np.uint16(0)) for k in (self.ids_at, self.ids_at + self.sizes - 1))
+
+    def find(self, joined: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of segments with these hashes."""
+        out = np.full(len(keys), self.n, np.int64)
+        here, numbers = self.held.find(keys, np.frombuffer(joined, np.uint8), starts, ends - starts)
+        out[here] = numbers
+        return out
+
+    def numbers(self, words: list[bytes], most: int = 50_000) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for k in range(0, len(words), most):
+            part = words[k : k + most]
+            ends = np.cumsum([len(w) + 1 for w in part]) - 1
+            starts, joined = ends - np.array(list(map(len, part))), b" ".join(part)
+            out.append(self.find(joined, starts, ends, hashes(np.frombuffer(joined, np.uint8), starts, ends)))
+        return np.concatenate(out)
+
+
 def prepared(own: DataFrame, path: str, shared: Broadcast, n_shards: int) -> DataFrame:
-    """For each row: doc_id, held_out, n_tokens; n_known and sums (of log10(c + 1)) over the known words; ids, sizes (ids of each word), counts (0: not known) and variants
-    of all words, packed; rest: the words that are not known, and how many there are; and the training shard (null: held out).  shared: the known words' counts."""
+    """For each row: doc_id, held_out, n_tokens; n_known and sums (of log10(c + 1)) over the head's words; low and high: the number of each word in the head in 16 and 8 bits; of
+    the other words in order ends (their first and last ids), ids, sizes (ids of each) and variants, packed; rest: these words, and how many there are of each; and the training
+    shard (null: held out).  shared: Heads, or nothing."""
 
     def run(batches):
-        for part in slices(batches, "text", 2 << 20):
+        heads = shared.value or Heads()
+        for part in slices(batches, "text", 1 << 20):
             keys, texts = part.column(0).to_pylist(), [t.translate(UPPER) for t in utf8(part.column(1))]
-            words, at, n_words = distinct_words(texts)
+            if sum(map(len, texts)) <= MOST:
+                joined, starts, ends, hashed, at, n_words = distinct_segments(texts)
+                number = heads.find(joined, starts, ends, hashed)
+                free = np.flatnonzero(number == heads.n)
+                words = [joined[a:b] for a, b in zip(starts[free].tolist(), ends[free].tolist())]
+            else:
+                words, at, n_words = distinct_words(texts)
+                number = heads.numbers(words)
+                free = np.flatnonzero(number == heads.n)
+                words = list(map(words.__getitem__, free.tolist()))
             ids, sizes = ids_of(words, path, True)
-            get = shared.value.get
-            c = np.array(list(map(get, words, repeat(0))), np.int64)[at]
-            kind = variants(words)[at]
-            own_size = sizes[at]
-            ends = np.cumsum(own_size)
-            every = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own_size), own_size) + np.arange(len(at) and int(ends[-1]))]
+            place = np.zeros(len(number), np.int64)
+            place[free] = np.arange(len(free))
+            number = number[at]
             to = np.cumsum(n_words)
-            text = np.repeat(np.arange(len(texts)), n_words)
-            id_to = np.append(0, ends)[to]
-            logs = np.append(0, np.cumsum(np.log10(c + 1.0)))
-            n_known = np.append(0, np.cumsum(c > 0))
-            free = np.flatnonzero(c == 0)
-            pair, n = np.unique(text[free] * (len(words) + 1) + at[free], return_counts=True)
             ahead = to - n_words
+            known = number < heads.n
+            logs = np.append(0, np.cumsum(heads.logs[number]))
+            n_known = np.append(0, np.cumsum(known))
+            others = np.flatnonzero(~known)  # the words that are not in the head
+            at = place[at[others]]
+            text = np.repeat(np.arange(len(texts)), n_words)[others]
+            n_others = n_words - (n_known[to] - n_known[ahead])
+            others_to = np.cumsum(n_others)
+            own_size = sizes[at]
+            begin, until = np.cumsum(sizes) - sizes, np.cumsum(own_size)
+            every = ids[span(begin[at], own_size)]
+            both = np.stack([ids[begin], ids[begin + sizes - 1]], 1)[at] if len(at) else np.zeros((0, 2))
+            kind = variants(words)[at]
+            pair, n = np.unique(text * (len(words) + 1) + at, return_counts=True)
             rest = pa.StructArray.from_arrays([pa.array(list(map(words.__getitem__, (pair % (len(words) + 1)).tolist())), pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
             offsets = np.append(0, np.cumsum(np.bincount(pair // (len(words) + 1), minlength=len(texts))))
 
@@ -203,8 +262,8 @@ def prepared(own: DataFrame, path: str, shared: Broadcast, n_shards: int) -> Dat
 
             def packs(x: np.ndarray) -> pa.Array:
                 if not len(x) or x.max() < 256:
-                    return cut(x.astype(np.uint8), to)
-                return pa.array([packed(x[a:b], "<u4") for a, b in zip(ahead.tolist(), to.tolist())], pa.binary())
+                    return cut(x.astype(np.uint8), others_to)
+                return pa.array([packed(x[a:b], "<u4") for a, b in zip((others_to - n_others).tolist(), others_to.tolist())], pa.binary())
 
             yield pa.RecordBatch.from_arrays(
                 [
@@ -213,9 +272,11 @@ def prepared(own: DataFrame, path: str, shared: Broadcast, n_shards: int) -> Dat
                     pa.array(n_words + 1, pa.int64()),
                     pa.array(n_known[to] - n_known[ahead], pa.int64()),
                     pa.array(logs[to] - logs[ahead], pa.float64()),
-                    cut(every.astype("<u2"), id_to),
+                    cut((number & 65535).astype("<u2"), to),
+                    cut((number >> 16).astype(np.uint8), to),
+                    cut(both.astype("<u2").ravel(), 2 * others_to),
+                    cut(every.astype("<u2"), np.append(0, until)[others_to]),
                     packs(own_size),
-                    cut(c.astype("<f4"), to),
                     packs(kind),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest),
                     *part.columns[2:],
@@ -225,22 +286,69 @@ def prepared(own: DataFrame, path: str, shared: Broadcast, n_shards: int) -> Dat
 
     h = F.xxhash64("doc_id", "text")
     rows = own.select("doc_id", "text", h.alias("h"))
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, ids binary, sizes binary, counts binary, variants binary, rest array<struct<word:binary,n:long>>, h long")
+    out = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, low binary, high binary, ends binary, ids binary, sizes binary, variants binary, rest array<struct<word:binary,n:long>>, h long")
     return out.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.when(~F.col("held_out"), F.pmod("h", F.lit(n_shards * ROUNDS)))).withColumn("round", F.coalesce(F.col("shard") % ROUNDS, F.lit(-1)).cast("int"))
 
 
-NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "sums", "ids", "sizes", "counts", "variants", "rest", "h"]
+NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "sums", "low", "high", "ends", "ids", "sizes", "variants", "rest", "h"]
+
+
+def numbered(low: list[bytes], high: list[bytes]) -> np.ndarray:
+    """Numbers of words in the head, from prepared()."""
+    return np.frombuffer(b"".join(low), "<u2") + (np.frombuffer(b"".join(high), np.uint8).astype(np.int64) << 16)
+
+
+def whole(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """Rows of prepared() with ids, sizes, counts (0: not in the head) and variants of all words."""
+
+    def run(batches):
+        heads = shared.value
+        at = NAMES.index
+        for batch in batches:
+            low, high, ids, sizes, kinds = (batch.column(at(n)).to_pylist() for n in ("low", "high", "ids", "sizes", "variants"))
+            out = []
+            for x in zip(low, high, ids, sizes, kinds):
+                number = numbered(x[:1], x[1:2])
+                known = number < heads.n
+                n = np.array([len(number) - known.sum()])
+                size, kind = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+                own = number[known]
+                size[known], kind[known] = heads.sizes[own], heads.kinds[own]
+                size[~known], kind[~known] = unpacked([x[3]], n, "<u4"), unpacked([x[4]], n, "<u4")
+                every, inside = np.empty(int(size.sum()), "<u2"), np.repeat(known, size)
+                every[inside], every[~inside] = heads.ids[span(heads.ids_at[own], heads.sizes[own])], np.frombuffer(x[2], "<u2")
+                out.append((every.tobytes(), packed(size, "<u4"), heads.counts[number].astype("<f4").tobytes(), packed(kind, "<u4")))
+            names = [n for n in batch.schema.names if n not in ("ids", "sizes", "variants")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *(pa.array([x[k] for x in out], pa.binary()) for k in range(4))], [*names, "ids", "sizes", "counts", "variants"])
+
+    names = [n for n in rows.columns if n not in ("ids", "sizes", "variants")]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join([*(f"{n} {kinds[n]}" for n in names), "ids binary, sizes binary, counts binary, variants binary"]))
 
 
 class Texts:
-    """Rows of prepared() as flat arrays: the words' ids, and for each token (words and ends) where it stands in blocks of STRIDE."""
+    """Texts as flat arrays: the words' ids, and for each token (words and ends) where it stands in blocks of STRIDE."""
 
     def __init__(self, ids: list[bytes], sizes: list[bytes], n_words: np.ndarray):
         self.ids = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
-        self.n_words = n_words
         self.sizes = unpacked(sizes, n_words, "<u4")
         self.at = np.cumsum(self.sizes) - self.sizes
-        self.first, self.last = self.ids[self.at], self.ids[self.at + self.sizes - 1]
+        self._place(self.ids[self.at], self.ids[self.at + self.sizes - 1], n_words)
+
+    @classmethod
+    def by_ends(cls, low: list[bytes], high: list[bytes], ends: list[bytes], n_words: np.ndarray, heads: Heads) -> Texts:
+        """Rows of prepared(): without ids but for the first and the last of each word, and with the words' numbers."""
+        self = cls.__new__(cls)
+        self.number = numbered(low, high)
+        first, last = heads.first[self.number].astype(np.int64), heads.last[self.number].astype(np.int64)
+        self.others = np.flatnonzero(self.number == heads.n)
+        both = np.frombuffer(b"".join(ends), "<u2")
+        first[self.others], last[self.others] = both[::2], both[1::2]
+        self._place(first, last, n_words)
+        return self
+
+    def _place(self, first: np.ndarray, last: np.ndarray, n_words: np.ndarray) -> None:
+        self.first, self.last, self.n_words = first, last, n_words
         n_tokens = self.n_words + 1
         self.starts = np.cumsum(n_tokens) - n_tokens
         self.is_end = np.zeros(int(n_tokens.sum()), bool)
@@ -260,7 +368,7 @@ class Texts:
 
     def inputs(self) -> np.ndarray:
         """(blocks, STRIDE): for each place the number of the word before its token, from 0; n words: the text's start; n + 1: no token."""
-        n = len(self.at)
+        n = len(self.first)
         before = np.full(len(self.is_end), n, np.int64)
         inner = np.ones(len(before), bool)
         inner[self.starts] = False
@@ -276,7 +384,7 @@ class Texts:
 
     def vectors(self, compact: np.ndarray, table: np.ndarray) -> np.ndarray:
         """The mean of the vectors of each word's first and last ids; then the start's, and zero."""
-        out = np.empty((len(self.at) + 2, table.shape[1]), np.float32)
+        out = np.empty((len(self.first) + 2, table.shape[1]), np.float32)
         out[:-2] = np.take(table, compact[self.first], axis=0)
         out[:-2] += np.take(table, compact[self.last], axis=0)
         out[:-2] /= 2
@@ -284,14 +392,14 @@ class Texts:
         return out
 
 
-def neighbours(rows: DataFrame, compact: np.ndarray) -> np.ndarray:
+def neighbours(rows: DataFrame, compact: np.ndarray, shared: Broadcast) -> np.ndarray:
     """How often a token that starts with b comes behind a word whose first or last id is a: (a, b) are compact numbers; a = TOP + 1 is the text's start, b = TOP + 1 its end."""
     size = TOP + 2
 
     def run(batches):
         total = np.zeros(size * size, np.int64)
-        for part in slices(batches, "ids", 2 << 20):
-            t = Texts(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_numpy() - 1)
+        for part in slices(batches, "low", 1 << 20):
+            t = Texts.by_ends(*(part.column(i).to_pylist() for i in range(3)), part.column(3).to_numpy() - 1, shared.value)
             token = np.full(len(t.is_end), TOP + 1, np.int64)
             token[~t.is_end] = compact[t.first]
             behind = token[np.flatnonzero(~t.is_end) + 1]
@@ -301,7 +409,7 @@ def neighbours(rows: DataFrame, compact: np.ndarray) -> np.ndarray:
         keys = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], ["key", "n"])
 
-    found = rows.select("ids", "sizes", "n_tokens").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most size**2 rows
+    found = rows.select("low", "high", "ends", "n_tokens").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most size**2 rows
     out = np.zeros(size * size)
     out[found["key"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(size, size)
@@ -336,6 +444,16 @@ def added(x: np.ndarray) -> np.ndarray:
     return x @ np.ones((x.shape[-1], 1), x.dtype)
 
 
+def tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by exponents: faster than numpy's, and as close as the numbers are to one."""
+    x *= 2
+    np.exp(np.clip(x, -80, 80, out=x), out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
+
+
 class Attention:
     """One causal head over the tokens of a block and of the block before it: queries, keys, values and a residual of word vectors, a bias for each distance, and a
     softmax over classes."""
@@ -348,82 +466,89 @@ class Attention:
         small = lambda *shape: (rng.normal(size=shape) * d**-0.5).astype(np.float32)
         self.p = {"q": small(d, d), "k": small(d, d), "v": small(d, d), "r": small(d, d), "lag": np.zeros(2 * STRIDE, np.float32), "b": np.zeros(d, np.float32), "out": small(d, len(share)) * 0.3, "share": share.astype(np.float32)}
         self.far = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None]  # how far a key lies behind a query; negative: ahead
+        self.seen = (self.far >= 0).astype(np.float32)
 
-    def forward(self, e: np.ndarray, opens: np.ndarray):
-        """e: (n, 2 * STRIDE, WIDTH) word vectors; opens: which blocks have none before them.  Log probabilities of classes for the last STRIDE places, and what the
-        gradient needs.  Exponents are kept in range by clipping."""
+    def _scores(self, e: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Of classes, in rows, and what the gradient needs.  Exponents are kept in range by clipping."""
         p, n, d = self.p, len(e), WIDTH
         flat, c = e.reshape(-1, d), np.ascontiguousarray(e[:, STRIDE:]).reshape(-1, d)
         kv = (flat @ np.concatenate([p["k"], p["v"]], 1)).reshape(n, 2 * STRIDE, 2 * d)
-        qr = c @ np.concatenate([p["q"], p["r"]], 1)
+        qr = c @ np.concatenate([p["q"] * np.float32(d**-0.5), p["r"]], 1)
         q, k, v = qr[:, :d].reshape(n, STRIDE, d), kv[:, :, :d], kv[:, :, d:]
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(d**-0.5)
         a += p["lag"][np.maximum(self.far, 0)]
         np.exp(np.clip(a, -60, 60, out=a), out=a)
-        a *= self.far >= 0
+        a *= self.seen
         a[opens, :, :STRIDE] = 0
         a /= added(a)
         h = (a @ v).reshape(-1, d)
         h += qr[:, d:]
         h += p["b"]
-        o = np.tanh(h, out=h) @ p["out"]
+        o = tanh(h) @ p["out"]
         o += p["share"]
-        share = np.exp(np.clip(o, -80, 80, out=o))
-        total = added(share)
-        o -= np.log(total)
-        share /= total
-        return o.reshape(n, STRIDE, -1), (flat, c, q, k, v, a, h, share)
+        return np.clip(o, -80, 80, out=o), (flat, c, q, k, v, a, h)
+
+    def forward(self, e: np.ndarray, opens: np.ndarray):
+        """e: (n, 2 * STRIDE, WIDTH) word vectors; opens: which blocks have none before them.  Log probabilities of classes for the last STRIDE places, and what they
+        come from."""
+        o, inner = self._scores(e, opens)
+        o -= np.log(added(np.exp(o)))
+        return o.reshape(len(e), STRIDE, -1), inner
 
     def gradient(self, e: np.ndarray, opens: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of the real targets."""
-        p, n, d, (_, (flat, c, q, k, v, a, h, rows)) = self.p, len(e), WIDTH, self.forward(e, opens)
-        rows[np.arange(len(rows)), target.ravel()] -= 1
-        rows *= (real / max(real.sum(), 1)).astype(rows.dtype).reshape(-1, 1)
-        g = {"out": h.T @ rows, "share": rows.sum(0)}
+        p, n, d, (rows, (flat, c, q, k, v, a, h)) = self.p, len(e), WIDTH, self._scores(e, opens)
+        np.exp(rows, out=rows)
+        rows /= added(rows)
+        rows.reshape(-1)[np.arange(0, rows.size, rows.shape[1]) + target.ravel()] -= 1
+        if not real.all():
+            rows[~real.ravel()] = 0
+        g = {"out": h.T @ rows, "share": np.ones(len(rows), rows.dtype) @ rows}
         z = rows @ p["out"].T
-        z *= 1 - h * h
-        g["b"] = z.sum(0)
-        z3 = z.reshape(n, STRIDE, d)
-        da, dv = z3 @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ z3
-        ds = a * (da - added(a * da))
-        seen = self.far >= 0
-        g["lag"] = np.bincount(self.far[seen], ds.sum(0)[seen], 2 * STRIDE).astype(rows.dtype)
-        ds *= np.float32(d**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        both = c.T @ np.concatenate([dq.reshape(-1, d), z], 1)
-        g["q"], g["r"] = both[:, :d], both[:, d:]
-        g["k"], g["v"] = flat.T @ dk.reshape(-1, d), flat.T @ dv.reshape(-1, d)
-        return g
+        h *= h
+        z *= np.subtract(1, h, out=h)
+        g["b"] = np.ones(len(z), z.dtype) @ z
+        z3, back = z.reshape(n, STRIDE, d), a.transpose(0, 2, 1)
+        dkv, dqz = np.empty((n, 2 * STRIDE, 2 * d), z.dtype), np.empty((n, STRIDE, 2 * d), z.dtype)
+        np.matmul(back, z3, out=dkv[:, :, d:])
+        ds = z3 @ v.transpose(0, 2, 1)
+        ds -= added(a * ds)
+        ds *= a
+        g["lag"] = np.bincount(self.far[self.far >= 0], (np.ones(n, ds.dtype) @ ds.reshape(n, -1)).reshape(self.far.shape)[self.far >= 0], 2 * STRIDE).astype(z.dtype)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :d])
+        np.matmul(ds, k, out=dqz[:, :, :d])
+        dqz[:, :, d:] = z3
+        both = c.T @ dqz.reshape(-1, 2 * d)
+        g["q"], g["r"] = both[:, :d] * np.float32(d**-0.5), both[:, d:]
+        both = flat.T @ dkv.reshape(-1, 2 * d)
+        g["k"], g["v"] = both[:, :d], both[:, d:]
+        share = z.dtype.type(1 / max(real.sum(), 1))
+        return {name: x * share for name, x in g.items()}
 
     def log_p(self, vectors: np.ndarray, inputs: np.ndarray, opens: np.ndarray, target: np.ndarray, most: int = 128) -> np.ndarray:
         """Log probabilities of target classes, block by block: forward() with what depends on one word alone computed once for each vector."""
         p, d, n = self.p, WIDTH, len(inputs)
-        whole = vectors @ np.concatenate([p["q"] * np.float32(d**-0.5), p["r"], p["k"], p["v"]], 1)
-        whole[:, d : 2 * d] += p["b"]
+        vectors = vectors @ np.concatenate([p["q"] * np.float32(d**-0.5), p["r"], p["k"], p["v"]], 1)
+        vectors[:, d : 2 * d] += p["b"]
         lag = p["lag"][np.maximum(self.far, 0)]
-        before, now, seen = lag[:, :STRIDE], lag[:, STRIDE:], self.far[:, STRIDE:] >= 0
         out = np.empty((n, STRIDE), np.float32)
         for at in range(0, n, most):
-            to, low = min(n, at + most), max(at - 1, 0)
-            x = np.take(whole, inputs[low:to], axis=0)  # with the block before, for its keys and values
-            own = x[at - low :]
-            earlier = x[: to - at] if at else np.concatenate([x[:1], x[:-1]])
-            q = own[:, :, :d]
-            s0, s1 = q @ earlier[:, :, 2 * d : 3 * d].transpose(0, 2, 1), q @ own[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
-            for s, bias in ((s0, before), (s1, now)):
-                s += bias
-                np.exp(np.clip(s, -60, 60, out=s), out=s)
-            s0[opens[at:to]] = 0
-            s1 *= seen
-            h = s0 @ earlier[:, :, 3 * d :]
-            h += s1 @ own[:, :, 3 * d :]
-            h /= added(s0) + added(s1)
+            to = min(n, at + most)
+            x = np.take(vectors, inputs[np.maximum(np.arange(at - 1, to), 0)], axis=0)  # with the block before, for its keys and values
+            own = x[1:]
+            both = as_strided(x, (to - at, 2 * STRIDE, 4 * d), x.strides, writeable=False)  # each block with the one before it
+            a = own[:, :, :d] @ both[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
+            a += lag
+            np.exp(np.clip(a, -60, 60, out=a), out=a)
+            a *= self.seen
+            a[opens[at:to], :, :STRIDE] = 0
+            h = a @ both[:, :, 3 * d :]
+            h /= added(a)
             h += own[:, :, d : 2 * d]
-            o = np.tanh(h.reshape(-1, d)) @ p["out"]
+            o = tanh(h).reshape(-1, d) @ p["out"]
             o += p["share"]
             np.clip(o, -80, 80, out=o)
-            mine = o[np.arange(len(o)), target[at:to].ravel()]
+            mine = o.reshape(-1)[np.arange(0, o.size, o.shape[1]) + target[at:to].ravel()]
             out[at:to] = (mine - np.log(added(np.exp(o, out=o))[:, 0])).reshape(-1, STRIDE)
         return out
 
@@ -547,7 +672,7 @@ class Model:
         return out.ravel()[t.place].astype(float)
 
 
-def trained(model: Model, rows: DataFrame, n_shards: int) -> None:
+def trained(model: Model, rows: DataFrame, n_shards: int, heads: Broadcast) -> None:
     """Rounds of Adam on shards; then the parameters' average, weighted by tokens.  A token is a target once in all rounds."""
     spark = rows.sparkSession
     compact, cls, table = model.compact, model.cls, model.vectors
@@ -564,8 +689,8 @@ def trained(model: Model, rows: DataFrame, n_shards: int) -> None:
             def done():
                 return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([own.raw()], pa.binary())], ["shard", "seen", "raw"])
 
-            for part in slices(batches, "ids", 1 << 20):
-                shards = part.column(2).to_numpy()
+            for part in slices(batches, "low", 1 << 19):
+                shards = part.column(3).to_numpy()
                 edges = np.flatnonzero(np.diff(shards, prepend=-1, append=-1))
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                     if shards[a] != shard:
@@ -574,7 +699,7 @@ def trained(model: Model, rows: DataFrame, n_shards: int) -> None:
                         shard, own, seen = int(shards[a]), Attention(shared.value.p["share"]), 0
                         own.p = {n: x.copy() for n, x in shared.value.p.items()}
                         adam = Adam(own, step)
-                    t = Texts(part.column(0).slice(a, b - a).to_pylist(), part.column(1).slice(a, b - a).to_pylist(), part.column(3).slice(a, b - a).to_numpy() - 1)
+                    t = Texts.by_ends(*(part.column(i).slice(a, b - a).to_pylist() for i in range(3)), part.column(4).slice(a, b - a).to_numpy() - 1, heads.value)
                     vectors, inputs = t.vectors(compact, table), t.inputs()
                     target, real = t.blocks(t.targets(cls), 0), t.blocks(np.ones(len(t.is_end), bool), False)
                     # Blocks in an order that mixes texts, by a fixed stride.
@@ -587,8 +712,8 @@ def trained(model: Model, rows: DataFrame, n_shards: int) -> None:
             if own is not None:
                 yield done()
 
-        of_round = rows.where(F.col("round") == k).select("ids", "sizes", "shard", "n_tokens", "h").repartition(n_shards, "shard").sortWithinPartitions("shard", "h")
-        found = of_round.select("ids", "sizes", "shard", "n_tokens").mapInArrow(run, "shard long, seen long, raw binary").collect()  # at most MOST_SHARDS models of a few kilobytes
+        of_round = rows.where(F.col("round") == k).select("low", "high", "ends", "shard", "n_tokens", "h").repartition(n_shards, "shard").sortWithinPartitions("shard", "h")
+        found = of_round.select("low", "high", "ends", "shard", "n_tokens").mapInArrow(run, "shard long, seen long, raw binary").collect()  # at most MOST_SHARDS models of a few kilobytes
         if found:
             found = sorted(found, key=lambda r: r["shard"])
             weight = np.array([r["seen"] for r in found], float)
@@ -615,37 +740,44 @@ def counted(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, Dat
     return model, vocabulary, words, vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().asDict()
 
 
-def head(vocabulary: DataFrame, most: int | None = None) -> tuple[dict[bytes, int], int]:
-    """The most frequent words with their counts, at most `most` (HEAD), and the least count among them: words of that count or more are all there."""
+def head(words: DataFrame, most: int | None = None) -> tuple[Heads, int]:
+    """The most frequent words with their counts, at most `most` (HEAD), and the least count among them: words of that count or more are all there.  words: spelt()."""
     level = F.floor(F.log2("c") * 8).cast("int")
     left, least = HEAD if most is None else most, None
-    for r in vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect():  # a few hundred levels
+    for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect():  # a few hundred levels
         if r["n"] > left:
             break
         left, least = left - r["n"], r["least"]
     if least is None:
-        return {}, 1 << 62
-    rows = vocabulary.where(F.col("c") >= least).toArrow()
-    return dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist())), least
+        return Heads(), 1 << 62
+    rows = words.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    if len(rows) >= 1 << 24:
+        raise ValueError("numbers of words do not fit 24 bits")
+    return Heads(rows["word"].to_pylist(), rows["c"].to_numpy(), rows["ids"].to_pylist(), rows["kind"].to_numpy()), least
+
+
+def fitted(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, DataFrame, dict, int, Broadcast]:
+    """The model, all rows as prepared() has them, (word, c, ids, kind) of the training words, their totals, the least count of the words in the head, and the head."""
+    model, _, words, totals = counted(own, path, base)
+    heads, least = head(words)
+    shared = own.sparkSession.sparkContext.broadcast(heads)
+    n_shards = shards(totals["n"])
+    prepared(own, path, shared, n_shards).write.mode("overwrite").partitionBy("round").parquet(f"{base}/rows")
+    rows = own.sparkSession.read.schema(SCHEMA).parquet(f"{base}/rows")
+    training = rows.where("round >= 0")
+    model.set_classes(neighbours(training, model.compact, shared))
+    trained(model, training, n_shards, shared)
+    return model, rows, words, totals, least, shared
 
 
 def learned(own: DataFrame, path: str, base: str) -> tuple[Model, DataFrame, DataFrame, dict, int, int]:
     """The model, all rows as ids, (word, c, ids, kind) of the training words, their totals, the least count of the words that rows hold the counts of, and the number of
     training documents."""
-    model, vocabulary, words, totals = counted(own, path, base)
-    known, least = head(vocabulary)
-    known = own.sparkSession.sparkContext.broadcast(known)
-    n_shards = shards(totals["n"])
-    prepared(own, path, known, n_shards).write.mode("overwrite").partitionBy("round").parquet(f"{base}/rows")
-    known.unpersist()
-    rows = own.sparkSession.read.schema(SCHEMA).parquet(f"{base}/rows")
-    training = rows.where("round >= 0")
-    model.set_classes(neighbours(training, model.compact))
-    trained(model, training, n_shards)
-    return model, rows, words, totals, least, int(model.starts[END])
+    model, rows, words, totals, least, shared = fitted(own, path, base)
+    return model, whole(rows, shared), words, totals, least, int(model.starts[END])
 
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, ids binary, sizes binary, counts binary, variants binary, rest array<struct<word:binary,n:long>>, h long, row long, shard long, round int"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, low binary, high binary, ends binary, ids binary, sizes binary, variants binary, rest array<struct<word:binary,n:long>>, h long, row long, shard long, round int"
 
 
 def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -653,31 +785,38 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     base = scratch(spark, "lm")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model, rows, words, totals, least, n_ends = learned(own, path, base)
-    shared = spark.sparkContext.broadcast(model)
+    model, rows, words, totals, least, known = fitted(own, path, base)
+    n_ends, heads = int(model.starts[END]), known.value
+    t = Texts([heads.ids.tobytes()], [packed(heads.sizes, "<u4")], np.array([heads.n]))
+    # log P(word | class) of the head's words.
+    shared = spark.sparkContext.broadcast((model, np.append(model.within(t, heads.counts[:-1].astype(float), model.spelling(t, heads.kinds)), 0)))
 
     def run(batches):
-        lm = shared.value
+        lm, log_word = shared.value
         forget()
-        for part in slices(batches, "ids", 1 << 19):
-            ids, sizes, counts, kinds = (part.column(i).to_pylist() for i in range(4))
-            t = Texts(ids, sizes, part.column(4).to_numpy() - 1)
-            log_p = lm.log_class(t)
-            log_p[~t.is_end] += lm.within(t, np.frombuffer(b"".join(counts), "<f4").astype(float), lm.spelling(t, unpacked(kinds, t.n_words, "<u4")))
-            yield pa.RecordBatch.from_arrays([part.column(5), pa.array(np.add.reduceat(log_p, t.starts) / math.log(10))], ["row", "score"])
+        for part in slices(batches, "low", 1 << 18):
+            low, high, ends, ids, sizes, kinds = (part.column(i).to_pylist() for i in range(6))
+            t = Texts.by_ends(low, high, ends, part.column(6).to_numpy() - 1, known.value)
+            log_p, own = lm.log_class(t), log_word[t.number]
+            n = np.array(list(map(len, ends))) // 4
+            others = Texts(ids, sizes, n)
+            own[t.others] = lm.within(others, np.zeros(len(t.others)), lm.spelling(others, unpacked(kinds, n, "<u4")))
+            log_p[~t.is_end] += own
+            yield pa.RecordBatch.from_arrays([part.column(7), pa.array(np.add.reduceat(log_p, t.starts) / math.log(10))], ["row", "score"])
 
     def spelled(batches):
         for batch in batches:
             if batch.num_rows:
                 raw = batch.column(2).to_pylist()
                 t = Texts([b"".join(raw)], [packed(np.array(list(map(len, raw))) // 2, "<u4")], np.array([len(raw)]))
-                cls = shared.value.cls[t.first]
-                p = shared.value.spelling(t, batch.column(3).to_numpy()) + shared.value.log_free[cls] + shared.value.log_tokens[cls]
+                lm = shared.value[0]
+                cls = lm.cls[t.first]
+                p = lm.spelling(t, batch.column(3).to_numpy()) + lm.log_free[cls] + lm.log_tokens[cls]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], ["word", "c", "p"])
 
-    scored = written(rows.select("ids", "sizes", "counts", "variants", "n_tokens", "row").mapInArrow(run, "row long, score double"), f"{base}/scored")
+    scored = written(rows.select("low", "high", "ends", "ids", "sizes", "variants", "n_tokens", "row").mapInArrow(run, "row long, score double"), f"{base}/scored")
     # What the share adds to a spelled word: log(1 + share / spelled), for exponents of any size.
-    rare = words.where(F.col("c") < least).mapInArrow(spelled, "word binary, c long, p double")
+    rare = words.where((F.col("c") < least) | F.col("word").isin(heads.excluded)).mapInArrow(spelled, "word binary, c long, p double")
     ahead = F.log(F.col("c") - model.discount) - F.col("p")
     gain = (F.greatest(ahead, F.lit(0.0)) + F.log1p(F.exp(-F.abs(ahead)))) / math.log(10)
     rare = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n").join(rare.select("word", "c", gain.alias("gain")), "word")

@@ -25,7 +25,7 @@ _encoders: dict[str, "Encoder"] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of MULTIPLIER and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = -(-n >> 18) << 18  # little more than n: workers keep 16 bytes for each
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, m, np.uint64)]), dtype=np.uint64) for m in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))]
     return _powers[0][:n], _powers[1][:n]
 
@@ -101,15 +101,22 @@ def distinct_words(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.
     return list(place), np.concatenate(every), counts
 
 
-def _distinct(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct_segments(texts: Sequence[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined, starts, ends, keys, own, counts): where the distinct words lie in the joined texts, of MOST bytes or little more, and their hashes; the others as in distinct_words()."""
     joined = b" ".join(texts)
     data = np.frombuffer(joined, np.uint8)
     starts, ends = runs(KINDS[data] != 0)
     counts = counted(starts, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
     if not len(starts):
-        return [], np.zeros(0, np.int64), counts
-    first, own = grouped(data, starts, ends)
-    return [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], own, counts
+        return joined, starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
+    keys = hashes(data, starts, ends)
+    first, own = grouped(data, starts, ends, keys)
+    return joined, starts[first], ends[first], keys[first], own, counts
+
+
+def _distinct(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    joined, starts, ends, _, own, counts = distinct_segments(texts)
+    return [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())], own, counts
 
 
 def _blocks(texts: Sequence[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:

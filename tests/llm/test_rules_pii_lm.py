@@ -429,3 +429,56 @@ def test_stages_on_odd_rows(spark, n):
         assert {"a text of its own", "another one here", "first text of seven", "second text of seven"} <= set(texts) and texts.count("second text of seven") == 1
         assert sum(not t for t in texts) == 1
     assert corpus_pipeline.STAGES[n][1](spark, df.limit(0), SF).count() == 0
+
+
+def test_rows_hold_words_by_number_and_give_all_of_them_back(spark):
+    """Rows for training and scoring take three bytes a word of the head, and no ids of such words; ids, counts and variants of all words follow from them."""
+    path = tokenizer("word_bpe_49k.json")
+    texts = ["The words of the head, élan Élan straße", "", None, "unheard the words unheard \xa0 of ÉLAN", "of the", " ".join(f"w{k} the" for k in range(300)), "q" * 900 + " the"]
+    lower = lambda t: [w.encode() for w in (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split(" ") if w]
+    words = sorted({w for t in texts[:2] for w in lower(t)})
+    encoded = lambda words: [lm_score.ids_of([w], path)[0].astype("<u2").tobytes() for w in words]
+    heads = lm_score.Heads(words, range(1, len(words) + 1), encoded(words), lm_score.variants(words))
+    assert heads.numbers([*words, b"unheard", b"x"]).tolist() == [*range(len(words)), heads.n, heads.n]
+    shared = spark.sparkContext.broadcast(heads)
+    rows = lm_score.prepared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, shared, 3)
+    count = dict(zip(words, range(1, len(words) + 1)))
+    for r in rows.collect():
+        own = lower(texts[r["doc_id"]])
+        others = [w for w in own if w not in count]
+        assert len(r["low"]) + len(r["high"]) == 3 * len(own) and bytes(r["ids"]) == b"".join(encoded(others)) and len(r["ends"]) == 4 * len(others)
+        assert r["n_known"] == len(own) - len(others) and math.isclose(r["sums"], sum(math.log10(count.get(w, 0) + 1) for w in own), abs_tol=1e-9)
+        assert sorted((bytes(x["word"]), x["n"]) for x in r["rest"]) == sorted(collections.Counter(others).items())
+    for r in lm_score.whole(rows, shared).collect():
+        own = lower(texts[r["doc_id"]])
+        n = np.array([len(own)])
+        assert bytes(r["ids"]) == b"".join(encoded(own)) and lm_score.unpacked([bytes(r["sizes"])], n, "<u4").tolist() == [len(x) // 2 for x in encoded(own)]
+        assert np.frombuffer(bytes(r["counts"]), "<f4").tolist() == [count.get(w, 0) for w in own] and lm_score.unpacked([bytes(r["variants"])], n, "<u4").tolist() == lm_score.variants(own).tolist()
+
+
+def test_words_whose_hashes_agree_are_not_in_the_head(spark, monkeypatch):
+    """They are counted where rare words are."""
+    real = lm_score.hashes
+    short = lambda data, starts, ends: real(data, starts, ends) % np.uint64(50)
+    monkeypatch.setattr(lm_score, "hashes", short)
+    words = [b"w%d" % k for k in range(60)]
+    heads = lm_score.Heads(words, range(60), [b"\1\0"] * 60, [0] * 60)
+    found = heads.numbers(words)
+    assert 0 < len(heads.excluded) < 60 and {words[i] for i in np.flatnonzero(found == heads.n)} == set(heads.excluded)
+    assert all(k == i for i, k in enumerate(found.tolist()) if k < heads.n)
+
+
+def test_scores_equal_those_of_whole_rows(spark):
+    """Words by number and others by their ids give what all ids, counts and variants give."""
+    path = tokenizer("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id is not null")
+    model, rows, *_ = lm_score.learned(docs, path, lm_score.scratch(spark, "test"))
+    want = {}
+    for r in rows.collect():
+        n = np.array([r["n_tokens"] - 1])
+        t = lm_score.Texts([bytes(r["ids"])], [bytes(r["sizes"])], n)
+        log_p = model.log_class(t)
+        log_p[~t.is_end] += model.within(t, np.frombuffer(bytes(r["counts"]), "<f4").astype(float), model.spelling(t, lm_score.unpacked([bytes(r["variants"])], n, "<u4")))
+        want[r["doc_id"]] = log_p.sum() / math.log(10)
+    got = {r["doc_id"]: r["score"] for r in lm_score.scores(docs, path).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-4)
